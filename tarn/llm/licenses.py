@@ -27,17 +27,20 @@ PHRASES = {
     "mit license": "mit",
 }
 
-# Openings of public license texts, lower-cased.
+# Openings of public license texts, and usual notices, lower-cased.
 TEXTS = {
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
     "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "apache-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
     "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
     "mpl-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "apache-2.0": "licensed under the apache license version 2 0",
+    "gpl-3.0": "licensed under the gnu general public license version 3",
+    "cc-by-nc": "licensed under cc by nc 4 0",
     "cc-by-notice": "this work is licensed under a creative commons attribution 4 0 international license",
 }
 #: Diagonals this near are one alignment; this part of a template's pairs must vote for it.
-SLACK, COVERAGE = 3, 0.6
+SLACK, COVERAGE = 3, 0.7
 
 
 def templates(spark: SparkSession) -> DataFrame:
