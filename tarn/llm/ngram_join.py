@@ -28,54 +28,27 @@ from pyspark.sql.window import Window
 
 from .common import arrow_batches, drop, stage
 from .components import components
+from .words import ODD, mix, word_hashes
 
 #: Sets link when SHARE[1] * overlap >= SHARE[0] * union.
 SHARE, SHINGLE = (75, 100), 5
 SKETCH_BITS, TILE, BROADCAST_IDS = 20, 1024, 500_000
-_ODD = np.random.default_rng(20240517).integers(1, 1 << 63, 1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
 
 
 def shingle_sets(texts: pa.StringArray, size: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    texts = texts.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    first = int(offsets[0]) if len(texts) else 0
-    total = int(offsets[-1]) - first if len(texts) else 0
-    data = np.frombuffer(texts.buffers()[2], np.uint8, total, first) if total else np.zeros(0, np.uint8)
-    bounds = offsets - first
-    data = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    edge = bounds[:-1][bounds[:-1] < total]
-    begins[edge] = inside[edge]
-    kept = np.flatnonzero(inside)
-    starts = np.flatnonzero(begins[kept])
-    lengths = np.diff(np.append(starts, len(kept)))
-    place = np.arange(len(kept)) - np.repeat(starts, lengths)
-    weight = _ODD[place & 4095]
-    if len(kept) and place.max() > 4095:
-        weight = weight * _ODD[(place >> 12) & 4095]
-    words = np.add.reduceat((data[kept].astype(np.uint64) + np.uint64(1)) * weight, starts) if len(starts) else np.zeros(0, np.uint64)
-    words = _mix(words + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    first_word = np.searchsorted(kept[starts], bounds)
+    words, first_word = word_hashes(texts)
     n = len(words)
     runs = np.zeros(max(n - size + 1, 0), np.uint64)
     for k in range(size):
-        runs += words[k : n - size + 1 + k] * _ODD[k] if n >= size else 0
-    runs = _mix(runs)
+        runs += words[k : n - size + 1 + k] * ODD[k] if n >= size else 0
+    runs = mix(runs)
     for a, b in zip(first_word[:-1].tolist(), first_word[1:].tolist(), strict=True):
         if b - a >= size:
             h = np.sort(runs[a : b - size + 1])
             yield h[np.append(True, h[1:] != h[:-1])]
         elif b > a:
-            yield _mix(np.array([(words[a:b] * _ODD[100 : 100 + b - a]).sum() + np.uint64(b - a)], np.uint64))
+            yield mix(np.array([(words[a:b] * ODD[100 : 100 + b - a]).sum() + np.uint64(b - a)], np.uint64))
         else:
             yield np.zeros(0, np.uint64)
 
@@ -137,8 +110,8 @@ def summaries(docs: DataFrame, levels: np.ndarray, size: int, share: tuple[int,
             n, k1, k2, prefix = [], [], [], []
             for h in shingle_sets(batch.column(1), size):
                 n.append(len(h))
-                k1.append(int(_mix(h).sum(dtype=np.uint64)))
-                k2.append(int(_mix(h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)).sum(dtype=np.uint64)))
+                k1.append(int(mix(h).sum(dtype=np.uint64)))
+                k2.append(int(mix(h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)).sum(dtype=np.uint64)))
                 lv = levels[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 h = h[np.argsort(lv, kind="stable")] if lv.any() else h
                 prefix.append(h[: prefix_length(len(h), share)].view(np.int64) if len(h) else h.view(np.int64))
