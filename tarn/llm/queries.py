@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, langid, licenses, mixing, ngram_join, packing, secrets, topk, warc
+from . import backoff, embed_dedup, langid, licenses, mixing, ngram_join, packing, secrets, topk, warc
 from .common import read
 
 
@@ -26,6 +26,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
+def op5_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(read(spark, sf_dir, "documents"))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_topk, op3_licenses, op4_secrets, op6_pack, op7_ngram_join, op8_embedding_dedup, op9_warc, op10_langid)}
+    return {f.__name__: f for f in (op1_mix, op2_topk, op3_licenses, op4_secrets, op5_backoff, op6_pack, op7_ngram_join, op8_embedding_dedup, op9_warc, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
