@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_batches
 
@@ -182,29 +183,27 @@ def predict_batch(net: Network, texts: list[str | None], block: int = 32) -> tup
     return [net.labels[i] for i in best], p[np.arange(len(best)), best].tolist()
 
 
-def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` for every document; no rows move."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
+def classify(docs: DataFrame, net: Network | None = None) -> DataFrame:
+    """All columns of ``docs``, and ``_lang``, ``_score``: predictions from ``text`` alone; no rows move."""
+    arrow_batches(docs.sparkSession)
     net = net or fit(docs)
-    rows = docs.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.when(has_letter(F.col("text")), F.col("text")).alias("text")
-    )
-    id_type = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, held_out boolean, lang_pred string, score double"
+    names = [*docs.columns, "_lang", "_score"]
+    rows = docs.withColumn("_read", F.when(has_letter(F.col("text")), F.col("text").cast("string")))
+    schema = T.StructType([*docs.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            if net.labels:
-                langs, scores = predict_batch(net, texts)
-            else:
-                langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-            langs = ["und" if t is None else x for t, x in zip(texts, langs, strict=True)]
+            texts = batch.column(len(names) - 2).to_pylist()
+            langs, scores = predict_batch(net, texts) if net.labels else ([], [0.0] * len(texts))
+            langs = ["und" if t is None or not langs else langs[i] for i, t in enumerate(texts)]
             scores = [0.0 if t is None else x for t, x in zip(texts, scores, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                ["doc_id", "held_out", "lang_pred", "score"],
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
     return rows.mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` for every document."""
+    net = net or fit(docs)
+    found = classify(docs.select("doc_id", "text"), net)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
