@@ -25,13 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, global_rank, stage
+from .words import word_table
 
 CAPACITY, END_ID = 4096, 1
-CACHED_WORDS = 150_000
+CACHED_WORDS = 2_000_000
 #: Their own ids show where one word ends and the next begins when many are encoded as one text.
 _MARK = "!"
 
@@ -43,51 +45,63 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of whole texts as packed bytes. Blanks part words for good in this vocabulary, so a word's
-    ids do not depend on its neighbours, and common words are encoded once."""
+    """Ids of whole texts. Blanks part words for good in this vocabulary, and case does not matter, so a
+    word's ids do not depend on its neighbours; words are found by their hashes and encoded once."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if _MARK not in w]
-        out: dict[str, bytes] = {}
-        if len(self.mark) == 1:
-            for s in range(0, len(plain), 2000):
-                part = plain[s : s + 2000]
-                ids = np.array(self.tokenizer.encode(f" {_MARK} ".join(part), add_special_tokens=False).ids, "<u4")
-                cut = np.flatnonzero(ids == self.mark[0])
-                if len(cut) == len(part) - 1:
-                    raw = ids.tobytes()
-                    starts = np.concatenate(([0], cut + 1)) * 4
-                    ends = np.concatenate((cut, [len(ids)])) * 4
-                    out.update(zip(part, (raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), strict=True))
-        rest = [w for w in words if w not in out]
-        out.update(zip(rest, self._direct(rest), strict=True))
+        self.mark = self.direct([_MARK])[0].tolist()
+        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def direct(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word; many are encoded as one text, with marks between them."""
+        out: list[np.ndarray | None] = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if _MARK not in w] if len(self.mark) == 1 else []
+        for s in range(0, len(plain), 500):
+            part = plain[s : s + 500]
+            (ids,) = self.direct([f" {_MARK} ".join([words[i] for i in part])])
+            cut = np.flatnonzero(ids == self.mark[0])
+            if len(cut) == len(part) - 1:
+                for i, a, b in zip(part, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True):
+                    out[i] = ids[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self.direct([words[i] for i in rest]), strict=True):
+            out[i] = ids
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # str.split() also parts at \x1c-\x1f, which are no blanks here; special tokens hold for themselves.
-        odd = [any(s in t for s in self.special) or any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-        split = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        new = self._words(list(set().union(*split) - self.known.keys()))
-        self.known.update(new)
-        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
-        if len(self.known) > CACHED_WORDS:
-            for w in new:
-                del self.known[w]
-        direct = iter(self._direct([t for t, o in zip(texts, odd, strict=True) if o]))
-        return [next(direct) if o else x for x, o in zip(out, odd, strict=True)]
+    def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
+        hashes, first, start, length, raw = word_table(texts)
+        distinct, example, which = np.unique(hashes, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, distinct)
+        near = np.minimum(place, max(len(self.keys) - 1, 0))
+        known = self.keys[near] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+        new = np.flatnonzero(~known)
+        data = raw.tobytes()
+        found = self.words([data[a : a + n].decode() for a, n in zip(start[example[new]].tolist(), length[example[new]].tolist(), strict=True)])
+        at, n = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        at[known], n[known] = self.at[near[known]], self.n[near[known]]
+        n[new] = [len(x) for x in found]
+        at[new] = len(self.ids) + np.cumsum(n[new]) - n[new]
+        ids = np.concatenate([self.ids, *found])
+        if len(self.keys) < CACHED_WORDS:
+            self.keys, self.at, self.n = (np.insert(x, place[new], y[new]) for x, y in ((self.keys, distinct), (self.at, at), (self.n, n)))
+            self.ids = ids
+        lengths = n[which]
+        ends = np.cumsum(lengths)
+        flat = ids[np.repeat(at[which] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        bounds = np.append(0, ends)[first]
+        out = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        # The special tokens' own strings are single ids wherever they stand.
+        for i in {i for s in self.special for i in np.flatnonzero(pc.match_substring(texts, s).fill_null(False))}:
+            (out[i],) = self.direct([texts[i].as_py()])
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -103,21 +117,18 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     """``doc_id, piece, start, length, ids_crc32``: documents as pieces of ``capacity`` tokens at most."""
     arrow_batches(docs.sparkSession, 500)
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
         for batch in batches:
             owner, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(code.encode(batch.column(1).to_pylist())):
-                ids += end
-                n = len(ids) // 4
-                for k, s in enumerate(range(0, n, capacity)):
+            for i, ids in enumerate(code.encode(batch.column(1))):
+                ids = np.append(ids, end_id).astype("<u4")
+                for k, s in enumerate(range(0, len(ids), capacity)):
                     owner.append(i)
                     piece.append(k)
                     start.append(s)
-                    length.append(min(capacity, n - s))
-                    crc.append(zlib.crc32(ids[s * 4 : (s + capacity) * 4]))
+                    length.append(min(capacity, len(ids) - s))
+                    crc.append(zlib.crc32(ids[s : s + capacity].tobytes()))
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
             cols = [pa.array(c, t) for c, t in zip((piece, start, length, crc), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int32())), *cols], ["doc_id", "piece", "start", "length", "ids_crc32"])
