@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_batches, drop, stage
+from .common import arrow_batches, drop, shuffle_partitions, stage
 from .components import components
 from .words import ODD, mix, word_hashes
 
@@ -127,17 +127,27 @@ def summaries(docs: DataFrame, levels: np.ndarray, size: int, share: tuple[int,
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """``id, n, bits, hashes`` of the documents given."""
+    """``id, n, bits``: sizes and bitmaps of the documents' sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column(1), size))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([bitmap(h) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())],
-                ["id", "n", "bits", "hashes"],
+                [batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([bitmap(h) for h in sets], pa.binary())],
+                ["id", "n", "bits"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, n long, bits binary, hashes binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "id long, n long, bits binary")
+
+
+def arrays(docs: DataFrame, size: int) -> DataFrame:
+    """``id, hashes``: the documents' sorted shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in shingle_sets(batch.column(1), size)], pa.binary())], ["id", "hashes"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "id long, hashes binary")
 
 
 def fold(bits: np.ndarray, width: int) -> np.ndarray:
@@ -184,11 +194,11 @@ def tile_pairs(n: np.ndarray, bits: list[bytes], index: np.ndarray, component: n
     return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
 
 
-def verify(pairs: DataFrame, signs: DataFrame, share: tuple[int, int]) -> DataFrame:
+def verify(pairs: DataFrame, signs: DataFrame, docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
     """The pairs ``a, b`` that link: bitmaps of all pairs first, then the arrays of those that remain."""
 
-    def one(name: str, *cols: str) -> DataFrame:
-        return signs.select(F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in cols))
+    def one(rows: DataFrame, name: str, *cols: str) -> DataFrame:
+        return rows.select(F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in cols))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,9 +223,10 @@ def verify(pairs: DataFrame, signs: DataFrame, share: tuple[int, int]) -> DataFr
             fine = np.array(fine, bool)
             yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[fine]), pa.array(batch.column(1).to_numpy()[fine])], ["a", "b"])
 
-    wide = pairs.join(one("a", "n", "bits"), "a").join(one("b", "n", "bits"), "b")
+    wide = pairs.join(one(signs, "a", "n", "bits"), "a").join(one(signs, "b", "n", "bits"), "b")
     left = stage(wide.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bound, "a long, b long"), "jaccard_bound")
-    wide = left.join(one("a", "hashes"), "a").join(one("b", "hashes"), "b")
+    sets = stage(arrays(only(docs, left.select(F.col("a").alias("id")).union(left.select("b")).distinct()), size), "jaccard_arrays")
+    wide = left.join(one(sets, "a", "hashes"), "a").join(one(sets, "b", "hashes"), "b")
     return wide.select("a", "b", "hashes_a", "hashes_b").mapInArrow(exact, "a long, b long")
 
 
@@ -224,10 +235,8 @@ def join(docs: DataFrame, share: tuple[int, int] = SHARE, size: int = SHINGLE, t
     arrow_batches(docs.sparkSession, 500)
     docs = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     levels = crowded(docs, size)
-    sums = stage(summaries(docs, levels, size, share), "jaccard_sets")
-    classes = stage(
-        sums.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id"), F.min_by("prefix", "doc_id").alias("prefix")), "jaccard_classes"
-    )
+    wide = stage(summaries(docs, levels, size, share), "jaccard_sets")
+    classes = wide.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id"), F.min_by("prefix", "doc_id").alias("prefix"))
     # Sets that meet: rows of shingles that two classes have among their first.
     first = classes.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     index = F.col("n") - F.ceil(F.lit(2 * share[0]) * F.col("n") / F.lit(share[0] + share[1])) + 1
@@ -235,23 +244,29 @@ def join(docs: DataFrame, share: tuple[int, int] = SHARE, size: int = SHINGLE, t
     group = Window.partitionBy("token")
     groups = first.withColumn("pivot", F.min(F.struct("n", "id")).over(group)).withColumn("g", F.count("*").over(group)).withColumn("any", F.max("index").over(group))
     groups = stage(groups.filter("g > 1 and any").select("token", "id", "n", "index", "g", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "jaccard_groups")
-    drop(classes)
+    sums = stage(wide.drop("prefix"), "jaccard_sums")
+    drop(wide)
     signs = stage(signatures(only(docs, groups.select("id").distinct()), size), "jaccard_signatures")
 
     # Round 1: each class and the pivot that it meets most often.
     met = groups.filter((F.col("id") != F.col("pivot")) & (F.col("pivot_n") * share[1] >= F.col("n") * share[0])).groupBy("id", "pivot").agg(F.count("*").alias("m"))
     best = met.groupBy("id").agg(F.max_by("pivot", F.struct("m", -F.col("pivot"))).alias("pivot"))
-    links = stage(verify(best.select(F.col("id").alias("a"), F.col("pivot").alias("b")), signs, share), "jaccard_links")
+    links = stage(verify(best.select(F.col("id").alias("a"), F.col("pivot").alias("b")), signs, docs, size, share), "jaccard_links")
     parts = components(links)
 
-    # Round 2: all pairs of a tile that are not in one component yet.
+    # Round 2: all pairs of a tile that are not in one component yet. Shingles of one passage bring the
+    # same sets together again and again; one tile of each such kind is enough.
+    member = [F.bit_xor(F.xxhash64(F.lit(k), "id", "index")).alias(f"m{k}") for k in (1, 2)]
+    kinds = groups.groupBy("token", "g").agg(*member).groupBy("g", "m1", "m2").agg(F.min("token").alias("token")).select("token")
+    groups = groups.join(kinds, "token")
     named = groups.join(parts, "id", "left").withColumn("c", F.coalesce("component", "id"))
     open_tokens = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
-    rows = named.join(open_tokens, "token").select("token", "id", "n", "index", "g", "c").join(signs.select("id", "bits"), "id")
+    rows = named.join(open_tokens, "token").select("token", "id", "n", "index", "g", "c")
+    rows = stage(rows, "jaccard_open").join(signs.select("id", "bits"), "id")
     salts = F.ceil(F.col("g") / tile).cast("int")
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), salts - 1)))
     rows = rows.select("token", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "id", "n", "index", "c", "bits")
-    buckets = max(8, groups.count() // 20_000)
+    buckets = max(8, shuffle_partitions(docs.sparkSession), rows.count() // 20_000)
 
     def meet(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -269,7 +284,7 @@ def join(docs: DataFrame, share: tuple[int, int] = SHARE, size: int = SHINGLE, t
 
     key = F.when(F.col("j") == 0, F.pmod(F.xxhash64("token"), F.lit(buckets))).otherwise(F.xxhash64("token", "i", "j"))
     left = rows.withColumn("key", key).groupBy("key").applyInArrow(meet, "a long, b long").distinct()
-    more = stage(verify(stage(left, "jaccard_pairs"), signs, share), "jaccard_links")
+    more = stage(verify(stage(left, "jaccard_pairs"), signs, docs, size, share), "jaccard_links")
     parts = components(links.unionByName(more))
     known = sums.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id")).join(parts, "id", "left")
     known = known.select("n", "k1", "k2", F.coalesce("component", "id").alias("c"))
