@@ -6,9 +6,10 @@ tiles by such shingles. In a tile, sets are sorted by size and each is held only
 sizes; the differing bits of two hashed parity bitmaps bound the overlap from above, and what remains
 is decided by intersecting the sorted shingle arrays.
 
-A first round holds each class against the one it shares most with; what that links becomes one
-component, so that a tile's pairs inside a component need no test and groups of near copies are never
-expanded into pairs. The second round tests all other pairs of every tile.
+Rounds keep groups of near copies from being expanded into pairs: first each set of a tile proposes
+only the partner that its bitmap finds nearest, and what the exact test links becomes one component.
+Pairs within a component need no test, so the last round, which tests every other pair of every tile,
+has few left.
 
 Defined results for odd input: a null text is empty; a text without words has no shingles and links
 with nothing; with fewer words than a shingle, the whole sequence is the one shingle; repeated rows
@@ -163,12 +164,15 @@ def may_link(n_a, n_b, differing, share: tuple[int, int]):
     return (n_a + n_b - differing) * (share[0] + share[1]) >= 2 * share[0] * (n_a + n_b)
 
 
-def tile_pairs(n: np.ndarray, bits: list[bytes], index: np.ndarray, component: np.ndarray, share: tuple[int, int], step: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of a tile that are in one band, not yet in one component, and not ruled out by their bitmaps."""
+def tile_pairs(n: np.ndarray, bits: list[bytes], index: np.ndarray, component: np.ndarray, share: tuple[int, int], nearest: bool = False, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of a tile that are in one band, not yet in one component, and not ruled out by their bitmaps.
+
+    With ``nearest``, only the pair that looks most alike for each set that has any.
+    """
     order = np.argsort(n, kind="stable")
     n, index, component = n[order], index[order], component[order]
     widths = np.array([len(bits[i]) * 8 for i in order])
-    out_a, out_b = [], []
+    out_a, out_b, out_d = [], [], []
     for width in np.unique(widths):
         own = np.flatnonzero(widths == width)
         lo = own[0]
@@ -190,83 +194,46 @@ def tile_pairs(n: np.ndarray, bits: list[bytes], index: np.ndarray, component: n
                 fine = may_link(n[x], n[y], apart, share)
                 out_a.append(order[x[fine]])
                 out_b.append(order[y[fine]])
+                out_d.append(apart[fine] / (n[x[fine]] + n[y[fine]]))
     none = np.zeros(0, np.int64)
-    return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
-
+    a, b = np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+    if nearest and len(a):
+        by = np.argsort(np.concatenate(out_d), kind="stable")
+        a, b = a[by], b[by]
+        best = np.unique(np.unique(np.stack((a, b), 1).reshape(-1), return_index=True)[1] // 2)
+        a, b = a[best], b[best]
+    return a, b
 
-def verify(pairs: DataFrame, signs: DataFrame, docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
-    """The pairs ``a, b`` that link: bitmaps of all pairs first, then the arrays of those that remain."""
 
-    def one(rows: DataFrame, name: str, *cols: str) -> DataFrame:
-        return rows.select(F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in cols))
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, n_a, n_b = (batch.column(i).to_numpy() for i in range(4))
-            differ = np.zeros(len(a), np.int64)
-            for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64)[None, :], np.frombuffer(y, np.uint64)[None, :]
-                width = 64 * min(x.shape[1], y.shape[1])
-                differ[i] = np.bitwise_count(fold(x, width) ^ fold(y, width)).sum()
-            fine = may_link(n_a, n_b, differ, share)
-            yield pa.RecordBatch.from_arrays([pa.array(a[fine]), pa.array(b[fine])], ["a", "b"])
+def verify(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs ``a, b`` that link, by intersecting their sorted arrays."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fine = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate((x, y))
+                both = np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
                 both.sort(kind="stable")
                 overlap = int((both[1:] == both[:-1]).sum())
                 fine.append(share[1] * overlap >= share[0] * (len(both) - overlap))
             fine = np.array(fine, bool)
             yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[fine]), pa.array(batch.column(1).to_numpy()[fine])], ["a", "b"])
 
-    wide = pairs.join(one(signs, "a", "n", "bits"), "a").join(one(signs, "b", "n", "bits"), "b")
-    left = stage(wide.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(bound, "a long, b long"), "jaccard_bound")
-    sets = stage(arrays(only(docs, left.select(F.col("a").alias("id")).union(left.select("b")).distinct()), size), "jaccard_arrays")
-    wide = left.join(one(sets, "a", "hashes"), "a").join(one(sets, "b", "hashes"), "b")
+    left, right = (sets.select(F.col("id").alias(k), F.col("hashes").alias(f"hashes_{k}")) for k in ("a", "b"))
+    wide = pairs.join(left, "a").join(right, "b")
     return wide.select("a", "b", "hashes_a", "hashes_b").mapInArrow(exact, "a long, b long")
 
 
-def join(docs: DataFrame, share: tuple[int, int] = SHARE, size: int = SHINGLE, tile: int = TILE) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every document with an id."""
-    arrow_batches(docs.sparkSession, 500)
-    docs = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    levels = crowded(docs, size)
-    wide = stage(summaries(docs, levels, size, share), "jaccard_sets")
-    classes = wide.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id"), F.min_by("prefix", "doc_id").alias("prefix"))
-    # Sets that meet: rows of shingles that two classes have among their first.
-    first = classes.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    index = F.col("n") - F.ceil(F.lit(2 * share[0]) * F.col("n") / F.lit(share[0] + share[1])) + 1
-    first = first.select("token", "id", "n", (F.col("pos") < index).alias("index"))
-    group = Window.partitionBy("token")
-    groups = first.withColumn("pivot", F.min(F.struct("n", "id")).over(group)).withColumn("g", F.count("*").over(group)).withColumn("any", F.max("index").over(group))
-    groups = stage(groups.filter("g > 1 and any").select("token", "id", "n", "index", "g", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "jaccard_groups")
-    sums = stage(wide.drop("prefix"), "jaccard_sums")
-    drop(wide)
-    signs = stage(signatures(only(docs, groups.select("id").distinct()), size), "jaccard_signatures")
-
-    # Round 1: each class and the pivot that it meets most often.
-    met = groups.filter((F.col("id") != F.col("pivot")) & (F.col("pivot_n") * share[1] >= F.col("n") * share[0])).groupBy("id", "pivot").agg(F.count("*").alias("m"))
-    best = met.groupBy("id").agg(F.max_by("pivot", F.struct("m", -F.col("pivot"))).alias("pivot"))
-    links = stage(verify(best.select(F.col("id").alias("a"), F.col("pivot").alias("b")), signs, docs, size, share), "jaccard_links")
-    parts = components(links)
+def meetings(rows: DataFrame, share: tuple[int, int], tile: int, nearest: bool) -> DataFrame:
+    """Pairs ``a, b`` to verify, of rows ``token, id, n, index, g, c, bits``.
 
-    # Round 2: all pairs of a tile that are not in one component yet. Shingles of one passage bring the
-    # same sets together again and again; one tile of each such kind is enough.
-    member = [F.bit_xor(F.xxhash64(F.lit(k), "id", "index")).alias(f"m{k}") for k in (1, 2)]
-    kinds = groups.groupBy("token", "g").agg(*member).groupBy("g", "m1", "m2").agg(F.min("token").alias("token")).select("token")
-    groups = groups.join(kinds, "token")
-    named = groups.join(parts, "id", "left").withColumn("c", F.coalesce("component", "id"))
-    open_tokens = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
-    rows = named.join(open_tokens, "token").select("token", "id", "n", "index", "g", "c")
-    rows = stage(rows, "jaccard_open").join(signs.select("id", "bits"), "id")
+    A token's rows are salted into tiles of about ``tile`` sets, of which every two meet once. Tokens
+    of one tile only share a task with others.
+    """
     salts = F.ceil(F.col("g") / tile).cast("int")
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), salts - 1)))
     rows = rows.select("token", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "id", "n", "index", "c", "bits")
-    buckets = max(8, shuffle_partitions(docs.sparkSession), rows.count() // 20_000)
+    buckets = max(8, 4 * shuffle_partitions(rows.sparkSession))
 
     def meet(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -275,24 +242,61 @@ def join(docs: DataFrame, share: tuple[int, int] = SHARE, size: int = SHINGLE, t
         order = np.lexsort((j, i, token))
         new = np.flatnonzero((np.diff(token[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
         pairs = []
-        for rows in np.split(order, new):
-            x, y = tile_pairs(n[rows], [bits[r] for r in rows], index[rows], c[rows], share)
-            apart = (i[rows[0]] == j[rows[0]]) | (salt[rows[x]] != salt[rows[y]])
-            pairs.append(np.stack((ids[rows[x]], ids[rows[y]]))[:, apart])
+        for at in np.split(order, new):
+            x, y = tile_pairs(n[at], [bits[r] for r in at], index[at], c[at], share, nearest)
+            across = (i[at[0]] == j[at[0]]) | (salt[at[x]] != salt[at[y]])
+            pairs.append(np.stack((ids[at[x]], ids[at[y]]))[:, across])
         both = np.unique(np.sort(np.concatenate(pairs, 1), 0), axis=1)
         return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
 
     key = F.when(F.col("j") == 0, F.pmod(F.xxhash64("token"), F.lit(buckets))).otherwise(F.xxhash64("token", "i", "j"))
-    left = rows.withColumn("key", key).groupBy("key").applyInArrow(meet, "a long, b long").distinct()
-    more = stage(verify(stage(left, "jaccard_pairs"), signs, docs, size, share), "jaccard_links")
-    parts = components(links.unionByName(more))
+    return rows.withColumn("key", key).groupBy("key").applyInArrow(meet, "a long, b long").distinct()
+
+
+def join(docs: DataFrame, share: tuple[int, int] = SHARE, size: int = SHINGLE, tile: int = TILE) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every document with an id."""
+    arrow_batches(docs.sparkSession, 500)
+    docs = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    levels = crowded(docs, size)
+    wide = stage(summaries(docs, levels, size, share), "jaccard_sets")
+    classes = wide.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id"), F.min_by("prefix", "doc_id").alias("prefix"))
+    # Sets that meet: rows of shingles that two classes have among their first.
+    first = classes.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    index = F.col("n") - F.ceil(F.lit(2 * share[0]) * F.col("n") / F.lit(share[0] + share[1])) + 1
+    first = first.select("token", "id", "n", (F.col("pos") < index).alias("index"))
+    group = Window.partitionBy("token")
+    groups = first.withColumn("g", F.count("*").over(group)).withColumn("any", F.max("index").over(group)).filter("g > 1 and any").drop("any")
+    groups = stage(groups, "jaccard_groups")
+    sums = stage(wide.drop("prefix"), "jaccard_sums")
+    drop(wide)
+    # Shingles of one passage bring the same sets together again and again; one tile of each kind is enough.
+    member = [F.bit_xor(F.xxhash64(F.lit(k), "id", "index")).alias(f"m{k}") for k in (1, 2)]
+    kinds = groups.groupBy("token", "g").agg(*member).groupBy("g", "m1", "m2").agg(F.min("token").alias("token")).select("token")
+    tiles = stage(groups.join(kinds, "token"), "jaccard_tiles")
+    drop(groups)
+    signs = stage(signatures(only(docs, tiles.select("id").distinct()), size), "jaccard_signatures")
+    bits = signs.select("id", "bits")
+
+    # First every set is alone. Sets without any proposal now have none later either.
+    pairs = stage(meetings(tiles.withColumn("c", F.col("id")).join(bits, "id"), share, tile, True), "jaccard_pairs")
+    involved = stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "jaccard_ids")
+    sets = stage(arrays(only(docs, involved), size), "jaccard_arrays")
+    tiles = stage(tiles.join(involved, "id").join(bits, "id"), "jaccard_tiles")
+    links = stage(verify(pairs, sets, share), "jaccard_links")
+    parts = components(links)
+    for nearest in (True, False):
+        named = tiles.join(parts, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        open_tokens = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
+        pairs = stage(meetings(named.join(open_tokens, "token"), share, tile, nearest), "jaccard_pairs")
+        links = links.unionByName(stage(verify(pairs, sets, share), "jaccard_links"))
+        parts = components(links)
     known = sums.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id")).join(parts, "id", "left")
     known = known.select("n", "k1", "k2", F.coalesce("component", "id").alias("c"))
     return sums.select("doc_id", "n", "k1", "k2").join(known, ["n", "k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """One document for each of ``ids``; these are broadcast only while few."""
+    """The documents with one of ``ids``; these are broadcast only while few."""
     ids = stage(ids, "jaccard_ids")
     few = ids.count() <= BROADCAST_IDS
     ids = ids.withColumnRenamed("id", "doc_id")
