@@ -1 +1,263 @@
-"""Queries."""
+"""Survival queries."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import kernels
+from ..functions import scalars as S
+from ..operators import survival as V
+from ..operators.relational import asof
+from ..shared import stage
+from .entities import SURVIVAL, survival
+from .registry import query
+
+_r = lambda c, n=6: F.round(c, n)
+
+#: A product-limit curve in SQL; e is the event code that counts.
+_KM = """{name}_k AS (SELECT {g}, time AS t, count(*) AS k, count(*) FILTER (event = {e}) AS d FROM {src} GROUP BY ALL),
+  {name}_n AS (SELECT *, sum(k) OVER (PARTITION BY {g} ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS n FROM {name}_k),
+  {name} AS (SELECT {g}, t, n, d, product(1 - d / n) OVER (PARTITION BY {g} ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM {name}_n)"""
+
+
+def km_sql(name: str, g: str, e: int = 1, src: str = "survival") -> str:
+    return _KM.format(name=name, g=g, e=e, src=src)
+
+
+@query("v1_kaplan_meier", f"WITH {SURVIVAL}, {km_sql('km', 'cohort')} SELECT cohort, t, CAST(n AS BIGINT) AS n, d, round(s, 6) AS s FROM km")
+def kaplan_meier(spark, d):
+    return V.kaplan_meier(survival(spark, d), ["cohort"]).withColumn("s", _r("s"))
+
+
+_HORIZONS = "h AS (SELECT DISTINCT cohort, h.h AS t FROM survival, (SELECT unnest([200.0::DOUBLE, 400.0, 800.0]) AS h) h)"
+
+
+@query(
+    "v1b_survival_at_horizons",
+    f"WITH {SURVIVAL}, {km_sql('km', 'cohort')}, {_HORIZONS} SELECT h.cohort, h.t, round(least(1 - 1e-8, greatest(1e-8, coalesce(km.s, 1.0))), 6) AS s FROM h ASOF LEFT JOIN km ON h.cohort = km.cohort AND h.t >= km.t",
+)
+def survival_at(spark, d):
+    km = stage(V.kaplan_meier(survival(spark, d), ["cohort"]), "km")
+    h = km.select("cohort").distinct().withColumn("t", F.explode(F.array(*map(F.lit, (200.0, 400.0, 800.0)))))
+    return asof(h, km, ["cohort"], "t", "t", "s", "s").select("cohort", "t", _r(S.clip("s", 1e-8, 1 - 1e-8)).alias("s"))
+
+
+@query("v3_reverse_median", f"WITH {SURVIVAL}, {km_sql('km', 'arm', 0)} SELECT arm, min(t) FILTER (s <= 0.5) AS median FROM km GROUP BY 1")
+def reverse_median(spark, d):
+    return V.median_time(V.kaplan_meier(survival(spark, d), ["arm"], flip=True), ["arm"])
+
+
+@query("v4_censoring_curve", f"WITH {SURVIVAL}, {km_sql('g', 'cohort', 0, '(SELECT * FROM survival WHERE id % 5 <> 0)')} SELECT cohort, t, round(s, 6) AS g FROM g")
+def censoring_curve(spark, d):
+    """Of the training rows alone."""
+    return V.kaplan_meier(survival(spark, d).filter("id % 5 <> 0"), ["cohort"], flip=True).select("cohort", "t", _r("s").alias("g"))
+
+
+@query("v5_truncation_times", f"WITH {SURVIVAL} SELECT cohort, round(quantile_cont(time, 0.8) FILTER (event = 1), 4) AS tau_events, round(least(quantile_cont(time, 0.9), max(time) FILTER (event = 1)), 4) AS tau_all FROM survival GROUP BY 1")
+def truncation_times(spark, d):
+    """Two definitions: a quantile of event times, and one of all times that events still support."""
+    e = F.when(F.col("event") == 1, F.col("time"))
+    return survival(spark, d).groupBy("cohort").agg(_r(F.percentile(e, 0.8), 4).alias("tau_events"), _r(F.least(F.percentile("time", 0.9), F.max(e)), 4).alias("tau_all"))
+
+
+def _tau(x, by="cohort"):
+    return x.groupBy(by).agg(F.percentile(F.when(F.col("event") == 1, F.col("time")), 0.8).alias("tau"))
+
+
+_UNO = f"""{SURVIVAL}, {km_sql('g', 'cohort', 0)}, x AS (SELECT s.*, coalesce(g.s, 1.0) AS g FROM survival s ASOF LEFT JOIN g ON s.cohort = g.cohort AND s.time > g.t),
+  tau AS (SELECT cohort, quantile_cont(time, 0.8) AS tau FROM survival WHERE event = 1 GROUP BY 1),
+  c AS (SELECT a.cohort, sum(1 / (a.g * a.g) * CASE WHEN a.risk {{op}} b.risk THEN 1.0 WHEN a.risk = b.risk THEN 0.5 ELSE 0.0 END) / sum(1 / (a.g * a.g)) AS c
+  FROM x a JOIN tau USING (cohort) JOIN x b ON a.cohort = b.cohort AND b.time > a.time WHERE a.event = 1 AND a.time < tau GROUP BY 1)"""
+
+
+@query("v6_uno_concordance", f"WITH {_UNO.format(op='>')} SELECT cohort, round(c, 4) AS c FROM c")
+def uno_concordance(spark, d):
+    x = stage(survival(spark, d), "uno")
+    return V.uno_fast(x, "cohort", _tau(x)).select("cohort", _r("c", 4).alias("c"))
+
+
+@query("v6b_uno_by_pairs", f"WITH {_UNO.format(op='>')} SELECT cohort, round(c, 4) AS c FROM c")
+def uno_by_pairs(spark, d):
+    """The same as a join; for small groups."""
+    x = stage(survival(spark, d), "uno")
+    return V.uno_pairs(x, ["cohort"], _tau(x)).select("cohort", _r("c", 4).alias("c"))
+
+
+_BRESLOW = """{name}_k AS (SELECT {g}, time AS t, sum(exp(greatest(-30, least(30, risk)))) AS w, sum(event) AS d FROM {src} GROUP BY ALL),
+  {name}_j AS (SELECT *, d / sum(w) OVER (PARTITION BY {g} ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS j FROM {name}_k),
+  {name} AS (SELECT {g}, t, sum(j) OVER (PARTITION BY {g} ORDER BY t ROWS UNBOUNDED PRECEDING) AS h FROM {name}_j)"""
+
+
+def breslow_sql(name: str, g: str, src: str = "survival") -> str:
+    return _BRESLOW.format(name=name, g=g, src=src)
+
+
+@query("v7_breslow_hazard", f"WITH {SURVIVAL}, {breslow_sql('bh', 'cohort')} SELECT cohort, t, round(h, 6) AS h FROM bh")
+def breslow_hazard(spark, d):
+    return V.breslow(survival(spark, d), ["cohort"]).withColumn("h", _r("h"))
+
+
+@query("v8_cox_survival", f"WITH {SURVIVAL}, {breslow_sql('bh', 'cohort')} SELECT s.id, round(exp(-exp(s.risk) * coalesce(bh.h, 0.0)), 6) AS p FROM survival s ASOF LEFT JOIN bh ON s.cohort = bh.cohort AND 500.0 + 0 * s.id >= bh.t")
+def cox_survival(spark, d):
+    """Each subject's predicted survival at 500 days."""
+    x = stage(survival(spark, d), "cox")
+    h = V.breslow(x, ["cohort"]).filter("t <= 500").groupBy("cohort").agg(F.max_by("h", "t").alias("h"))
+    return x.join(h, "cohort", "left").select("id", _r(F.exp(-F.exp("risk") * F.coalesce("h", F.lit(0.0)))).alias("p"))
+
+
+_BRIER = f"""{SURVIVAL}, {km_sql('g', 'cohort', 0)}, x AS (SELECT s.*, coalesce(g.s, 1.0) AS g FROM survival s ASOF LEFT JOIN g ON s.cohort = g.cohort AND s.time > g.t),
+  lim AS (SELECT cohort, quantile_cont(time, 0.1) AS lo, quantile_cont(time, 0.8) AS hi FROM survival GROUP BY 1),
+  grid AS (SELECT cohort, CAST(i AS INTEGER) AS i, lo + (hi - lo) * i / 9.0 AS t FROM lim, (SELECT unnest(range(0, 10)) AS i)),
+  pt AS (SELECT grid.*, coalesce(g.s, 1.0) AS gt FROM grid ASOF LEFT JOIN g ON grid.cohort = g.cohort AND grid.t >= g.t),
+  loss AS (SELECT pt.cohort, pt.i, pt.t, CASE WHEN x.time <= pt.t AND x.event = 1 THEN power(exp(-exp(x.risk) * pt.t / 1000), 2) / nullif(x.g, 0)
+    WHEN x.time > pt.t THEN power(1 - exp(-exp(x.risk) * pt.t / 1000), 2) / nullif(pt.gt, 0) ELSE 0 END AS l FROM pt JOIN x ON x.cohort = pt.cohort),
+  bs AS (SELECT cohort, i, t, avg(l) AS bs FROM loss GROUP BY 1, 2, 3)"""
+
+
+def _brier(spark, d):
+    x = survival(spark, d)
+    grid = x.groupBy("cohort").agg(S.grid(F.percentile("time", 0.1), F.percentile("time", 0.8), 10).alias("ts"))
+    return V.brier(x, ["cohort"], grid, F.exp(-F.exp("risk") * F.col("t") / 1000))
+
+
+@query("v9_ipcw_brier", f"WITH {_BRIER} SELECT cohort, i, round(bs, 4) AS bs FROM bs")
+def ipcw_brier(spark, d):
+    return _brier(spark, d).select("cohort", "i", _r("bs", 4).alias("bs"))
+
+
+@query("v10_integrated_brier", f"WITH {_BRIER}, l AS (SELECT *, lag(bs) OVER (PARTITION BY cohort ORDER BY t) AS b0, lag(t) OVER (PARTITION BY cohort ORDER BY t) AS t0 FROM bs) SELECT cohort, round(sum((bs + b0) / 2 * (t - t0)) / (max(t) - min(t)), 4) AS ibs FROM l GROUP BY 1")
+def integrated_brier(spark, d):
+    return V.integrate(_brier(spark, d), ["cohort"], "t", "bs", "ibs").withColumn("ibs", _r("ibs", 4))
+
+
+@query(
+    "v11_supported_grid",
+    f"WITH {SURVIVAL}, g AS (SELECT cohort, min(time) FILTER (event = 1) AS lo, max(time) FILTER (event = 1) AS hi FROM survival GROUP BY 1), p AS (SELECT cohort, lo + (hi - lo) * i / 19.0 AS t, lo, hi FROM g, (SELECT unnest(range(0, 20)) AS i)) SELECT cohort, count(*) AS n_points, round(min(t), 4) AS first, round(max(t), 4) AS last FROM p WHERE t > lo AND t < hi GROUP BY 1 HAVING count(*) >= 5",
+)
+def supported_grid(spark, d):
+    """Grid points strictly inside the event times; at least five, else no grid."""
+    e = F.when(F.col("event") == 1, F.col("time"))
+    g = survival(spark, d).groupBy("cohort").agg(F.min(e).alias("lo"), F.max(e).alias("hi"))
+    p = g.withColumn("t", F.explode(S.grid(F.col("lo"), F.col("hi"), 20))).filter("t > lo AND t < hi")
+    return p.groupBy("cohort").agg(F.count("*").alias("n_points"), _r(F.min("t"), 4).alias("first"), _r(F.max("t"), 4).alias("last")).filter("n_points >= 5")
+
+
+@query("v12_calibration_slope")
+def calibration_slope(spark, d):
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        slope = kernels.calibration_slope(*(pdf[c].to_numpy(float) for c in ("time", "event", "risk")))
+        return pd.DataFrame({"cohort": [pdf["cohort"].iloc[0]], "slope": [None if slope is None else round(slope, 5)]})
+
+    return survival(spark, d).select("cohort", "time", "event", "risk").groupBy("cohort").applyInPandas(fit, "cohort string, slope double")
+
+
+@query(
+    "v13_calibration_in_the_large",
+    f"""WITH {SURVIVAL}, {km_sql('km', 'cohort')}, {breslow_sql('bh', 'cohort')}, o AS (SELECT cohort, arg_max(s, t) AS s FROM km WHERE t <= 500 GROUP BY 1), h AS (SELECT cohort, arg_max(h, t) AS h FROM bh WHERE t <= 500 GROUP BY 1),
+    p AS (SELECT cohort, avg(exp(-exp(risk) * h)) AS p FROM survival JOIN h USING (cohort) GROUP BY 1) SELECT cohort, round(ln(-ln(s)) - ln(-ln(p)), 4) AS intercept FROM o JOIN p USING (cohort) WHERE s > 0 AND s < 1 AND p > 0 AND p < 1""",
+)
+def calibration_in_the_large(spark, d):
+    x = stage(survival(spark, d), "citl")
+    o = V.kaplan_meier(x, ["cohort"]).filter("t <= 500").groupBy("cohort").agg(F.max_by("s", "t").alias("s"))
+    h = V.breslow(x, ["cohort"]).filter("t <= 500").groupBy("cohort").agg(F.max_by("h", "t").alias("h"))
+    p = x.join(h, "cohort").groupBy("cohort").agg(F.avg(F.exp(-F.exp("risk") * F.col("h"))).alias("p"))
+    loglog = lambda c: F.ln(-F.ln(c))
+    both = o.join(p, "cohort").filter("s > 0 AND s < 1 AND p > 0 AND p < 1")
+    return both.select("cohort", _r(loglog("s") - loglog("p"), 4).alias("intercept"))
+
+
+@query("v14_partial_likelihood", f"WITH {SURVIVAL}, l AS (SELECT cohort, event, risk - ln(sum(exp(risk)) OVER (PARTITION BY cohort ORDER BY time DESC, id ROWS UNBOUNDED PRECEDING)) AS l FROM survival) SELECT cohort, round(-avg(l) FILTER (event = 1), 5) AS nll FROM l GROUP BY 1")
+def partial_likelihood(spark, d):
+    w = Window.partitionBy("cohort").orderBy(F.col("time").desc(), "id").rowsBetween(Window.unboundedPreceding, 0)
+    x = survival(spark, d).withColumn("l", F.col("risk") - F.ln(F.sum(F.exp("risk")).over(w)))
+    return x.groupBy("cohort").agg(_r(-F.avg(F.when(F.col("event") == 1, F.col("l"))), 5).alias("nll"))
+
+
+@query("v19_standardised_risk", f"WITH {SURVIVAL} SELECT id, round((risk - avg(risk) FILTER (id % 5 <> 0) OVER (PARTITION BY cohort)) / stddev_pop(risk) FILTER (id % 5 <> 0) OVER (PARTITION BY cohort), 4) AS z FROM survival")
+def standardised_risk(spark, d):
+    w, train = Window.partitionBy("cohort"), F.when(F.col("id") % 5 != 0, F.col("risk"))
+    return survival(spark, d).select("id", _r((F.col("risk") - F.avg(train).over(w)) / F.stddev_pop(train).over(w), 4).alias("z"))
+
+
+@query("v20_out_of_fold_mean", "SELECT l_orderkey AS sample, round(avg(l_discount), 6) AS risk, count(*) AS n FROM lineitem GROUP BY 1")
+def out_of_fold_mean(spark, d):
+    from .entities import table
+
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sample")).agg(_r(F.avg("l_discount")).alias("risk"), F.count("*").alias("n"))
+
+
+@query("v20c_outcome_from_pairs", "SELECT o_orderkey, o_orderstatus AS status, o_orderpriority AS priority, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 WHEN 'P' THEN 0 END AS event FROM orders")
+def outcome_from_pairs(spark, d):
+    """``key: value`` texts as columns, and the status by a closed map."""
+    from .entities import table
+
+    raw = table(spark, d, "orders").select("o_orderkey", F.array(F.concat(F.lit("status: "), "o_orderstatus"), F.concat(F.lit("priority: "), "o_orderpriority")).alias("pairs"))
+    as_map = F.map_from_entries(F.transform("pairs", lambda p: F.struct(F.trim(F.split(p, ":", 2)[0]), F.trim(F.split(p, ":", 2)[1]))))
+    m = raw.select("o_orderkey", as_map.alias("m"))
+    status = F.col("m")["status"]
+    return m.select("o_orderkey", status.alias("status"), F.col("m")["priority"].alias("priority"), F.when(status == "F", 1).when(status.isin("O", "P"), 0).alias("event"))
+
+
+@query("v20e_fold_metrics")
+def fold_metrics(spark, d):
+    """Concordance, integrated Brier score and spread of a fixed risk, fold by fold."""
+    x = stage(survival(spark, d), "folds")
+    c = V.uno_fast(x, "cohort", _tau(x))
+    spread = x.groupBy("cohort").agg(F.stddev_pop("risk").alias("risk_sd"), (F.percentile("risk", 0.99) - F.percentile("risk", 0.01)).alias("q99_q01"))
+    grid = x.groupBy("cohort").agg(S.grid(F.percentile("time", 0.1), F.percentile("time", 0.8), 10).alias("ts"))
+    ibs = V.integrate(V.brier(x, ["cohort"], grid, F.exp(-F.exp("risk") * F.col("t") / 1000)), ["cohort"], "t", "bs", "ibs")
+    return c.join(ibs, "cohort").join(spread, "cohort").select("cohort", *(_r(k, 5).alias(k) for k in ("c", "ibs", "risk_sd", "q99_q01")))
+
+
+@query(
+    "v21_km_null_reference",
+    f"""WITH {SURVIVAL}, {km_sql('km', 'cohort', 1, '(SELECT * FROM survival WHERE id % 5 <> 0)')}, {km_sql('g', 'cohort', 0, '(SELECT * FROM survival WHERE id % 5 <> 0)')},
+    x AS (SELECT s.*, coalesce(g.s, 1.0) AS g FROM (SELECT * FROM survival WHERE id % 5 = 0) s ASOF LEFT JOIN g ON s.cohort = g.cohort AND s.time > g.t),
+    q AS (SELECT DISTINCT cohort, 500.0::DOUBLE AS t FROM x), st AS (SELECT q.cohort, q.t, coalesce(km.s, 1.0) AS st FROM q ASOF LEFT JOIN km ON q.cohort = km.cohort AND q.t >= km.t),
+    gt AS (SELECT q.cohort, coalesce(g.s, 1.0) AS gt FROM q ASOF LEFT JOIN g ON q.cohort = g.cohort AND q.t >= g.t)
+    SELECT cohort, count(*) AS n_test, round(avg(CASE WHEN time <= 500 AND event = 1 THEN st * st / nullif(x.g, 0) WHEN time > 500 THEN (1 - st) * (1 - st) / nullif(gt, 0) ELSE 0 END), 4) AS bs FROM x JOIN st USING (cohort) JOIN gt USING (cohort) GROUP BY 1""",
+)
+def km_null_reference(spark, d):
+    """The Brier score at 500 days that the training rows' own curve gets on the test rows."""
+    x = stage(survival(spark, d), "null")
+    train, test = x.filter("id % 5 <> 0"), x.filter("id % 5 = 0")
+    km, g = V.kaplan_meier(train, ["cohort"]), stage(V.kaplan_meier(train, ["cohort"], flip=True), "null")
+    at = km.filter("t <= 500").groupBy("cohort").agg(F.max_by("s", "t").alias("st"))
+    gt = g.filter("t <= 500").groupBy("cohort").agg(F.max_by("s", "t").alias("gt"))
+    y = asof(test, g, ["cohort"], "time", "t", "s", "g", left_limit=True).join(at, "cohort", "left").join(gt, "cohort", "left")
+    st, after = F.coalesce("st", F.lit(1.0)), F.coalesce("gt", F.lit(1.0))
+    loss = F.when((F.col("time") <= 500) & (F.col("event") == 1), F.try_divide(st * st, F.col("g"))).when(F.col("time") > 500, F.try_divide((1 - st) * (1 - st), after)).otherwise(0.0)
+    return y.groupBy("cohort").agg(F.count("*").alias("n_test"), _r(F.avg(loss), 4).alias("bs"))
+
+
+@query("v22_follow_up_summary", f"WITH {SURVIVAL}, {km_sql('km', 'arm', 0)}, m AS (SELECT arm, min(t) FILTER (s <= 0.5) AS reverse_median FROM km GROUP BY 1) SELECT arm, count(*) AS n, CAST(sum(event) AS BIGINT) AS events, round(median(time), 4) AS median, round(quantile_cont(time, 0.25), 4) AS q25, any_value(reverse_median) AS reverse_median FROM survival JOIN m USING (arm) GROUP BY 1")
+def follow_up_summary(spark, d):
+    x = stage(survival(spark, d), "follow")
+    m = V.median_time(V.kaplan_meier(x, ["arm"], flip=True), ["arm"]).withColumnRenamed("median", "reverse_median")
+    s = x.groupBy("arm").agg(F.count("*").alias("n"), F.sum("event").alias("events"), _r(F.median("time"), 4).alias("median"), _r(F.percentile("time", 0.25), 4).alias("q25"))
+    return s.join(m, "arm")
+
+
+@query("v23_coral_alignment")
+def coral_alignment(spark, d):
+    """A unit score's coefficients carried between two cohorts' covariances; these are summed up on the executors."""
+    from .entities import table
+
+    e = table(spark, d, "embeddings").select(F.when(F.col("label") < 5, "A").otherwise("B").alias("cohort"), F.slice("embedding", 1, 8).alias("x"))
+
+    def moments(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf["x"].tolist(), float)
+        return pd.DataFrame({"cohort": [pdf["cohort"].iloc[0]], "n": [len(x)], "s": [x.sum(0).tolist()], "ss": [(x.T @ x).reshape(-1).tolist()]})
+
+    part = e.withColumn("p", F.spark_partition_id()).groupBy("cohort", "p").applyInPandas(moments, "cohort string, n long, s array<double>, ss array<double>")
+    cov = {}
+    for c in ("A", "B"):
+        rows = part.filter(F.col("cohort") == c).collect()
+        n = max(sum(r.n for r in rows), 1)
+        s, ss = sum((np.array(r.s) for r in rows), np.zeros(8)), sum((np.array(r.ss) for r in rows), np.zeros(64)).reshape(8, 8)
+        cov[c] = ss / n - np.outer(s, s) / n**2
+    beta = kernels.coral(np.ones(8), cov["A"], cov["B"])
+    return spark.createDataFrame([(i, round(float(b), 5)) for i, b in enumerate(beta)], "gene int, beta double")
