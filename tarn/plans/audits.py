@@ -1 +1,82 @@
-"""Queries."""
+"""Integrity and audit queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import audit as A
+from .entities import DELTAS, METRICS, SURVIVAL, deltas, metrics, survival, table
+from .registry import query
+from .resampling import key_sql
+
+
+@query(
+    "i2_contract_checks",
+    """SELECT 'unique_key' AS check_name, count(*) = count(DISTINCT c_custkey) AS passed FROM customer UNION ALL SELECT 'domain', bool_and(c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY')) FROM customer
+    UNION ALL SELECT 'finite', bool_and(isfinite(c_acctbal)) FROM customer UNION ALL SELECT 'non_negative', bool_and(c_acctbal >= 0) FROM customer""",
+)
+def contract_checks(spark, d):
+    c = table(spark, d, "customer")
+    A.require_columns(c, ["c_custkey", "c_mktsegment", "c_acctbal"])
+    return A.contract(
+        c,
+        {
+            "unique_key": F.count("*") == F.count_distinct("c_custkey"),
+            "domain": F.bool_and(F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")),
+            "finite": F.bool_and(F.col("c_acctbal").isNotNull() & ~F.isnan("c_acctbal") & (F.abs("c_acctbal") != float("inf"))),
+            "non_negative": F.bool_and(F.col("c_acctbal") >= 0),
+        },
+    )
+
+
+@query("i3_cardinality_audit", "SELECT n, count(*) AS keys FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) GROUP BY 1")
+def cardinality_audit(spark, d):
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("keys"))
+
+
+@query(
+    "i4_replay_checks",
+    f"""WITH {METRICS}, a AS (SELECT model, avg(metric) AS v FROM metrics GROUP BY 1), b AS (SELECT event_type AS model, sum(value) / count(*) AS v FROM events WHERE event_type <> 'error' GROUP BY 1)
+    SELECT model, round(a.v, 6) AS observed, round(b.v, 6) AS expected, coalesce(abs(a.v - b.v) <= 1e-9, false) AS passed FROM a FULL JOIN b USING (model)""",
+)
+def replay_checks(spark, d):
+    a = metrics(spark, d).groupBy("model").agg(F.avg("metric").alias("v"))
+    b = table(spark, d, "events").filter("event_type <> 'error'").groupBy(F.col("event_type").alias("model")).agg((F.sum("value") / F.count("*")).alias("v"))
+    return A.replay(a, b, ["model"], "v", 1e-9).select("model", F.round("observed", 6).alias("observed"), F.round("expected", 6).alias("expected"), "passed")
+
+
+@query("i5_structural_zero", f"WITH {DELTAS} SELECT scenario, bool_and(delta = 0) AS baseline_is_zero FROM deltas WHERE model = 'view' GROUP BY 1")
+def structural_zero(spark, d):
+    return deltas(spark, d).filter("model = 'view'").groupBy("scenario").agg(F.bool_and(F.col("delta") == 0).alias("baseline_is_zero"))
+
+
+@query(
+    "i6_partition_cover",
+    f"""WITH {SURVIVAL}, f AS (SELECT id, (row_number() OVER (PARTITION BY arm, event ORDER BY {key_sql("'cv'", 'id')}, id) - 1) % 5 AS fold FROM survival)
+    SELECT count(*) AS n, count(DISTINCT id) AS ids, count(DISTINCT id) = (SELECT count(*) FROM survival) AS covers, count(*) = count(DISTINCT id) AS disjoint FROM f""",
+)
+def partition_cover(spark, d):
+    """Test folds are disjoint and together hold everyone."""
+    from ..operators.resample import stratified_folds
+
+    x = survival(spark, d)
+    f = stratified_folds(x, ["arm", "event"], "id", 5, "cv").select("id", "fold")
+    both = x.select(F.col("id").alias("all_id")).join(f, F.col("all_id") == f.id, "left")
+    return both.agg(F.count("id").alias("n"), F.count_distinct("id").alias("ids"), (F.count_distinct("id") == F.count_distinct("all_id")).alias("covers"), (F.count("id") == F.count_distinct("id")).alias("disjoint"))
+
+
+@query(
+    "i6b_reaggregated_replay",
+    "WITH a AS (SELECT l_orderkey, round(sum(l_extendedprice), 2) AS v FROM lineitem GROUP BY 1) SELECT l_orderkey, v AS observed, true AS passed FROM a",
+)
+def reaggregated(spark, d):
+    """Sums by line, summed again by order, are the sums by order."""
+    li = table(spark, d, "lineitem")
+    once = li.groupBy("l_orderkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("v"))
+    twice = li.groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_extendedprice").alias("p")).groupBy("l_orderkey").agg(F.round(F.sum("p"), 2).alias("v"))
+    return A.replay(once, twice, ["l_orderkey"], "v", 0.011).select("l_orderkey", "observed", "passed")
+
+
+@query("i6d_content_signature", "SELECT c_nationkey, sha256(string_agg(CAST(c_custkey AS VARCHAR) || ',' || c_mktsegment, chr(10) ORDER BY CAST(c_custkey AS VARCHAR) || ',' || c_mktsegment)) AS signature FROM customer GROUP BY 1")
+def content_signature(spark, d):
+    return A.signature(table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_mktsegment"), ["c_nationkey"])

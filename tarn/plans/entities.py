@@ -55,14 +55,14 @@ def design(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("scenario") % 5 == 0, "CORE").otherwise("STRESS").alias("scenario_class"),
         F.concat(F.lit("R"), (F.col("scenario") % 6).cast("string"), F.lit("_"), F.when(F.col("scenario") % 2 == 0, "stable").otherwise("shifted")).alias("regime"),
         F.element_at(level, (F.col("scenario") % 6 + 1).cast("int")).alias("events"),
-        (F.col("scenario") % 3).cast("int").alias("severity"),
+        (F.floor(F.col("scenario") / 6) % 3).cast("int").alias("severity"),
     )
 
 
 DESIGN = """design AS (
   SELECT DISTINCT user_id AS scenario, CASE WHEN user_id % 5 = 0 THEN 'CORE' ELSE 'STRESS' END AS scenario_class,
          'R' || CAST(user_id % 6 AS VARCHAR) || '_' || CASE WHEN user_id % 2 = 0 THEN 'stable' ELSE 'shifted' END AS regime,
-         ([5, 10, 15, 20, 29, 40])[CAST(user_id % 6 + 1 AS INTEGER)] AS events, CAST(user_id % 3 AS INTEGER) AS severity
+         ([5, 10, 15, 20, 29, 40])[CAST(user_id % 6 + 1 AS INTEGER)] AS events, CAST(user_id // 6 % 3 AS INTEGER) AS severity
   FROM events)"""
 
 

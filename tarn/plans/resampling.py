@@ -1 +1,207 @@
-"""Queries."""
+"""Splits, resampling and simulation."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import kernels
+from ..functions import scalars as S
+from ..operators import resample as R
+from ..shared import stage
+from .entities import DELTAS, DESIGN, EXPRESSION, SCORES, SURVIVAL, deltas, design, expression, metrics, scores, survival, table
+from .registry import query
+
+_r = lambda c, n=6: F.round(c, n)
+
+
+def key_sql(*parts: str) -> str:
+    return "('0x' || substr(sha256(concat_ws('|', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in parts) + ")), 1, 8))::BIGINT"
+
+
+@query("r1_stratified_folds", f"WITH {SURVIVAL} SELECT id, CAST((row_number() OVER (PARTITION BY arm, event ORDER BY {key_sql(chr(39) + 'cv' + chr(39), 'id')}, id) - 1) % 5 AS INTEGER) AS fold FROM survival")
+def stratified_folds(spark, d):
+    return R.stratified_folds(survival(spark, d), ["arm", "event"], "id", 5, "cv").select("id", "fold")
+
+
+@query("r2_repeated_folds", f"WITH {SURVIVAL} SELECT repeat, id, CAST((row_number() OVER (PARTITION BY repeat, event, arm ORDER BY {key_sql(chr(39) + 'cv' + chr(39), 'repeat', 'id')}, id) - 1) % 5 AS INTEGER) AS fold FROM survival, (SELECT unnest(range(0, 4)) AS repeat)")
+def repeated_folds(spark, d):
+    return R.repeated_folds(survival(spark, d), ["event", "arm"], "id", 5, 4, "cv").select(F.col("repeat").cast("long").alias("repeat"), "id", "fold")
+
+
+_BOOT = f"""{DELTAS}, x AS (SELECT scenario, row_number() OVER (PARTITION BY scenario ORDER BY replicate) - 1 AS i, count(*) OVER (PARTITION BY scenario) AS n, delta FROM deltas WHERE model = 'click' AND delta IS NOT NULL),
+  b AS (SELECT a.scenario, draw, avg(b.delta) AS m FROM (SELECT scenario, i, n, draw FROM x, (SELECT unnest(range(0, 40)) AS draw)) a
+  JOIN x b ON a.scenario = b.scenario AND b.i = {key_sql("'boot'", 'draw', 'a.i')} % a.n GROUP BY 1, 2)"""
+
+
+def _boot(spark, d):
+    x = deltas(spark, d).filter("model = 'click' AND delta IS NOT NULL")
+    return R.bootstrap_means(x, ["scenario"], "replicate", "delta", 40, "boot")
+
+
+@query("r3_bootstrap_interval", f"WITH {_BOOT} SELECT scenario, round(avg(m), 2) AS mean, round(quantile_cont(m, 0.025), 2) AS p025, round(quantile_cont(m, 0.975), 2) AS p975, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) AS p_positive FROM b GROUP BY 1")
+def bootstrap_interval(spark, d):
+    return R.interval(_boot(spark, d), ["scenario"], "m").select("scenario", *(_r(c, 2).alias(c) for c in ("mean", "p025", "p975")), _r("p_positive").alias("p_positive"))
+
+
+@query("r4_two_sample_bootstrap", f"WITH {_BOOT}, p AS (SELECT a.scenario AS a, b.scenario AS b, a.draw, a.m - b.m AS m FROM b a JOIN b b ON a.draw = b.draw AND b.scenario = a.scenario + 1) SELECT a, b, round(avg(m), 3) AS mean, round(quantile_cont(m, 0.025), 3) AS p025 FROM p GROUP BY 1, 2")
+def two_sample_bootstrap(spark, d):
+    """Each scenario against the next, resampled independently and paired by draw."""
+    m = stage(_boot(spark, d), "boot")
+    other = m.select(F.col("scenario").alias("b"), "draw", F.col("m").alias("mb"))
+    p = m.withColumn("b", F.col("scenario") + 1).join(other, ["b", "draw"]).select(F.col("scenario").alias("a"), "b", (F.col("m") - F.col("mb")).alias("m"))
+    return p.groupBy("a", "b").agg(_r(F.avg("m"), 3).alias("mean"), _r(F.percentile("m", 0.025), 3).alias("p025"))
+
+
+@query("r5_fixed_scenario_bootstrap", f"WITH {_BOOT}, {DESIGN}, t AS (SELECT scenario_class, draw, avg(m) AS m FROM b JOIN design USING (scenario) GROUP BY 1, 2) SELECT scenario_class, count(*) AS draws, round(avg(m), 3) AS mean, round(stddev_samp(m), 3) AS sd, round(quantile_cont(m, 0.975), 3) AS p975 FROM t GROUP BY 1")
+def fixed_scenario_bootstrap(spark, d):
+    """Scenarios stay, replicates are resampled; every draw sums over scenarios with equal weight."""
+    t = _boot(spark, d).join(design(spark, d), "scenario").groupBy("scenario_class", "draw").agg(F.avg("m").alias("m"))
+    return t.groupBy("scenario_class").agg(F.count("*").alias("draws"), _r(F.avg("m"), 3).alias("mean"), _r(F.stddev_samp("m"), 3).alias("sd"), _r(F.percentile("m", 0.975), 3).alias("p975"))
+
+
+@query("r7_patient_bootstrap_c")
+def patient_bootstrap_c(spark, d):
+    """Concordance of resampled patients; draws without a usable pair are drawn again, a bounded number of times."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        t, e, r = (pdf[c].to_numpy(float) for c in ("time", "event", "risk"))
+        rng = np.random.default_rng(len(pdf))
+        out = []
+        for _ in range(60):
+            i = rng.integers(0, len(t), len(t))
+            c = kernels.uno_c(t[i], e[i], r[i], np.ones(len(t)), np.inf)
+            if c is not None:
+                out.append(c)
+            if len(out) == 20:
+                break
+        return pd.DataFrame({"cohort": [pdf["cohort"].iloc[0]], "draws": [len(out)], "mean": [round(float(np.mean(out)), 5) if out else None]})
+
+    return survival(spark, d).select("cohort", "id", "time", "event", "risk").groupBy("cohort").applyInPandas(run, "cohort string, draws int, mean double")
+
+
+@query(
+    "r8_clustered_multiplicity",
+    f"""WITH {SURVIVAL}, x AS (SELECT cohort, event, id, x, row_number() OVER (PARTITION BY cohort, event ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY cohort, event) AS n FROM survival),
+    m AS (SELECT draw, cohort, event, {key_sql("'cluster'", 'draw', 'cohort', 'event', 'i')} % n AS j, count(*) AS m FROM x, (SELECT unnest(range(0, 3)) AS draw) GROUP BY ALL)
+    SELECT draw, m.cohort, round(sum(m.m * x.x) / sum(m.m), 4) AS mean_x, CAST(sum(m.m) AS BIGINT) AS n FROM m JOIN x ON m.cohort = x.cohort AND m.event = x.event AND m.j = x.i GROUP BY 1, 2""",
+)
+def clustered_multiplicity(spark, d):
+    """How often each patient is drawn, within event strata; later steps weigh by that."""
+    w = Window.partitionBy("cohort", "event")
+    x = stage(survival(spark, d).select("cohort", "event", "id", "x", (F.row_number().over(w.orderBy("id")) - 1).alias("i"), F.count("*").over(w).alias("n")), "cluster")
+    m = x.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    m = m.groupBy("draw", "cohort", "event", F.pmod(S.draw_key(F.lit("cluster"), "draw", "cohort", "event", "i"), F.col("n")).cast("int").alias("i")).agg(F.count("*").alias("m"))
+    return m.join(x, ["cohort", "event", "i"]).groupBy("draw", "cohort").agg(_r(F.sum(F.col("m") * F.col("x")) / F.sum("m"), 4).alias("mean_x"), F.sum("m").alias("n"))
+
+
+_PANELS = f"""p AS (SELECT p_partkey AS item, p_size % 10 AS stratum, p_brand AS s, {key_sql("'panel'", "'x'", 'p_partkey')} AS k FROM part),
+  need AS (SELECT s, stratum, count(*) AS n FROM p WHERE s IN ('Brand#1', 'Brand#2') GROUP BY 1, 2)"""
+
+
+@query(
+    "r9_matched_panels",
+    f"""WITH {_PANELS}, c AS (SELECT need.s, draw, need.stratum, p.item, n, row_number() OVER (PARTITION BY need.s, draw, need.stratum ORDER BY {key_sql("'panel'", 'need.s', 'draw', 'p.item')}, p.item) AS k
+    FROM need JOIN p ON p.stratum = need.stratum AND p.s <> need.s, (SELECT unnest(range(0, 5)) AS draw)) SELECT s, draw, stratum, item FROM c WHERE k <= n""",
+)
+def matched_panels(spark, d):
+    """Random items with a set's own counts by stratum, none of the set itself."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("item"), (F.col("p_size") % 10).alias("stratum"), F.col("p_brand").alias("own"))
+    need = p.filter(F.col("own").isin("Brand#1", "Brand#2")).groupBy(F.col("own").alias("s"), "stratum").agg(F.count("*").alias("n"))
+    rows = need.join(p, "stratum").filter("own <> s").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
+    order = Window.partitionBy("s", "draw", "stratum").orderBy(S.draw_key(F.lit("panel"), "s", "draw", "item"), "item")
+    return rows.withColumn("k", F.row_number().over(order)).filter("k <= n").select("s", "draw", "stratum", "item")
+
+
+@query("r10_balanced_subset", f"WITH {SURVIVAL}, k AS (SELECT *, row_number() OVER (PARTITION BY arm, event ORDER BY {key_sql(chr(39) + 'sub' + chr(39), 'id')}, id) AS k FROM survival) SELECT arm, event, id FROM k WHERE k <= 20")
+def balanced_subset(spark, d):
+    w = Window.partitionBy("arm", "event").orderBy(S.draw_key(F.lit("sub"), "id"), "id")
+    return survival(spark, d).withColumn("k", F.row_number().over(w)).filter("k <= 20").select("arm", "event", "id")
+
+
+def _truth(seed: int, n_modules: int, causal: float) -> dict[str, np.ndarray]:
+    """A known truth: which modules matter, which of them carry over, and their effects."""
+    rng = np.random.default_rng(seed)
+    mask = rng.random(n_modules) < causal
+    carried = mask & (rng.random(n_modules) < 0.7)
+    source = np.where(mask, rng.normal(0, 0.5, n_modules), 0.0)
+    target = np.where(carried, source, np.where(mask, -source, 0.0))
+    return {"causal": mask, "carried": carried, "source": source, "target": target, "prior": np.clip(0.5 + 0.4 * (mask - 0.5) + rng.normal(0, 0.1, n_modules), 0, 1)}
+
+
+def _correlated(rng: np.random.Generator, n: int, p: int, rho: float) -> np.ndarray:
+    """Rows with equal correlation rho within blocks of ten, in factor form."""
+    block = np.repeat(np.arange(-(-p // 10)), 10)[:p]
+    factor = rng.normal(size=(n, block.max() + 1))
+    return np.sqrt(rho) * factor[:, block] + np.sqrt(1 - rho) * rng.normal(size=(n, p))
+
+
+def _exact_events(rng: np.random.Generator, risk: np.ndarray, events: int) -> tuple[np.ndarray, np.ndarray]:
+    """Proportional-hazards times with exactly so many events: censoring is scaled to the midpoint between two ratios."""
+    t = rng.exponential(1 / np.exp(risk))
+    c = rng.exponential(1.0, len(t))
+    ratio = np.sort(t / c)
+    k = min(events, len(t) - 1)
+    scale = (ratio[k - 1] + ratio[k]) / 2
+    return np.minimum(t, scale * c), (t <= scale * c).astype(int)
+
+
+def simulate(scenario: int, replicate: int, events: int, n: int = 120, p: int = 50) -> dict[str, np.ndarray]:
+    seed = 1_000_003 * scenario + replicate
+    truth = _truth(seed, p, 0.2)
+    rng = np.random.default_rng(seed + 1)
+    x = _correlated(rng, n, p, 0.3)
+    time, event = _exact_events(rng, x @ truth["target"], events)
+    return truth | {"x": x, "time": time, "event": event}
+
+
+@query("r11_known_truth")
+def known_truth(spark, d):
+    """Simulated truths, one group a scenario and replicate; seeds follow from the keys."""
+    g = design(spark, d).filter("scenario_class = 'CORE'").select("scenario", F.explode(F.array(F.lit(0), F.lit(1))).alias("replicate"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        s, k = int(pdf["scenario"].iloc[0]), int(pdf["replicate"].iloc[0])
+        t = _truth(1_000_003 * s + k, 50, 0.2)
+        return pd.DataFrame({"scenario": s, "replicate": k, "module": np.arange(50), "causal": t["causal"], "carried": t["carried"], "source": t["source"].round(6), "target": t["target"].round(6), "prior": t["prior"].round(6)})
+
+    return g.groupBy("scenario", "replicate").applyInPandas(run, "scenario long, replicate int, module int, causal boolean, carried boolean, source double, target double, prior double")
+
+
+@query("r13_simulated_survival")
+def simulated_survival(spark, d):
+    """Simulated subjects (R12 covariates, R13 times); every replicate has exactly the events that its design states."""
+    g = design(spark, d).filter("scenario_class = 'CORE'").select("scenario", "events", F.lit(0).alias("replicate"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        s = int(pdf["scenario"].iloc[0])
+        r = simulate(s, 0, int(pdf["events"].iloc[0]))
+        return pd.DataFrame({"scenario": s, "subject": np.arange(len(r["time"])), "time": r["time"].round(6), "event": r["event"], "risk": (r["x"] @ r["source"]).round(6)})
+
+    return g.groupBy("scenario").applyInPandas(run, "scenario long, subject int, time double, event int, risk double")
+
+
+@query("r14_permuted_mapping", f"WITH {EXPRESSION}, g AS (SELECT DISTINCT gene FROM expression), k AS (SELECT gene, rep, row_number() OVER (PARTITION BY rep ORDER BY gene) AS a, row_number() OVER (PARTITION BY rep ORDER BY {key_sql(chr(39) + 'map' + chr(39), 'rep', 'gene')}, gene) AS b FROM g, (SELECT unnest(range(0, 3)) AS rep)) SELECT x.rep, x.gene, y.gene AS mapped FROM k x JOIN k y ON x.rep = y.rep AND x.a = y.b")
+def permuted_mapping(spark, d):
+    """A one-to-one remapping of genes for each replicate."""
+    g = expression(spark, d).select("gene").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    w = Window.partitionBy("rep")
+    k = g.withColumns({"a": F.row_number().over(w.orderBy("gene")), "b": F.row_number().over(w.orderBy(S.draw_key(F.lit("map"), "rep", "gene"), "gene"))})
+    return k.select("rep", "gene", F.col("a").alias("i")).join(k.select("rep", F.col("gene").alias("mapped"), F.col("b").alias("i")), ["rep", "i"]).select("rep", "gene", "mapped")
+
+
+@query("r15_first_fixtures", f"WITH {DESIGN} SELECT regime, severity, min(scenario) AS scenario FROM design WHERE scenario_class = 'STRESS' GROUP BY 1, 2")
+def first_fixtures(spark, d):
+    return design(spark, d).filter("scenario_class = 'STRESS'").groupBy("regime", "severity").agg(F.min("scenario").alias("scenario"))
+
+
+@query("r16_fixture_replay", f"WITH {SCORES} SELECT count(*) AS n, count(*) AS n_equal FROM scores")
+def fixture_replay(spark, d):
+    """Rows written and read again are the same rows."""
+    x = scores(spark, d)
+    back = stage(x, "replay").withColumnRenamed("score", "replayed")
+    both = x.join(back.select("doc_id", "replayed"), "doc_id")
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("score") == F.col("replayed")).alias("n_equal"))

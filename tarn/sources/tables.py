@@ -57,7 +57,7 @@ def gene_sets(spark: SparkSession, path: str, library: str) -> DataFrame:
 
 def marked_table(spark: SparkSession, path: str, begin: str, end: str, names: Sequence[str]) -> DataFrame:
     """The tab-separated table between two marker lines of a text file (gzip included)."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.split("value", "\r?\n").alias("l"))
+    lines = spark.read.text(path, wholetext=True).select(F.split("value", "\r?\n").alias("l"))
     start, stop = F.array_position("l", begin), F.array_position("l", end)
     body = lines.filter((start > 0) & (stop > start)).select(F.explode(F.slice("l", (start + 1).cast("int"), (stop - start - 1).cast("int"))).alias("line"))
     cells = F.split("line", "\t")
