@@ -19,9 +19,9 @@ def group_mean(spark, d):
     return metrics(spark, d).groupBy("scenario", "model").agg(_r(F.avg("metric")).alias("mean_metric"), F.count("*").alias("n"))
 
 
-@query("a2_finite_summary", f"WITH {DELTAS} SELECT model, round(avg(delta), 6) AS mean, round(median(delta), 6) AS median, round(avg(CASE WHEN delta IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS finite FROM deltas GROUP BY 1")
+@query("a2_finite_summary", f"WITH {DELTAS} SELECT model, round(avg(delta), 3) AS mean, round(median(delta), 6) AS median, round(avg(CASE WHEN delta IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS finite FROM deltas GROUP BY 1")
 def finite_summary(spark, d):
-    return deltas(spark, d).groupBy("model").agg(_r(stats.finite_mean("delta")).alias("mean"), _r(stats.finite_median("delta")).alias("median"), _r(stats.finite_fraction("delta")).alias("finite"))
+    return deltas(spark, d).groupBy("model").agg(_r(stats.finite_mean("delta"), 3).alias("mean"), _r(stats.finite_median("delta")).alias("median"), _r(stats.finite_fraction("delta")).alias("finite"))
 
 
 @query("a3_rate_over_valid", f"WITH {DELTAS} SELECT scenario, model, round(avg(CASE WHEN delta IS NOT NULL THEN CASE WHEN delta <= -0.02 THEN 1.0 ELSE 0.0 END END), 6) AS rate FROM deltas GROUP BY 1, 2")

@@ -193,7 +193,7 @@ def sign_inversion(spark, d):
     from ..operators import survival as V
 
     x = stage(survival(spark, d).withColumn("risk", -F.col("risk")), "inverted")
-    return V.uno_fast(x, "cohort", _tau(x)).select("cohort", _r("c", 4).alias("c_inverted"))
+    return V.uno_fast(x, "cohort", _tau(x)).filter("c IS NOT NULL").select("cohort", _r("c", 4).alias("c_inverted"))
 
 
 @query("q15_threshold_reference", f"WITH {DELTAS}, r AS (SELECT model, t.t AS threshold, avg(CASE WHEN delta <= t.t THEN 1.0 ELSE 0.0 END) AS rate FROM deltas, (SELECT unnest([-30.0::DOUBLE, -20.0, -10.0]) AS t) t WHERE delta IS NOT NULL AND model <> 'view' GROUP BY 1, 2) SELECT model, threshold, round(rate, 6) AS rate, round(rate - max(rate) FILTER (threshold = -20.0) OVER (PARTITION BY model), 6) AS difference FROM r")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import kernels
@@ -41,7 +42,7 @@ def smd_numeric(spark, d):
     return selection(spark, d).groupBy("segment").agg(_r(stats.smd("balance", "selected")).alias("smd"))
 
 
-_SHARES = f"{SELECTION}, p AS (SELECT nation, segment, count(*) FILTER (selected = 1) / sum(count(*) FILTER (selected = 1)) OVER (PARTITION BY nation) AS p1, count(*) FILTER (selected = 0) / sum(count(*) FILTER (selected = 0)) OVER (PARTITION BY nation) AS p0 FROM selection GROUP BY 1, 2)"
+_SHARES = f"{SELECTION}, p AS (SELECT nation, segment, count(*) FILTER (selected = 1) / nullif(sum(count(*) FILTER (selected = 1)) OVER (PARTITION BY nation), 0) AS p1, count(*) FILTER (selected = 0) / nullif(sum(count(*) FILTER (selected = 0)) OVER (PARTITION BY nation), 0) AS p0 FROM selection GROUP BY 1, 2)"
 
 
 @query("t4_categorical_distance", f"WITH {_SHARES} SELECT nation, round(max(abs(p1 - p0)), 6) AS max_diff, round(0.5 * sum(abs(p1 - p0)), 6) AS total_variation FROM p GROUP BY 1")
@@ -70,7 +71,7 @@ def welch_t(spark, d):
     return selection(spark, d).groupBy("segment").agg(_r(t).alias("t"), _r(df, 4).alias("df"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([kernels.t_two_sided(a, b) if pd.notna(a) and pd.notna(b) else None for a, b in zip(t, df, strict=True)], dtype=float)
 
@@ -83,7 +84,7 @@ def welch_p(spark, d):
     return g.select("segment", _r("t").alias("t"), _r(_t_p("t", "df"), 8).alias("p"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _fisher(a: pd.Series, b: pd.Series, c: pd.Series, e: pd.Series) -> pd.Series:
     return pd.Series([kernels.fisher_two_sided(int(w), int(x), int(y), int(z)) for w, x, y, z in zip(a, b, c, e, strict=True)])
 
@@ -111,7 +112,7 @@ def cramers_v(spark, d):
     return _chi2(spark, d).select("g", _r("chi2", 4).alias("chi2"), _r(F.sqrt(F.col("chi2") / (F.col("n") * F.least(F.col("r") - 1, F.col("k") - 1)))).alias("v"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([kernels.chi2_tail(a, b) for a, b in zip(x, df, strict=True)], dtype=float)
 

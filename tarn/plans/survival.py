@@ -76,7 +76,7 @@ _UNO = f"""{SURVIVAL}, {km_sql('g', 'cohort', 0)}, x AS (SELECT s.*, coalesce(g.
 @query("v6_uno_concordance", f"WITH {_UNO.format(op='>')} SELECT cohort, round(c, 4) AS c FROM c")
 def uno_concordance(spark, d):
     x = stage(survival(spark, d), "uno")
-    return V.uno_fast(x, "cohort", _tau(x)).select("cohort", _r("c", 4).alias("c"))
+    return V.uno_fast(x, "cohort", _tau(x)).filter("c IS NOT NULL").select("cohort", _r("c", 4).alias("c"))
 
 
 @query("v6b_uno_by_pairs", f"WITH {_UNO.format(op='>')} SELECT cohort, round(c, 4) AS c FROM c")
