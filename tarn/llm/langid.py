@@ -139,10 +139,15 @@ def has_letter(text: Column) -> Column:
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS, seed: int = 7) -> Network:
     """Train on ``sample`` labelled documents at most, taken in a seeded hash order; held-out ones never."""
+    labelled = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    # A hash filter leaves about twice the sample, so that what tasks send for the final choice is bounded too.
+    share = min(1.0, 2 * sample / max(labelled.count(), 1))
+    some = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(1 << 40)) < int(share * (1 << 40))
     start = (F.floor(F.length("text") / 2) - SAMPLE_CHARS // 2).cast("int")
     piece = F.concat(F.substring("text", 1, SAMPLE_CHARS), F.substring(F.col("text"), F.greatest(start, F.lit(1)), F.lit(SAMPLE_CHARS)))
     rows = (
-        docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & has_letter(F.col("text")))
+        labelled.filter(some)
+        .filter(has_letter(F.col("text")))
         .select(F.xxhash64(F.lit(seed), "doc_id").alias("h"), F.col("doc_id"), piece.alias("piece"), F.col("lang").cast("string").alias("lang"))
         .orderBy("h", "doc_id", "piece", "lang")
         .limit(sample)
