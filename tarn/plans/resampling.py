@@ -87,7 +87,7 @@ def patient_bootstrap_c(spark, d):
     "r8_clustered_multiplicity",
     f"""WITH {SURVIVAL}, x AS (SELECT cohort, event, id, x, row_number() OVER (PARTITION BY cohort, event ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY cohort, event) AS n FROM survival),
     m AS (SELECT draw, cohort, event, {key_sql("'cluster'", 'draw', 'cohort', 'event', 'i')} % n AS j, count(*) AS m FROM x, (SELECT unnest(range(0, 3)) AS draw) GROUP BY ALL)
-    SELECT draw, m.cohort, round(sum(m.m * x.x) / sum(m.m), 1) AS mean_x, CAST(sum(m.m) AS BIGINT) AS n FROM m JOIN x ON m.cohort = x.cohort AND m.event = x.event AND m.j = x.i GROUP BY 1, 2""",
+    SELECT draw, m.cohort, CAST(sum(m.m * CAST(round(x.x * 100) AS BIGINT)) AS BIGINT) AS total_cents, CAST(sum(m.m) AS BIGINT) AS n FROM m JOIN x ON m.cohort = x.cohort AND m.event = x.event AND m.j = x.i GROUP BY 1, 2""",
 )
 def clustered_multiplicity(spark, d):
     """How often each patient is drawn, within event strata; later steps weigh by that."""
@@ -95,7 +95,7 @@ def clustered_multiplicity(spark, d):
     x = stage(survival(spark, d).select("cohort", "event", "id", "x", (F.row_number().over(w.orderBy("id")) - 1).alias("i"), F.count("*").over(w).alias("n")), "cluster")
     m = x.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
     m = m.groupBy("draw", "cohort", "event", F.pmod(S.draw_key(F.lit("cluster"), "draw", "cohort", "event", "i"), F.col("n")).cast("int").alias("i")).agg(F.count("*").alias("m"))
-    return m.join(x, ["cohort", "event", "i"]).groupBy("draw", "cohort").agg(_r(F.sum(F.col("m") * F.col("x")) / F.sum("m"), 1).alias("mean_x"), F.sum("m").alias("n"))
+    return m.join(x, ["cohort", "event", "i"]).groupBy("draw", "cohort").agg(F.sum(F.col("m") * F.round(F.col("x") * 100).cast("bigint")).alias("total_cents"), F.sum("m").alias("n"))
 
 
 _PANELS = f"""p AS (SELECT p_partkey AS item, p_size % 10 AS stratum, p_brand AS s, {key_sql("'panel'", "'x'", 'p_partkey')} AS k FROM part),
