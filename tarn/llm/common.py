@@ -55,7 +55,7 @@ def drop(*staged: DataFrame) -> None:
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what one Arrow batch holds, as texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -33,7 +33,7 @@ from .common import arrow_batches, global_rank, stage
 from .words import word_table
 
 CAPACITY, END_ID = 4096, 1
-CACHED_WORDS = 2_000_000
+CACHED_WORDS = 1_500_000
 #: Their own ids show where one word ends and the next begins when many are encoded as one text.
 _MARK = "!"
 
