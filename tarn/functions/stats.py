@@ -89,10 +89,10 @@ def welch(x: Column | str, group: Column | str) -> tuple[Column, Column]:
 
 
 def bh_adjust(df: DataFrame, p: str, by: Sequence[str], name: str = "q") -> DataFrame:
-    """Benjamini-Hochberg adjusted p-values in each group; nulls stay null and don't count."""
+    """Benjamini-Hochberg adjusted p-values in each group; nulls stay null and don't count, ties share the least."""
     m = F.count(p).over(Window.partitionBy(*by))
     r = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(p).asc_nulls_last()))
     out = df.withColumn("_raw", F.when(F.col(p).isNotNull(), F.col(p) * m / r))
-    down = Window.partitionBy(*by).orderBy(F.col(p).desc_nulls_first(), F.col("_raw").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*by).orderBy(F.col(p).desc_nulls_first(), F.col("_raw").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     q = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.min("_raw").over(down)))
     return out.withColumn(name, F.when(F.col(p).isNotNull(), q)).drop("_raw")

@@ -77,7 +77,7 @@ def cumulative_product(spark, d):
     "w8_reverse_cumulative_min",
     """WITH p AS (SELECT c_mktsegment AS g, c_custkey AS id, (abs(c_acctbal) % 1000 + 0.5) / 1001 AS p FROM customer),
     r AS (SELECT *, p * count(*) OVER (PARTITION BY g) / row_number() OVER (PARTITION BY g ORDER BY p, id) AS raw FROM p)
-    SELECT id, round(least(1.0, min(raw) OVER (PARTITION BY g ORDER BY p DESC, raw DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM r""",
+    SELECT id, round(least(1.0, min(raw) OVER (PARTITION BY g ORDER BY p DESC, raw ROWS UNBOUNDED PRECEDING)), 6) AS q FROM r""",
 )
 def reverse_cumulative_min(spark, d):
     p = table(spark, d, "customer").select(F.col("c_mktsegment").alias("g"), F.col("c_custkey").alias("id"), ((F.abs("c_acctbal") % 1000 + 0.5) / 1001).alias("p"))
