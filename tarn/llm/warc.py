@@ -76,14 +76,14 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to
 class _Roller:
     """Gzip members, one a record, in files that close at ``roll`` compressed bytes."""
 
-    def __init__(self, root: str, part: int, roll: int) -> None:
+    def __init__(self, root: str, roll: int) -> None:
         self.fs, self.base = _open_fs(root)
-        self.part, self.roll, self.number = part, roll, 0
-        self.out, self.closed = None, []
+        self.roll, self.out, self.closed = roll, None, []
 
-    def add(self, record: bytes) -> None:
+    def add(self, place: int, record: bytes) -> None:
         if self.out is None:
-            self.name = f"part-{self.part:06d}-{self.number:05d}.warc.gz"
+            # The range, and the first record's place in it.
+            self.name = f"part-{place >> 33:06d}-{place & (1 << 33) - 1:010d}.warc.gz"
             self.temp = f"{self.base}/.tmp-{self.name}-{os.getpid()}-{uuid.uuid4().hex}"
             self.out = self.fs.open_output_stream(self.temp)
             self.bytes, self.records, self.sha = 0, 0, hashlib.sha256()
@@ -98,9 +98,12 @@ class _Roller:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.fs.move(self.temp, f"{self.base}/{self.name}")
+            target = f"{self.base}/{self.name}"
+            if self.fs.get_file_info(target).type != fs.FileType.NotFound:  # an earlier attempt's; the bytes are the same
+                self.fs.delete_file(target)
+            self.fs.move(self.temp, target)
             self.closed.append((self.name, self.records, self.bytes, self.sha.hexdigest()))
-            self.out, self.number = None, self.number + 1
+            self.out = None
 
     def manifest(self) -> pa.RecordBatch:
         rows, self.closed = self.closed, []
@@ -129,31 +132,47 @@ def write(pages: DataFrame, root: str, least: int = LEAST_BYTES, roll: int = ROL
         marks.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.col("first").cast("long").alias("first"))
     )
     placed = both.repartitionByRange(shuffle_partitions(spark), "page_id", "digest").sortWithinPartitions("page_id", "digest", "kind", "url")
-    # The sort places rows for good before names are given: a task that runs again finds the same rows.
-    placed = stage(placed.withColumn("part", F.spark_partition_id()), "warc_sorted")
-    _open_fs(root)[0].create_dir(_open_fs(root)[1], recursive=True)
+    names = ["page_id", "url", "html", "first", "revisit"]
 
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, mark, seen = None, None, False
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Marks go, and their pages learn whether they are revisits, and of which page."""
+        mark, seen = None, False
         for batch in batches:
-            for part, page, digest, kind, url, text, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if out is None or out.part != part:
-                    if out is not None:
-                        out.close()
-                        yield out.manifest()
-                    out = _Roller(root, part, roll)
+            keep, to, revisit = [], [], []
+            for i, (page, digest, kind, first) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 5)), strict=True)):
                 if kind == 0:
                     mark, seen = (page, digest, first), False
                     continue
-                to = mark[2] if mark and mark[:2] == (page, digest) else None
-                revisit = to is not None and (page != to or seen)
+                to.append(mark[2] if mark and mark[:2] == (page, digest) else None)
+                revisit.append(to[-1] is not None and (page != to[-1] or seen))
+                keep.append(i)
                 seen = True
-                out.add(record_bytes(page, url, text.encode(), to, revisit))
+            rows = batch.take(pa.array(keep, pa.int32()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(3), rows.column(4), pa.array(to, pa.int64()), pa.array(revisit, pa.bool_())], names)
+
+    kind = rows.schema["page_id"].dataType.simpleString()
+    placed = placed.mapInArrow(settle, f"page_id {kind}, url string, html string, first long, revisit boolean")
+    # Rows get their places for good before files are named: a task that runs again finds the same rows.
+    placed = stage(placed.withColumn("place", F.monotonically_increasing_id()), "warc_sorted")
+    store, base = _open_fs(root)
+    store.create_dir(base, recursive=True)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, last = None, None
+        for batch in batches:
+            for place, page, url, text, first, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if out is None or place != last + 1:
+                    if out is not None:
+                        out.close()
+                        yield out.manifest()
+                    out = _Roller(root, roll)
+                out.add(place, record_bytes(page, url, text.encode(), first, revisit))
+                last = place
         if out is not None:
             out.close()
             yield out.manifest()
 
-    sorted_rows = placed.select("part", "page_id", "digest", "kind", "url", "html", "first")
+    sorted_rows = placed.select("place", *names)
     manifest = stage(sorted_rows.mapInArrow(put, MANIFEST), "warc_manifest")
     drop(same, placed)
     return manifest

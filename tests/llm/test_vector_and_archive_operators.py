@@ -147,6 +147,23 @@ def test_warc_round_trip(spark):
     assert rows(warc.round_trip(spark.createDataFrame([], PAGES))) == []
 
 
+def test_warc_survives_split_ranges(spark):
+    """Ranges whose rows several tasks read must not write over each other's files."""
+    from tarn.llm import warc
+
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    data = [(i, "u", "".join(chr(97 + (i * k) % 26) for k in range(3000)), 1) for i in range(700)]
+    conf.set("parquet.block.size", "20000")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        got = rows(warc.round_trip(spark.createDataFrame(data, PAGES), roll=5000))
+    finally:
+        conf.unset("parquet.block.size")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {i: hashlib.sha256(h.encode()).hexdigest() for i, _, h, _ in data}
+    assert len(got) == len(data) and {r["page_id"]: r["payload_digest"] for r in got} == want
+
+
 def test_warc_is_deterministic(spark):
     from tarn.llm import warc
     from tarn.llm.common import scratch_path
