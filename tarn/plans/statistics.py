@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from ..functions import kernels
 from ..functions import scalars as S
 from ..functions import stats
+from ..operators import moments
+from ..shared import stage
 from .entities import EXPRESSION, METRICS, SCORES, SELECTION, SURVIVAL, expression, metrics, scores, selection, survival, table
 from .registry import query
 
@@ -220,11 +222,11 @@ _Z = f"{EXPRESSION}, p AS (SELECT gene, avg(value) AS m, stddev_pop(value) AS sd
 
 
 def _z(spark, d):
-    """Every value standardised by its gene's training samples."""
-    train = F.when(F.col("sample") % 5 != 0, F.col("value"))
-    w = Window.partitionBy("gene")
-    sd = F.stddev_pop(train).over(w)
-    return expression(spark, d).select("sample", "gene", "cohort", ((F.col("value") - F.avg(train).over(w)) / F.when(sd > 1e-12, sd).otherwise(1.0)).alias("z"))
+    """Every value standardised by its gene's training samples: a row of moments per gene, joined back."""
+    x = expression(spark, d)
+    p = x.filter("sample % 5 <> 0").groupBy("gene").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"))
+    scaled = (F.col("value") - F.col("m")) / F.when(F.col("sd") > 1e-12, F.col("sd")).otherwise(1.0)
+    return x.join(p, "gene").select("sample", "gene", "cohort", scaled.alias("z"))
 
 
 @query("t17_train_z", f"WITH {_Z} SELECT sample, gene, round(z, 4) AS z FROM z")
@@ -236,20 +238,23 @@ def train_z(spark, d):
 def module_score(spark, d):
     """The mean of a set's standardised genes, standardised once more by the training samples."""
     s = _z(spark, d).groupBy("sample", F.floor(F.col("gene") / 16).cast("int").alias("module")).agg(F.avg("z").alias("s"), F.count("*").alias("n")).filter("n >= 10")
-    train, w = F.when(F.col("sample") % 5 != 0, F.col("s")), Window.partitionBy("module")
-    return s.select("sample", "module", _r((F.col("s") - F.avg(train).over(w)) / F.stddev_pop(train).over(w), 4).alias("score"))
+    s = stage(s, "modules")
+    p = s.filter("sample % 5 <> 0").groupBy("module").agg(F.avg("s").alias("m"), F.stddev_pop("s").alias("sd"))
+    return s.join(p, "module").select("sample", "module", _r((F.col("s") - F.col("m")) / F.col("sd"), 4).alias("score"))
 
 
 @query("t19_principal_components")
 def principal_components(spark, d):
-    """Two components a cohort, each with its largest loading positive; a group is one cohort's label."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        scores_ = kernels.principal_scores(np.array(pdf["embedding"].tolist(), float), 2)
-        return pd.DataFrame({"vec_id": pdf["vec_id"], "pc1": scores_[:, 0].round(4), "pc2": scores_[:, 1].round(4)})
+    """Two components for each label, each with its largest loading positive.
 
+    Only a label's moments, summed up on the executors, are decomposed; vectors are then projected by
+    array expressions, so no label's vectors are gathered.
+    """
     e = table(spark, d, "embeddings").select("label", "vec_id", "embedding")
-    return e.groupBy("label").applyInPandas(fit, "vec_id long, pc1 double, pc2 double")
+    axes = moments.principal_axes(moments.moments(e, "label", "embedding"), "label", 2)
+    centred = F.zip_with(F.col("embedding"), F.col("mean"), lambda x, m: x.cast("double") - m)
+    both = e.join(axes, "label").select("vec_id", centred.alias("x"), "axis0", "axis1")
+    return both.select("vec_id", _r(S.dot("x", "axis0"), 4).alias("pc1"), _r(S.dot("x", "axis1"), 4).alias("pc2"))
 
 
 @query("t20_residualised")

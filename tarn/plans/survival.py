@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import kernels
 from ..functions import scalars as S
+from ..operators import moments
 from ..operators import survival as V
 from ..operators.relational import asof
 from ..shared import stage
@@ -248,16 +249,6 @@ def coral_alignment(spark, d):
 
     e = table(spark, d, "embeddings").select(F.when(F.col("label") < 5, "A").otherwise("B").alias("cohort"), F.slice("embedding", 1, 8).alias("x"))
 
-    def moments(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf["x"].tolist(), float)
-        return pd.DataFrame({"cohort": [pdf["cohort"].iloc[0]], "n": [len(x)], "s": [x.sum(0).tolist()], "ss": [(x.T @ x).reshape(-1).tolist()]})
-
-    part = e.withColumn("p", F.spark_partition_id()).groupBy("cohort", "p").applyInPandas(moments, "cohort string, n long, s array<double>, ss array<double>")
-    cov = {}
-    for c in ("A", "B"):
-        rows = part.filter(F.col("cohort") == c).collect()
-        n = max(sum(r.n for r in rows), 1)
-        s, ss = sum((np.array(r.s) for r in rows), np.zeros(8)), sum((np.array(r.ss) for r in rows), np.zeros(64)).reshape(8, 8)
-        cov[c] = ss / n - np.outer(s, s) / n**2
+    cov = {r["cohort"]: moments.covariance(r) for r in moments.moments(e, "cohort", "x").collect()}  # two rows
     beta = kernels.coral(np.ones(8), cov["A"], cov["B"])
     return spark.createDataFrame([(i, round(float(b), 5)) for i, b in enumerate(beta)], "gene int, beta double")

@@ -174,3 +174,16 @@ def test_stream_equals_table(spark, sf_dir, tmp_path):
     q.awaitTermination(120)
     got = {(r["start"], r["event_type"]): r["n"] for r in rows(spark.table("rates"))}
     assert got == {(r["start"], r["event_type"]): r["n"] for r in rows(rates.running_rates(e))}
+
+
+def test_moments_and_axes(spark):
+    from tarn.operators import moments
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 4)) @ np.diag([3, 1, 0.5, 0.1])
+    df = spark.createDataFrame([(i % 2, v.tolist()) for i, v in enumerate(x)], "g int, v array<double>").repartition(3)
+    for r in rows(moments.moments(df, "g", "v")):
+        assert np.allclose(moments.covariance(r), np.cov(x[r["g"] :: 2].T, ddof=0))
+    for r in rows(moments.principal_axes(moments.moments(df, "g", "v"), "g", 2)):
+        mine = x[r["g"] :: 2]
+        assert np.allclose(np.abs((mine - r["mean"]) @ np.array([r["axis0"], r["axis1"]]).T), np.abs(kernels.principal_scores(mine, 2)))
