@@ -13,8 +13,6 @@ than k candidates all are returned; rows with a null vec_id take no part; other
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame

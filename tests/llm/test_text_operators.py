@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from .helpers import BASE, LOWER, SCHEMA, documents, odd_documents, words
+from .helpers import BASE, LOWER, documents, odd_documents, words
 
 
 def rows(df):
