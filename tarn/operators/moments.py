@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row
-from pyspark.sql import functions as F
 
 
 def moments(df: DataFrame, group: str, vector: str) -> DataFrame:

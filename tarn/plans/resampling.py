@@ -11,7 +11,7 @@ from ..functions import kernels
 from ..functions import scalars as S
 from ..operators import resample as R
 from ..shared import stage
-from .entities import DELTAS, DESIGN, EXPRESSION, SCORES, SURVIVAL, deltas, design, expression, metrics, scores, survival, table
+from .entities import DELTAS, DESIGN, EXPRESSION, SCORES, SURVIVAL, deltas, design, expression, scores, survival, table
 from .registry import query
 
 _r = lambda c, n=6: F.round(c, n)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import scalars as S
 from ..functions import stats
 from .entities import EXPRESSION, METRICS, SURVIVAL, expression, metrics, survival, table
 from .registry import query
