@@ -224,16 +224,15 @@ def verify(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFra
     return wide.select("a", "b", "hashes_a", "hashes_b").mapInArrow(exact, "a long, b long")
 
 
-def meetings(rows: DataFrame, share: tuple[int, int], tile: int, nearest: bool) -> DataFrame:
+def meetings(rows: DataFrame, share: tuple[int, int], tile: int, nearest: bool, buckets: int) -> DataFrame:
     """Pairs ``a, b`` to verify, of rows ``token, id, n, index, g, c, bits``.
 
     A token's rows are salted into tiles of about ``tile`` sets, of which every two meet once. Tokens
-    of one tile only share a task with others.
+    of one tile only share one of ``buckets`` groups with others.
     """
     salts = F.ceil(F.col("g") / tile).cast("int")
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), salts - 1)))
     rows = rows.select("token", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "id", "n", "index", "c", "bits")
-    buckets = max(8, 4 * shuffle_partitions(rows.sparkSession))
 
     def meet(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -274,11 +273,12 @@ def join(docs: DataFrame, share: tuple[int, int] = SHARE, size: int = SHINGLE, t
     kinds = groups.groupBy("token", "g").agg(*member).groupBy("g", "m1", "m2").agg(F.min("token").alias("token")).select("token")
     tiles = stage(groups.join(kinds, "token"), "jaccard_tiles")
     drop(groups)
+    buckets = max(4 * shuffle_partitions(docs.sparkSession), tiles.count() // 20_000)
     signs = stage(signatures(only(docs, tiles.select("id").distinct()), size), "jaccard_signatures")
     bits = signs.select("id", "bits")
 
     # First every set is alone. Sets without any proposal now have none later either.
-    pairs = stage(meetings(tiles.withColumn("c", F.col("id")).join(bits, "id"), share, tile, True), "jaccard_pairs")
+    pairs = stage(meetings(tiles.withColumn("c", F.col("id")).join(bits, "id"), share, tile, True, buckets), "jaccard_pairs")
     involved = stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "jaccard_ids")
     sets = stage(arrays(only(docs, involved), size), "jaccard_arrays")
     tiles = stage(tiles.join(involved, "id").join(bits, "id"), "jaccard_tiles")
@@ -287,7 +287,7 @@ def join(docs: DataFrame, share: tuple[int, int] = SHARE, size: int = SHINGLE, t
     for nearest in (True, False):
         named = tiles.join(parts, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         open_tokens = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
-        pairs = stage(meetings(named.join(open_tokens, "token"), share, tile, nearest), "jaccard_pairs")
+        pairs = stage(meetings(named.join(open_tokens, "token"), share, tile, nearest, buckets), "jaccard_pairs")
         links = links.unionByName(stage(verify(pairs, sets, share), "jaccard_links"))
         parts = components(links)
     known = sums.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id")).join(parts, "id", "left")
