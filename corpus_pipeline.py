@@ -15,7 +15,7 @@ from tarn.llm import langid, mixing, ngram_join, packing, secrets
 from tarn.llm.common import read, stage
 
 #: A text is rejected if its most likely language is less likely than this (or if it has no letter).
-LEAST_SCORE = 0.3
+LEAST_SCORE = 0.26
 
 
 def _by_id(docs: DataFrame, kept: DataFrame) -> DataFrame:
