@@ -13,8 +13,8 @@ has few left.
 
 Defined results for odd input: a null text is empty; a text without words has no shingles and links
 with nothing; with fewer words than a shingle, the whole sequence is the one shingle; repeated rows
-are equal sets; rows with a null doc_id are not returned; an empty table gives an empty result; other
-columns are ignored.
+are equal sets; rows that repeat a doc_id are taken to repeat its text; rows with a null doc_id are not
+returned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
