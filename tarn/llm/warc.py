@@ -124,7 +124,6 @@ def write(pages: DataFrame, root: str, least: int = LEAST_BYTES, roll: int = ROL
         .groupBy("digest", "page_id")
         .agg(F.count("*").alias("n"))
     )
-    same = stage(same, "warc_digests")
     first = same.groupBy("digest").agg(F.min("page_id").alias("first"), F.sum("n").alias("n")).filter("n > 1").drop("n")
     marks = same.join(first, "digest").select("page_id", "digest", "first")
     # A mark sorts right before its page, so that the texts move once only.
@@ -174,7 +173,7 @@ def write(pages: DataFrame, root: str, least: int = LEAST_BYTES, roll: int = ROL
 
     sorted_rows = placed.select("place", *names)
     manifest = stage(sorted_rows.mapInArrow(put, MANIFEST), "warc_manifest")
-    drop(same, placed)
+    drop(placed)
     return manifest
 
 
