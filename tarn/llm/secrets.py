@@ -2,8 +2,8 @@
 
 A value in a credential context is segmented into common words, dates, repeats, keyboard walks and
 brute-force spans, so that the product of their guess counts is least; a value that still needs many
-guesses is reported as a secret of kind ``guess``. Values that cost few guesses (prose, placeholders)
-are not.
+guesses is reported as a secret of kind ``guess``, also where it overlaps what a pattern found. Values
+that cost few guesses (prose, placeholders) are not.
 
 Defined results for odd input: a null text is empty; a text without a match gives zero counts, an
 empty span list and the digest of the empty string; repeated rows give one result each; other columns
@@ -31,9 +31,13 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # shorter runs fail, and so does any later part of the same run
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: What else stands before a credential; its value runs to the next blank or quote.
-CONTEXT = re.compile(r"(?i:\b(?:pwd|pass|passphrase|passcode|pin|auth|bearer|credentials?|login|private[_-]?key|access[_-]?key|client[_-]?secret)\b)[\"']?\s{0,4}(?::|=|\bis\b)\s{0,4}[\"']?([^\s\"'<>,;]{8,128})")
-CONTEXT_WORDS = ("pwd", "pass", "pin", "auth", "bearer", "credential", "login", "private", "access", "client")
+#: What stands before a credential. The words of ASSIGN count anywhere, as they do there; the others not within a word.
+CONTEXT = re.compile(
+    r"""(?:(?i:password|passwd|secret|token|api[_-]?key)|(?:(?<![^\W_])|(?<=[a-z])(?=[A-Z]))(?i:pwd|pass|passphrase|passcode|pin|auth|bearer|credentials?|login|private[_-]?key|access[_-]?key|secret[_-]?key))["']?\s*(?i:[:=]+>?|\bis\b:?)\s*["']?"""
+)
+CONTEXT_WORDS = (*ASSIGN_WORDS, "api-key", "pwd", "pass", "pin", "auth", "bearer", "credential", "login", "private", "access")
+#: A credential's value runs to the next blank or quote.
+VALUE = re.compile(r"[^\s\"']{8,128}")
 
 # Words that people use in passwords, commonest first.
 COMMON = """password welcome admin letmein login master secret dragon monkey sunshine princess football baseball
@@ -97,11 +101,14 @@ def find(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text)]
     found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     if any(w in low for w in CONTEXT_WORDS):
-        base = list(found)
+        weighed = 0
         for m in CONTEXT.finditer(text):
-            start, end = m.span(1)
-            if all(end <= a or b <= start for a, b, _ in base) and guess_cost(m[1]) >= GUESS_DIGITS and not m[1].isalpha():
-                found.append((start, end, 3))
+            # A context within a value that was weighed has an end of that value, which costs no more.
+            value = VALUE.match(text, m.end()) if m.end() >= weighed else None
+            if value:
+                weighed = value.end()
+                if guess_cost(value[0]) >= GUESS_DIGITS and not value[0].isalpha():
+                    found.append((*value.span(), 3))
     return [(a, b, KINDS[k]) for a, b, k in sorted(found, key=lambda x: (x[0], x[2], x[1]))]
 
 

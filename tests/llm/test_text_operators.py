@@ -131,6 +131,28 @@ def test_guess_cost_orders_values():
     assert guess_cost("x7Gq#9Lm2$Vb") > 10
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("password: p@$$9#xK!vQ2zT end", "p@$$9#xK!vQ2zT"),
+        ("the password is Xk9vQ2mZ7pLr now", "Xk9vQ2mZ7pLr"),
+        ('"passwd" : "Xk9#v,Q2;mZ7pLr"', "Xk9#v,Q2;mZ7pLr"),
+        ("password: hunter@2X#9!kqZ", "hunter@2X#9!kqZ"),
+        ("db_pwd=Xk9#vQ2!mZ7pLr", "Xk9#vQ2!mZ7pLr"),
+        ("my-login:      Xk9#vQ2!mZ7pLr", "Xk9#vQ2!mZ7pLr"),
+        ("client_secret=abcdef12#$%^&XYZ99", "abcdef12#$%^&XYZ99"),
+        ("auth: password: Xk9#vQ2!mZ7pLr", "Xk9#vQ2!mZ7pLr"),
+    ],
+)
+def test_whole_values_after_every_credential_word(spark, text, value):
+    from tarn.llm import secrets
+
+    at = text.index(value)
+    assert (at, at + len(value), "guess") in secrets.find(text)
+    (got,) = rows(secrets.redact(documents(spark, [(1, text, "en", "a")])))
+    assert got["text"].endswith("[SECRET]" + text[at + len(value) :]) and not any(value[k : k + 4] in got["text"] for k in range(len(value) - 3))
+
+
 def test_redaction_keeps_rows(spark):
     from tarn.llm import secrets
 
