@@ -2,8 +2,9 @@
 
 A value in a credential context is segmented into common words, dates, repeats, keyboard walks and
 brute-force spans, so that the product of their guess counts is least; a value that still needs many
-guesses is reported as a secret of kind ``guess``, also where it overlaps what a pattern found. Values
-that cost few guesses (prose, placeholders) are not.
+guesses is reported as a secret of kind ``guess``, whatever its length and letters, also where it
+overlaps what a pattern found. Values that cost few guesses (prose, placeholders) are not; words are
+those of COMMON and the whole words of the public tokenizer, commonest first.
 
 Defined results for odd input: a null text is empty; a text without a match gives zero counts, an
 empty span list and the digest of the empty string; repeated rows give one result each; other columns
@@ -12,7 +13,9 @@ are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -37,7 +40,7 @@ CONTEXT = re.compile(
 )
 CONTEXT_WORDS = (*ASSIGN_WORDS, "api-key", "pwd", "pass", "pin", "auth", "bearer", "credential", "login", "private", "access")
 #: A credential's value runs to the next blank or quote.
-VALUE = re.compile(r"[^\s\"']{8,128}")
+VALUE = re.compile(r"[^\s\"']+")
 
 # Words that people use in passwords, commonest first.
 COMMON = """password welcome admin letmein login master secret dragon monkey sunshine princess football baseball
@@ -46,8 +49,8 @@ default changeme example sample token access server system service database acco
 summer winter spring autumn monday friday january august october december company office internet computer
 google apple orange banana cookie coffee cheese flower silver golden purple yellow green black white blue red
 the and you for with this that from your have""".split()
-RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-LONGEST_WORD = max(map(len, COMMON))
+#: Letters of a tokenizer's word at least; shorter ones are as cheap letter by letter.
+TOKEN_WORD = re.compile(r"([a-z]{4,})</w>")
 # Rows of a keyboard, and letters that figures stand for.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 LEET = str.maketrans("0134578@$!", "oieastbasi")
@@ -57,13 +60,30 @@ WALK = {(a, b) for row in ROWS for a, b in zip(row, row[1:], strict=False)} | {(
 GUESS_DIGITS = 10.0
 
 
+@functools.cache
+def ranks() -> tuple[dict[str, int], int]:
+    """The rank of each word, and the length of the longest; read once a process."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    more = (m[1] for t in sorted(vocabulary, key=vocabulary.get) if (m := TOKEN_WORD.fullmatch(t)))
+    rank = {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *more]))}
+    return rank, max(map(len, rank))
+
+
 def alphabet(c: str) -> int:
     return 10 if c.isdigit() else 26 if c.isalpha() else 33
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the fewest guesses that a segmentation of ``value`` needs; linear steps over its places."""
+def guess_cost(value: str, enough: float = math.inf) -> float:
+    """log10 of the fewest guesses that a segmentation of ``value`` needs; linear steps over its places.
+
+    Once no segmentation can cost less than ``enough``, some cost of at least that is returned.
+    """
+    rank_of, longest = ranks()
     n, low = len(value), value.lower()
+    cheap = 0  # the last place that costs less than enough
     plain = low.translate(LEET)
     best = [0.0] + [math.inf] * n
     repeat = walk = 1  # how long a repeat, a walk that ends here is
@@ -77,17 +97,22 @@ def guess_cost(value: str) -> float:
             best[end] = min(best[end], best[end - k] + math.log10(alphabet(c) * k))
         for k in {3, walk} if walk >= 3 else ():
             best[end] = min(best[end], best[end - k] + math.log10(2 * 47 * k))
-        for k in range(2, min(LONGEST_WORD, end) + 1):
+        for k in range(2, min(longest, end) + 1):
             word = low[end - k : end]
-            rank = RANK.get(word)
+            rank = rank_of.get(word)
             tricks = 0 if value[end - k : end] == word else 1
-            if rank is None and (rank := RANK.get(plain[end - k : end])) is not None:
+            if rank is None and (rank := rank_of.get(plain[end - k : end])) is not None:
                 tricks += 1
             if rank is not None:
                 best[end] = min(best[end], best[end - k] + math.log10(rank * 4**tricks + 1))
         for k in (4, 6, 8, 10):
             if k <= end and DATE.fullmatch(value, end - k, end):
                 best[end] = min(best[end], best[end - k] + math.log10(365 * 119 if k > 4 else 119))
+        # Words and dates start within the places looked at; a longer repeat or walk costs no less later on.
+        if best[end] < enough:
+            cheap = end
+        elif end - cheap >= max(longest, 10):
+            return best[end]
     return best[n]
 
 
@@ -107,7 +132,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
             value = VALUE.match(text, m.end()) if m.end() >= weighed else None
             if value:
                 weighed = value.end()
-                if guess_cost(value[0]) >= GUESS_DIGITS and not value[0].isalpha():
+                if guess_cost(value[0], GUESS_DIGITS) >= GUESS_DIGITS:
                     found.append((*value.span(), 3))
     return [(a, b, KINDS[k]) for a, b, k in sorted(found, key=lambda x: (x[0], x[2], x[1]))]
 

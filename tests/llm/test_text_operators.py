@@ -153,6 +153,20 @@ def test_whole_values_after_every_credential_word(spark, text, value):
     assert got["text"].endswith("[SECRET]" + text[at + len(value) :]) and not any(value[k : k + 4] in got["text"] for k in range(len(value) - 3))
 
 
+def test_values_have_no_longest_length_and_letters_count():
+    from tarn.llm import secrets
+
+    rng = np.random.default_rng(9)
+    letters = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 20))
+    for value in ("".join(rng.choice(list("ABCDEFGHIJKLMNOPqrstuvwxyz0123456789+/"), 400)), letters, "#$^~%&*"):
+        assert (6, 6 + len(value), "guess") in secrets.find(f"auth: {value} and more")
+    for prose in ("The password is required here", "my login: administrator", "the secret is understanding", "pass: " + "a" * 400, "pass: " + "password" * 2):
+        assert secrets.find(prose) == [] or "guess" not in {k for _, _, k in secrets.find(prose)}
+    for _ in range(200):  # stopping early never changes what counts as a secret
+        value = "".join(rng.choice(["aaaaaaaaaaaa", "qwertyuiop", "hunter", "2019", "x", "#", "zyxwvutsrqponmlkjihgfedcba"], rng.integers(1, 12)))
+        assert (secrets.guess_cost(value, 10) >= 10) == (secrets.guess_cost(value) >= 10)
+
+
 def test_redaction_keeps_rows(spark):
     from tarn.llm import secrets
 
