@@ -1,11 +1,11 @@
 """Stupid-backoff scores, computed relationally.
 
-Words are counted over all documents; the commonest make the vocabulary, all others are one unknown
-word. A word scores count(v w) / count(v) after v if that pair was counted often enough, else ALPHA
+Words are counted over all documents, each by its 64-bit hash. A word scores count(v w) / count(v) after v if that pair was counted often enough, else ALPHA
 times its own share of all words; the first word of a document scores its share. Counts of pairs of
 the very commonest words are one dense table of a fixed size. All other pairs are dealt out by hash:
 the pairs of each document meet the count table of their part there, and what they score is summed by
-document.
+document. Every task holds a table of the counts of the commonest words; what depends on the count of
+another word goes on to that word's part, where it meets the count.
 
 Defined results for odd input: a null text is empty; a text without words has score 0 and a null mean;
 rows that repeat a doc_id are scored together as one document, without pairs across rows; rows with a
@@ -25,9 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, drop, stage
-from .words import word_hashes
+from .words import ODD, mix, word_hashes
 
-ALPHA, VOCABULARY, HEAD, MIN_COUNT = 0.4, 1 << 16, 512, 2
+ALPHA, HEAD, MIN_COUNT = 0.4, 512, 2
+#: Words that keep an identity, all others being one unknown word; None is every word.
+VOCABULARY = None
+#: Words at most whose counts are sent to every task.
+TABLE = 1 << 16
 #: Characters of text whose pairs make one part.
 PART_CHARS = 16_000_000
 #: Documents whose sums are added up in one task.
@@ -35,9 +39,13 @@ GROUP_DOCS = 10_000
 _BLOCK_WORDS = 1 << 20
 
 
+def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(v * ODD[0] + w * ODD[1])
+
+
 @dataclass
 class Unigrams:
-    """Hashes of the vocabulary, sorted, with ids in order of count; the last id is the unknown word."""
+    """Hashes of the table's words, sorted, with ids in order of count; the last id is any other word."""
 
     hashes: np.ndarray
     ids: np.ndarray
@@ -51,8 +59,8 @@ class Unigrams:
         return np.where(self.hashes[at] == words, self.ids[at], len(self.counts) - 1)
 
 
-def unigrams(docs: DataFrame, vocabulary: int) -> Unigrams:
-    """Counts of all words of all documents; only the vocabulary reaches the driver."""
+def unigrams(docs: DataFrame, table: int) -> tuple[Unigrams, DataFrame]:
+    """Counts of all words of all documents: the commonest on the driver, and all as a staged table ``w, n``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[np.ndarray] = []
@@ -72,31 +80,29 @@ def unigrams(docs: DataFrame, vocabulary: int) -> Unigrams:
             yield flush()
 
     counts = stage(docs.select("text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "word_counts")
-    # Sizes of 16 classes of counts per doubling show from which count on the vocabulary is filled, so
+    # Sizes of 16 classes of counts per doubling show from which count on the table is filled, so
     # that only about as many rows as it holds are sorted and sent.
     level = F.floor(F.log2("n") * 16).cast("long")
     least, seen = 0, 0
     for at, n in sorted((tuple(r) for r in counts.groupBy(level).count().collect()), reverse=True):
         least, seen = at, seen + n
-        if seen > vocabulary:
+        if seen > table:
             break
-    rows = counts.filter(level >= least).orderBy(F.col("n").desc(), F.col("w").asc_nulls_first()).limit(vocabulary + 1).collect()
-    drop(counts)
+    rows = counts.filter(level >= least).orderBy(F.col("n").desc(), F.col("w").asc_nulls_first()).limit(table + 1).collect()
     total = next((r.n for r in rows if r.w is None), 0)
     rows = [r for r in rows if r.w is not None]
     hashes = np.array([r.w for r in rows], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     known = [r.n for r in rows]
-    return Unigrams(hashes[order], order.astype(np.int64), np.array([*known, total - sum(known)], np.int64), total)
+    return Unigrams(hashes[order], order.astype(np.int64), np.array([*known, total - sum(known)], np.int64), total), counts
 
 
-def _pairs(words: Unigrams, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids, the text each is of, and previous and next ids of all pairs within a text (with their texts)."""
+def _pairs(words: Unigrams, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and ids of words, the text each is of, places of the first words of pairs within a text, and the texts' bounds."""
     hashes, begin = word_hashes(texts)
-    ids = words.of(hashes)
     owner = np.repeat(np.arange(len(texts)), np.diff(begin))
     inner = owner[1:] == owner[:-1] if len(owner) else np.zeros(0, bool)
-    return ids, owner, np.flatnonzero(inner), begin
+    return hashes, words.of(hashes), owner, np.flatnonzero(inner), begin
 
 
 def dense_pairs(docs: DataFrame, words: Unigrams, head: int) -> np.ndarray:
@@ -105,7 +111,7 @@ def dense_pairs(docs: DataFrame, words: Unigrams, head: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(head * head, np.int64)
         for batch in batches:
-            ids, _, at, _ = _pairs(words, batch.column(0))
+            _, ids, _, at, _ = _pairs(words, batch.column(0))
             v, w = ids[at], ids[at + 1]
             both = (v < head) & (w < head)
             sums += np.bincount(v[both] * head + w[both], minlength=head * head)
@@ -125,80 +131,154 @@ def dense_pairs(docs: DataFrame, words: Unigrams, head: int) -> np.ndarray:
 def score(
     docs: DataFrame,
     alpha: float = ALPHA,
-    vocabulary: int = VOCABULARY,
+    vocabulary: int | None = VOCABULARY,
     head: int = HEAD,
     min_count: int = MIN_COUNT,
     part_chars: int = PART_CHARS,
+    table: int = TABLE,
 ) -> DataFrame:
     """``doc_id, n_words, log_score, mean_log_score`` (natural logarithms) for every document."""
     arrow_batches(docs.sparkSession, 500)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
     chars, n_docs = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     parts, groups = max(64, -(-int(chars or 0) // part_chars)), max(8, n_docs // GROUP_DOCS)
-    words = unigrams(docs, vocabulary)
+    words, all_counts = unigrams(docs, table if vocabulary is None else vocabulary)
     head = min(head, len(words.counts) - 1)
     dense = dense_pairs(docs, words, head) if head else np.zeros((0, 0), np.int64)
     size = len(words.counts)
+    other = size - 1  # the id of words outside the table
+    apart = vocabulary is None and words.counts[other] > 0  # such words have counts of their own
     log_c = np.log(np.maximum(words.counts, 1))
+    if apart:
+        log_c[other] = 0.0  # their log counts are added in resolve()
+    else:
+        drop(all_counts)
     alone = log_c - np.log(max(words.total, 1))
 
     def pair_score(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.where(n >= min_count, np.log(np.maximum(n, 1)) - log_c[v], np.log(alpha) + alone[w])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a part: pairs with their documents; and what documents score without the count tables."""
-        kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.float64()))
-        turn = 0
+        """Rows of a part: pairs with their documents, by ids; under negative parts, pairs with words outside
+        the table (``first`` and ``second``, hashes for such words and ids for others), and such words that
+        begin a document (``first`` only); and what documents score without the count tables."""
+        kinds = (pa.int32(), *[pa.list_(pa.int64())] * 4, pa.list_(pa.int32()), pa.list_(pa.float64()))
+        none, turn = np.zeros(0, np.int64), 0
+
+        def split(part: np.ndarray, *lists: np.ndarray) -> Iterator[tuple]:
+            order = np.argsort(part, kind="stable")
+            cut = np.flatnonzero(np.diff(part[order])) + 1
+            if len(part):
+                yield from zip(part[order][np.append(0, cut)].tolist(), *(np.split(x[order], cut) for x in lists), strict=True)
+
         for batch in batches:
             doc = batch.column(0).to_numpy()
             if not len(doc):
                 continue
-            ids, owner, at, begin = _pairs(words, batch.column(1))
+            hashes, ids, owner, at, begin = _pairs(words, batch.column(1))
             v, w, of = ids[at], ids[at + 1], owner[at]
-            first = begin[:-1][np.diff(begin) > 0]
-            own = np.bincount(owner[first], alone[ids[first]], len(doc)) if len(first) else np.zeros(len(doc))
+            start = begin[:-1][np.diff(begin) > 0]
+            own = np.bincount(owner[start], alone[ids[start]], len(doc)) if len(start) else np.zeros(len(doc))
             both = (v < head) & (w < head)
             if both.any():
                 own += np.bincount(of[both], pair_score(v[both], w[both], dense[v[both], w[both]]), len(doc))
-            b, of = v[~both] * size + w[~both], of[~both]
+            rare = ((v == other) | (w == other)) & apart
+            by_id = ~both & ~rare
             # Repeats of a pair in a document are counted here.
-            entry, n = np.unique(of * (size * size) + b, return_counts=True)
-            of, b = entry // (size * size), entry % (size * size)
-            part = (b * 0x9E3779B1 >> 7) % parts
-            order = np.argsort(part, kind="stable")
-            part, of, b, n = part[order], of[order], b[order], n[order]
-            cut = np.flatnonzero(np.diff(part)) + 1
-            starts, ends = np.append(0, cut), np.append(cut, len(part))
-            rows = [(int(part[s]), b[s:e], doc[of[s:e]], n[s:e], np.zeros(0)) for s, e in zip(starts, ends, strict=True) if e > s]
-            rows.append((turn % parts, np.zeros(0, np.int64), doc, np.diff(begin), own))
+            entry, n = np.unique(of[by_id] * (size * size) + v[by_id] * size + w[by_id], return_counts=True)
+            b = entry % (size * size)
+            rows = [(p, b, none, none, d, c, np.zeros(0)) for p, b, d, c in split((b * 0x9E3779B1 >> 7) % parts, b, doc[entry // (size * size)], n)]
+            if apart:
+                # A word's id takes the place of its hash where it has one.
+                names = np.where(ids == other, hashes, ids.astype(np.uint64))
+                x, y, in_ = names[at[rare]], names[at[rare] + 1], of[rare]
+                key = pair_hash(x, y)
+                order = np.lexsort((key, in_))
+                x, y, in_, key = x[order], y[order], in_[order], key[order]
+                new = np.flatnonzero(np.append(True, (np.diff(in_) != 0) | (key[1:] != key[:-1]))) if len(key) else none
+                n = np.diff(np.append(new, len(key)))
+                part = -1 - (key[new] % np.uint64(parts)).astype(np.int64)
+                rows += [(p, none, x, y, d, c, np.zeros(0)) for p, x, y, d, c in split(part, x[new].view(np.int64), y[new].view(np.int64), doc[in_[new]], n)]
+                start = start[ids[start] == other]
+                x = hashes[start].view(np.int64)
+                rows += [(p, none, x, none, d, c, np.zeros(0)) for p, x, d, c in split(-1 - x % parts, x, doc[owner[start]], np.ones(len(x), np.int64))]
+            rows.append((turn % parts, none, none, none, doc, np.diff(begin), own))
             turn += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "pairs", "docs", "n", "own"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "pairs", "first", "second", "docs", "n", "own"])
+
+    def flat(rows: pa.Table, c: str) -> np.ndarray:
+        return rows.column(c).combine_chunks().flatten().to_numpy()
+
+    def by_group(docs: np.ndarray, n: np.ndarray, s: np.ndarray) -> list[tuple]:
+        """Sums by document stay packed: a row per group of documents, not per document."""
+        docs_, at = np.unique(docs, return_inverse=True)
+        total, lengths = np.bincount(at, s, len(docs_)), np.bincount(at, n, len(docs_)).astype(np.int64)
+        group = (docs_.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % groups
+        order = np.argsort(group, kind="stable")
+        cut = np.flatnonzero(np.diff(group[order])) + 1
+        none = np.zeros(0, np.int64)
+        return [(int(group[x[0]]), none, docs_[x], lengths[x], total[x]) for x in np.split(order, cut) if len(x)]
+
+    sums_schema = "group long, words array<long>, docs array<long>, n array<long>, s array<double>"
+
+    def packed(rows: list[tuple]) -> pa.Table:
+        kinds = (pa.int64(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.float64()))
+        columns = zip(*rows, strict=True) if rows else [()] * 5
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["group", "words", "docs", "n", "s"])
 
     def meet(table: pa.Table) -> pa.Table:
+        """Sums by document; and, under negative groups, how often a document takes the log count of a word."""
         table = table.combine_chunks()
-        own = pc.list_value_length(table.column("own")).to_numpy() > 0
-        flat = lambda rows, c: rows.column(c).combine_chunks().flatten().to_numpy()
-        mine, dealt = table.filter(pa.array(own)), table.filter(pa.array(~own))
+        long = {c: pc.list_value_length(table.column(c)).to_numpy() > 0 for c in ("own", "pairs", "first", "second")}
+        mine, dealt, rare, start = (table.filter(pa.array(m)) for m in (long["own"], long["pairs"], long["second"], long["first"] & ~long["second"]))
+        del table
         pairs, n = flat(dealt, "pairs"), flat(dealt, "n")
         distinct, which = np.unique(pairs, return_inverse=True)
         count = np.bincount(which, n, len(distinct)).astype(np.int64)
-        scored = pair_score(distinct // size, distinct % size, count)[which] * n
-        docs_, at = np.unique(np.concatenate((flat(dealt, "docs"), flat(mine, "docs"))), return_inverse=True)
-        total = np.bincount(at, np.concatenate((scored, flat(mine, "own"))), len(docs_))
-        lengths = np.bincount(at, np.concatenate((np.zeros(len(pairs)), flat(mine, "n"))), len(docs_)).astype(np.int64)
-        # A part's sums stay packed: a row per group of documents, not per document.
-        group = (docs_.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % groups
-        order = np.argsort(group, kind="stable")
-        cut = np.flatnonzero(np.diff(group[order])) + 1
-        lists = [pa.array(np.split(x[order], cut), pa.list_(t)) for x, t in ((docs_, pa.int64()), (lengths, pa.int64()), (total, pa.float64()))]
-        return pa.table({"group": pa.array([int(group[x[0]]) for x in np.split(order, cut)], pa.int64()), "docs": lists[0], "n": lists[1], "s": lists[2]})
+        scored = [pair_score(distinct // size, distinct % size, count)[which] * n, flat(mine, "own")]
+        docs_ = [flat(dealt, "docs"), flat(mine, "docs")]
+        rest = [(flat(start, "first"), flat(start, "docs"), flat(start, "n").astype(float))]
+        if rare.num_rows:
+            x, y, n = flat(rare, "first").view(np.uint64), flat(rare, "second").view(np.uint64), flat(rare, "n")
+            _, one, which = np.unique(pair_hash(x, y), return_index=True, return_inverse=True)
+            count = np.bincount(which, n, len(one)).astype(np.int64)
+            v, w = (np.minimum(c[one], np.uint64(other)).astype(np.int64) for c in (x, y))
+            scored.append(pair_score(v, w, count)[which] * n)
+            docs_.append(flat(rare, "docs"))
+            often = count >= min_count
+            for taken, hashes, sign in ((often & (v == other), x, -1.0), (~often & (w == other), y, 1.0)):
+                taken = taken[which]
+                rest.append((hashes[taken].view(np.int64), docs_[-1][taken], sign * n[taken]))
+        lengths = np.concatenate([np.zeros(len(docs_[0])), flat(mine, "n"), *(np.zeros(len(x)) for x in docs_[2:])])
+        rows = by_group(np.concatenate(docs_), lengths, np.concatenate(scored))
+        at, of, times = (np.concatenate(c) for c in zip(*rest, strict=True))
+        order = np.argsort(at % parts, kind="stable")
+        cut = np.flatnonzero(np.diff((at % parts)[order])) + 1
+        rows += [(-1 - int(at[x[0]] % parts), at[x], of[x], np.zeros(0, np.int64), times[x]) for x in np.split(order, cut) if len(x)]
+        return packed(rows)
+
+    def resolve(rest: pa.Table, counts: pa.Table) -> pa.Table:
+        """Sums by document of the log counts that ``rest`` asks for."""
+        if not rest.num_rows:
+            return packed([])
+        w, n = counts.column("w").to_numpy(), counts.column("n").to_numpy()
+        order = np.argsort(w)
+        asked = flat(rest, "words")
+        log_n = np.log(n[order][np.searchsorted(w[order], asked)])
+        return packed(by_group(flat(rest, "docs"), np.zeros(len(asked)), flat(rest, "s") * log_n))
 
     def add(table: pa.Table) -> pa.Table:
         doc, n, s = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("docs", "n", "s"))
         ids, at = np.unique(doc, return_inverse=True)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(np.bincount(at, n, len(ids)).astype(np.int64)), "log_score": pa.array(np.bincount(at, s, len(ids)))})
 
-    blocks = docs.mapInArrow(deal, "part int, pairs array<long>, docs array<long>, n array<int>, own array<double>")
-    sums = blocks.groupBy("part").applyInArrow(meet, "group long, docs array<long>, n array<long>, s array<double>")
+    blocks = docs.mapInArrow(deal, "part int, pairs array<long>, first array<long>, second array<long>, docs array<long>, n array<int>, own array<double>")
+    sums = blocks.groupBy("part").applyInArrow(meet, sums_schema)
+    if apart:
+        sums = stage(sums, "backoff_sums")
+        least = int(words.counts[:other].min()) if other else words.total
+        counts = all_counts.filter(F.col("w").isNotNull() & (F.col("n") <= least)).withColumn("group", -1 - F.pmod("w", F.lit(parts)))
+        found = sums.filter("group < 0").groupBy("group").cogroup(counts.groupBy("group")).applyInArrow(resolve, sums_schema)
+        sums = sums.filter("group >= 0").unionByName(found)
     out = sums.groupBy("group").applyInArrow(add, "doc_id long, n_words long, log_score double")
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

@@ -210,6 +210,31 @@ def test_backoff_small_vocabulary_has_unknown_words(spark):
     assert r["log_score"] == pytest.approx(s)
 
 
+def test_backoff_keeps_rare_words_apart(spark):
+    from tarn.llm import backoff
+
+    data = [(1, "a a a b b c d", "en", "a"), (2, "c d a b e", "en", "a"), (3, "f", "en", "a"), (4, "e f c d c d", "en", "b"), (5, None, "en", "a"), (6, "f f a b e", "en", "a")]
+    docs = [(i, words(t)) for i, t, _, _ in data]
+    uni = Counter(w for _, ws in docs for w in ws)
+    total, pairs = sum(uni.values()), Counter(p for _, ws in docs for p in zip(ws, ws[1:], strict=False))
+    for table, head in ((0, 0), (1, 1), (3, 2), (5, 5), (100, 2)):
+        got = {r["doc_id"]: r for r in rows(backoff.score(documents(spark, data), head=head, table=table))}
+        assert set(got) == {i for i, _ in docs}
+        for i, ws in docs:
+            s = sum(math.log(uni[w] / total) for w in ws[:1])
+            s += sum(math.log(pairs[p] / uni[p[0]]) if pairs[p] >= 2 else math.log(0.4 * uni[p[1]] / total) for p in zip(ws, ws[1:], strict=False))
+            assert got[i]["n_words"] == len(ws) and got[i]["log_score"] == pytest.approx(s, abs=1e-9)
+
+
+def test_backoff_counts_more_words_than_its_table(spark):
+    from tarn.llm import backoff
+
+    rare, junk = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("r", 70_000), ("j", 1000)))
+    got = {r["doc_id"]: r["log_score"] for r in rows(backoff.score(documents(spark, [(1, rare, "en", "a"), (2, rare, "en", "a"), (3, junk, "en", "a")])))}
+    assert got[1] == got[2] == pytest.approx(math.log(2 / 141_000), abs=1e-6)  # each pair is seen twice, as its first word is
+    assert got[3] == pytest.approx(1000 * math.log(1 / 141_000) + 999 * math.log(0.4))
+
+
 # --- packing
 
 
