@@ -18,12 +18,6 @@ from tarn.llm.common import read, stage
 LEAST_SCORE = 0.26
 
 
-def _by_id(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id, null or not, is among ``kept``."""
-    ids = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject texts without letters, and those that fit no language that was learned."""
     found = langid.classify(docs)
@@ -32,9 +26,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group that n-gram Jaccard links join, once."""
-    groups = ngram_join.join(docs)
-    return _by_id(docs, groups.filter("doc_id = component_id")).dropDuplicates(["doc_id"])
+    """Keep one row of each group that n-gram Jaccard links join: the smallest doc_id, rows without one last.
+
+    Rows that share a doc_id, or have none, stay if their texts do not link.
+    """
+    keyed = ngram_join.keyed(docs)
+    first = ngram_join.join_rows(keyed).filter("first").select("_row")
+    return keyed.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

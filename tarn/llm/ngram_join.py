@@ -13,8 +13,9 @@ has few left.
 
 Defined results for odd input: a null text is empty; a text without words has no shingles and links
 with nothing; with fewer words than a shingle, the whole sequence is the one shingle; repeated rows
-are equal sets; rows that repeat a doc_id are taken to repeat its text; rows with a null doc_id are not
-returned; an empty table gives an empty result; other columns are ignored.
+are equal sets; every row is compared by its own text, also where rows share a doc_id or have none, and
+comes once in the result; a component without any doc_id has a null one; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -253,9 +254,24 @@ def meetings(rows: DataFrame, share: tuple[int, int], tile: int, nearest: bool,
 
 
 def join(docs: DataFrame, share: tuple[int, int] = SHARE, size: int = SHINGLE, tile: int = TILE) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every document with an id."""
+    """``doc_id, n_shingles, component_id`` for every row; a component's id is its least doc_id."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return join_rows(keyed(docs), share, size, tile).select("doc_id", "n_shingles", "component_id")
+
+
+def keyed(docs: DataFrame, key: str = "_row") -> DataFrame:
+    """The rows, staged, with a number of each row's own."""
     arrow_batches(docs.sparkSession, 500)
-    docs = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return stage(docs.withColumn(key, F.monotonically_increasing_id()), "jaccard_rows")
+
+
+def join_rows(rows: DataFrame, share: tuple[int, int] = SHARE, size: int = SHINGLE, tile: int = TILE, key: str = "_row") -> DataFrame:
+    """``key, doc_id, n_shingles, component_id, first`` for every row of ``keyed``; ``first`` is true for one
+    row of each component, that of the least doc_id (nulls last), then key."""
+    arrow_batches(rows.sparkSession, 500)
+    names = rows.select(key, F.col("doc_id").cast("long").alias("doc_id"))
+    # From here to the components, a row's key is its id.
+    docs = rows.select(F.col(key).alias("doc_id"), F.col("text").cast("string").alias("text"))
     levels = crowded(docs, size)
     wide = stage(summaries(docs, levels, size, share), "jaccard_sets")
     classes = wide.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id"), F.min_by("prefix", "doc_id").alias("prefix"))
@@ -292,7 +308,11 @@ def join(docs: DataFrame, share: tuple[int, int] = SHARE, size: int = SHINGLE, t
         parts = components(links)
     known = sums.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id")).join(parts, "id", "left")
     known = known.select("n", "k1", "k2", F.coalesce("component", "id").alias("c"))
-    return sums.select("doc_id", "n", "k1", "k2").join(known, ["n", "k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
+    found = sums.select("doc_id", "n", "k1", "k2").join(known, ["n", "k1", "k2"], "left")
+    found = found.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("c")).join(names, key)
+    found = stage(found, "jaccard_found")
+    best = found.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key)).alias("best"))
+    return found.join(best, "c").select(key, "doc_id", "n_shingles", F.col("best.doc_id").alias("component_id"), (F.col(key) == F.col(f"best.{key}")).alias("first"))
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -43,6 +43,21 @@ def test_stages_keep_their_promises(spark, corpus):
     assert {i for i, _ in kept["source_mix"]} <= {i for i, _ in kept["secret_scan"]}
 
 
+def test_near_duplicates_keep_every_clean_row(spark):
+    import corpus_pipeline
+    from tarn.llm import ngram_join
+
+    one, two, three = ("alpha beta gamma delta epsilon zeta eta", "one two three four five six seven", "a b c d e f g h i j")
+    data = [(None, one, "en", "a"), (None, two, "en", "a"), (None, two, "fr", "a"), (5, three, "en", "a"), (5, "x y z u v w", "en", "a"), (7, three, "en", "a"), (8, one, "en", "a")]
+    data += [(None, None, "en", "a"), (None, "", "en", "a"), (5, three, "en", "b")]
+    docs = documents(spark, data)
+    key = lambda x: (str(x[0]), str(x[1]))
+    kept = [(r["doc_id"], r["text"]) for r in rows(corpus_pipeline.near_duplicates(spark, docs, ""))]
+    assert sorted(kept, key=key) == sorted([(8, one), (None, two), (5, three), (5, "x y z u v w"), (None, None), (None, "")], key=key)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows(ngram_join.join(docs)))
+    assert got == Counter([(None, 3, 8), (8, 3, 8), (None, 3, None), (None, 3, None), (5, 6, 5), (5, 6, 5), (7, 6, 5), (5, 2, 5), (None, 0, None), (None, 0, None)])
+
+
 def test_run_equals_stages(spark, corpus):
     import corpus_pipeline
 
