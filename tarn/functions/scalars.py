@@ -66,10 +66,11 @@ def integer_id(c: Column | str) -> Column:
 
 
 def trial_id(c: Column | str, prefix: str = "COTC", study: int = 3, subject: int = 4) -> Column:
-    """Study and subject numbers, padded: "cotc22-514" is "COTC022-0514"; null if they aren't there."""
+    """Study and subject numbers, padded: "cotc22-514" is "COTC022-0514"; longer numbers stay whole; null if they aren't there."""
+    pad = lambda x, n: F.lpad(x, F.greatest(F.length(x), F.lit(n)), F.lit("0"))
     t = F.upper(col(c))
     a, b = (F.regexp_extract(t, rf"{prefix}\D*(\d+)\D+(\d+)", i) for i in (1, 2))
-    return F.when(a != "", F.concat(F.lit(prefix), F.lpad(a, study, "0"), F.lit("-"), F.lpad(b, subject, "0")))
+    return F.when(a != "", F.concat(F.lit(prefix), pad(a, study), F.lit("-"), pad(b, subject)))
 
 
 def symbols(c: Column | str) -> Column:

@@ -187,3 +187,10 @@ def test_moments_and_axes(spark):
     for r in rows(moments.principal_axes(moments.moments(df, "g", "v"), "g", 2)):
         mine = x[r["g"] :: 2]
         assert np.allclose(np.abs((mine - r["mean"]) @ np.array([r["axis0"], r["axis1"]]).T), np.abs(kernels.principal_scores(mine, 2)))
+
+
+def test_trial_ids_keep_long_numbers(spark):
+    from tarn.functions import scalars
+
+    got = spark.createDataFrame([("cotc22-12345",), ("cotc1234_7",)], "v string").select(scalars.trial_id("v").alias("t"))
+    assert [r.t for r in got.collect()] == ["COTC022-12345", "COTC1234-0007"]
