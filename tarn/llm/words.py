@@ -34,9 +34,10 @@ def word_table(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     starts = np.flatnonzero(begins[kept])
     lengths = np.diff(np.append(starts, len(kept)))
     place = np.arange(len(kept)) - np.repeat(starts, lengths)
+    # A byte's weight depends on its own place alone, never on what other words the batch holds.
     weight = ODD[place & 4095]
-    if len(kept) and place.max() > 4095:
-        weight = weight * ODD[(place >> 12) & 4095]
+    far = np.flatnonzero(place > 4095)
+    weight[far] *= ODD[4095 - (place[far] >> 12 & 4095)]
     words = np.add.reduceat((data[kept].astype(np.uint64) + np.uint64(1)) * weight, starts) if len(starts) else np.zeros(0, np.uint64)
     words = mix(words + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return words, np.searchsorted(kept[starts], bounds), kept[starts], lengths, raw
