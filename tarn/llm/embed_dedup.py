@@ -7,10 +7,13 @@ reaches the threshold are computed again in double precision.
 
 Equal vectors are one class and are never expanded into pairs. A meeting of tiles returns each class's
 count of links and a spanning forest of the links, so its result grows with the tiles, not with pairs.
+Tiles grow with their label up to a bounded size, so that a label's vectors are copied rarely.
 
 Defined results for odd input: vectors that are null, zero, or hold null or non-finite components, and
 those with a null label, link with nothing and are kept; a shorter vector counts as padded with zeros;
-repeated rows are vectors of their own; an empty table gives an empty result; other columns are ignored.
+every row is compared by its own vector, also where rows share a vec_id or have none, and comes once in
+the result; a component without any vec_id has a null one, and its rows without one are kept; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from .components import components, forest
 from .topk import sound
 
 THRESHOLD, TILE = 0.98, 2048
+#: Components of a tile at most, and tiles that a label has before they grow.
+TILE_VALUES, TILES = 1 << 20, 32
 #: More than the rounding of a double-precision cosine.
 MARGIN = 1e-9
 _EXACT_DIMS = 1024  # products of int8 vectors stay exact in float32 up to so many dimensions
@@ -79,13 +84,17 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) ->
     """``vec_id, n_links, component_id, kept`` for every row."""
     arrow_batches(vectors.sparkSession, 10_000)
     fine = F.col("label").isNotNull() & sound(F.col("embedding")) & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
-    rows = vectors.select("vec_id", "label", F.when(fine, F.col("embedding").cast("array<double>")).alias("v"))
-    rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # -0.0 and 0.0 are one value
-    rows = stage(rows.withColumn("h", F.when(F.col("v").isNotNull(), F.xxhash64("v"))), "embed_rows")
-    # A class is a label's equal vectors; its id is its smallest vec_id.
-    classes = stage(rows.filter("v is not null").groupBy("label", "h", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "embed_classes")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.when(fine, F.col("embedding")).alias("v"))
+    zero = F.lit(0.0).cast(rows.schema["v"].dataType.elementType)
+    rows = rows.withColumn("v", F.transform("v", lambda x: x + zero))  # -0.0 and 0.0 are one value
+    rows = stage(rows.withColumns({"_row": F.monotonically_increasing_id(), "h": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")}), "embed_rows")
+    # A class is a label's equal vectors; its id is the number of one of its rows.
+    classes = rows.filter("v is not null").groupBy("label", "h", "h2", "v").agg(F.min("_row").alias("id"), F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    classes = stage(classes, "embed_classes")
     dims = int(classes.agg(F.max(F.size("v"))).first()[0] or 0)
-    tiles = classes.groupBy("label").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    most = max(tile, TILE_VALUES // max(dims, 1))
+    size = F.greatest(F.lit(tile), F.least(F.lit(most), F.ceil(F.count("*") / TILES)))
+    tiles = classes.groupBy("label").agg(F.ceil(F.count("*") / size).cast("int").alias("tiles"))
     dealt = classes.join(tiles, "label").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("label", F.least("t", "p").alias("i"), F.greatest("t", "p").alias("j"), "t", "id", "n", "v")
@@ -115,9 +124,11 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) ->
     met = stage(dealt.groupBy("label", "i", "j").applyInArrow(meet, "a long, b long, n long"), "embed_links")
     counts = met.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("more"))
     groups = components(met.filter("b is not null"))
-    known = classes.join(counts, "id", "left").join(groups, "id", "left")
-    known = known.select("label", "h", "v", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = rows.join(known, ["label", "h", "v"], "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", F.col("vec_id").cast("long")).alias("component_id")
-    )
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    known = classes.drop("v").join(counts, "id", "left").join(groups, "id", "left").withColumn("c", F.coalesce("component", "id"))
+    known = stage(known.select("label", "h", "h2", "c", "least", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links")), "embed_known")
+    names = known.groupBy("c").agg(F.min("least").alias("component_id"))
+    known = known.join(names, "c").select("label", "h", "h2", "n_links", "component_id")
+    # A class is found again by 128 bits of its vector; rows that link with nothing need not move.
+    linked = rows.filter("v is not null").join(known, ["label", "h", "h2"]).select("vec_id", "n_links", "component_id")
+    alone = rows.filter("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
