@@ -4,7 +4,7 @@ Records are range-sorted by page; every range is written by one task into gzip f
 once they reach a compressed size. Each record's headers and digests are generated anew from its
 payload. A file is written under a temporary name and renamed when it is whole; the manifest, a table
 that Spark commits after all files are there, names what counts. A lost task writes the same bytes
-under the same names again.
+under the same names again, and moves them over what is there; what failed attempts left is deleted.
 
 Of pages with equal payloads of at least ``least`` bytes, the smallest page is a response and the
 others are revisit records without payload, which refer to it.
@@ -20,7 +20,6 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -33,6 +32,8 @@ from .common import arrow_batches, drop, scratch_path, shuffle_partitions, stage
 
 LEAST_BYTES = 100
 ROLL_BYTES = 32 << 20
+#: Where files are until they are whole, and tasks at most that read an archive.
+TEMPORARY, READERS = "_temporary", 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 
 MANIFEST = "file string, records long, bytes long, sha256 string"
@@ -84,7 +85,7 @@ class _Roller:
         if self.out is None:
             # The range, and the first record's place in it.
             self.name = f"part-{place >> 33:06d}-{place & (1 << 33) - 1:010d}.warc.gz"
-            self.temp = f"{self.base}/.tmp-{self.name}-{os.getpid()}-{uuid.uuid4().hex}"
+            self.temp = f"{self.base}/{TEMPORARY}/{self.name}-{uuid.uuid4().hex}"
             self.out = self.fs.open_output_stream(self.temp)
             self.bytes, self.records, self.sha = 0, 0, hashlib.sha256()
         member = gzip.compress(record, 6, mtime=0)
@@ -99,9 +100,13 @@ class _Roller:
         if self.out is not None:
             self.out.close()
             target = f"{self.base}/{self.name}"
-            if self.fs.get_file_info(target).type != fs.FileType.NotFound:  # an earlier attempt's; the bytes are the same
-                self.fs.delete_file(target)
-            self.fs.move(self.temp, target)
+            try:
+                self.fs.move(self.temp, target)
+            except OSError:
+                # Some stores don't move over a file. An earlier attempt's has the same bytes, and stays.
+                if self.fs.get_file_info(target).size != self.bytes:
+                    raise
+                self.fs.delete_file(self.temp)
             self.closed.append((self.name, self.records, self.bytes, self.sha.hexdigest()))
             self.out = None
 
@@ -154,7 +159,7 @@ def write(pages: DataFrame, root: str, least: int = LEAST_BYTES, roll: int = ROL
     # Rows get their places for good before files are named: a task that runs again finds the same rows.
     placed = stage(placed.withColumn("place", F.monotonically_increasing_id()), "warc_sorted")
     store, base = _open_fs(root)
-    store.create_dir(base, recursive=True)
+    store.create_dir(f"{base}/{TEMPORARY}", recursive=True)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, last = None, None
@@ -173,6 +178,7 @@ def write(pages: DataFrame, root: str, least: int = LEAST_BYTES, roll: int = ROL
 
     sorted_rows = placed.select("place", *names)
     manifest = stage(sorted_rows.mapInArrow(put, MANIFEST), "warc_manifest")
+    store.delete_dir(f"{base}/{TEMPORARY}")
     drop(placed)
     return manifest
 
@@ -196,7 +202,8 @@ def parse(data: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def read(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
     """The archive's records, from the files that the manifest names; digests are computed again."""
-    files = manifest.repartition("file")
+    # A number of its own keeps adaptive execution from reading all files in one task, small as their list is.
+    files = manifest.repartition(min(max(manifest.count(), 1), READERS), "file")
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
