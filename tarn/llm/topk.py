@@ -3,7 +3,8 @@
 Vectors are quantised to integers and laid out in tiles, dimension by dimension. For a block of
 queries, inner products grow one block of dimensions after another; after each, what the remaining
 dimensions can add at most (the product of the remaining masses) drops candidates that cannot reach
-the k-th best any more, and the columns of the survivors are compacted.
+the k-th best any more, and the columns of the survivors are compacted. Where sums could exceed what
+doubles hold exactly, their rounding widens the bounds, and what is left is scored in whole numbers.
 
 Defined results for odd input: vectors that are null or hold null or non-finite components take no
 part; a shorter vector counts as padded with zeros; a query's own vec_id is never its candidate; rows
@@ -22,7 +23,10 @@ from pyspark.sql.window import Window
 from .common import arrow_batches, stage
 
 TILE, QUERIES, STEP = 4096, 2048, 16
+#: Components of a tile, and of a block of queries, at most; tiles and blocks before these grow.
+TILE_VALUES, TILES = 1 << 20, 32
 _EXACT = 2.0**53
+_LARGE = 1e150  # squares of components above it could exceed doubles
 
 
 def sound(vector: Column) -> Column:
@@ -35,34 +39,44 @@ def best_of(queries: np.ndarray, q_ids: np.ndarray, tile: np.ndarray, ids: np.nd
     """Top k of ``tile`` (dimensions x vectors) for each row of ``queries``: lists of query, vector, score."""
     order = np.argsort(ids, kind="stable")  # ties go to smaller ids
     ids, tile = ids[order], tile[:, order]
-    starts = range(0, tile.shape[0], step)
+    dims = tile.shape[0]
+    starts = range(0, dims, step)
     squares = np.array([(tile[s : s + step] ** 2).sum(0) for s in starts])
     mass = np.sqrt(np.vstack((np.cumsum(squares[::-1], 0)[::-1], np.zeros((1, tile.shape[1])))))
+    largest = np.abs(tile).max(initial=0.0)
     out: tuple[list, list, list] = ([], [], [])
     for q, q_id in zip(queries, q_ids, strict=True):
         q_squares = np.array([(q[s : s + step] ** 2).sum() for s in starts])
         q_mass = np.sqrt(np.concatenate((np.cumsum(q_squares[::-1])[::-1], [0.0])))
+        rounded = np.abs(q).max(initial=0.0) * largest * dims >= _EXACT
         alive = np.flatnonzero(ids != q_id)
         score = np.zeros(len(alive))
         for i, s in enumerate(starts):
             rows = tile[s : s + step]
             score += q[s : s + step] @ (rows if len(alive) == rows.shape[1] else rows[:, alive])
-            if len(alive) > k and i + 1 < len(starts):
+            if len(alive) > k and (rounded or i + 1 < len(starts)):
                 slack = q_mass[i + 1] * mass[i + 1][alive] * (1 + 1e-9) + 1e-6
+                if rounded:
+                    slack += q_mass[0] * mass[0][alive] * (dims * 2.0**-50)
                 low = score - slack
                 bar = np.partition(low, len(low) - k)[len(low) - k]
                 keep = score + slack >= bar
-                if keep.mean() < 0.8:
+                if keep.mean() < 0.8 or i + 1 == len(starts):
                     alive, score = alive[keep], score[keep]
+        if rounded:
+            found = exact_best(q[None, :], np.array([q_id]), tile[:, alive], ids[alive], k)
+            for column, more in zip(out, found, strict=True):
+                column.extend(more)
+            continue
         top = np.argsort(-score, kind="stable")[:k]
         out[0].extend([q_id] * len(top))
         out[1].extend(ids[alive[top]].tolist())
-        out[2].extend(score[top].tolist())
+        out[2].extend(int(x) for x in score[top])
     return out
 
 
 def exact_best(queries: np.ndarray, q_ids: np.ndarray, tile: np.ndarray, ids: np.ndarray, k: int) -> tuple[list, list, list]:
-    """The same in Python integers, for components too large for exact sums in doubles."""
+    """The same in Python integers, for the few vectors whose sums doubles don't hold."""
     out: tuple[list, list, list] = ([], [], [])
     cols = [[int(x) for x in v] for v in tile.T]
     for q, q_id in zip(queries, q_ids, strict=True):
@@ -93,7 +107,10 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, tile: int = TILE, bl
     asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     n, dims = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     dims = int(dims or 0)
-    tiles, blocks = max(1, -(-n // tile)), max(1, -(-asked.count() // block))
+    most = TILE_VALUES // max(dims, 1)
+    n_asked = asked.count()
+    tile, block = (max(size, min(most, -(-count // TILES))) for size, count in ((tile, n), (block, n_asked)))
+    tiles, blocks = max(1, -(-n // tile)), max(1, -(-n_asked // block))
     # Every block of queries meets every tile of rows: a key is one such meeting, bounded on both sides.
     data = rows.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(tiles)).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(False).alias("asks"), "vec_id", "v")
     asks = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("t"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("b"), F.lit(True).alias("asks"), "vec_id", "v")
@@ -103,11 +120,15 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, tile: int = TILE, bl
         ask = table.column("asks").to_numpy()
         ids = table.column("vec_id").to_numpy()
         matrix = _matrix(table.column("v").chunk(0), dims) if len(table) else np.zeros((0, dims))
-        q, x = matrix[ask], matrix[~ask]
-        top = np.abs(matrix).max(initial=0.0)
-        exact = top * top * max(dims, 1) < _EXACT
-        found = best_of(q, ids[ask], np.ascontiguousarray(x.T), ids[~ask], k) if exact else exact_best(q, ids[ask], x.T, ids[~ask], k)
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array([int(s) for s in found[2]], pa.int64())})
+        q, q_ids, x, x_ids = matrix[ask], ids[ask], matrix[~ask], ids[~ask]
+        q_large, x_large = (np.abs(m).max(1, initial=0.0) > _LARGE for m in (q, x))
+        found = [best_of(q[~q_large], q_ids[~q_large], np.ascontiguousarray(x[~x_large].T), x_ids[~x_large], k)]
+        if x_large.any():
+            found.append(exact_best(q[~q_large], q_ids[~q_large], x[x_large].T, x_ids[x_large], k))
+        if q_large.any():
+            found.append(exact_best(q[q_large], q_ids[q_large], x.T, x_ids, k))
+        found = [sum(columns, []) for columns in zip(*found, strict=True)]
+        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.int64())})
 
     near = data.unionByName(asks).groupBy("t", "b").applyInArrow(meet, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
