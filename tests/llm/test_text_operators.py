@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from .helpers import BASE, LOWER, documents, odd_documents, words
@@ -298,6 +299,32 @@ def test_best_fit_equals_one_by_one():
         assert len(fill) == len(gaps)
 
 
+# --- words
+
+
+def test_word_hashes_do_not_depend_on_other_words():
+    from tarn.llm.words import word_hashes
+
+    short, long = ["alpha beta", "gamma"], ["x" * n for n in (4095, 4096, 4097, 5000, 20_000, 70_000)]
+    alone = np.concatenate([word_hashes(pa.array([t]))[0] for t in short + long])
+    assert (alone == word_hashes(pa.array(short + long))[0]).all() and len(np.unique(alone)) == 9
+    swapped = "x" * 6000 + "y" + "x" * 100
+    assert len(np.unique(word_hashes(pa.array([swapped, "x" * 6001 + "y" + "x" * 99, "y" + "x" * 6100]))[0])) == 3
+
+
+def test_a_very_long_word_in_one_file_changes_nothing_elsewhere(spark, tmp_path):
+    from tarn.llm import backoff, ngram_join
+
+    text = " ".join(BASE)
+    for k, part in enumerate(([(1, text, "en", "a"), (3, text + " " + "z" * 5000, "en", "a")], [(2, text, "en", "a")])):
+        documents(spark, part).coalesce(1).write.parquet(str(tmp_path / f"f{k}"))
+    docs = spark.read.parquet(str(tmp_path / "f0"), str(tmp_path / "f1"))
+    assert {r["doc_id"]: r["component_id"] for r in rows(ngram_join.join(docs))} == {1: 1, 2: 1, 3: 1}
+    got = {r["doc_id"]: r["log_score"] for r in rows(backoff.score(docs))}
+    total = 3 * len(BASE) + 1
+    assert got[1] == got[2] == pytest.approx(math.log(3 / total)) and got[3] == pytest.approx(got[1] + math.log(0.4 / total))
+
+
 # --- n-gram join
 
 

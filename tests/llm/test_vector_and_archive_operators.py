@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -84,6 +85,35 @@ def test_embedding_dedup_matches_brute_force(spark, tile):
     assert rows(embed_dedup.dedup(spark.createDataFrame([], VECTORS))) == []
 
 
+def test_topk_large_components_stay_exact(spark):
+    from tarn.llm import topk
+
+    rng = np.random.default_rng(5)
+    data = [(i, [float(x) for x in rng.normal(size=20) * (10.0 ** rng.integers(0, 9))], 1, "x") for i in range(120)]
+    data += [(200, [1e200] + [0.0] * 19, 1, "x"), (250, [-1e200] + [1.0] * 19, 1, "x")]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int, score string")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in rows(topk.search(df, tile=50, block=2))}
+    ints = {i: [int(np.floor(256 * x)) for x in v] for i, v, _, _ in data}
+    clip = lambda x: max(-(2**63), min(2**63 - 1, x))
+    for q in (0, 50, 100, 200, 250):
+        scored = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)[:5]
+        assert [got[q, k + 1][1] for k in range(5)] == [clip(-s) for s, _ in scored]
+        if all(abs(s) < 2**63 for s, _ in scored):
+            assert [got[q, k + 1][0] for k in range(5)] == [i for _, i in scored]
+
+
+def test_embedding_dedup_compares_rows_without_an_id_or_sharing_one(spark):
+    from tarn.llm import embed_dedup
+
+    data = [
+        (None, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (5, [1.0, 0.001], 1), (5, [0.0, 1.0], 1), (7, [0.0, 1.0], 2), (None, [0.0, -1.0], 1),
+        (None, None, 1), (2**60 + 1, [0.0, 3.0], 2), (2**60 + 3, None, None), (None, [0.0, -2.0], 1),
+    ]
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in rows(embed_dedup.dedup(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int"))))
+    want = [(None, 2, 5, False), (None, 2, 5, False), (5, 2, 5, True), (5, 0, 5, True), (7, 1, 7, True), (2**60 + 1, 1, 7, False)]
+    assert got == Counter(want + [(None, 1, None, True)] * 2 + [(None, 0, None, True), (2**60 + 3, 0, 2**60 + 3, True)])
+
+
 def test_quantised_bound_holds():
     from tarn.llm.embed_dedup import product, quantise
 
@@ -170,4 +200,14 @@ def test_warc_is_deterministic(spark):
 
     df = spark.createDataFrame([(i, "u", "y" * (i * 37 % 400), 1) for i in range(50)], PAGES)
     one, two = (sorted((r["records"], r["sha256"]) for r in rows(warc.write(df.repartition(k), scratch_path(spark, "w"), roll=1500))) for k in (2, 5))
-    assert sum(n for n, _ in one) == 50 and sum(n for n, _ in two) == 50
+    assert one == two and sum(n for n, _ in one) == 50
+
+
+def test_warc_leaves_no_temporary_files_and_replaces_earlier_attempts(spark, tmp_path):
+    from tarn.llm import warc
+
+    root = str(tmp_path / "archive")
+    df = spark.createDataFrame([(i, "u", "y" * (i * 37 % 400), 1) for i in range(50)], PAGES)
+    one = sorted(tuple(r) for r in warc.write(df, root, roll=1500).collect())
+    two = sorted(tuple(r) for r in warc.write(df, root, roll=1500).collect())
+    assert one == two and sorted(p.name for p in (tmp_path / "archive").iterdir()) == [r[0] for r in one]
