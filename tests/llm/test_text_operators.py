@@ -269,34 +269,59 @@ def test_packing_round_trip(spark):
     assert rows(packing.pack(documents(spark, []))) == []
 
 
-def test_best_fit_equals_one_by_one():
-    from tarn.llm.packing import best_fit
-
-    rng = np.random.default_rng(5)
-    for _ in range(30):
-        cap = 60
-        lengths = rng.integers(1, cap + 1, rng.integers(1, 80))
-        plan = best_fit(dict(Counter(lengths.tolist())), cap)
-        ordered = np.sort(lengths)[::-1]
-        fill = defaultdict(list)
-        for rank, n in enumerate(ordered):
-            row = plan[np.searchsorted(plan[:, 0], rank, "right") - 1]
-            fill[int(row[1] + rank - row[0])].append((int(row[2]), int(n)))
-        for v in fill.values():
-            at = 0
-            for offset, n in sorted(v):
-                assert offset == at
-                at += n
-            assert at <= cap
-        gaps = []
-        for n in ordered.tolist():  # best-fit decreasing, one piece after another
-            fits = [g for g in gaps if g >= n]
-            if fits:
-                gaps.remove(min(fits))
-                gaps.append(min(fits) - n)
-            else:
-                gaps.append(cap - n)
-        assert len(fill) == len(gaps)
+def best_fit_decreasing(lengths, cap):
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= n]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else cap) - n)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("sweep_rows", [40, 100_000])
+def test_sweeps_match_pieces_and_gaps_like_a_stack(spark, sweep_rows):
+    from tarn.llm import packing
+
+    rng = np.random.default_rng(3)
+    lengths = sorted(rng.integers(10, 21, 150).tolist(), reverse=True)
+    gaps = [(i, int(f)) for i, f in enumerate(rng.integers(10, 90, 60))]
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, rank long"
+    left = spark.createDataFrame([(i, 0, 0, n, 0, i) for i, n in enumerate(lengths)], schema)
+    most = lengths[0]
+    done = packing.sweep(left, spark.createDataFrame(gaps, "seq long, free long"), most, max(1, 210 // sweep_rows))
+    stack, want = [], {}
+    queue = sorted(gaps, key=lambda g: (-min(g[1], most), -g[1], g[0]))
+    for i, n in enumerate(lengths):
+        while queue and min(queue[0][1], most) >= n:
+            seq, free = queue.pop(0)
+            stack += [seq] * max(1, free // most)
+        if stack:
+            want[i] = stack.pop()
+    assert {r["rank"]: r["seq"] for r in rows(done.placed)} == want
+    rest = {r["rank"]: r["left"] for r in rows(done.left)}
+    assert set(rest) == set(range(150)) - set(want) and sorted(rest.values()) == list(range(len(rest))) and rest
+    assert (done.n_left, done.words_left) == (len(rest), sum(lengths[i] for i in rest))
+
+
+@pytest.mark.parametrize("sweep_rows,words_each", [(60, 30), (100_000, 11), (70, 4)])
+def test_packing_needs_no_more_than_best_fit_decreasing(spark, sweep_rows, words_each):
+    from tarn.llm import packing
+
+    rng = np.random.default_rng(words_each)
+    data = [(i, "the " * int(n), "en", "a") for i, n in enumerate(rng.integers(0, words_each, 300))]
+    got = rows(packing.pack(documents(spark, data), capacity=40, sweep_rows=sweep_rows))
+    assert Counter(r["doc_id"] for r in got) == Counter(range(300)) and [r["length"] for r in sorted(got, key=lambda r: r["doc_id"])] == [t.count("the") + 1 for _, t, _, _ in data]
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for v in by.values():
+        at = 0
+        for offset, n in sorted(v):
+            assert offset == at
+            at += n
+        assert at <= 40
+    assert len(by) <= best_fit_decreasing([r["length"] for r in got], 40)
 
 
 # --- words
