@@ -184,18 +184,22 @@ def test_backoff_matches_brute_force(spark):
     from tarn.llm import backoff
 
     data = odd_documents() + [(20, " ".join(BASE * 3), "en", "a"), (21, "alpha beta alpha beta gamma", "en", "b"), (None, "alpha beta", "en", "b")]
-    data = [r for r in data if r[0] != 13] + [(13, data[12][1], "en", "d")]
-    docs = [(i, words(t)) for i, t, _, _ in data if i is not None]
+    data += [(None, "beta gamma beta gamma delta", None, None), (5, "another text of the same id", "en", "a")]
+    docs = [(i, words(t)) for i, t, _, _ in data]
     uni = Counter(w for _, ws in docs for w in ws)
     total, pairs = sum(uni.values()), Counter(p for _, ws in docs for p in zip(ws, ws[1:], strict=False))
-    for head in (0, 3, 50):
-        got = {r["doc_id"]: r for r in rows(backoff.score(documents(spark, data), vocabulary=10_000, head=head, part_chars=4000))}
-        assert set(got) == {i for i, _ in docs}
-        for i, ws in docs:
-            s = sum(math.log(uni[w] / total) for w in ws[:1])
-            s += sum(math.log(pairs[p] / uni[p[0]]) if pairs[p] >= 2 else math.log(0.4 * uni[p[1]] / total) for p in zip(ws, ws[1:], strict=False))
-            assert got[i]["n_words"] == len(ws) and got[i]["log_score"] == pytest.approx(s, abs=1e-6, rel=1e-9)
-            assert (got[i]["mean_log_score"] is None) == (not ws)
+    key = lambda x: (x[0] is None, x[0] or 0, x[1], x[2])
+    want = []
+    for i, ws in docs:
+        s = sum(math.log(uni[w] / total) for w in ws[:1])
+        s += sum(math.log(pairs[p] / uni[p[0]]) if pairs[p] >= 2 else math.log(0.4 * uni[p[1]] / total) for p in zip(ws, ws[1:], strict=False))
+        want.append((i, len(ws), s))
+    for vocabulary, table, head in ((10_000, 1 << 16, 0), (10_000, 1 << 16, 3), (None, 1 << 16, 50), (None, 7, 200)):
+        got = rows(backoff.score(documents(spark, data), vocabulary=vocabulary, table=table, head=head, part_chars=4000))
+        assert all((r["mean_log_score"] is None) == (not r["n_words"]) for r in got)
+        got = [(r["doc_id"], r["n_words"], r["log_score"]) for r in got]
+        for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+            assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], abs=1e-6, rel=1e-9)
     assert rows(backoff.score(documents(spark, []))) == []
 
 
