@@ -1,21 +1,26 @@
 """License scans by diagonal voting, with DataFrame functions only.
 
-Every rolling word pair of a text is hashed and joined to the pairs of known license texts. A match of
-text position ``p`` with template position ``o`` votes for the diagonal ``p - o``. A diagonal on which
-all pairs of a short phrase vote is that phrase, word for word; for longer texts, neighbouring
-diagonals (words put in or left out) are merged and the span counts if enough of the template voted.
+Every rolling word k-gram of every text is hashed and joined to the k-grams of known texts: pairs to those
+of the base phrases, five words to those of whole license texts and notices. The words themselves verify a
+hash. A match of text position ``p`` with template position ``o`` votes for the diagonal ``p - o``. A
+diagonal on which all pairs of a phrase vote is that phrase, word for word. For license texts,
+neighbouring diagonals (words put in or left out) are merged, and the span counts if the k-grams that
+voted cover enough of the template's words.
 
 Defined results for odd input: a null text is empty; an empty text has no words, no labels and score 0;
-repeated rows get the same result each; other columns are ignored.
+repeated rows get the same result each, and rows may share a doc_id or have none; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import stage
+from .license_texts import TEXTS
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -26,32 +31,26 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-
-# Openings of public license texts, and usual notices, lower-cased.
-TEXTS = {
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "apache-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
-    "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
-    "mpl-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "apache-2.0": "licensed under the apache license version 2 0",
-    "gpl-3.0": "licensed under the gnu general public license version 3",
-    "cc-by-nc": "licensed under cc by nc 4 0",
-    "cc-by-notice": "this work is licensed under a creative commons attribution 4 0 international license",
-}
-#: Diagonals this near are one alignment; this part of a template's pairs must vote for it.
+#: Words of a k-gram: of phrases, and of license texts.
+SHORT, LONG = 2, 5
+#: Diagonals this near are one alignment; this part of a template's words must be covered by its votes.
 SLACK, COVERAGE = 3, 0.7
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    """``template, label, base, pairs, offset, w0, w1, h``: a row per word pair, fixed in number."""
-    rows = []
-    for base, texts in ((True, PHRASES.items()), (False, ((v, k) for k, v in TEXTS.items()))):
-        for text, label in texts:
-            words = text.split()
-            rows += [(text, label, base, len(words) - 1, i, words[i], words[i + 1]) for i in range(len(words) - 1)]
-    table = spark.createDataFrame(rows, "template string, label string, base boolean, pairs int, offset int, w0 string, w1 string")
-    return table.withColumn("h", F.xxhash64("w0", "w1"))
+def grams_of(texts: dict[str, str], k: int) -> list[tuple[list[str], str, int, int]]:
+    """``gram, label, offset, words`` of every k-gram of every text."""
+    out = []
+    for label, text in texts.items():
+        words = re.findall(WORDS, text.lower())
+        out += [(words[i : i + k], label, i, len(words)) for i in range(len(words) - k + 1)]
+    return out
+
+
+def templates(spark: SparkSession, texts: dict[str, str], k: int, base: bool) -> DataFrame:
+    """``h, gram, at``: a row per distinct k-gram of the fixed texts, with the places where it stands."""
+    rows = spark.createDataFrame(grams_of(texts, k), "gram array<string>, label string, offset int, words int")
+    place = F.struct("label", F.lit(base).alias("base"), "offset", "words")
+    return rows.groupBy("gram").agg(F.collect_list(place).alias("at")).withColumn("h", F.xxhash64("gram"))
 
 
 def words_of(text: Column) -> Column:
@@ -62,52 +61,55 @@ def words_of(text: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` for every document."""
     spark = docs.sparkSession
-    known = templates(spark)
-    hashes = [r.h for r in known.select("h").distinct().collect()]  # of the fixed texts above
-    words = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
-    at = F.transform("words", lambda w, i: F.when(F.xxhash64(w, F.get("words", i + 1)).isin(hashes), i))
-    hits = F.transform(
-        F.filter(at, lambda i: i.isNotNull()),
-        lambda i: F.struct(i.alias("pos"), F.get("words", i).alias("w0"), F.get("words", i + 1).alias("w1")),
-    )
-    # One pass over the texts; what is kept of them is a few word pairs.
-    seen = stage(words.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), hits.alias("hits")), "license_hits")
-    key = ["doc_id", "text_key"]
-    found = seen.filter(F.size("hits") > 0).select(*key, F.explode("hits").alias("hit")).select(*key, "hit.*").distinct()
-    # The hash finds the template's pair and the words themselves verify it.
-    votes = found.withColumn("h", F.xxhash64("w0", "w1")).join(F.broadcast(known), ["h", "w0", "w1"])
-    votes = votes.withColumn("diagonal", F.col("pos") - F.col("offset"))
-    diagonals = votes.groupBy(*key, "template", "label", "base", "pairs", "diagonal").agg(
-        F.count("*").alias("votes"), F.min("offset").alias("low"), F.max("offset").alias("high")
-    )
-    exact = diagonals.filter(F.col("base") & (F.col("votes") == F.col("pairs"))).select(
-        *key, "label", "base", F.col("diagonal").cast("long").alias("start"), F.lit(1.0).alias("coverage")
-    )
-    along = Window.partitionBy(*key, "template").orderBy("diagonal")
-    apart = (F.col("diagonal") - F.lag("diagonal").over(along) > SLACK).cast("int")
-    runs = (
-        diagonals.filter(~F.col("base"))
-        .withColumn("run", F.coalesce(apart, F.lit(0)))
-        .withColumn("run", F.sum("run").over(along))
-        .groupBy(*key, "template", "label", "base", "pairs", "run")
-        .agg(F.sum("votes").alias("votes"), F.min(F.col("diagonal") + F.col("low")).alias("start"), F.min("low").alias("low"), F.max("high").alias("high"))
-    )
-    # Repeats of a common pair give several diagonals a vote for it, so the pairs must also span enough.
-    coverage = F.least(F.col("votes"), F.col("high") - F.col("low") + 1) / F.col("pairs")
-    near = runs.withColumn("coverage", coverage).filter(F.col("coverage") >= COVERAGE)
-    spans = exact.unionByName(near.select(*key, "label", "base", F.col("start").cast("long").alias("start"), F.least("coverage", F.lit(1.0)).alias("coverage")))
+    # What is joined is of a fixed size: the k-grams of the texts above.
+    short = templates(spark, {v: k for k, v in PHRASES.items()}, SHORT, True).select(F.col("h").alias("h2"), F.col("gram").alias("gram2"), F.col("at").alias("at2"))
+    long = templates(spark, TEXTS, LONG, False).select(F.col("h").alias("h5"), F.col("gram").alias("gram5"), F.col("at").alias("at5"))
+    words = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words_of(F.col("text")).alias("words"))
+    words = words.select("doc_id", "row", "words", F.size("words").cast("long").alias("n_words"))
+
+    def rolling(w: Column, i: Column) -> Column:
+        two, five = F.slice("words", i + 1, SHORT), F.slice("words", i + 1, LONG)
+        return F.struct(i.alias("pos"), F.xxhash64(two).alias("h2"), F.xxhash64(five).alias("h5"), five.alias("gram"))
+
+    rolled = words.select("doc_id", "row", "n_words", F.inline_outer(F.transform("words", rolling)))
+    met = rolled.join(F.broadcast(short), (rolled["h2"] == short["h2"]) & (F.slice("gram", 1, SHORT) == short["gram2"]), "left")
+    met = met.join(F.broadcast(long), (rolled["h5"] == long["h5"]) & (F.col("gram") == long["gram5"]), "left")
+    none = F.array().cast(short.schema["at2"].dataType)
+    votes = F.concat(F.coalesce("at2", none), F.coalesce("at5", none))
+    # Each document keeps its first row, for its own sake; other rows stay if they matched.
+    met = met.filter(F.coalesce("pos", F.lit(0)).eqNullSafe(0) | F.col("at2").isNotNull() | F.col("at5").isNotNull())
+    seen = stage(met.select("doc_id", "row", "n_words", "pos", votes.alias("votes")), "license_hits")
+    votes = seen.select("row", "pos", F.inline("votes")).withColumn("diagonal", F.col("pos") - F.col("offset"))
+
+    # Phrases: all pairs of one diagonal.
+    exact = votes.filter("base").groupBy("row", "label", "words", "diagonal").agg(F.count("*").alias("votes")).filter(F.col("votes") == F.col("words") - SHORT + 1)
+    exact = exact.select("row", "label", F.lit(True).alias("base"), F.col("diagonal").cast("long").alias("start"), F.lit(1.0).alias("coverage"))
+    # License texts: neighbouring diagonals together.
+    diagonals = votes.filter("not base").groupBy("row", "label", "words", "diagonal").agg(F.collect_set("offset").alias("offsets"))
+    along = Window.partitionBy("row", "label").orderBy("diagonal")
+    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > SLACK).cast("int"), F.lit(0))
+    runs = diagonals.withColumn("run", apart).withColumn("run", F.sum("run").over(along)).groupBy("row", "label", "words", "run")
+    # A set of offsets is no larger than the template.
+    runs = runs.agg(F.array_distinct(F.flatten(F.collect_set("offsets"))).alias("offsets"), F.min("diagonal").alias("diagonal"))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("offsets", lambda o: F.sequence(o, o + LONG - 1)))))
+    near = runs.withColumn("coverage", covered / F.col("words")).filter(F.col("coverage") >= COVERAGE)
+    near = near.select("row", "label", F.lit(False).alias("base"), F.col("diagonal").cast("long").alias("start"), "coverage")
+
     base = F.col("base")
-    labels = spans.groupBy(*key).agg(
-        F.count(F.when(base, 1)).alias("n_base"),
-        F.min(F.when(base, F.col("start"))).alias("first_word"),
-        F.max(F.when(base, F.col("start"))).alias("last_word"),
-        F.array_join(F.sort_array(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"),
-        F.max("coverage").alias("score"),
+    labels = (
+        exact.unionByName(near)
+        .groupBy("row")
+        .agg(
+            F.count(F.when(base, 1)).alias("n_base"),
+            F.min(F.when(base, F.col("start"))).alias("first_word"),
+            F.max(F.when(base, F.col("start"))).alias("last_word"),
+            F.array_join(F.sort_array(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
+            F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"),
+            F.max("coverage").alias("score"),
+        )
     )
-    labels = labels.withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key"))
-    return seen.join(labels, same, "left").select(
+    rows = seen.filter(F.coalesce("pos", F.lit(0)) == 0).select("doc_id", "row", "n_words")
+    return rows.join(labels, "row", "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
