@@ -1,10 +1,13 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-Documents are counted by exact word length per source; a bounded-knapsack table over the lengths fits
-each source's budget; documents of each length are then picked in a seeded order.
+Documents are counted by exact word length per source. Each length gives its part of the source's budget,
+so that the mix keeps the source's profile, and hands on to the next shorter length what it can't use; a
+bounded-knapsack table over the lengths then fits the budget that remains, with some documents handed back
+where it can't be met without them. Documents of each length are picked in a seeded order.
 
 Defined results for odd input: a null text has size 0 and is never taken; a null source is a source
-of its own, last in order; repeated rows count as separate documents; an empty table gives an empty
+of its own, last in order; repeated rows count as separate documents, and rows may share a doc_id or have
+none; an empty table gives an empty
 result; other columns are ignored, so clashing names do no harm.
 """
 
@@ -22,7 +25,7 @@ from pyspark.sql.window import Window
 from .common import global_rank, stage
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Sums up to this many words are searched exactly; above it, longest documents are taken first.
+#: Words that the knapsack table spans at most.
 TABLE_WORDS = 1 << 16
 
 
@@ -33,9 +36,10 @@ def word_count(text) -> "F.Column":
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, want: float, width: int = TABLE_WORDS) -> np.ndarray:
     """How many documents of each length to take, so that their words come nearest ``want``.
 
-    Every length first gives its proportional part, so that the mix keeps the source's length
-    profile. The rest, if above ``width``, goes to the longest documents left that fit; then a
-    bounded-knapsack table finds the sum nearest to what still lacks (the lower one of two).
+    Longest first, every length gives its proportional part and what lengths before it left over. What
+    remains then is less than the shortest document left, and is fitted by a bounded-knapsack table (the
+    lower one of two sums as near). If no sum of the documents left meets it, more and more taken ones are
+    handed back, shortest first, as far as the table spans; small sources are so fitted from nothing.
     """
     take = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
@@ -43,23 +47,34 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, want: float, width: int
         return take
     if want >= total:
         return counts.copy()
-    take = np.minimum(np.floor(counts * (want / total)).astype(np.int64), counts)
-    left, rest = counts - take, want - float((take * lengths).sum())
-    for i in np.argsort(-lengths, kind="stable"):
+    by_length = np.argsort(-lengths, kind="stable")
+    carry, taken = Fraction(0), 0
+    share = Fraction(float(want)) / total
+    for i in by_length:
+        carry += share * int(lengths[i] * counts[i])
+        take[i] = min(int(counts[i]), int(carry // int(lengths[i])))
+        carry -= int(take[i] * lengths[i])
+        taken += int(take[i] * lengths[i])
+    best, back = take, 0
+    while True:
+        held, rest = take.copy(), want - taken
+        for i in by_length[::-1]:
+            n = min(back, int(held[i]), int((width - rest) // lengths[i]) if rest < width else 0)
+            held[i] -= n
+            rest += float(n * lengths[i])
+        more = rest > want - taken
         if rest <= width:
-            break
-        k = min(int(left[i]), int(rest // lengths[i]))
-        take[i] += k
-        left[i] -= k
-        rest -= k * float(lengths[i])
-    if rest > width:  # no document left is this short: one more, or none
-        i = min((j for j in range(len(lengths)) if left[j]), key=lambda j: lengths[j], default=None)
-        if i is not None and lengths[i] - rest < rest:
-            take[i] += 1
-        return take
-    if rest > 0:
-        take += knapsack(lengths, left, rest)
-    return take
+            found = held + knapsack(lengths, counts - held, rest)
+        else:  # the shortest document left is longer than the table: one more, or none
+            i = min((j for j in by_length if counts[j] > held[j]), key=lambda j: lengths[j])
+            found = held.copy()
+            found[i] += lengths[i] - rest < rest
+        apart, least = (abs(float((x * lengths).sum()) - want) for x in (found, best))
+        if apart < least:
+            best = found
+        if min(apart, least) <= 0.5 or (back and not more) or (held == 0).all() or back > int(take.max()):
+            return best
+        back = 2 * back or 1
 
 
 def knapsack(lengths: np.ndarray, left: np.ndarray, rest: float) -> np.ndarray:
@@ -128,7 +143,8 @@ def mix(
     ``taken`` is the document's words in the mix: ``size`` times its copies, ``repeats`` at most.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    sizes = stage(docs.select("doc_id", "source", key.alias("k"), word_count("text").alias("size")), "mix_sizes")
+    sizes = docs.select("doc_id", "source", key.alias("k"), word_count("text").alias("size"), F.xxhash64("text").alias("digest"))
+    sizes = stage(sizes, "mix_sizes")
     sources = source_targets(sizes, share, repeats, weights)
     # A source's table has a row per length, so n words give fewer than sqrt(2n) rows.
     lengths = sizes.groupBy("k", "size").agg(F.count("*").alias("n")).join(sources, "k")
@@ -148,12 +164,12 @@ def mix(
     # Documents of a length go by a seeded hash into about sqrt(rows) shards: a running sum over the
     # shards tells what each gives, so that neither it nor a shard's ranking grows with a hot length.
     shards = max(8, math.isqrt(sizes.count()))
-    sizes = sizes.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards)))
+    sizes = sizes.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "digest"), F.lit(shards)))
     by_shard = sizes.groupBy("k", "size", "shard").agg(F.count("*").alias("n")).join(plan, ["k", "size"])
     before = Window.partitionBy("k", "size").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     give = F.greatest(F.lit(0), F.least("n", F.col("quota") - F.coalesce(F.sum("n").over(before), F.lit(0))))
     by_shard = by_shard.select("k", "size", "shard", "source_size", "target", "copies", give.alias("give"))
-    within = Window.partitionBy("k", "size", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id")
+    within = Window.partitionBy("k", "size", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "digest"), "doc_id", "digest")
     more = (F.row_number().over(within) <= F.col("give")).cast("long")
     return sizes.join(by_shard, ["k", "size", "shard"]).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + more)).alias("taken"), "source"

@@ -23,8 +23,8 @@ def test_mix_hits_targets_and_repeats(spark):
 
     data = [(i, " ".join(["w"] * (1 + (i * 7) % 40)), "en", f"s{i % 4}") for i in range(400)]
     got = rows(mixing.mix(documents(spark, data)))
-    assert got == sorted(got, key=lambda r: 0) and len(got) == 400
-    again = {r["doc_id"]: r["taken"] for r in rows(mixing.mix(documents(spark, data)))}
+    assert len(got) == 400
+    again = {r["doc_id"]: r["taken"] for r in rows(mixing.mix(documents(spark, data).repartition(7)))}
     by = defaultdict(list)
     for r in got:
         assert r["taken"] % r["size"] == 0 and r["taken"] <= 2 * r["size"] and again[r["doc_id"]] == r["taken"]
@@ -54,9 +54,9 @@ def test_budget_fit_is_exact_on_small_sums():
     from tarn.llm.mixing import fit_budget
 
     rng = np.random.default_rng(1)
-    for _ in range(60):
-        lengths = np.unique(rng.integers(1, 12, 4))
-        counts = rng.integers(1, 4, len(lengths))
+    for _ in range(500):
+        lengths = np.unique(rng.integers(1, 40, 4))
+        counts = rng.integers(1, 5, len(lengths))
         total = int((lengths * counts).sum())
         want = rng.uniform(0, total)
         take = fit_budget(lengths, counts, want)
@@ -64,8 +64,22 @@ def test_budget_fit_is_exact_on_small_sums():
         sums = {0}
         for n, c in zip(lengths, counts, strict=True):
             sums = {s + n * k for s in sums for k in range(c + 1)}
-        # The proportional part is taken first, so the rest may miss the best sum by a little.
-        assert abs((take * lengths).sum() - want) <= min(abs(s - want) for s in sums) + lengths.max()
+        assert abs((take * lengths).sum() - want) == min(abs(s - want) for s in sums)
+
+
+def test_budget_fit_of_large_sources():
+    from tarn.llm.mixing import fit_budget
+
+    rng = np.random.default_rng(2)
+    lengths = np.unique(rng.integers(1, 30_000, 8000))
+    counts = rng.integers(1, 10**7, len(lengths))
+    want = float((lengths * counts).sum()) * 0.371
+    take = fit_budget(lengths, counts, want)
+    assert abs(float((take * lengths).sum()) - want) <= 0.5 and (np.abs(take - counts * 0.371) < 60_000).all()
+    for lengths, counts, want in (([70_000, 90_000], [9, 9], 655_000.0), ([500], [10**9], 1e11 + 321), ([1, 10**6], [3, 50], 3.2e7)):
+        lengths, counts = np.array(lengths), np.array(counts)
+        take = fit_budget(lengths, counts, want)
+        assert (take <= counts).all() and abs(float((take * lengths).sum()) - want) <= lengths.max() / 2
 
 
 # --- licenses
@@ -97,6 +111,44 @@ def test_licenses_match_brute_force(spark):
     assert rows(licenses.scan(documents(spark, []))) == []
 
 
+def test_license_votes_match_brute_force(spark):
+    from tarn.llm import licenses
+
+    pattern = re.compile(licenses.WORDS)
+    known = {label: pattern.findall(t.lower()) for label, t in licenses.TEXTS.items()}
+    rng = np.random.default_rng(9)
+    data = []
+    for i, label in enumerate([*known, *known]):
+        w = list(known[label])
+        for _ in range(len(w) // 25 if i >= len(known) else 0):  # words put in, left out, changed
+            at, what = rng.integers(len(w)), rng.integers(3)
+            w[at : at + (what > 0)] = [] if what == 1 else ["other"]
+        data.append((i, " ".join(["before"] * int(rng.integers(9)) + w + ["after", "all"]), "en", "a"))
+    data.append((999, " ".join(["permission is hereby granted to you"] * 3000), "en", "a"))
+
+    def labels(text):
+        w = pattern.findall(text.translate(LOWER))
+        out = {label for phrase, label in licenses.PHRASES.items() for p in [phrase.split()] if any(w[i : i + len(p)] == p for i in range(len(w)))}
+        for label, t in known.items():
+            at = {}
+            for o in range(len(t) - 4):
+                at.setdefault(tuple(t[o : o + 5]), []).append(o)
+            votes = sorted((p - o, o) for p in range(len(w) - 4) for o in at.get(tuple(w[p : p + 5]), ()))
+            run, last = set(), None
+            for diagonal, o in [*votes, (10**9, 0)]:
+                if last is not None and diagonal - last > licenses.SLACK:
+                    if len({x + k for x in run for k in range(5)}) >= licenses.COVERAGE * len(t):
+                        out.add(label)
+                    run = set()
+                run.add(o)
+                last = diagonal
+        return ",".join(sorted(out))
+
+    got = {r["doc_id"]: r["labels"] for r in rows(licenses.scan(documents(spark, data)))}
+    assert got == {i: labels(t) for i, t, _, _ in data}
+    assert all(label in got[i].split(",") for i, label in enumerate(known)) and got[999] == ""
+
+
 # --- secrets
 
 
