@@ -60,6 +60,11 @@ def drop(*staged: DataFrame) -> None:
             p.getFileSystem(hadoop).delete(p, True)
 
 
+def keyed(docs: DataFrame, key: str = "_row") -> DataFrame:
+    """The rows, staged, with a number of each row's own."""
+    return stage(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+
+
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what one Arrow batch holds, as texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -137,13 +137,15 @@ def mix(
     weights: tuple[int, ...] = (3, 1, 2),
     seed: int = 17,
     width: int = TABLE_WORDS,
+    row: str | None = None,
 ) -> DataFrame:
-    """``doc_id, size, source_size, target, taken, source`` for every document.
+    """``doc_id, size, source_size, target, taken, source``, and the column ``row`` if named, for every document.
 
     ``taken`` is the document's words in the mix: ``size`` times its copies, ``repeats`` at most.
     """
+    named = [row] if row else []
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    sizes = docs.select("doc_id", "source", key.alias("k"), word_count("text").alias("size"), F.xxhash64("text").alias("digest"))
+    sizes = docs.select(*named, "doc_id", "source", key.alias("k"), word_count("text").alias("size"), F.xxhash64("text").alias("digest"))
     sizes = stage(sizes, "mix_sizes")
     sources = source_targets(sizes, share, repeats, weights)
     # A source's table has a row per length, so n words give fewer than sqrt(2n) rows.
@@ -172,5 +174,5 @@ def mix(
     within = Window.partitionBy("k", "size", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "digest"), "doc_id", "digest")
     more = (F.row_number().over(within) <= F.col("give")).cast("long")
     return sizes.join(by_shard, ["k", "size", "shard"]).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + more)).alias("taken"), "source"
+        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + more)).alias("taken"), "source", *named
     )

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_batches, drop, shuffle_partitions, stage
+from .common import arrow_batches, drop, keyed, shuffle_partitions, stage
 from .components import components
 from .words import ODD, mix, word_hashes
 
@@ -259,12 +259,6 @@ def join(docs: DataFrame, share: tuple[int, int] = SHARE, size: int = SHINGLE, t
     return join_rows(keyed(docs), share, size, tile).select("doc_id", "n_shingles", "component_id")
 
 
-def keyed(docs: DataFrame, key: str = "_row") -> DataFrame:
-    """The rows, staged, with a number of each row's own."""
-    arrow_batches(docs.sparkSession, 500)
-    return stage(docs.withColumn(key, F.monotonically_increasing_id()), "jaccard_rows")
-
-
 def join_rows(rows: DataFrame, share: tuple[int, int] = SHARE, size: int = SHINGLE, tile: int = TILE, key: str = "_row") -> DataFrame:
     """``key, doc_id, n_shingles, component_id, first`` for every row of ``keyed``; ``first`` is true for one
     row of each component, that of the least doc_id (nulls last), then key."""

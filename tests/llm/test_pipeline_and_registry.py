@@ -43,6 +43,22 @@ def test_stages_keep_their_promises(spark, corpus):
     assert {i for i, _ in kept["source_mix"]} <= {i for i, _ in kept["secret_scan"]}
 
 
+def test_language_id_rejects_letter_junk_and_unlearned_languages(spark):
+    import corpus_pipeline
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    parts = {"en": ["the", "ing", "and", "wh", "th"], "fr": ["é", "eau", "ou", "à", "oi"]}
+    data = [(i, " ".join("".join(rng.choice(parts[("en", "fr")[i % 2]], 2)) for _ in range(rng.integers(8, 80))), ("en", "fr")[i % 2], "s") for i in range(300)]
+    junk = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n)) for n in (80, 400, 3000)] + ["съешь же ещё этих мягких французских булок " * 9, "\u6211\u80fd\u541e\u4e0b\u73bb\u7483\u800c\u4e0d\u4f24\u8eab\u4f53" * 20]
+    odd = [(1000 + k, t, None, "s") for k, t in enumerate(junk)] + [(2000, "12 34", None, "s"), (2001, None, "en", "s"), (2002, "", "en", "s"), (None, data[0][1], "en", "s")]
+    kept = Counter(r["doc_id"] for r in rows(corpus_pipeline.language_id(spark, documents(spark, data + odd), "")))
+    assert kept == Counter([r[0] for r in data] + [None])
+    none = documents(spark, [(1, "no language was learned", None, "s"), (2, "12", None, "s")])
+    assert [r["doc_id"] for r in rows(corpus_pipeline.language_id(spark, none, ""))] == [1]
+    assert rows(corpus_pipeline.language_id(spark, documents(spark, []), "")) == []
+
+
 def test_near_duplicates_keep_every_clean_row(spark):
     import corpus_pipeline
     from tarn.llm import ngram_join
@@ -58,6 +74,14 @@ def test_near_duplicates_keep_every_clean_row(spark):
     assert got == Counter([(None, 3, 8), (8, 3, 8), (None, 3, None), (None, 3, None), (5, 6, 5), (5, 6, 5), (7, 6, 5), (5, 2, 5), (None, 0, None), (None, 0, None)])
 
 
+def test_source_mix_takes_rows_that_share_an_id_each_for_itself(spark):
+    import corpus_pipeline
+
+    data = [((None, 5, k)[k % 3], f"text {k} " + "w " * (k % 7), "en", f"s{k % 2}") for k in range(90)]
+    kept = Counter(r["text"] for r in rows(corpus_pipeline.source_mix(spark, documents(spark, data), "")))
+    assert set(kept.values()) <= {1, 2} and set(kept) <= {t for _, t, _, _ in data} and len(kept) > 60
+
+
 def test_run_equals_stages(spark, corpus):
     import corpus_pipeline
 
@@ -67,6 +91,7 @@ def test_run_equals_stages(spark, corpus):
     for _, step in corpus_pipeline.STAGES:
         docs = step(spark, docs, folder)
     want = rows(docs)
+    assert len({r["doc_id"] for r in want}) > 50
     same = lambda x: Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in x)
     assert same(got) == same(want) and got
 

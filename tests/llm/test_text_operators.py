@@ -500,3 +500,60 @@ def test_language_id_learns_and_holds_out(spark):
     only = rows(langid.identify(documents(spark, [(1, "no labels here", None, "a")])))
     assert [(r["lang_pred"], r["score"]) for r in only] == [("und", 0.0)]
     assert rows(langid.identify(documents(spark, []))) == []
+
+
+def small_network(seed):
+    from dataclasses import fields, replace
+
+    from tarn.llm import langid
+
+    net = langid.fresh(["a", "b"], np.random.default_rng(seed))
+    return replace(net, **{f.name: getattr(net, f.name).astype(np.float64) for f in fields(net) if isinstance(getattr(net, f.name), np.ndarray)})
+
+
+def test_network_matches_a_naive_convolution():
+    from tarn.llm import langid
+
+    net = small_network(1)
+    windows = langid.windows_of("Ein naïver Text, etwas länger als ein Fenster. ".encode() * 7)
+    got = net.log_probs(windows)
+    for row, want in zip(windows, got, strict=True):
+        hidden = []
+        for i, width in enumerate(langid.WIDTHS):
+            for f in range(i * langid.FILTERS, (i + 1) * langid.FILTERS):
+                best = max(
+                    sum(net.embed[row[at + k]][d] * net.filters[k * langid.DIM + d, f] for k in range(width) for d in range(langid.DIM))
+                    for at in range(langid.WINDOW)
+                )
+                hidden.append(max(best + net.bias[f], 0))
+        z = [sum(h * net.dense[f, c] for f, h in enumerate(hidden)) + net.offset[c] for c in range(3)]
+        assert want == pytest.approx([x - math.log(sum(math.exp(y) for y in z)) for x in z])
+
+
+def test_network_gradients_match_differences():
+    from tarn.llm import langid
+
+    net, rng = small_network(2), np.random.default_rng(3)
+    windows, classes = langid.windows_of(bytes(rng.integers(97, 110, 700).tolist())), np.array([0, 1, 2])
+    loss = lambda: -net.log_probs(windows)[np.arange(3), classes].mean()
+    for name, g in zip(("embed", "filters", "bias", "dense", "offset"), langid.gradients(net, windows, classes), strict=True):
+        values = getattr(net, name)
+        for at in rng.permutation(np.flatnonzero(g))[:6]:
+            old, step = values.flat[at], 1e-6
+            values.flat[at] = old + step
+            up = loss()
+            values.flat[at] = old - step
+            down = loss()
+            values.flat[at] = old
+            assert g.flat[at] == pytest.approx((up - down) / (2 * step), rel=1e-3, abs=1e-7)
+
+
+def test_training_windows_come_from_whole_texts(spark, monkeypatch):
+    from tarn.llm import langid
+
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda windows, langs, seed: seen.extend(windows) or langid.fresh(sorted(set(langs)), np.random.default_rng(0)))
+    data = [(i, "".join(f"{k:05d}x" for k in range(20_000)), "en", "a") for i in range(60)] + [(None, "none", "en", "a"), (None, None, "en", "a")]
+    langid.fit(documents(spark, data))
+    places = [int(m[1]) for w in seen if (m := re.search(r"(\d{5})x", w))]
+    assert len(places) > 50 and min(places) < 5000 and max(places) > 15_000 and all(len(w) <= langid.SAMPLE_CHARS for w in seen)
