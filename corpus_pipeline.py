@@ -12,17 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import langid, mixing, ngram_join, packing, secrets
-from tarn.llm.common import read, stage
-
-#: A text is rejected if its most likely language is less likely than this (or if it has no letter).
-LEAST_SCORE = 0.26
+from tarn.llm.common import keyed, read, stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject texts without letters, and those that fit no language that was learned."""
+    """Reject texts without letters, and those that are foreign to every language that was learned."""
     found = langid.classify(docs)
-    kept = (F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE)
-    return found.filter(kept).drop("_lang", "_score")
+    return found.filter(langid.has_letter(F.col("text")) & ~F.col("_foreign")).drop("_lang", "_score", "_foreign")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +26,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that share a doc_id, or have none, stay if their texts do not link.
     """
-    keyed = ngram_join.keyed(docs)
-    first = ngram_join.join_rows(keyed).filter("first").select("_row")
-    return keyed.join(first, "_row", "left_semi").select(*docs.columns)
+    rows = keyed(docs)
+    first = ngram_join.join_rows(rows).filter("first").select("_row")
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +37,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what the mix takes; a document taken twice comes twice."""
-    taken = mixing.mix(docs).filter("taken > 0")
-    copies = taken.select(F.col("doc_id").alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    rows = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Keep what the mix takes, row by row; a document taken twice comes twice."""
+    rows = keyed(docs)
+    taken = mixing.mix(rows, row="_row").filter("taken > 0").select("_row", (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
+    return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
