@@ -39,7 +39,7 @@ from .common import arrow_batches, drop, global_rank, stage
 from .words import word_table
 
 CAPACITY, END_ID = 4096, 1
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 500_000
 #: Parts of a sequence that bound the bands of lengths. As many of a band's pieces as its number fit a new sequence.
 BANDS = (1, 2, 3, 4, 5, 6, 8, 16, 32, 64, 256)
 #: Rows that a task sweeps, and tasks at most.
@@ -210,7 +210,8 @@ def sweep(left: DataFrame, gaps: DataFrame, most: int, tasks: int) -> Sweep:
             cols = [*(pa.nulls(n, t) for t in types), pa.array([0] * n, pa.int32()), pa.array(seqs, pa.int64()), pa.array(slots, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(ends - slots, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, fields)
 
-    ordered = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select(*_PIECE, "kind", "seq", "slots")
+    dealt = rows.repartitionByRange(tasks, *order) if tasks > 1 else rows.repartition(1)  # few rows need no ranges
+    ordered = dealt.sortWithinPartitions(*order).select(*_PIECE, "kind", "seq", "slots")
     met = stage(ordered.mapInArrow(run, schema), "pack_met")
     sums = met.groupBy("part").agg(
         F.sum(F.when(F.col("kind") == 2, 1).otherwise(0)), F.sum(F.when(F.col("kind") == 0, F.col("slots")).otherwise(0)), F.sum(F.when(F.col("kind") == 2, F.col("length")).otherwise(0))
