@@ -6,10 +6,12 @@ tiles by such shingles. In a tile, sets are sorted by size and each is held only
 sizes; the differing bits of two hashed parity bitmaps bound the overlap from above, and what remains
 is decided by intersecting the sorted shingle arrays.
 
-Rounds keep groups of near copies from being expanded into pairs: first each set of a tile proposes
-only the partner that its bitmap finds nearest, and what the exact test links becomes one component.
-Pairs within a component need no test, so the last round, which tests every other pair of every tile,
-has few left.
+Rounds keep groups of near copies from being expanded into pairs. First each set is in one tile a shingle,
+and proposes only the partner that its bitmap finds nearest; what the exact test links becomes one
+component. Then one set of each component stands for it in the tiles of shingles that have several, and
+joins these tiles' components. Pairs within a component need no test, and a large component has tiles of
+its own, which never meet one another; so the last round, which tests every other pair, has few left, and
+a group of near copies costs as many rows as it has, not their square.
 
 Defined results for odd input: a null text is empty; a text without words has no shingles and links
 with nothing; with fewer words than a shingle, the whole sequence is the one shingle; repeated rows
@@ -225,15 +227,37 @@ def verify(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFra
     return wide.select("a", "b", "hashes_a", "hashes_b").mapInArrow(exact, "a long, b long")
 
 
-def meetings(rows: DataFrame, share: tuple[int, int], tile: int, nearest: bool, buckets: int) -> DataFrame:
-    """Pairs ``a, b`` to verify, of rows ``token, id, n, index, g, c, bits``.
-
-    A token's rows are salted into tiles of about ``tile`` sets, of which every two meet once. Tokens
-    of one tile only share one of ``buckets`` groups with others.
+def own_tiles(rows: DataFrame, tile: int) -> DataFrame:
+    """``token, i, j, salt, id, n, index, c``: every set in one tile of about ``tile`` sets of its token, which has ``g``."""
+    salt = F.pmod(F.xxhash64("id", "token"), F.ceil(F.col("g") / tile)).cast("int")
+    return rows.select("token", salt.alias("i"), salt.alias("j"), salt.alias("salt"), "id", "n", "index", "c")
+
+
+def all_tiles(rows: DataFrame, tile: int) -> DataFrame:
+    """The same, with every two tiles of a token that has more than one component, but those of one large component."""
+    sizes = rows.groupBy("token", "c").agg(F.count("*").alias("m"))
+    own = F.when(F.col("m") > tile, F.ceil(F.col("m") / tile))
+    large = sizes.filter(F.col("m") > tile).withColumn("own", own.cast("int"))
+    before = Window.partitionBy("token").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    large = large.select("token", "c", "own", F.coalesce(F.sum("own").over(before), F.lit(0)).cast("int").alias("start"))
+    shared = F.ceil(F.coalesce(F.sum(F.when(F.col("m") <= tile, F.col("m"))), F.lit(0)) / tile).cast("int")
+    open_tokens = sizes.groupBy("token").agg(shared.alias("shared"), F.coalesce(F.sum(own), F.lit(0)).cast("int").alias("more"), F.count("*").alias("parts"))
+    rows = rows.join(open_tokens.filter("parts > 1"), "token").join(large, ["token", "c"], "left")
+    # Tiles of small components come first, then those of each large one.
+    first, last = F.col("shared") + F.col("start"), F.col("shared") + F.col("more") - 1
+    rows = rows.withColumn("salt", F.when(F.col("own").isNull(), F.pmod(F.xxhash64("id"), F.col("shared"))).otherwise(first + F.pmod(F.xxhash64("id"), F.col("own"))).cast("int"))
+    none = F.array().cast("array<int>")
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(none)
+    others = F.when(F.col("own").isNull(), span(F.lit(0), last)).otherwise(F.concat(span(F.lit(0), first - 1), span(first + F.col("own"), last)))
+    rows = rows.withColumn("other", F.explode(others))
+    return rows.select("token", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "id", "n", "index", "c")
+
+
+def meetings(rows: DataFrame, bits: DataFrame, share: tuple[int, int], nearest: bool, buckets: int) -> DataFrame:
+    """Pairs ``a, b`` to verify, of rows ``token, i, j, salt, id, n, index, c`` and the sets' ``id, bits``.
+
+    Tiles that are the first of their tokens only share one of ``buckets`` groups with others.
     """
-    salts = F.ceil(F.col("g") / tile).cast("int")
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), salts - 1)))
-    rows = rows.select("token", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "id", "n", "index", "c", "bits")
 
     def meet(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -250,7 +274,7 @@ def meetings(rows: DataFrame, share: tuple[int, int], tile: int, nearest: bool,
         return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
 
     key = F.when(F.col("j") == 0, F.pmod(F.xxhash64("token"), F.lit(buckets))).otherwise(F.xxhash64("token", "i", "j"))
-    return rows.withColumn("key", key).groupBy("key").applyInArrow(meet, "a long, b long").distinct()
+    return rows.join(bits, "id").withColumn("key", key).groupBy("key").applyInArrow(meet, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, share: tuple[int, int] = SHARE, size: int = SHINGLE, tile: int = TILE) -> DataFrame:
@@ -273,9 +297,9 @@ def join_rows(rows: DataFrame, share: tuple[int, int] = SHARE, size: int = SHING
     first = classes.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     index = F.col("n") - F.ceil(F.lit(2 * share[0]) * F.col("n") / F.lit(share[0] + share[1])) + 1
     first = first.select("token", "id", "n", (F.col("pos") < index).alias("index"))
-    group = Window.partitionBy("token")
-    groups = first.withColumn("g", F.count("*").over(group)).withColumn("any", F.max("index").over(group)).filter("g > 1 and any").drop("any")
-    groups = stage(groups, "jaccard_groups")
+    # Counts are added up before they move, and joined back, so no shingle's rows are gathered.
+    several = first.groupBy("token").agg(F.count("*").alias("g"), F.max("index").alias("any")).filter("g > 1 and any").drop("any")
+    groups = stage(first.join(several, "token"), "jaccard_groups")
     sums = stage(wide.drop("prefix"), "jaccard_sums")
     drop(wide)
     # Shingles of one passage bring the same sets together again and again; one tile of each kind is enough.
@@ -287,17 +311,26 @@ def join_rows(rows: DataFrame, share: tuple[int, int] = SHARE, size: int = SHING
     signs = stage(signatures(only(docs, tiles.select("id").distinct()), size), "jaccard_signatures")
     bits = signs.select("id", "bits")
 
-    # First every set is alone. Sets without any proposal now have none later either.
-    pairs = stage(meetings(tiles.withColumn("c", F.col("id")).join(bits, "id"), share, tile, True, buckets), "jaccard_pairs")
-    involved = stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "jaccard_ids")
+    # First every set is alone.
+    pairs = stage(meetings(own_tiles(tiles.withColumn("c", F.col("id")), tile), bits, share, True, buckets), "jaccard_pairs")
+    # Sets without any proposal now have none later either, unless a shingle of theirs has further tiles.
+    crowd = tiles.filter(F.col("g") > tile).select("id")
+    involved = stage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowd).distinct(), "jaccard_ids")
     sets = stage(arrays(only(docs, involved), size), "jaccard_arrays")
-    tiles = stage(tiles.join(involved, "id").join(bits, "id"), "jaccard_tiles")
+    old, tiles = tiles, stage(tiles.join(involved, "id"), "jaccard_tiles")
+    drop(old)
     links = stage(verify(pairs, sets, share), "jaccard_links")
     parts = components(links)
-    for nearest in (True, False):
-        named = tiles.join(parts, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        open_tokens = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
-        pairs = stage(meetings(named.join(open_tokens, "token"), share, tile, nearest, buckets), "jaccard_pairs")
+    # The rounds after: representatives alone, where tiles of one shingle have not met; nearest partners; all pairs.
+    rounds = [(True, False), (False, False)]
+    if not tiles.filter(F.col("g") > tile).isEmpty():
+        rounds.insert(0, (True, True))
+    for nearest, alone in rounds:
+        named = tiles.join(parts, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component", "g")
+        if alone:
+            one = F.min_by(F.struct("id", "n", "index"), F.struct((~F.col("index")).alias("late"), "n", "id"))
+            named = named.groupBy("token", "c").agg(one.alias("one")).select("token", "c", "one.*")
+        pairs = stage(meetings(all_tiles(named, tile), bits, share, nearest, buckets), "jaccard_pairs")
         links = links.unionByName(stage(verify(pairs, sets, share), "jaccard_links"))
         parts = components(links)
     known = sums.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id")).join(parts, "id", "left")

@@ -459,6 +459,46 @@ def test_ngram_join_matches_brute_force(spark, tile):
     assert rows(ngram_join.join(documents(spark, []))) == []
 
 
+@pytest.mark.parametrize("joined", [False, True])
+def test_tiles_meet_once_but_not_within_a_large_component(spark, joined):
+    from tarn.llm.ngram_join import all_tiles
+
+    # 40 sets of one component, 7 of others; under tiles of 8.
+    data = [(1, i, 1 if i < 40 or joined and i < 44 else i) for i in range(47)] + [(2, 0, 1), (2, 1, 1), (3, 0, 1), (3, 46, 46)]
+    frame = spark.createDataFrame([(t, i, c, 10, True) for t, i, c in data], "token long, id long, c long, n long, index boolean")
+    got = rows(all_tiles(frame, 8))
+    met = Counter()
+    by = defaultdict(list)
+    for r in got:
+        by[r["token"], r["i"], r["j"]].append(r)
+    for (token, i, j), v in by.items():
+        for x in v:
+            for y in v:
+                if x["id"] < y["id"] and (i == j or x["salt"] != y["salt"]):
+                    met[token, x["id"], y["id"]] += 1
+    apart = {(t, a, b) for t, a, c in data for u, b, d in data if t == u and a < b and c != d}
+    assert all(met[p] == 1 for p in apart) and max(met.values()) == 1
+    assert all(t != 2 for t, _, _ in met) and len([r for r in got if r["token"] == 1]) < 40 * 2 + 7 * 10
+
+
+def test_a_family_of_near_copies_costs_rows_not_pairs(spark, monkeypatch):
+    from tarn.llm import ngram_join
+
+    made = []
+    tiles = ngram_join.all_tiles
+    monkeypatch.setattr(ngram_join, "all_tiles", lambda r, tile: made.append(0) or tiles(r, tile).transform(lambda d: made.__setitem__(-1, d.count()) or d))
+    seen = {}
+    for size in (150, 300):
+        made.clear()
+        rng = np.random.default_rng(size)
+        base = [f"w{k}" for k in range(100)]
+        data = [(i, " ".join(base[:at] + [f"edit{i}"] + base[at + 1 :]), "en", "a") for i, at in enumerate(rng.integers(0, 100, size).tolist())]
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(ngram_join.join(documents(spark, data), tile=16))}
+        assert got == brute_components(data)
+        seen[size] = sum(made)
+    assert seen[300] < 2.5 * seen[150] + 500
+
+
 def test_prefixes_meet_whenever_sets_link():
     from tarn.llm.ngram_join import bitmap, fold, may_link, prefix_length
 
