@@ -1,8 +1,8 @@
 """License scans by diagonal voting, with DataFrame functions only.
 
 Every rolling word k-gram of every text is hashed and joined to the k-grams of known texts: pairs to those
-of the base phrases, five words to those of whole license texts and notices. The words themselves verify a
-hash. A match of text position ``p`` with template position ``o`` votes for the diagonal ``p - o``. A
+of the base phrases, five words to those of whole license texts and notices. The hashes of the single words verify
+a match. A match of text position ``p`` with template position ``o`` votes for the diagonal ``p - o``. A
 diagonal on which all pairs of a phrase vote is that phrase, word for word. For license texts,
 neighbouring diagonals (words put in or left out) are merged, and the span counts if the k-grams that
 voted cover enough of the template's words.
@@ -47,9 +47,10 @@ def grams_of(texts: dict[str, str], k: int) -> list[tuple[list[str], str, int, i
 
 
 def templates(spark: SparkSession, texts: dict[str, str], k: int, base: bool) -> DataFrame:
-    """``h, gram, at``: a row per distinct k-gram of the fixed texts, with the places where it stands."""
+    """``h, gram, at``: a row per distinct k-gram of the fixed texts, as hashes of its words, with the places where it stands."""
     rows = spark.createDataFrame(grams_of(texts, k), "gram array<string>, label string, offset int, words int")
     place = F.struct("label", F.lit(base).alias("base"), "offset", "words")
+    rows = rows.withColumn("gram", F.transform("gram", lambda w: F.xxhash64(w)))
     return rows.groupBy("gram").agg(F.collect_list(place).alias("at")).withColumn("h", F.xxhash64("gram"))
 
 
@@ -65,13 +66,10 @@ def scan(docs: DataFrame) -> DataFrame:
     short = templates(spark, {v: k for k, v in PHRASES.items()}, SHORT, True).select(F.col("h").alias("h2"), F.col("gram").alias("gram2"), F.col("at").alias("at2"))
     long = templates(spark, TEXTS, LONG, False).select(F.col("h").alias("h5"), F.col("gram").alias("gram5"), F.col("at").alias("at5"))
     words = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words_of(F.col("text")).alias("words"))
-    words = words.select("doc_id", "row", "words", F.size("words").cast("long").alias("n_words"))
-
-    def rolling(w: Column, i: Column) -> Column:
-        two, five = F.slice("words", i + 1, SHORT), F.slice("words", i + 1, LONG)
-        return F.struct(i.alias("pos"), F.xxhash64(two).alias("h2"), F.xxhash64(five).alias("h5"), five.alias("gram"))
-
-    rolled = words.select("doc_id", "row", "n_words", F.inline_outer(F.transform("words", rolling)))
+    words = words.select("doc_id", "row", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
+    words = words.select("doc_id", "row", F.size("words").cast("long").alias("n_words"), F.transform("words", lambda w, i: F.slice("words", i + 1, LONG)).alias("grams"))
+    rolled = words.select("doc_id", "row", "n_words", F.posexplode_outer("grams").alias("pos", "gram"))
+    rolled = rolled.select("*", F.xxhash64(F.slice("gram", 1, SHORT)).alias("h2"), F.xxhash64("gram").alias("h5"))
     met = rolled.join(F.broadcast(short), (rolled["h2"] == short["h2"]) & (F.slice("gram", 1, SHORT) == short["gram2"]), "left")
     met = met.join(F.broadcast(long), (rolled["h5"] == long["h5"]) & (F.col("gram") == long["gram5"]), "left")
     none = F.array().cast(short.schema["at2"].dataType)
