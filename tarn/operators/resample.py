@@ -43,11 +43,12 @@ def interval(draws: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return draws.groupBy(*by).agg(F.avg(x).alias("mean"), F.percentile(x, 0.025).alias("p025"), F.percentile(x, 0.975).alias("p975"), F.avg((x > 0).cast("double")).alias("p_positive"))
 
 
-def matched_panels(candidates: DataFrame, need: DataFrame, set_col: str, stratum: str, item: str, draws: int, seed: str) -> DataFrame:
-    """``set, draw, item``: for each set as many items of each stratum as ``need(set, stratum, n)`` says.
+def matched_panels(rows: DataFrame, set_col: str, stratum: str, item: str, draws: int, seed: str) -> DataFrame:
+    """``set, draw, stratum, item``: for each set as many items of each stratum as it needs.
 
-    Candidates of a set's own are left out before; a stratum with too few gives fewer, so check it.
+    ``rows`` has ``set, stratum, n, item``: the items that a set may draw, with the number ``n`` it needs of
+    their stratum; a stratum with too few gives fewer, so check it.
     """
-    rows = need.join(candidates, stratum).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    rows = rows.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
     order = Window.partitionBy(set_col, "draw", stratum).orderBy(draw_key(F.lit(seed), set_col, "draw", item), item)
     return rows.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= F.col("n")).select(set_col, "draw", stratum, item)

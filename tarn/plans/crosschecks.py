@@ -7,25 +7,27 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars as S
 from ..functions import stats
-from ..operators import audit
 from ..operators import survival as V
 from ..shared import stage
 from .aggregates import _SCENARIO, scenario_summary
 from .entities import DESIGN, SELECTION, SURVIVAL, design, selection, survival
 from .registry import query
-from .resampling import simulated_survival
-from .survival import _tau
+from .survival import _tau, km_sql
 
 _r = lambda c, n=6: F.round(c, n)
 
 
-@query("v2_km_two_ways", f"WITH {SURVIVAL} SELECT cohort, true AS agrees FROM survival GROUP BY 1")
+@query(
+    "v2_km_two_ways",
+    f"""WITH {SURVIVAL}, {km_sql('km', 'cohort')}, f AS (SELECT cohort, product(1 - d / n) AS by_fold FROM km GROUP BY 1), w AS (SELECT cohort, arg_max(s, t) AS by_window FROM km GROUP BY 1)
+    SELECT cohort, round(by_window, 6) AS by_window, round(by_fold, 6) AS by_fold, abs(by_window - by_fold) <= 1e-12 AS agrees FROM w JOIN f USING (cohort)""",
+)
 def km_two_ways(spark, d):
-    """The window product against a fold over each cohort's steps."""
+    """The window product against a product over each cohort's steps."""
     km = stage(V.kaplan_meier(survival(spark, d), ["cohort"]), "km")
-    last = km.groupBy("cohort").agg(F.max_by("s", "t").alias("by_window"), F.sort_array(F.collect_list(F.struct("t", (1 - F.col("d") / F.col("n")).alias("f")))).alias("steps"))
-    by_fold = F.aggregate("steps", F.lit(1.0), lambda s, x: s * x["f"])
-    return last.select("cohort", (F.abs(F.col("by_window") - by_fold) <= 1e-12).alias("agrees"))
+    last = km.groupBy("cohort").agg(F.max_by("s", "t").alias("by_window"), F.product(1 - F.col("d") / F.col("n")).alias("by_fold"))
+    agrees = F.abs(F.col("by_window") - F.col("by_fold")) <= 1e-12
+    return last.select("cohort", _r("by_window").alias("by_window"), _r("by_fold").alias("by_fold"), agrees.alias("agrees"))
 
 
 @query(
@@ -82,11 +84,3 @@ def outcome_permutation(spark, d):
     obs = F.max(F.when(F.col("draw") == 0, F.col("c"))).over(Window.partitionBy("cohort"))
     c = c.withColumn("obs", obs).filter("c IS NOT NULL AND obs IS NOT NULL")
     return c.groupBy("cohort").agg(_r(F.max("obs"), 4).alias("observed"), _r((1 + F.count_if((F.col("draw") > 0) & (F.col("c") >= F.col("obs")))) / (1 + F.count_if(F.col("draw") > 0))).alias("p"))
-
-
-@query("i6f_simulation_contract")
-def simulation_contract(spark, d):
-    """Simulated subjects have the sizes, event counts and finite values that their design states."""
-    x = simulated_survival(spark, d).join(design(spark, d).select("scenario", "events"), "scenario")
-    by = x.groupBy("scenario").agg(F.count("*").alias("n"), F.sum("event").alias("e"), F.max("events").alias("events"), F.bool_and(S.is_finite("time") & S.is_finite("risk")).alias("finite"))
-    return audit.contract(by, {"size": F.bool_and(F.col("n") == 120), "events": F.bool_and(F.col("e") == F.col("events")), "finite": F.bool_and("finite")})

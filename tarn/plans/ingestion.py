@@ -11,12 +11,18 @@ from .registry import query
 from .resampling import _PANELS, key_sql, matched_panels
 
 
-@query("s3_header_probe", "SELECT * FROM (VALUES (0, 'key', true), (1, 'name', false), (2, 'key', true)) AS t(place, column_name, duplicated)")
+@query(
+    "s3_header_probe",
+    """WITH c AS (SELECT row_number() OVER () - 1 AS k, 1 AS t, column_name AS c FROM (DESCRIBE nation) UNION ALL SELECT row_number() OVER () - 1, 2, column_name FROM (DESCRIBE region)),
+    n AS (SELECT row_number() OVER (ORDER BY t, k) - 1 AS place, substr(c, 3) AS name FROM c) SELECT CAST(place AS INTEGER) AS place, name AS column_name, count(*) OVER (PARTITION BY name) > 1 AS duplicated FROM n""",
+)
 def header_probe(spark, d):
-    """The header as it stands; a reader that renames duplicates would hide them."""
+    """The header as it stands, of two tables side by side without their prefixes; a reader that renames duplicates would hide them."""
     path = scratch(spark, "header")
-    r = table(spark, d, "region")
-    r.orderBy("r_regionkey").coalesce(1).select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"), F.col("r_regionkey").alias("key")).toDF("key", "name", "key").select(F.lit("key,name,key").alias("value")).limit(1).write.text(path)
+    both = table(spark, d, "nation").crossJoin(table(spark, d, "region").limit(0))
+    lines = both.select(F.concat_ws(",", *(F.col(c).cast("string") for c in both.columns)).alias("value"))
+    header = spark.createDataFrame([(",".join(c[2:] for c in both.columns),)], "value string")
+    header.unionByName(lines).coalesce(1).write.text(path)
     names = tables.header_of(spark, path)
     return spark.createDataFrame([(i, n, names.count(n) > 1) for i, n in enumerate(names)], "place int, column_name string, duplicated boolean")
 
@@ -36,7 +42,8 @@ def array_bundle(spark, d):
 def _series(spark, d) -> str:
     path = scratch(spark, "series")
     lines = F.array_join(F.sort_array(F.collect_list(F.concat_ws("\t", F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), "n_name"))), "\n")
-    text = F.concat(F.lit('!title = nations\n!source = test\n!source = again\n!table_begin\n'), lines, F.lit("\n!table_end\n!after = none"))
+    names = F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("!nation = "), F.col("n_name")))), "\n")
+    text = F.concat(F.lit("!title = nations\n"), names, F.lit("\n!table_begin\n"), lines, F.lit("\n!table_end\n!after = none"))
     table(spark, d, "nation").agg(text.alias("value")).write.option("compression", "gzip").text(path)
     return path
 
@@ -47,9 +54,65 @@ def series_matrix(spark, d):
     return tables.marked_table(spark, _series(spark, d), "!table_begin", "!table_end", ["id", "name"])
 
 
-@query("s12c_key_values", "SELECT * FROM (VALUES ('title', 1), ('source', 2), ('after', 1)) AS t(key, n)")
+@query("s12b_platform_table", "SELECT CAST(p_partkey AS VARCHAR) AS probe, p_brand AS brand, p_type AS kind FROM part")
+def platform_table(spark, d):
+    """An annotation table between its markers, with a header of its own."""
+    path = scratch(spark, "platform")
+    lines = F.array_join(F.sort_array(F.collect_list(F.concat_ws("\t", F.col("p_partkey").cast("string"), "p_brand", "p_type"))), "\n")
+    text = F.concat(F.lit("^PLATFORM = parts\n!platform_table_begin\nprobe\tbrand\tkind\n"), lines, F.lit("\n!platform_table_end"))
+    table(spark, d, "part").agg(text.alias("value")).write.text(path)
+    return tables.marked_table(spark, path, "!platform_table_begin", "!platform_table_end", ["probe", "brand", "kind"]).filter("probe <> 'probe'")
+
+
+@query(
+    "s12c_key_values",
+    "SELECT 'title' AS key, 1 AS n, 'nations' AS last UNION ALL SELECT 'after', 1, 'none' UNION ALL SELECT 'nation', CAST(count(*) AS INTEGER), max(n_name) FROM nation",
+)
 def key_values(spark, d):
-    return tables.key_values(spark, _series(spark, d)).select("key", F.size("values").alias("n"))
+    return tables.key_values(spark, _series(spark, d)).select("key", F.size("values").alias("n"), F.array_max("values").alias("last"))
+
+
+@query(
+    "s23_file_discovery",
+    """WITH f AS (SELECT unnest(['nation_full', 'nation_even', 'other_nation']) AS name, unnest([1, 1, 2]) AS priority, unnest([1, 2, 1]) AS step),
+    s AS (SELECT name, priority, count(*) FILTER (n_nationkey % step = 0) / CAST(count(*) AS DOUBLE) AS overlap FROM nation, f GROUP BY 1, 2)
+    SELECT name, priority, round(overlap, 6) AS overlap, row_number() OVER (ORDER BY priority, overlap DESC, name) = 1 AS chosen FROM s""",
+)
+def file_discovery(spark, d):
+    """Candidate files below a folder, without excluded ones, by priority of their names and overlap with the ids sought."""
+    root = scratch(spark, "candidates")
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    for name, step in (("nation_full", 1), ("nation_even", 2), ("other_nation", 1), ("nation_full_backup", 1)):
+        n.filter(F.col("n_nationkey") % step == 0).coalesce(1).write.option("header", True).csv(f"{root}/{name}")
+    found = tables.discover(spark, root, [r"/nation_[^/]+/[^/]+\.csv$", r"\.csv$"], [r"_backup/"])
+    return tables.by_overlap(spark, found, n.select(F.col("n_nationkey").cast("string").alias("id")), "n_nationkey").select(
+        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("name"), "priority", F.round("overlap", 6).alias("overlap"), "chosen"
+    )
+
+
+@query(
+    "j19_column_choice",
+    """WITH k AS (SELECT unnest(['price', 'date', 'status', 'key']) AS concept), c AS (SELECT column_name AS c FROM (DESCRIBE orders)),
+    s AS (SELECT concept, c, CASE WHEN substr(c, 3) = concept THEN 3 WHEN ends_with(c, concept) THEN 2 WHEN contains(c, concept) THEN 1 ELSE 0 END AS score FROM k, c)
+    SELECT concept, c AS column_name, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY concept ORDER BY score DESC, length(c), c) = 1""",
+)
+def column_choice(spark, d):
+    """For each concept, the column whose name says it best: equal, at the end, or within."""
+    names = table(spark, d, "orders").columns
+    chosen = tables.choose_columns(names, ("price", "date", "status", "key"), prefix="o_")
+    return spark.createDataFrame(chosen, "concept string, column_name string, score int")
+
+
+@query(
+    "i8_freeze_or_verify",
+    "SELECT 'first' AS run, 'frozen' AS status, count(*) AS n FROM nation UNION ALL SELECT 'again', 'verified', count(*) FROM nation UNION ALL SELECT 'changed', CASE WHEN count(*) FILTER (n_nationkey <> 3) = count(*) THEN 'verified' ELSE 'changed' END, count(*) FILTER (n_nationkey <> 3) FROM nation",
+)
+def freeze_or_verify(spark, d):
+    """A table is frozen when it is first seen; later it must be the same."""
+    path = scratch(spark, "frozen")
+    n = table(spark, d, "nation")
+    runs = [(k, tables.freeze_or_verify(x, path), x.count()) for k, x in (("first", n), ("again", n.orderBy(F.col("n_name").desc())), ("changed", n.filter("n_nationkey <> 3")))]
+    return spark.createDataFrame(runs, "run string, status string, n long")
 
 
 @query("s22_file_inventory")

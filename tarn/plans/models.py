@@ -1,15 +1,16 @@
-"""Fitted models, one group a task: ridge and elastic-net Cox, nested tuning, transfer variants."""
+"""Fitted models: ridge and elastic-net Cox by rounds of summed moments, nested tuning."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions import kernels
-from .entities import design, survival, table
+from ..operators import survival as V
+from ..operators.fits import elastic_net, newton
+from ..shared import stage
+from .entities import survival, table
 from .registry import query
-from .resampling import simulate
 
 _FEATURES = ["x1", "x2", "x3"]
 
@@ -18,164 +19,81 @@ def _features(spark, d):
     """Subjects with a few standardised covariates of their orders."""
     li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.avg("l_discount").alias("disc"), F.sum("l_quantity").alias("qty"))
     x = survival(spark, d).join(li, "id")
-    return x.select("cohort", "arm", "id", "time", "event", ((F.col("x") - 250000) / 150000).alias("x1"), ((F.col("disc") - 0.05) / 0.03).alias("x2"), ((F.col("qty") - 100) / 60).alias("x3"))
+    x = x.select("cohort", "arm", "id", "time", "event", ((F.col("x") - 250000) / 150000).alias("x1"), ((F.col("disc") - 0.05) / 0.03).alias("x2"), ((F.col("qty") - 100) / 60).alias("x3"))
+    return stage(x, "features")
 
 
-def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    pdf = pdf.sort_values("id")
-    return pdf["time"].to_numpy(float), pdf["event"].to_numpy(float), pdf[_FEATURES].to_numpy(float)
+def _coefficients(spark, fits):
+    rows = [(g, fine, *(round(float(x), 5) for x in b)) for g, (b, fine) in fits.items()]
+    return spark.createDataFrame(rows, "cohort string, converged boolean, b0 double, b1 double, b2 double")
 
 
 @query("v15_centred_ridge_cox")
 def centred_ridge(spark, d):
     """Coefficients shrunk towards a centre instead of zero."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        beta, fine = kernels.ridge_cox(*_arrays(pdf), penalty=5.0, centre=np.array([0.1, 0.0, 0.0]))
-        return pd.DataFrame({"cohort": [pdf["cohort"].iloc[0]], "converged": [fine], **{f"b{i}": [round(float(b), 5)] for i, b in enumerate(beta)}})
-
-    return _features(spark, d).groupBy("cohort").applyInPandas(fit, "cohort string, converged boolean, b0 double, b1 double, b2 double")
+    return _coefficients(spark, newton(_features(spark, d), "cohort", _FEATURES, lambda _: 5.0, np.array([0.1, 0.0, 0.0])))
 
 
 @query("v16_ridge_cox")
 def ridge(spark, d):
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        beta, fine = kernels.ridge_cox(*_arrays(pdf), penalty=1.0)
-        return pd.DataFrame({"cohort": [pdf["cohort"].iloc[0]], "converged": [fine], **{f"b{i}": [round(float(b), 5)] for i, b in enumerate(beta)}})
+    return _coefficients(spark, newton(_features(spark, d), "cohort", _FEATURES, lambda _: 1.0))
+
 
-    return _features(spark, d).groupBy("cohort").applyInPandas(fit, "cohort string, converged boolean, b0 double, b1 double, b2 double")
+#: Penalties of a path, and mixes of absolute and squared penalties.
+ALPHAS, RATIOS = tuple(float(a) for a in 0.2 * 0.01 ** (np.arange(30) / 29)), (0.1, 0.5, 1.0)
 
 
 @query("v17_elastic_net_path")
-def elastic_net(spark, d):
-    """Non-zero coefficients along a path of penalties, for two mixes of penalties."""
+def elastic_net_path(spark, d):
+    """Non-zero coefficients along a path of 30 penalties, for three mixes; every arm and penalty is a group of one fit."""
+    x = _features(spark, d)
+    n = {r["arm"]: r["count"] for r in x.groupBy("arm").count().collect()}
+    path = F.explode(F.array(*(F.struct(F.lit(r).alias("ratio"), F.lit(i).alias("place")) for r in range(len(RATIOS)) for i in range(len(ALPHAS)))))
+    rows = x.select("*", path.alias("p")).withColumn("grp", F.concat_ws("#", "p.ratio", "p.place", "arm"))
+    groups = {f"{r}#{i}#{arm}": (arm, r, i) for arm in n for r in range(len(RATIOS)) for i in range(len(ALPHAS))}
+    fits = elastic_net(rows, "grp", _FEATURES, {g: n[k[0]] for g, k in groups.items()}, lambda g: ALPHAS[groups[g][2]], lambda g: RATIOS[groups[g][1]])
+    out = [(groups[g][0], RATIOS[groups[g][1]], groups[g][2], round(ALPHAS[groups[g][2]], 6), int((b != 0).sum()), round(float(np.abs(b).sum()), 4)) for g, b in fits.items()]
+    return spark.createDataFrame(out, "arm string, l1_ratio double, path_index int, alpha double, n_nonzero int, l1 double")
+
+
+_PENALTIES, _TOLERANCE, _NEST = (0.1, 1.0, 10.0, 100.0), 0.005, 3
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, e, x = _arrays(pdf)
-        alphas = 0.2 * 0.5 ** np.arange(8)
-        rows = []
-        for ratio in (0.5, 1.0):
-            for i, b in enumerate(kernels.elastic_net_cox(t, e, x, alphas, ratio)):
-                rows.append((pdf["cohort"].iloc[0], ratio, i, round(float(alphas[i]), 6), int((b != 0).sum()), round(float(np.abs(b).sum()), 5)))
-        return pd.DataFrame(rows, columns=["cohort", "l1_ratio", "path_index", "alpha", "n_nonzero", "l1"])
 
-    return _features(spark, d).groupBy("cohort").applyInPandas(fit, "cohort string, l1_ratio double, path_index int, alpha double, n_nonzero int, l1 double")
+def _scores(rows, fits):
+    """Concordance by ``grp`` of the rows under their group's coefficients."""
+    table = rows.sparkSession.createDataFrame([(g, *map(float, b)) for g, (b, _) in fits.items()], "grp string, b1 double, b2 double, b3 double")
+    x = rows.join(F.broadcast(table), "grp")  # a row per fit
+    return V.uno_fast(x.withColumn("risk", F.col("x1") * F.col("b1") + F.col("x2") * F.col("b2") + F.col("x3") * F.col("b3")), "grp")
 
 
 @query("v18_nested_tuning")
 def nested_tuning(spark, d):
-    """Each (cohort, outer fold, penalty) is a task: inner folds score the penalty; the best within tolerance wins."""
-    x = _features(spark, d).withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(3)).cast("int"))
-    tasks = x.withColumn("outer", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).filter("fold <> outer").withColumn("alpha", F.explode(F.array(*map(F.lit, (0.1, 1.0, 10.0, 100.0)))))
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        cs = []
-        for inner in sorted(pdf["fold"].unique()):
-            a, b = pdf[pdf["fold"] != inner], pdf[pdf["fold"] == inner]
-            beta, _ = kernels.ridge_cox(*_arrays(a), penalty=float(pdf["alpha"].iloc[0]))
-            t, e, z = _arrays(b)
-            c = kernels.uno_c(t, e, z @ beta, np.ones(len(t)), np.inf)
-            if c is not None:
-                cs.append(c)
-        return pd.DataFrame({"cohort": [pdf["cohort"].iloc[0]], "outer": [pdf["outer"].iloc[0]], "alpha": [pdf["alpha"].iloc[0]], "c": [float(np.mean(cs)) if cs else None]})
-
-    from pyspark.sql.window import Window
-
-    scored = tasks.groupBy("cohort", "outer", "alpha").applyInPandas(score, "cohort string, outer int, alpha double, c double")
-    best = F.max("c").over(Window.partitionBy("cohort", "outer"))
-    near = scored.withColumn("best", best).filter("c >= best - 0.005")
-    return near.groupBy("cohort", "outer").agg(F.max("alpha").alias("alpha"), F.round(F.max("best"), 5).alias("best_c"))
+    """For each outer fold, inner folds score the penalties; the largest within tolerance of the best is fitted to
+    all inner folds and scored on the outer one, which no choice has seen."""
+    x = stage(_features(spark, d).withColumn("fold", (F.col("id") % _NEST).cast("int")), "nested")
+    folds = F.array(*map(F.lit, range(_NEST)))
+    x = x.withColumn("outer", F.explode(folds)).withColumn("a", F.explode(F.array(*map(F.lit, range(len(_PENALTIES))))))
+    penalty = lambda g: _PENALTIES[int(g.split("#")[1])]
+    tasks = x.filter("fold <> outer").withColumn("inner", F.explode(folds)).filter("inner <> outer").withColumn("grp", F.concat_ws("#", "outer", "a", "inner", "arm"))
+    tasks = stage(tasks, "tuning")
+    fits = newton(tasks.filter("fold <> inner"), "grp", _FEATURES, penalty)
+    part = F.split("grp", "#")
+    inner = _scores(tasks.filter("fold = inner"), fits).select(part[3].alias("arm"), part[0].cast("int").alias("outer"), part[1].cast("int").alias("a"), "c")
+    inner = inner.groupBy("arm", "outer", "a").agg(F.avg("c").alias("c"))
+    best = F.max("c").over(Window.partitionBy("arm", "outer"))
+    chosen = inner.withColumn("best", best).filter(F.col("c") >= F.col("best") - _TOLERANCE).groupBy("arm", "outer").agg(F.max("a").alias("a"), F.max("best").alias("best_c"))
+    chosen = stage(chosen, "chosen")
+    refit = x.join(F.broadcast(chosen), ["arm", "outer", "a"]).withColumn("grp", F.concat_ws("#", "outer", "a", "arm"))  # a row per arm and fold
+    fits = newton(refit.filter("fold <> outer"), "grp", _FEATURES, penalty)
+    outer = _scores(refit.filter("fold = outer"), fits).select(part[2].alias("arm"), part[0].cast("int").alias("outer"), F.col("c").alias("outer_c"))
+    alpha = F.element_at(F.array(*map(F.lit, _PENALTIES)), F.col("a") + 1)
+    return chosen.join(outer, ["arm", "outer"], "left").select("arm", "outer", alpha.alias("alpha"), F.round("best_c", 4).alias("best_c"), F.round("outer_c", 4).alias("outer_c"))
 
 
 @query("v20b_directional_refit")
 def directional_refit(spark, d):
     """One penalty, refitted in each arm: do the coefficients point the same way as overall?"""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        beta, _ = kernels.ridge_cox(*_arrays(pdf), penalty=10.0)
-        return pd.DataFrame({"arm": pdf["arm"].iloc[0], "term": _FEATURES, "b": beta.round(5)})
-
-    arms = _features(spark, d).groupBy("arm").applyInPandas(fit, "arm string, term string, b double")
+    fits = newton(_features(spark, d), "arm", _FEATURES, lambda _: 10.0)
+    arms = spark.createDataFrame([(g, t, round(float(x), 5)) for g, (b, _) in fits.items() for t, x in zip(_FEATURES, b, strict=True)], "arm string, term string, b double")
     mean = arms.groupBy("term").agg(F.avg("b").alias("mean_b"))
     return arms.join(mean, "term").select("arm", "term", "b", (F.sign("b") == F.sign("mean_b")).alias("same_sign"))
-
-
-def encode(x: np.ndarray, rng: np.random.Generator, widths: tuple[int, ...] = (16, 8)) -> list[np.ndarray]:
-    """Weights of a small tanh encoder."""
-    dims = (x.shape[1], *widths)
-    return [rng.normal(0, 1 / np.sqrt(a), (a, b)) for a, b in zip(dims, dims[1:], strict=False)]
-
-
-def forward(weights: list[np.ndarray], x: np.ndarray) -> list[np.ndarray]:
-    out = [x]
-    for w in weights:
-        out.append(np.tanh(out[-1] @ w))
-    return out
-
-
-def train_network(x: np.ndarray, time: np.ndarray, event: np.ndarray, weights: list[np.ndarray], head: np.ndarray, free: bool, steps: int = 60, rate: float = 0.05) -> tuple[list[np.ndarray], np.ndarray]:
-    """Gradient descent on the Cox loss through the encoder (if ``free``) and the linear head."""
-    weights, head = [w.copy() for w in weights], head.copy()
-    for _ in range(steps):
-        layers = forward(weights, x)
-        eta = layers[-1] @ head
-        order = np.argsort(-time, kind="stable")
-        w = np.exp(np.clip(eta[order], -30, 30))
-        s0 = np.cumsum(w)
-        e = event[order].astype(float)
-        grad = np.empty(len(eta))
-        grad[order] = (w * np.cumsum((e / s0)[::-1])[::-1] - e) / max(e.sum(), 1)
-        g = np.outer(grad, head)
-        head -= rate * (layers[-1].T @ grad + 1e-3 * head)
-        if free:
-            for i in range(len(weights) - 1, -1, -1):
-                g = g * (1 - layers[i + 1] ** 2)
-                step = layers[i].T @ g
-                g = g @ weights[i].T
-                weights[i] -= rate * (step + 1e-3 * weights[i])
-    return weights, head
-
-
-def transfer_variants(source: dict, target: dict, seed: int) -> dict[str, np.ndarray]:
-    """Risks on the target by variant: B0 target-only linear, B4 centred on the source, A0 target-only
-    network, A1 source encoder with a new head, A2 the same with a low-rank adapter, A3 gated blend of
-    A1 and B0, A4 full fine-tuning."""
-    rng = np.random.default_rng(seed)
-    xs, xt = source["x"], target["x"]
-    half = np.arange(len(xt)) < len(xt) // 2
-    t, e = target["time"][half], target["event"][half]
-    b_source, _ = kernels.ridge_cox(source["time"], source["event"], xs, penalty=20.0)
-    out = {"B0": xt @ kernels.ridge_cox(t, e, xt[half], penalty=20.0)[0], "B4": xt @ kernels.ridge_cox(t, e, xt[half], penalty=20.0, centre=b_source)[0]}
-    start, head = encode(xs, rng), rng.normal(0, 0.1, 8)
-    w0, h0 = train_network(xt[half], t, e, start, head, True)
-    out["A0"] = forward(w0, xt)[-1] @ h0
-    ws, hs = train_network(xs, source["time"], source["event"], start, head, True)
-    _, h1 = train_network(xt[half], t, e, ws, hs, False)
-    out["A1"] = forward(ws, xt)[-1] @ h1
-    codes = forward(ws, xt)[-1]
-    u = np.linalg.svd(codes - codes.mean(0), full_matrices=False)[2][:4].T
-    out["A2"] = out["A1"] + (codes @ u) @ kernels.ridge_cox(t, e, (codes @ u)[half], penalty=5.0)[0]
-    prior = np.clip(target["prior"], 0, 1).mean()
-    out["A3"] = prior * out["A1"] / max(out["A1"].std(), 1e-9) + (1 - prior) * out["B0"] / max(out["B0"].std(), 1e-9)
-    w4, h4 = train_network(xt[half], t, e, ws, hs, True)
-    out["A4"] = forward(w4, xt)[-1] @ h4
-    return out
-
-
-@query("m9_transfer_matrix")
-def transfer_matrix(spark, d):
-    """Simulated source and target by scenario, all variants fitted, concordance on the untouched half."""
-    g = design(spark, d).filter("scenario_class = 'CORE'").select("scenario", "events")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = int(pdf["scenario"].iloc[0])
-        source, target = simulate(s, 0, 60), simulate(s, 0, max(20, int(pdf["events"].iloc[0])))
-        test = np.arange(len(target["time"])) >= len(target["time"]) // 2
-        rows = []
-        for name, risk in transfer_variants(source, target, s).items():
-            c = kernels.uno_c(target["time"][test], target["event"][test], risk[test], np.ones(test.sum()), np.inf)
-            rows.append((s, name, None if c is None else round(c, 4)))
-        return pd.DataFrame(rows, columns=["scenario", "model", "c"])
-
-    return g.groupBy("scenario").applyInPandas(run, "scenario long, model string, c double")

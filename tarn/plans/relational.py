@@ -99,7 +99,11 @@ def reconciliation(spark, d):
     return R.reconcile(c.filter("k % 10 < 7"), c.filter("k % 10 > 3").withColumn("v", F.col("v") - F.col("v") % 2), "k", "v")
 
 
-@query("j13b_first_complete_key", "SELECT 'digits' AS chosen")
+@query(
+    "j13b_first_complete_key",
+    """WITH k AS (SELECT c_name AS x, CAST(CAST(nullif(regexp_extract(c_name, '#([0-9]+)$', 1), '') AS BIGINT) AS VARCHAR) AS digits FROM customer), y AS (SELECT CAST(c_custkey AS VARCHAR) AS y FROM customer)
+    SELECT CASE WHEN (SELECT bool_and(x IN (SELECT y FROM y)) FROM k) THEN 'exact' WHEN (SELECT bool_and(digits IN (SELECT y FROM y)) FROM k) THEN 'digits' END AS chosen""",
+)
 def first_complete(spark, d):
     names = table(spark, d, "customer").select(F.col("c_name").alias("x"))
     keys = table(spark, d, "customer").select(F.col("c_custkey").alias("y"))

@@ -1,15 +1,13 @@
-"""Splits, resampling and simulation."""
+"""Splits and resampling."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import kernels
 from ..functions import scalars as S
 from ..operators import resample as R
+from ..operators import survival as V
 from ..shared import stage
 from .entities import DELTAS, DESIGN, EXPRESSION, SCORES, SURVIVAL, deltas, design, expression, scores, survival, table
 from .registry import query
@@ -62,25 +60,30 @@ def fixed_scenario_bootstrap(spark, d):
     return t.groupBy("scenario_class").agg(F.count("*").alias("draws"), _r(F.avg("m"), 3).alias("mean"), _r(F.stddev_samp("m"), 3).alias("sd"), _r(F.percentile("m", 0.975), 3).alias("p975"))
 
 
-@query("r7_patient_bootstrap_c")
-def patient_bootstrap_c(spark, d):
-    """Concordance of resampled patients; draws without a usable pair are drawn again, a bounded number of times."""
+_R7_DRAWS, _R7_WANTED = 30, 20
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        t, e, r = (pdf[c].to_numpy(float) for c in ("time", "event", "risk"))
-        rng = np.random.default_rng(len(pdf))
-        out = []
-        for _ in range(60):
-            i = rng.integers(0, len(t), len(t))
-            c = kernels.uno_c(t[i], e[i], r[i], np.ones(len(t)), np.inf)
-            if c is not None:
-                out.append(c)
-            if len(out) == 20:
-                break
-        return pd.DataFrame({"cohort": [pdf["cohort"].iloc[0]], "draws": [len(out)], "mean": [round(float(np.mean(out)), 5) if out else None]})
 
-    return survival(spark, d).select("cohort", "id", "time", "event", "risk").groupBy("cohort").applyInPandas(run, "cohort string, draws int, mean double")
+@query(
+    "r7_patient_bootstrap_c",
+    f"""WITH {SURVIVAL}, x AS (SELECT cohort, id, time, event, risk, row_number() OVER (PARTITION BY cohort ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY cohort) AS n FROM survival),
+    m AS (SELECT draw, cohort, {key_sql("'patient'", 'draw', 'cohort', 'i')} % n AS i, count(*) AS m FROM x, (SELECT unnest(range(0, {_R7_DRAWS})) AS draw) GROUP BY ALL),
+    y AS (SELECT m.draw, m.m, x.* FROM m JOIN x ON m.cohort = x.cohort AND m.i = x.i),
+    c AS (SELECT a.cohort, a.draw, sum(a.m * b.m * CASE WHEN a.risk > b.risk THEN 1.0 WHEN a.risk = b.risk THEN 0.5 ELSE 0.0 END) / sum(a.m * b.m) AS c
+      FROM y a JOIN y b ON a.cohort = b.cohort AND a.draw = b.draw AND b.time > a.time WHERE a.event = 1 GROUP BY 1, 2),
+    k AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY draw) AS k FROM c)
+    SELECT cohort, count(*) AS draws, round(avg(c), 4) AS mean FROM k WHERE k <= {_R7_WANTED} GROUP BY 1""",
+)
+def patient_bootstrap_c(spark, d):
+    """Concordance of resampled patients. Draws without a usable pair are passed over, so a bounded number is made for those wanted."""
+    w = Window.partitionBy("cohort")
+    x = survival(spark, d).select("cohort", "id", "time", "event", "risk", (F.row_number().over(w.orderBy("id")) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    x = stage(x, "patients")
+    m = x.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(_R7_DRAWS - 1))))
+    m = m.groupBy("draw", "cohort", F.pmod(S.draw_key(F.lit("patient"), "draw", "cohort", "i"), F.col("n")).cast("int").alias("i")).agg(F.count("*").alias("m"))
+    y = stage(m.join(x, ["cohort", "i"]).withColumn("grp", F.concat_ws("#", "cohort", "draw")), "patients")
+    c = V.uno_fast(y, "grp", times="m").filter("c IS NOT NULL").select(F.split("grp", "#")[0].alias("cohort"), F.split("grp", "#")[1].cast("int").alias("draw"), "c")
+    k = F.row_number().over(w.orderBy("draw"))
+    return c.withColumn("k", k).filter(F.col("k") <= _R7_WANTED).groupBy("cohort").agg(F.count("*").alias("draws"), _r(F.avg("c"), 4).alias("mean"))
 
 
 @query(
@@ -99,7 +102,7 @@ def clustered_multiplicity(spark, d):
 
 
 _PANELS = f"""p AS (SELECT p_partkey AS item, p_size % 10 AS stratum, p_brand AS s, {key_sql("'panel'", "'x'", 'p_partkey')} AS k FROM part),
-  need AS (SELECT s, stratum, count(*) AS n FROM p WHERE s IN ('Brand#1', 'Brand#2') GROUP BY 1, 2)"""
+  need AS (SELECT s, stratum, count(*) AS n FROM p GROUP BY 1, 2)"""
 
 
 @query(
@@ -110,10 +113,9 @@ _PANELS = f"""p AS (SELECT p_partkey AS item, p_size % 10 AS stratum, p_brand AS
 def matched_panels(spark, d):
     """Random items with a set's own counts by stratum, none of the set itself."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("item"), (F.col("p_size") % 10).alias("stratum"), F.col("p_brand").alias("own"))
-    need = p.filter(F.col("own").isin("Brand#1", "Brand#2")).groupBy(F.col("own").alias("s"), "stratum").agg(F.count("*").alias("n"))
-    rows = need.join(p, "stratum").filter("own <> s").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
-    order = Window.partitionBy("s", "draw", "stratum").orderBy(S.draw_key(F.lit("panel"), "s", "draw", "item"), "item")
-    return rows.withColumn("k", F.row_number().over(order)).filter("k <= n").select("s", "draw", "stratum", "item")
+    need = p.groupBy(F.col("own").alias("s"), "stratum").agg(F.count("*").alias("n"))
+    others = need.join(p, "stratum").filter("own <> s").drop("own")
+    return R.matched_panels(others, "s", "stratum", "item", 5, "panel")
 
 
 @query("r10_balanced_subset", f"WITH {SURVIVAL}, k AS (SELECT *, row_number() OVER (PARTITION BY arm, event ORDER BY {key_sql(chr(39) + 'sub' + chr(39), 'id')}, id) AS k FROM survival) SELECT arm, event, id FROM k WHERE k <= 20")
@@ -122,68 +124,6 @@ def balanced_subset(spark, d):
     return survival(spark, d).withColumn("k", F.row_number().over(w)).filter("k <= 20").select("arm", "event", "id")
 
 
-def _truth(seed: int, n_modules: int, causal: float) -> dict[str, np.ndarray]:
-    """A known truth: which modules matter, which of them carry over, and their effects."""
-    rng = np.random.default_rng(seed)
-    mask = rng.random(n_modules) < causal
-    carried = mask & (rng.random(n_modules) < 0.7)
-    source = np.where(mask, rng.normal(0, 0.5, n_modules), 0.0)
-    target = np.where(carried, source, np.where(mask, -source, 0.0))
-    return {"causal": mask, "carried": carried, "source": source, "target": target, "prior": np.clip(0.5 + 0.4 * (mask - 0.5) + rng.normal(0, 0.1, n_modules), 0, 1)}
-
-
-def _correlated(rng: np.random.Generator, n: int, p: int, rho: float) -> np.ndarray:
-    """Rows with equal correlation rho within blocks of ten, in factor form."""
-    block = np.repeat(np.arange(-(-p // 10)), 10)[:p]
-    factor = rng.normal(size=(n, block.max() + 1))
-    return np.sqrt(rho) * factor[:, block] + np.sqrt(1 - rho) * rng.normal(size=(n, p))
-
-
-def _exact_events(rng: np.random.Generator, risk: np.ndarray, events: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportional-hazards times with exactly so many events: censoring is scaled to the midpoint between two ratios."""
-    t = rng.exponential(1 / np.exp(risk))
-    c = rng.exponential(1.0, len(t))
-    ratio = np.sort(t / c)
-    k = min(events, len(t) - 1)
-    scale = (ratio[k - 1] + ratio[k]) / 2
-    return np.minimum(t, scale * c), (t <= scale * c).astype(int)
-
-
-def simulate(scenario: int, replicate: int, events: int, n: int = 120, p: int = 50) -> dict[str, np.ndarray]:
-    seed = 1_000_003 * scenario + replicate
-    truth = _truth(seed, p, 0.2)
-    rng = np.random.default_rng(seed + 1)
-    x = _correlated(rng, n, p, 0.3)
-    time, event = _exact_events(rng, x @ truth["target"], events)
-    return truth | {"x": x, "time": time, "event": event}
-
-
-@query("r11_known_truth")
-def known_truth(spark, d):
-    """Simulated truths, one group a scenario and replicate; seeds follow from the keys."""
-    g = design(spark, d).filter("scenario_class = 'CORE'").select("scenario", F.explode(F.array(F.lit(0), F.lit(1))).alias("replicate"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, k = int(pdf["scenario"].iloc[0]), int(pdf["replicate"].iloc[0])
-        t = _truth(1_000_003 * s + k, 50, 0.2)
-        return pd.DataFrame({"scenario": s, "replicate": k, "module": np.arange(50), "causal": t["causal"], "carried": t["carried"], "source": t["source"].round(6), "target": t["target"].round(6), "prior": t["prior"].round(6)})
-
-    return g.groupBy("scenario", "replicate").applyInPandas(run, "scenario long, replicate int, module int, causal boolean, carried boolean, source double, target double, prior double")
-
-
-@query("r13_simulated_survival")
-def simulated_survival(spark, d):
-    """Simulated subjects (R12 covariates, R13 times); every replicate has exactly the events that its design states."""
-    g = design(spark, d).filter("scenario_class = 'CORE'").select("scenario", "events", F.lit(0).alias("replicate"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = int(pdf["scenario"].iloc[0])
-        r = simulate(s, 0, int(pdf["events"].iloc[0]))
-        return pd.DataFrame({"scenario": s, "subject": np.arange(len(r["time"])), "time": r["time"].round(6), "event": r["event"], "risk": (r["x"] @ r["source"]).round(6)})
-
-    return g.groupBy("scenario").applyInPandas(run, "scenario long, subject int, time double, event int, risk double")
-
-
 @query("r14_permuted_mapping", f"WITH {EXPRESSION}, g AS (SELECT DISTINCT gene FROM expression), k AS (SELECT gene, rep, row_number() OVER (PARTITION BY rep ORDER BY gene) AS a, row_number() OVER (PARTITION BY rep ORDER BY {key_sql(chr(39) + 'map' + chr(39), 'rep', 'gene')}, gene) AS b FROM g, (SELECT unnest(range(0, 3)) AS rep)) SELECT x.rep, x.gene, y.gene AS mapped FROM k x JOIN k y ON x.rep = y.rep AND x.a = y.b")
 def permuted_mapping(spark, d):
     """A one-to-one remapping of genes for each replicate."""

@@ -31,10 +31,10 @@ def regex_id(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.when(x == "", "0").otherwise(x).alias("id"))
 
 
-@query("f4_trial_id", "SELECT c_custkey, 'COTC' || lpad(CAST(c_nationkey AS VARCHAR), 3, '0') || '-' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') AS trial FROM customer WHERE c_custkey < 10000")
+@query("f4_trial_id", "SELECT c_custkey, 'COTC' || lpad(CAST(c_nationkey AS VARCHAR), 3, '0') || '-' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(4, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0') AS trial FROM customer")
 def trial_id(spark, d):
     raw = F.concat(F.lit("cotc"), F.col("c_nationkey"), F.lit("_"), F.col("c_custkey"))
-    return table(spark, d, "customer").filter("c_custkey < 10000").select("c_custkey", S.trial_id(raw).alias("trial"))
+    return table(spark, d, "customer").select("c_custkey", S.trial_id(raw).alias("trial"))
 
 
 @query("f5_suffix_strip", "SELECT p_partkey, CASE WHEN p_partkey % 4 >= 2 THEN p_name ELSE p_name || '_' || CAST(p_partkey % 4 AS VARCHAR) END AS symbol FROM part")

@@ -12,6 +12,7 @@ from ..functions import kernels
 from ..functions import scalars as S
 from ..functions import stats
 from ..operators import moments
+from ..operators.fits import logistic_terms, newton
 from ..shared import stage
 from .entities import EXPRESSION, METRICS, SCORES, SELECTION, SURVIVAL, expression, metrics, scores, selection, survival, table
 from .registry import query
@@ -257,25 +258,26 @@ def principal_components(spark, d):
     return both.select("vec_id", _r(S.dot("x", "axis0"), 4).alias("pc1"), _r(S.dot("x", "axis1"), 4).alias("pc2"))
 
 
-@query("t20_residualised")
+@query(
+    "t20_residualised",
+    f"WITH {SURVIVAL}, b AS (SELECT cohort, regr_slope(time, x) AS b, regr_intercept(time, x) AS a FROM survival WHERE id % 5 <> 0 GROUP BY 1) SELECT id, round(time - (a + b * x), 4) AS residual FROM survival JOIN b USING (cohort) WHERE b IS NOT NULL",
+)
 def residualised(spark, d):
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"id": pdf["id"], "residual": kernels.residualise(pdf["time"].to_numpy(float), pdf[["x"]].to_numpy(float)).round(4)})
-
-    return survival(spark, d).select("cohort", "id", "time", "x").groupBy("cohort").applyInPandas(fit, "id long, residual double")
+    """What a line fitted to a cohort's training rows leaves of every row."""
+    x = stage(survival(spark, d).select("cohort", "id", "time", "x"), "residual")
+    line = x.filter("id % 5 <> 0").groupBy("cohort").agg(F.regr_slope("time", "x").alias("b"), F.regr_intercept("time", "x").alias("a")).filter("b IS NOT NULL")
+    return x.join(line, "cohort").select("id", _r(F.col("time") - (F.col("a") + F.col("b") * F.col("x")), 4).alias("residual"))
 
 
 @query("t21_l2_logistic")
 def l2_logistic(spark, d):
-    """A classifier for each language, from standardised length and toxicity."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[["score", "toxic"]].to_numpy(float)
-        x = (x - x.mean(0)) / np.where(x.std(0) > 1e-12, x.std(0), 1)
-        b = kernels.logistic_l2(x, pdf["y"].to_numpy(float))
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "b_score": [round(b[0], 6)], "b_toxic": [round(b[1], 6)], "intercept": [round(b[2], 6)]})
-
-    return scores(spark, d).select("lang", "y", "score", "toxic").groupBy("lang").applyInPandas(fit, "lang string, b_score double, b_toxic double, intercept double")
+    """A classifier for each language, from standardised length and toxicity; none where only one class is there."""
+    x = stage(scores(spark, d).select("lang", "y", "score", "toxic"), "logistic")
+    m = x.groupBy("lang").agg(*(f(c).alias(f"{k}_{c}") for c in ("score", "toxic") for k, f in (("m", F.avg), ("s", F.stddev_pop))))
+    z = [((F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") > 1e-12, F.col(f"s_{c}")).otherwise(1.0)).alias(f"z_{c}") for c in ("score", "toxic")]
+    rows = stage(x.join(F.broadcast(m), "lang").select("lang", "y", *z, F.lit(1.0).alias("one")), "logistic")  # a row of moments per language
+    fits = newton(rows, "lang", ["z_score", "z_toxic", "one"], lambda _: np.array([1.0, 1.0, 1e-10]), terms=logistic_terms, cap=15.0)
+    return spark.createDataFrame([(g, *(round(float(v), 6) for v in b)) for g, (b, fine) in fits.items() if fine], "lang string, b_score double, b_toxic double, intercept double")
 
 
 @query("t22_control_percentile", f"WITH {METRICS}, o AS (SELECT model, avg(metric) AS obs FROM metrics WHERE scenario = 0 GROUP BY 1), c AS (SELECT model, scenario, avg(metric) AS m FROM metrics WHERE scenario > 0 GROUP BY 1, 2) SELECT model, round((1 + count(*) FILTER (m <= obs)) / (count(*) + 1.0), 6) AS percentile FROM c JOIN o USING (model) GROUP BY 1")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,6 +10,7 @@ from ..functions import kernels
 from ..functions import scalars as S
 from ..operators import moments
 from ..operators import survival as V
+from ..operators.fits import newton
 from ..operators.relational import asof
 from ..shared import stage
 from .entities import SURVIVAL, survival
@@ -119,7 +119,7 @@ _BRIER = f"""{SURVIVAL}, {km_sql('g', 'cohort', 0)}, x AS (SELECT s.*, coalesce(
 
 
 def _brier(spark, d):
-    x = survival(spark, d)
+    x = stage(survival(spark, d), "brier")
     grid = x.groupBy("cohort").agg(S.grid(F.percentile("time", 0.1), F.percentile("time", 0.8), 10).alias("ts"))
     return V.brier(x, ["cohort"], grid, F.exp(-F.exp("risk") * F.col("t") / 1000))
 
@@ -148,11 +148,13 @@ def supported_grid(spark, d):
 
 @query("v12_calibration_slope")
 def calibration_slope(spark, d):
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        slope = kernels.calibration_slope(*(pdf[c].to_numpy(float) for c in ("time", "event", "risk")))
-        return pd.DataFrame({"cohort": [pdf["cohort"].iloc[0]], "slope": [None if slope is None else round(slope, 5)]})
-
-    return survival(spark, d).select("cohort", "time", "event", "risk").groupBy("cohort").applyInPandas(fit, "cohort string, slope double")
+    """The slope of a Cox model on the risk alone; null without events or spread, or if it does not settle within 20."""
+    x = stage(survival(spark, d).select("cohort", "time", "event", "risk"), "slope")
+    usable = x.groupBy("cohort").agg(((F.sum("event") >= 1) & (F.stddev_pop("risk") >= 1e-12)).alias("usable"))
+    fits = newton(x, "cohort", ["risk"], lambda _: 0.0, cap=20.0)
+    slopes = [(g, round(float(b[0]), 5) if fine and abs(b[0]) < 20 else None) for g, (b, fine) in fits.items()]
+    found = spark.createDataFrame(slopes, "cohort string, slope double")
+    return usable.join(found, "cohort", "left").select("cohort", F.when(F.col("usable"), F.col("slope")).alias("slope"))
 
 
 @query(
@@ -183,11 +185,34 @@ def standardised_risk(spark, d):
     return survival(spark, d).select("id", _r((F.col("risk") - F.avg(train).over(w)) / F.stddev_pop(train).over(w), 4).alias("z"))
 
 
-@query("v20_out_of_fold_mean", "SELECT l_orderkey AS sample, round(avg(l_discount), 6) AS risk, count(*) AS n FROM lineitem GROUP BY 1")
-def out_of_fold_mean(spark, d):
-    from .entities import table
+#: Subjects dealt into five folds anew in each of four repeats.
+_FOLDS = f"""{SURVIVAL}, folds AS (SELECT s.*, repeat, CAST((id + id // 7 * repeat) % 5 AS INTEGER) AS fold FROM survival s, (SELECT unnest(range(0, 4)) AS repeat))"""
+
+
+def _folds(spark, d):
+    x = survival(spark, d).withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+    return x.withColumn("fold", ((F.col("id") + F.floor(F.col("id") / 7) * F.col("repeat")) % 5).cast("int"))
+
 
-    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sample")).agg(_r(F.avg("l_discount")).alias("risk"), F.count("*").alias("n"))
+_OOF = f"""{_FOLDS}, p AS (SELECT repeat, fold, cohort, count(*) AS n, avg(risk) AS m, stddev_pop(risk) AS sd FROM folds GROUP BY ALL),
+  train AS (SELECT a.repeat, a.fold, a.cohort, sum(b.n) AS n, sum(b.n * b.m) / sum(b.n) AS m, sum(b.n * (b.sd * b.sd + b.m * b.m)) / sum(b.n) AS q
+            FROM p a JOIN p b ON a.repeat = b.repeat AND a.cohort = b.cohort AND a.fold <> b.fold GROUP BY ALL),
+  oof AS (SELECT f.id, f.repeat, (f.risk - t.m) / sqrt(t.q - t.m * t.m) AS z FROM folds f JOIN train t USING (repeat, fold, cohort) WHERE t.q - t.m * t.m > 1e-9)"""
+
+
+@query("v20_out_of_fold_mean", f"WITH {_OOF} SELECT id AS sample, round(avg(z), 4) AS risk, count(*) AS n FROM oof GROUP BY 1")
+def out_of_fold_mean(spark, d):
+    """Each subject's risk, standardised in every repeat by the folds it is not in, and averaged over the repeats."""
+    x = stage(_folds(spark, d).select("id", "cohort", "risk", "repeat", "fold"), "oof")
+    r = F.col("risk")
+    own = x.groupBy("repeat", "cohort", "fold").agg(F.count("*").alias("n"), F.sum(r).alias("s"), F.sum(r * r).alias("q"))
+    # A fold's training rows are all rows but its own, so their moments are differences.
+    every = Window.partitionBy("repeat", "cohort")
+    rest = {c: F.sum(c).over(every) - F.col(c) for c in ("n", "s", "q")}
+    train = own.select("repeat", "cohort", "fold", *(v.alias(c) for c, v in rest.items())).filter("n > 0")
+    train = train.select("repeat", "cohort", "fold", (F.col("s") / F.col("n")).alias("m"), (F.col("q") / F.col("n") - (F.col("s") / F.col("n")) ** 2).alias("v")).filter("v > 1e-9")
+    z = x.join(train, ["repeat", "cohort", "fold"]).select("id", ((r - F.col("m")) / F.sqrt("v")).alias("z"))
+    return z.groupBy(F.col("id").alias("sample")).agg(_r(F.avg("z"), 4).alias("risk"), F.count("*").alias("n"))
 
 
 @query("v20c_outcome_from_pairs", "SELECT o_orderkey, o_orderstatus AS status, o_orderpriority AS priority, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 WHEN 'P' THEN 0 END AS event FROM orders")
@@ -202,15 +227,40 @@ def outcome_from_pairs(spark, d):
     return m.select("o_orderkey", status.alias("status"), F.col("m")["priority"].alias("priority"), F.when(status == "F", 1).when(status.isin("O", "P"), 0).alias("event"))
 
 
-@query("v20e_fold_metrics")
+_FOLD_SCORES = f"""{SURVIVAL}, f AS (SELECT arm, id, time, event, risk, CAST(id % 5 AS INTEGER) AS fold FROM survival),
+  tr AS (SELECT k.fold AS test, f.arm, f.time, f.event, f.risk FROM f, (SELECT unnest(range(0, 5)) AS fold) k WHERE f.fold <> k.fold),
+  bk AS (SELECT test, arm, time AS t, sum(exp(risk)) AS w, sum(event) AS d FROM tr GROUP BY ALL),
+  bj AS (SELECT *, d / sum(w) OVER (PARTITION BY test, arm ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS j FROM bk),
+  h AS (SELECT test, arm, sum(j) FILTER (t <= 60) AS h FROM bj GROUP BY ALL),
+  gk AS (SELECT test, arm, time AS t, count(*) AS k, count(*) FILTER (event = 0) AS d FROM tr GROUP BY ALL),
+  gn AS (SELECT *, sum(k) OVER (PARTITION BY test, arm ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS n FROM gk),
+  g AS (SELECT test, arm, t, product(1 - d / n) OVER (PARTITION BY test, arm ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM gn),
+  x AS (SELECT f.*, coalesce(g.s, 1.0) AS g FROM f ASOF LEFT JOIN g ON g.test = f.fold AND g.arm = f.arm AND f.time > g.t),
+  at60 AS (SELECT test, arm, arg_max(s, t) AS g60 FROM g WHERE t <= 60 GROUP BY ALL),
+  b AS (SELECT x.fold, x.arm, avg(CASE WHEN time <= 60 AND event = 1 THEN power(exp(-exp(risk) * coalesce(h, 0)), 2) / nullif(x.g, 0)
+    WHEN time > 60 THEN power(1 - exp(-exp(risk) * coalesce(h, 0)), 2) / nullif(coalesce(g60, 1.0), 0) ELSE 0 END) AS brier, stddev_pop(risk) AS risk_sd
+    FROM x LEFT JOIN h ON h.test = x.fold AND h.arm = x.arm LEFT JOIN at60 ON at60.test = x.fold AND at60.arm = x.arm GROUP BY ALL),
+  c AS (SELECT a.fold, a.arm, sum(CASE WHEN a.risk > b.risk THEN 1.0 WHEN a.risk = b.risk THEN 0.5 ELSE 0 END) / count(*) AS c
+    FROM f a JOIN f b ON a.fold = b.fold AND a.arm = b.arm AND b.time > a.time WHERE a.event = 1 GROUP BY ALL)"""
+
+
+@query("v20e_fold_metrics", f"WITH {_FOLD_SCORES} SELECT fold, arm, round(c, 4) AS c, round(brier, 4) AS brier, round(risk_sd, 4) AS risk_sd FROM b LEFT JOIN c USING (fold, arm)")
 def fold_metrics(spark, d):
-    """Concordance, integrated Brier score and spread of a fixed risk, fold by fold."""
-    x = stage(survival(spark, d), "folds")
-    c = V.uno_fast(x, "cohort", _tau(x))
-    spread = x.groupBy("cohort").agg(F.stddev_pop("risk").alias("risk_sd"), (F.percentile("risk", 0.99) - F.percentile("risk", 0.01)).alias("q99_q01"))
-    grid = x.groupBy("cohort").agg(S.grid(F.percentile("time", 0.1), F.percentile("time", 0.8), 10).alias("ts"))
-    ibs = V.integrate(V.brier(x, ["cohort"], grid, F.exp(-F.exp("risk") * F.col("t") / 1000)), ["cohort"], "t", "bs", "ibs")
-    return c.join(ibs, "cohort").join(spread, "cohort").select("cohort", *(_r(k, 5).alias(k) for k in ("c", "ibs", "risk_sd", "q99_q01")))
+    """Test folds scored fold by fold: the baseline hazard and the censoring curve come from the other folds' rows alone."""
+    x = stage(survival(spark, d).select("arm", "id", "time", "event", "risk", (F.col("id") % 5).cast("int").alias("fold")), "folds")
+    by = ["fold", "arm"]
+    folds = F.array(*map(F.lit, range(5)))
+    train = x.withColumnRenamed("fold", "own").withColumn("fold", F.explode(folds)).filter("fold <> own")
+    h = V.breslow(train, by).filter("t <= 60").groupBy(*by).agg(F.max_by("h", "t").alias("h"))
+    g = stage(V.kaplan_meier(train, by, flip=True), "censoring")
+    g60 = g.filter("t <= 60").groupBy(*by).agg(F.max_by("s", "t").alias("g60"))
+    y = asof(x, g, by, "time", "t", "s", "g", before_first=1.0, left_limit=True).join(h, by, "left").join(g60, by, "left")
+    s = F.exp(-F.exp("risk") * F.coalesce("h", F.lit(0.0)))
+    late = F.try_divide((1 - s) * (1 - s), F.coalesce("g60", F.lit(1.0)))
+    loss = F.when((F.col("time") <= 60) & (F.col("event") == 1), F.try_divide(s * s, F.col("g"))).when(F.col("time") > 60, late).otherwise(0.0)
+    scores = y.groupBy(*by).agg(_r(F.avg(loss), 4).alias("brier"), _r(F.stddev_pop("risk"), 4).alias("risk_sd"))
+    c = V.uno_fast(x.withColumn("grp", F.concat_ws("#", "fold", "arm")), "grp").select(F.split("grp", "#")[0].cast("int").alias("fold"), F.split("grp", "#")[1].alias("arm"), _r("c", 4).alias("c"))
+    return scores.join(c, by, "left").select(*by, "c", "brier", "risk_sd")
 
 
 @query(
@@ -247,8 +297,7 @@ def coral_alignment(spark, d):
     """A unit score's coefficients carried between two cohorts' covariances; these are summed up on the executors."""
     from .entities import table
 
-    e = table(spark, d, "embeddings").select(F.when(F.col("label") < 5, "A").otherwise("B").alias("cohort"), F.slice("embedding", 1, 8).alias("x"))
-
+    e = table(spark, d, "embeddings").select(F.when(F.col("label") < 5, "A").otherwise("B").alias("cohort"), F.col("embedding").alias("x"))
     cov = {r["cohort"]: moments.covariance(r) for r in moments.moments(e, "cohort", "x").collect()}  # two rows
-    beta = kernels.coral(np.ones(8), cov["A"], cov["B"])
+    beta = kernels.coral(np.ones(len(cov["A"])), cov["A"], cov["B"])
     return spark.createDataFrame([(i, round(float(b), 5)) for i, b in enumerate(beta)], "gene int, beta double")

@@ -97,3 +97,55 @@ def schema_inventory(name: str, df: DataFrame) -> DataFrame:
         F.lit(any(c.endswith(("_id", "key")) for c in low)).alias("has_id"),
         F.lit(any("event" in c or "status" in c for c in low)).alias("has_event"),
     )
+
+
+def discover(spark: SparkSession, folder: str, patterns: Sequence[str], exclude: Sequence[str] = ()) -> DataFrame:
+    """``path, bytes, modified, priority`` of the files below a folder that match a pattern, the first one counting,
+    and none of ``exclude``."""
+    files = inventory(spark, folder)
+    for x in exclude:
+        files = files.filter(~F.col("path").rlike(x))
+    priority = F.coalesce(*(F.when(F.col("path").rlike(x), i + 1) for i, x in enumerate(patterns)))
+    return files.withColumn("priority", priority).filter("priority IS NOT NULL")
+
+
+def by_overlap(spark: SparkSession, files: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The files with the share of ``ids`` (``id``) that their ``column`` has; the best of the first priority is chosen."""
+    paths = [r["path"] for r in files.select("path").collect()]  # candidates of one study: few
+    rows = spark.read.option("header", True).csv(paths).select(F.input_file_name().alias("path"), F.col(column).alias("id")) if paths else None
+    total = F.lit(float(ids.count()))
+    if rows is None:
+        return files.withColumns({"overlap": F.lit(0.0), "chosen": F.lit(False)})
+    name = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    shares = rows.join(ids.distinct(), "id").groupBy(name("path").alias("_p")).agg((F.count_distinct("id") / total).alias("overlap"))
+    out = files.join(shares, name("path") == F.col("_p"), "left").drop("_p").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
+    first = F.struct("priority", -F.col("overlap"), "path")
+    best = out.agg(F.min(first).alias("best")).select("best.*").withColumnsRenamed({"priority": "_priority", "path": "_path"}).select("_path")
+    return out.crossJoin(F.broadcast(best)).withColumn("chosen", F.col("path") == F.col("_path")).drop("_path")  # one row
+
+
+def choose_columns(names: Sequence[str], concepts: Sequence[str], prefix: str = "") -> list[tuple[str, str, int]]:
+    """``concept, column, score``: the column whose name is a concept (3), ends with it (2) or holds it (1)."""
+    out = []
+    for k in concepts:
+        scored = [(3 if n.removeprefix(prefix) == k else 2 if n.endswith(k) else int(k in n), n) for n in names]
+        score, name = min(((s, n) for s, n in scored if s), key=lambda x: (-x[0], len(x[1]), x[1]), default=(0, ""))
+        if score:
+            out.append((k, name, score))
+    return out
+
+
+def freeze_or_verify(df: DataFrame, path: str) -> str:
+    """``frozen`` if nothing is at ``path`` and the table is written there, else ``verified`` or ``changed``.
+
+    Equal are tables with the same columns and the same rows, in any order and as often.
+    """
+    spark = df.sparkSession
+    store = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not store.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(store):
+        df.write.parquet(path)
+        return "frozen"
+    old = spark.read.parquet(path)
+    if old.dtypes != df.dtypes:
+        return "changed"
+    return "verified" if old.exceptAll(df).isEmpty() and df.exceptAll(old).isEmpty() else "changed"

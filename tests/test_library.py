@@ -7,10 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.functions import kernels, scalars, stats
-from tarn.operators import audit, relational, resample, survival
+from tarn.operators import audit, fits, moments, relational, resample, survival
 from tarn.sources import tables
 from tarn.streaming import rates
 
+from . import brute as plain
+
 
 def rows(df):
     return [r.asDict() for r in df.collect()]
@@ -32,18 +34,18 @@ def test_cox_gradient_and_ties():
     rng = np.random.default_rng(0)
     x, t, e = rng.normal(size=(60, 3)), rng.integers(1, 15, 60).astype(float), rng.integers(0, 2, 60).astype(float)
     b = rng.normal(size=3) * 0.3
-    loss, g, h = kernels.cox_terms(t, e, x @ b, x)
+    loss, g, h = plain.cox_terms(t, e, x @ b, x)
     for j in range(3):
         step = np.eye(3)[j] * 1e-5
-        up, down = (kernels.cox_terms(t, e, x @ (b + s), x) for s in (step, -step))
+        up, down = (plain.cox_terms(t, e, x @ (b + s), x) for s in (step, -step))
         assert (up[0] - down[0]) / 2e-5 == pytest.approx(g[j], rel=1e-4, abs=1e-6)
         assert (up[1] - down[1]) / 2e-5 == pytest.approx(h[j], rel=1e-4, abs=1e-5)
     brute = -sum(x[i] @ b - math.log(sum(math.exp(x[k] @ b) for k in range(60) if t[k] >= t[i])) for i in range(60) if e[i])
     assert loss == pytest.approx(brute)
-    beta, fine = kernels.ridge_cox(t, e, x, penalty=1.0)
-    assert fine and np.abs(kernels.cox_terms(t, e, x @ beta, x)[1] + beta).max() < 1e-4
-    path = kernels.elastic_net_cox(t, e, x, np.array([10.0, 0.1, 0.0]), 1.0)
-    assert (path[0] == 0).all() and np.allclose(path[2], kernels.ridge_cox(t, e, x)[0], atol=1e-3)
+    beta, fine = plain.ridge_cox(t, e, x, penalty=1.0)
+    assert fine and np.abs(plain.cox_terms(t, e, x @ beta, x)[1] + beta).max() < 1e-4
+    path = plain.elastic_net_cox(t, e, x, np.array([10.0, 0.1, 0.0]), 1.0)
+    assert (path[0] == 0).all() and np.allclose(path[2], plain.ridge_cox(t, e, x)[0], atol=1e-3)
 
 
 def test_concordance_kernel_equals_pairs():
@@ -55,8 +57,8 @@ def test_concordance_kernel_equals_pairs():
             if e[i] and t[i] < 15 and t[j] > t[i]:
                 num += w[i] * (1.0 if r[i] > r[j] else 0.5 if r[i] == r[j] else 0.0)
                 den += w[i]
-    assert kernels.uno_c(t, e, r, w, 15) == pytest.approx(num / den)
-    assert kernels.uno_c(t, np.zeros(80), r, w, 15) is None
+    assert plain.uno_c(t, e, r, w, 15) == pytest.approx(num / den)
+    assert plain.uno_c(t, np.zeros(80), r, w, 15) is None
 
 
 def test_coral_keeps_the_spread():
@@ -186,7 +188,7 @@ def test_moments_and_axes(spark):
         assert np.allclose(moments.covariance(r), np.cov(x[r["g"] :: 2].T, ddof=0))
     for r in rows(moments.principal_axes(moments.moments(df, "g", "v"), "g", 2)):
         mine = x[r["g"] :: 2]
-        assert np.allclose(np.abs((mine - r["mean"]) @ np.array([r["axis0"], r["axis1"]]).T), np.abs(kernels.principal_scores(mine, 2)))
+        assert np.allclose(np.abs((mine - r["mean"]) @ np.array([r["axis0"], r["axis1"]]).T), np.abs(plain.principal_scores(mine, 2)))
 
 
 def test_trial_ids_keep_long_numbers(spark):
@@ -194,3 +196,97 @@ def test_trial_ids_keep_long_numbers(spark):
 
     got = spark.createDataFrame([("cotc22-12345",), ("cotc1234_7",)], "v string").select(scalars.trial_id("v").alias("t"))
     assert [r.t for r in got.collect()] == ["COTC022-12345", "COTC1234-0007"]
+
+
+def subjects(spark, seed, groups=4, n=90):
+    rng = np.random.default_rng(seed)
+    data = []
+    for g in range(groups):
+        x = rng.normal(size=(n, 3))
+        t, e = rng.integers(1, 25, n).astype(float), rng.integers(0, 2, n)
+        data += [(f"g{g}", float(a), int(b), *map(float, z)) for a, b, z in zip(t, e, x, strict=True)]
+    data += [("none", 1.0, 0, 0.1, 0.2, 0.3), ("none", 2.0, 0, 0.4, 0.5, 0.6)]
+    arrays = {}
+    for g in {r[0] for r in data}:
+        own = [r for r in data if r[0] == g]
+        arrays[g] = np.array([r[1] for r in own]), np.array([r[2] for r in own], float), np.array([r[3:] for r in own])
+    return spark.createDataFrame(data, "g string, time double, event int, x1 double, x2 double, x3 double"), arrays
+
+
+def test_cox_fits_by_sums_equal_one_group_fits(spark):
+    df, arrays = subjects(spark, 1)
+    centre = np.array([0.1, 0.0, -0.2])
+    got = fits.newton(df, "g", ["x1", "x2", "x3"], lambda g: 1.0 if g == "g1" else 5.0, centre)
+    for g, (t, e, x) in arrays.items():
+        want, _ = plain.ridge_cox(t, e, x, 1.0 if g == "g1" else 5.0, centre)
+        assert got[g][1] and got[g][0] == pytest.approx(want, abs=1e-5)
+    alphas = [0.2, 0.05, 0.01]
+    groups = {f"{g}#{k}": (g, k) for g in ("g0", "g1") for k in range(3)}
+    rows = df.filter("g IN ('g0', 'g1')").withColumn("k", F.explode(F.array(*map(F.lit, range(3))))).withColumn("grp", F.concat_ws("#", "g", "k"))
+    net = fits.elastic_net(rows, "grp", ["x1", "x2", "x3"], dict.fromkeys(groups, 90), lambda k: alphas[groups[k][1]], lambda _: 0.5)
+    for g in ("g0", "g1"):
+        want = plain.elastic_net_cox(*arrays[g], np.array(alphas), 0.5)
+        for k in range(3):
+            assert net[f"{g}#{k}"] == pytest.approx(want[k], abs=1e-4)
+
+
+def test_a_fit_without_an_optimum_is_given_up(spark):
+    df = spark.createDataFrame([("a", float(k), 1, float(-k)) for k in range(1, 9)], "g string, time double, event int, x1 double")
+    assert not fits.newton(df, "g", ["x1"], lambda _: 0.0, cap=20.0)["a"][1]
+
+
+def test_logistic_fit_by_sums_equals_one_group_fit(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 2))
+    y = (x @ [1.0, -0.5] + rng.logistic(size=200) > 0.3).astype(int)
+    df = spark.createDataFrame([("a", float(a), float(b), 1.0, int(c)) for (a, b), c in zip(x, y, strict=True)], "g string, x1 double, x2 double, one double, y int")
+    got, fine = fits.newton(df, "g", ["x1", "x2", "one"], lambda _: np.array([1.0, 1.0, 1e-10]), terms=fits.logistic_terms)["a"]
+    assert fine and got == pytest.approx(plain.logistic_l2(x, y), abs=1e-6)
+
+
+def test_concordance_by_sums_equals_pairs(spark):
+    df, arrays = subjects(spark, 6)
+    df = df.withColumnRenamed("g", "grp").withColumn("risk", F.round("x1", 1)).withColumn("m", (F.floor(F.abs("x2") * 3)).cast("int"))
+    got = {r["grp"]: r["c"] for r in rows(survival.uno_fast(df, "grp"))}
+    assert got["none"] is None
+    for g, (t, e, x) in arrays.items():
+        if g != "none":
+            assert got[g] == pytest.approx(plain.uno_c(t, e, np.round(x[:, 0], 1), np.ones(len(t)), np.inf))
+    tau = df.groupBy("grp").agg(F.lit(15.0).alias("tau"))
+    fast, pairs = ({r["grp"]: r["c"] for r in rows(d)} for d in (survival.uno_fast(df, "grp", tau), survival.uno_pairs(df, ["grp"], tau)))
+    assert all(fast[g] == pytest.approx(pairs[g]) for g in pairs)
+    often = df.withColumn("k", F.explode(F.expr("sequence(1, greatest(m, 1))"))).filter("m > 0")
+    once, repeated = ({r["grp"]: r["c"] for r in rows(d)} for d in (survival.uno_fast(df, "grp", times="m"), survival.uno_fast(often, "grp")))
+    assert all(once[g] == pytest.approx(repeated[g]) for g in repeated if g != "none")
+
+
+def test_principal_axes_equal_a_decomposition(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 5)) @ rng.normal(size=(5, 5))
+    df = spark.createDataFrame([("a", i, [float(v) for v in r]) for i, r in enumerate(x)], "g string, id long, v array<double>")
+    axes = moments.principal_axes(moments.moments(df, "g", "v"), "g", 2).first()
+    got = (x - np.array(axes["mean"])) @ np.array([axes["axis0"], axes["axis1"]]).T
+    assert got == pytest.approx(plain.principal_scores(x, 2), abs=1e-6)
+
+
+def test_files_are_discovered_by_priority_and_overlap(spark, tmp_path):
+    for name, ids in (("a_full/x", range(10)), ("a_part/x", range(5)), ("b/x", range(10)), ("a_backup/x", range(10))):
+        f = tmp_path / f"{name}.csv"
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("id,v\n" + "".join(f"{i},1\n" for i in ids))
+    found = tables.discover(spark, str(tmp_path), [r"/a_[^/]+/", r"csv$"], ["_backup/"])
+    ids = spark.createDataFrame([(str(i),) for i in range(10)], "id string")
+    got = {r["path"].split("/")[-2]: (r["priority"], r["overlap"], r["chosen"]) for r in rows(tables.by_overlap(spark, found, ids, "id"))}
+    assert got == {"a_full": (1, 1.0, True), "a_part": (1, 0.5, False), "b": (2, 1.0, False)}
+    assert rows(tables.by_overlap(spark, found.filter("false"), ids, "id")) == []
+
+
+def test_frozen_tables_must_stay_the_same(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k int, v string")
+    path = str(tmp_path / "frozen")
+    assert [tables.freeze_or_verify(x, path) for x in (df, df.orderBy("v"), df.distinct(), df.withColumn("k", F.col("k").cast("long")))] == ["frozen", "verified", "changed", "changed"]
+
+
+def test_columns_are_chosen_by_name():
+    got = tables.choose_columns(["o_date", "o_update", "x_status_code", "price"], ["date", "status", "price", "absent"], "o_")
+    assert got == [("date", "o_date", 3), ("status", "x_status_code", 1), ("price", "price", 3)]
