@@ -293,15 +293,20 @@ def join_rows(rows: DataFrame, share: tuple[int, int] = SHARE, size: int = SHING
     levels = crowded(docs, size)
     wide = stage(summaries(docs, levels, size, share), "jaccard_sets")
     classes = wide.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id"), F.min_by("prefix", "doc_id").alias("prefix"))
-    # Sets that meet: rows of shingles that two classes have among their first.
-    first = classes.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    index = F.col("n") - F.ceil(F.lit(2 * share[0]) * F.col("n") / F.lit(share[0] + share[1])) + 1
-    first = first.select("token", "id", "n", (F.col("pos") < index).alias("index"))
-    # Counts are added up before they move, and joined back, so no shingle's rows are gathered.
-    several = first.groupBy("token").agg(F.count("*").alias("g"), F.max("index").alias("any")).filter("g > 1 and any").drop("any")
-    groups = stage(first.join(several, "token"), "jaccard_groups")
+    classes = stage(classes.select("id", "n", "prefix"), "jaccard_classes")
     sums = stage(wide.drop("prefix"), "jaccard_sums")
     drop(wide)
+    # Sets that meet: rows of shingles that two classes have among their first. Counts are added up before
+    # they move, and joined back, so no shingle's rows are gathered; rows are two numbers each until then.
+    first = classes.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    index = F.col("n") - F.ceil(F.lit(2 * share[0]) * F.col("n") / F.lit(share[0] + share[1])) + 1
+    first = first.select("token", (F.col("id") * 2 + (F.col("pos") < index).cast("long")).alias("packed"))
+    low = (1 << 32) - 1
+    several = first.groupBy("token").agg(F.sum(1 + F.col("packed").bitwiseAND(1) * (low + 1)).alias("sum"))
+    several = several.select("token", F.col("sum").bitwiseAND(low).alias("g"), F.shiftright("sum", 32).alias("late")).filter("g > 1 and late > 0").drop("late")
+    groups = first.join(several, "token").select("token", F.shiftright("packed", 1).alias("id"), (F.col("packed").bitwiseAND(1) == 1).alias("index"), "g")
+    groups = stage(groups.join(classes.select("id", "n"), "id"), "jaccard_groups")
+    drop(classes)
     # Shingles of one passage bring the same sets together again and again; one tile of each kind is enough.
     member = [F.bit_xor(F.xxhash64(F.lit(k), "id", "index")).alias(f"m{k}") for k in (1, 2)]
     kinds = groups.groupBy("token", "g").agg(*member).groupBy("g", "m1", "m2").agg(F.min("token").alias("token")).select("token")
