@@ -12,13 +12,21 @@ class ContractError(ValueError):
     """A table does not meet its contract."""
 
 
+def missing_columns(df: DataFrame, names: Sequence[str]) -> list[str]:
+    return [n for n in names if n not in df.columns]
+
+
 def require_columns(df: DataFrame, names: Sequence[str]) -> None:
-    if missing := [n for n in names if n not in df.columns]:
+    if missing := missing_columns(df, names):
         raise ContractError(f"missing columns: {missing}")
 
 
+def forbidden_columns(df: DataFrame, words: Sequence[str]) -> list[str]:
+    return [c for c in df.columns if any(w in c.lower() for w in words)]
+
+
 def forbid_columns(df: DataFrame, words: Sequence[str]) -> None:
-    if found := [c for c in df.columns if any(w in c.lower() for w in words)]:
+    if found := forbidden_columns(df, words):
         raise ContractError(f"forbidden columns: {found}")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import draw_key
+from ..shared import stage
 
 
 def stratified_folds(df: DataFrame, strata: Sequence[str], key: str, k: int, seed: Column | str, name: str = "fold") -> DataFrame:
@@ -27,14 +28,14 @@ def repeated_folds(df: DataFrame, strata: Sequence[str], key: str, k: int, repea
 def bootstrap_means(df: DataFrame, by: Sequence[str], key: str, value: str, draws: int, seed: str) -> DataFrame:
     """``by, draw, m``: means of resamples of each group, drawn with replacement.
 
-    Row i of a group draws the row at hash(seed, draw, i) modulo n; the group's values are one array,
-    so a draw is an index into it and nothing is joined. Groups must fit a row: group accordingly.
+    Row i of a group draws the row at hash(seed, draw, i) modulo n, by a join on the place in the group;
+    sums are added up before they move, so no group is gathered.
     """
-    g = df.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(key), F.col(value)))), lambda s: s[value]).alias("v"))
-    g = g.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    n = F.size("v")
-    total = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + F.get("v", F.pmod(draw_key(F.lit(seed), "draw", i), n).cast("int")))
-    return g.select(*by, "draw", (total / n).alias("m"))
+    w = Window.partitionBy(*by)
+    x = stage(df.select(*by, F.col(value).alias("v"), (F.row_number().over(w.orderBy(key)) - 1).cast("long").alias("i"), F.count("*").over(w).alias("n")), "resample")
+    drawn = x.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    drawn = drawn.select(*by, "draw", F.pmod(draw_key(F.lit(seed), "draw", "i"), F.col("n")).alias("i"))
+    return drawn.join(x.select(*by, "i", "v"), [*by, "i"]).groupBy(*by, "draw").agg(F.avg("v").alias("m"))
 
 
 def interval(draws: DataFrame, by: Sequence[str], value: str) -> DataFrame:

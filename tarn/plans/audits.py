@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import audit as A
 from .entities import DELTAS, METRICS, SURVIVAL, deltas, metrics, survival, table
@@ -85,3 +86,61 @@ def reaggregated(spark, d):
 )
 def content_signature(spark, d):
     return A.signature(table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_mktsegment"), ["c_nationkey"])
+
+
+@query(
+    "i1_required_columns",
+    "SELECT unnest(['o_orderkey', 'o_totalprice', 'o_comment']) AS required, required IN (SELECT column_name FROM (DESCRIBE orders)) AS present",
+)
+def required_columns(spark, d):
+    """Which of the columns that a step needs are there; the step itself refuses to run on a missing one."""
+    o = table(spark, d, "orders")
+    return spark.createDataFrame([(c, not A.missing_columns(o, [c])) for c in ("o_orderkey", "o_totalprice", "o_comment")], "required string, present boolean")
+
+
+@query(
+    "f10_forbidden_columns",
+    "SELECT t AS table_name, c AS column_name, regexp_matches(lower(c), 'status|price|time') AS forbidden FROM (SELECT 'orders' AS t, column_name AS c FROM (DESCRIBE orders) UNION ALL SELECT 'part', column_name FROM (DESCRIBE part))",
+)
+def forbidden_columns(spark, d):
+    """Columns that a blinded step must not see, by words in their names."""
+    rows = []
+    for name in ("orders", "part"):
+        x = table(spark, d, name)
+        found = A.forbidden_columns(x, ["status", "price", "time"])
+        rows += [(name, c, c in found) for c in x.columns]
+    return spark.createDataFrame(rows, "table_name string, column_name string, forbidden boolean")
+
+
+@query(
+    "i6e_sanity_anchors",
+    f"""WITH {DELTAS}, r AS (SELECT model, avg(CASE WHEN delta < 0 THEN 1.0 ELSE 0.0 END) AS rate FROM deltas WHERE delta IS NOT NULL AND model <> 'view' GROUP BY 1),
+    a AS (SELECT unnest(['click', 'purchase', 'absent']) AS model, unnest([0.5::DOUBLE, 0.45, 0.5]) AS anchor, unnest([0.2::DOUBLE, 0.2, 0.2]) AS slack)
+    SELECT model, round(rate, 6) AS observed, anchor, coalesce(abs(rate - anchor) <= slack, false) AS passed FROM a LEFT JOIN r USING (model)""",
+)
+def sanity_anchors(spark, d):
+    """Rates against what was published for them; a rate that is not there fails."""
+    anchors = spark.createDataFrame([("click", 0.5, 0.2), ("purchase", 0.45, 0.2), ("absent", 0.5, 0.2)], "model string, anchor double, slack double")
+    x = deltas(spark, d).filter("delta IS NOT NULL AND model <> 'view'")
+    rates = x.groupBy("model").agg(F.avg((F.col("delta") < 0).cast("double")).alias("rate"))
+    passed = F.coalesce(F.abs(F.col("rate") - F.col("anchor")) <= F.col("slack"), F.lit(False))
+    return anchors.join(rates, "model", "left").select("model", F.round("rate", 6).alias("observed"), "anchor", passed.alias("passed"))
+
+
+@query(
+    "i6c_model_order",
+    f"""WITH {METRICS}, s AS (SELECT model, round(avg(metric), 6) AS m FROM metrics GROUP BY 1), o AS (SELECT model, row_number() OVER (ORDER BY model) AS by_name, row_number() OVER (ORDER BY model DESC) AS by_name_down, row_number() OVER (ORDER BY m, model) AS by_value FROM s),
+    p AS (SELECT m, row_number() OVER (ORDER BY m) AS place FROM s), c AS (SELECT unnest(['by_name', 'by_name_down', 'by_value']) AS candidate)
+    SELECT candidate, count(*) FILTER (abs(s.m - p.m) <= 1e-9) AS n_matched, bool_and(abs(s.m - p.m) <= 1e-9) AS resolved
+    FROM c, o JOIN s USING (model) JOIN p ON p.place = CASE c.candidate WHEN 'by_name' THEN by_name WHEN 'by_name_down' THEN by_name_down ELSE by_value END GROUP BY 1""",
+)
+def model_order(spark, d):
+    """An unnamed list of values is matched to the models: which candidate order gives the summary's own values?"""
+    s = metrics(spark, d).groupBy("model").agg(F.round(F.avg("metric"), 6).alias("m")).withColumn("all", F.lit(1))
+    w = Window.partitionBy("all")  # a row per model
+    unnamed = s.select(F.col("m").alias("value"), F.row_number().over(w.orderBy("m")).alias("place"))
+    orders = {"by_name": w.orderBy("model"), "by_name_down": w.orderBy(F.col("model").desc()), "by_value": w.orderBy("m", "model")}
+    places = F.explode(F.create_map(*(x for k in orders for x in (F.lit(k), F.col(k))))).alias("candidate", "place")
+    named = s.withColumns({k: F.row_number().over(o) for k, o in orders.items()}).select("m", places)
+    match = F.abs(F.col("m") - F.col("value")) <= 1e-9
+    return named.join(unnamed, "place").groupBy("candidate").agg(F.count_if(match).alias("n_matched"), F.bool_and(match).alias("resolved"))

@@ -10,7 +10,7 @@ from ..functions import stats
 from ..operators import survival as V
 from ..shared import stage
 from .aggregates import _SCENARIO, scenario_summary
-from .entities import DESIGN, SELECTION, SURVIVAL, design, selection, survival
+from .entities import DESIGN, EXPRESSION, SELECTION, SURVIVAL, design, expression, selection, survival
 from .registry import query
 from .survival import _tau, km_sql
 
@@ -84,3 +84,17 @@ def outcome_permutation(spark, d):
     obs = F.max(F.when(F.col("draw") == 0, F.col("c"))).over(Window.partitionBy("cohort"))
     c = c.withColumn("obs", obs).filter("c IS NOT NULL AND obs IS NOT NULL")
     return c.groupBy("cohort").agg(_r(F.max("obs"), 4).alias("observed"), _r((1 + F.count_if((F.col("draw") > 0) & (F.col("c") >= F.col("obs")))) / (1 + F.count_if(F.col("draw") > 0))).alias("p"))
+
+
+@query(
+    "t14c_causal_correlation",
+    f"""WITH {EXPRESSION}, e AS (SELECT gene, avg(value) FILTER (cohort = 'A') AS s, avg(value) FILTER (cohort = 'B') AS t FROM expression GROUP BY 1),
+    m AS (SELECT *, CAST(gene // 16 AS INTEGER) AS module, gene % 3 = 0 AS causal FROM e)
+    SELECT module, count(*) FILTER (causal) AS n, CASE WHEN count(*) FILTER (causal) >= 3 THEN round(corr(s, t) FILTER (causal), 4) END AS r FROM m GROUP BY 1""",
+)
+def causal_correlation(spark, d):
+    """Source against target effects, on the causal genes of each module; null where these are too few or do not vary."""
+    effect = lambda c: F.avg(F.when(F.col("cohort") == c, F.col("value")))
+    e = expression(spark, d).groupBy("gene").agg(effect("A").alias("s"), effect("B").alias("t"))
+    causal = e.filter("gene % 3 = 0").withColumn("module", F.floor(F.col("gene") / 16).cast("int"))
+    return causal.groupBy("module").agg(F.count("*").alias("n"), _r(stats.pearson("s", "t"), 4).alias("r"))

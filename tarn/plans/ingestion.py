@@ -132,3 +132,20 @@ def panel_sink(spark, d):
     path = scratch(spark, "panels")
     matched_panels(spark, d).write.partitionBy("s").parquet(path)
     return spark.read.parquet(path).groupBy("s", "draw").agg(F.count("*").alias("n"), F.count_distinct("item").alias("items"))
+
+
+@query("s11_array_scan", "SELECT label, count(*) AS n, round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS energy FROM embeddings GROUP BY 1")
+def array_scan(spark, d):
+    """Arrays scanned where they lie, a column and a batch at a time, instead of a file mapped into memory."""
+    square = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(square), 4).alias("energy"))
+
+
+@query("s20_atomic_document", "SELECT r_name AS key, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def atomic_document(spark, d):
+    """One JSON document, seen whole or not at all, also when it replaces another."""
+    path = f"{scratch(spark, 'document')}/summary.json"
+    by = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("key")).agg(F.count("*").alias("n"))
+    tables.write_document(spark, path, {})
+    tables.write_document(spark, path, {"counts": [r.asDict() for r in by.collect()]})  # a row per region
+    return tables.json_document(spark, path, "counts array<struct<key string, n long>>").select(F.inline("counts"))

@@ -246,3 +246,14 @@ def set_signature(spark, d):
 def cohort_overlap(spark, d):
     o = R.overlaps(table(spark, d, "orders"), "o_orderpriority", "o_custkey")
     return o.select(F.col("a").alias("cohort_a"), F.col("b").alias("cohort_b"), F.col("n_both").alias("overlap_n"))
+
+
+@query(
+    "j9_lookup_by_index",
+    "SELECT c_custkey, n_name, (SELECT count(*) FROM customer a WHERE NOT EXISTS (SELECT 1 FROM nation b WHERE a.c_nationkey = b.n_nationkey)) AS n_missing FROM customer JOIN nation ON c_nationkey = n_nationkey",
+)
+def lookup_by_index(spark, d):
+    """Rows looked up by key in a table whose key is unique, and how many have none there."""
+    c, n = table(spark, d, "customer"), table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    missing = c.join(n, "c_nationkey", "left_anti").count()
+    return R.checked_join(c, n, ["c_nationkey"], "inner").select("c_custkey", "n_name", F.lit(missing).cast("long").alias("n_missing"))

@@ -29,19 +29,24 @@ def repeated_folds(spark, d):
     return R.repeated_folds(survival(spark, d), ["event", "arm"], "id", 5, 4, "cv").select(F.col("repeat").cast("long").alias("repeat"), "id", "fold")
 
 
+#: Resamples of single scenarios, and of all scenarios together.
+DRAWS, FIXED_DRAWS = 400, 4000
 _BOOT = f"""{DELTAS}, x AS (SELECT scenario, row_number() OVER (PARTITION BY scenario ORDER BY replicate) - 1 AS i, count(*) OVER (PARTITION BY scenario) AS n, delta FROM deltas WHERE model = 'click' AND delta IS NOT NULL),
-  b AS (SELECT a.scenario, draw, avg(b.delta) AS m FROM (SELECT scenario, i, n, draw FROM x, (SELECT unnest(range(0, 40)) AS draw)) a
+  b AS (SELECT a.scenario, draw, avg(b.delta) AS m FROM (SELECT scenario, i, n, draw FROM x, (SELECT unnest(range(0, {DRAWS})) AS draw)) a
   JOIN x b ON a.scenario = b.scenario AND b.i = {key_sql("'boot'", 'draw', 'a.i')} % a.n GROUP BY 1, 2)"""
 
 
-def _boot(spark, d):
+_FIXED_BOOT = _BOOT.replace(f"range(0, {DRAWS})", f"range(0, {FIXED_DRAWS})")
+
+
+def _boot(spark, d, draws=DRAWS):
     x = deltas(spark, d).filter("model = 'click' AND delta IS NOT NULL")
-    return R.bootstrap_means(x, ["scenario"], "replicate", "delta", 40, "boot")
+    return R.bootstrap_means(x, ["scenario"], "replicate", "delta", draws, "boot")
 
 
-@query("r3_bootstrap_interval", f"WITH {_BOOT} SELECT scenario, round(avg(m), 2) AS mean, round(quantile_cont(m, 0.025), 2) AS p025, round(quantile_cont(m, 0.975), 2) AS p975, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) AS p_positive FROM b GROUP BY 1")
+@query("r3_bootstrap_interval", f"WITH {_BOOT} SELECT scenario, round(avg(m) + 1e-7, 2) AS mean, round(quantile_cont(m, 0.025) + 1e-7, 2) AS p025, round(quantile_cont(m, 0.975) + 1e-7, 2) AS p975, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) AS p_positive FROM b GROUP BY 1")
 def bootstrap_interval(spark, d):
-    return R.interval(_boot(spark, d), ["scenario"], "m").select("scenario", *(_r(c, 2).alias(c) for c in ("mean", "p025", "p975")), _r("p_positive").alias("p_positive"))
+    return R.interval(_boot(spark, d), ["scenario"], "m").select("scenario", *(_r(F.col(c) + 1e-7, 2).alias(c) for c in ("mean", "p025", "p975")), _r("p_positive").alias("p_positive"))
 
 
 @query("r4_two_sample_bootstrap", f"WITH {_BOOT}, p AS (SELECT a.scenario AS a, b.scenario AS b, a.draw, a.m - b.m AS m FROM b a JOIN b b ON a.draw = b.draw AND b.scenario = a.scenario + 1) SELECT a, b, round(avg(m), 3) AS mean, round(quantile_cont(m, 0.025), 3) AS p025 FROM p GROUP BY 1, 2")
@@ -53,10 +58,10 @@ def two_sample_bootstrap(spark, d):
     return p.groupBy("a", "b").agg(_r(F.avg("m"), 3).alias("mean"), _r(F.percentile("m", 0.025), 3).alias("p025"))
 
 
-@query("r5_fixed_scenario_bootstrap", f"WITH {_BOOT}, {DESIGN}, t AS (SELECT scenario_class, draw, avg(m) AS m FROM b JOIN design USING (scenario) GROUP BY 1, 2) SELECT scenario_class, count(*) AS draws, round(avg(m), 3) AS mean, round(stddev_samp(m), 3) AS sd, round(quantile_cont(m, 0.975), 3) AS p975 FROM t GROUP BY 1")
+@query("r5_fixed_scenario_bootstrap", f"WITH {_FIXED_BOOT}, {DESIGN}, t AS (SELECT scenario_class, draw, avg(m) AS m FROM b JOIN design USING (scenario) GROUP BY 1, 2) SELECT scenario_class, count(*) AS draws, round(avg(m), 3) AS mean, round(stddev_samp(m), 3) AS sd, round(quantile_cont(m, 0.975), 3) AS p975 FROM t GROUP BY 1")
 def fixed_scenario_bootstrap(spark, d):
     """Scenarios stay, replicates are resampled; every draw sums over scenarios with equal weight."""
-    t = _boot(spark, d).join(design(spark, d), "scenario").groupBy("scenario_class", "draw").agg(F.avg("m").alias("m"))
+    t = _boot(spark, d, FIXED_DRAWS).join(design(spark, d), "scenario").groupBy("scenario_class", "draw").agg(F.avg("m").alias("m"))
     return t.groupBy("scenario_class").agg(F.count("*").alias("draws"), _r(F.avg("m"), 3).alias("mean"), _r(F.stddev_samp("m"), 3).alias("sd"), _r(F.percentile("m", 0.975), 3).alias("p975"))
 
 
@@ -89,14 +94,14 @@ def patient_bootstrap_c(spark, d):
 @query(
     "r8_clustered_multiplicity",
     f"""WITH {SURVIVAL}, x AS (SELECT cohort, event, id, x, row_number() OVER (PARTITION BY cohort, event ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY cohort, event) AS n FROM survival),
-    m AS (SELECT draw, cohort, event, {key_sql("'cluster'", 'draw', 'cohort', 'event', 'i')} % n AS j, count(*) AS m FROM x, (SELECT unnest(range(0, 3)) AS draw) GROUP BY ALL)
+    m AS (SELECT draw, cohort, event, {key_sql("'cluster'", 'draw', 'cohort', 'event', 'i')} % n AS j, count(*) AS m FROM x, (SELECT unnest(range(0, 20)) AS draw) GROUP BY ALL)
     SELECT draw, m.cohort, CAST(sum(m.m * CAST(round(x.x * 100) AS BIGINT)) AS BIGINT) AS total_cents, CAST(sum(m.m) AS BIGINT) AS n FROM m JOIN x ON m.cohort = x.cohort AND m.event = x.event AND m.j = x.i GROUP BY 1, 2""",
 )
 def clustered_multiplicity(spark, d):
     """How often each patient is drawn, within event strata; later steps weigh by that."""
     w = Window.partitionBy("cohort", "event")
     x = stage(survival(spark, d).select("cohort", "event", "id", "x", (F.row_number().over(w.orderBy("id")) - 1).alias("i"), F.count("*").over(w).alias("n")), "cluster")
-    m = x.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    m = x.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))))
     m = m.groupBy("draw", "cohort", "event", F.pmod(S.draw_key(F.lit("cluster"), "draw", "cohort", "event", "i"), F.col("n")).cast("int").alias("i")).agg(F.count("*").alias("m"))
     return m.join(x, ["cohort", "event", "i"]).groupBy("draw", "cohort").agg(F.sum(F.col("m") * F.round(F.col("x") * 100).cast("bigint")).alias("total_cents"), F.sum("m").alias("n"))
 

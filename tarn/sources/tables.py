@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -149,3 +151,18 @@ def freeze_or_verify(df: DataFrame, path: str) -> str:
     if old.dtypes != df.dtypes:
         return "changed"
     return "verified" if old.exceptAll(df).isEmpty() and df.exceptAll(old).isEmpty() else "changed"
+
+
+def write_document(spark: SparkSession, path: str, document: dict) -> None:
+    """A JSON document with sorted keys, written under a temporary name and moved over what is there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, temporary = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}.tmp"))
+    out = target.getFileSystem(conf).create(temporary, True)
+    try:
+        out.write(bytearray(json.dumps(document, sort_keys=True, ensure_ascii=False).encode()))
+    finally:
+        out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(temporary, target, options)
