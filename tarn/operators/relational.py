@@ -91,6 +91,6 @@ def first_complete_key(left: DataFrame, right: DataFrame, transforms: dict[str,
     return None
 
 
-def crosswalk(values: DataFrame, mapping: DataFrame, source: str, target: str, weight: str) -> DataFrame:
-    """Values carried from source to target keys along a sparse mapping; unmapped ones are dropped."""
-    return values.join(mapping, source).groupBy(target).agg(F.sum(weight).alias(weight))
+def crosswalk(values: DataFrame, mapping: DataFrame, source: str, target: str, weight: str, by: Sequence[str] = ()) -> DataFrame:
+    """Values carried from source to target keys along a sparse mapping, added up by target; unmapped ones are dropped."""
+    return values.join(mapping, source).groupBy(*by, target).agg(F.sum(weight).alias(weight))

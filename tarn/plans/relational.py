@@ -194,7 +194,7 @@ def risk_set(spark, d):
 def crosswalk_projection(spark, d):
     x = expression(spark, d)
     mapping = x.select("gene").distinct().filter("gene % 4 <> 3").select("gene", F.floor(F.col("gene") / 4).cast("int").alias("module"))
-    return x.join(mapping, "gene").groupBy("sample", "module").agg(F.round(F.sum("value"), 4).alias("value"))
+    return R.crosswalk(x, mapping, "gene", "module", "value", ["sample"]).withColumn("value", F.round("value", 4))
 
 
 @query("u1_union_all", "SELECT c_name AS name, c_acctbal AS balance FROM customer UNION ALL SELECT s_name, s_acctbal FROM supplier")
