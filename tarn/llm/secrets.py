@@ -82,6 +82,8 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
     Once no segmentation can cost less than ``enough``, some cost of at least that is returned.
     """
     rank_of, longest = ranks()
+    # A word or date may reach so far into a repeat or walk, which then starts later; two in a row cost more than one.
+    reach = max(longest, 10)
     n, low = len(value), value.lower()
     cheap = 0  # the last place that costs less than enough
     plain = low.translate(LEET)
@@ -93,9 +95,9 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
         if end > 1:
             repeat = repeat + 1 if c == value[end - 2] else 1
             walk = walk + 1 if (low[end - 2], low[end - 1]) in WALK else 1
-        for k in {3, repeat} if repeat >= 3 else ():
+        for k in range(max(3, repeat - reach), repeat + 1):
             best[end] = min(best[end], best[end - k] + math.log10(alphabet(c) * k))
-        for k in {3, walk} if walk >= 3 else ():
+        for k in range(max(3, walk - reach), walk + 1):
             best[end] = min(best[end], best[end - k] + math.log10(2 * 47 * k))
         for k in range(2, min(longest, end) + 1):
             word = low[end - k : end]
@@ -111,7 +113,7 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
         # Words and dates start within the places looked at; a longer repeat or walk costs no less later on.
         if best[end] < enough:
             cheap = end
-        elif end - cheap >= max(longest, 10):
+        elif end - cheap >= reach:
             return best[end]
     return best[n]
 

@@ -176,6 +176,53 @@ def test_secrets_match_brute_force(spark):
     assert by[6].startswith("guess:") and by[7] == "" and by[9] == ""
 
 
+def test_guess_cost_is_the_least_over_all_segmentations():
+    from tarn.llm import secrets
+
+    rank_of, _ = secrets.ranks()
+
+    def segment(value):
+        costs = [sum(math.log10(secrets.alphabet(c)) for c in value)]
+        low, k = value.lower(), len(value)
+        pairs = list(zip(low, low[1:], strict=False))
+        if k >= 3 and len(set(value)) == 1:
+            costs.append(math.log10(secrets.alphabet(value[0]) * k))
+        if k >= 3 and all(p in secrets.WALK for p in pairs):
+            costs.append(math.log10(2 * 47 * k))
+        plain, tricks = low.translate(secrets.LEET), int(low != value)
+        if k >= 2 and low in rank_of:
+            costs.append(math.log10(rank_of[low] * 4**tricks + 1))
+        elif k >= 2 and plain in rank_of:
+            costs.append(math.log10(rank_of[plain] * 4 ** (tricks + 1) + 1))
+        if k in (4, 6, 8, 10) and secrets.DATE.fullmatch(value):
+            costs.append(math.log10(365 * 119 if k > 4 else 119))
+        return min(costs)
+
+    rng = np.random.default_rng(12)
+    parts = ["password", "Dragon", "p4ssword", "dddd", "aaaaaaa", "1234", "qwerty", "FDSA", "1999", "20240131", "31.12.99", "x", "Q7", "#!", "zzz", "hello", "0", "abcd", "letmein"]
+    for _ in range(300):
+        value = "".join(rng.choice(parts, rng.integers(1, 5)))
+        best = [0.0]
+        for end in range(1, len(value) + 1):
+            best.append(min(best[start] + segment(value[start:end]) for start in range(end)))
+        assert secrets.guess_cost(value) == pytest.approx(best[-1])
+
+
+def test_very_long_texts_take_linear_time():
+    import time
+
+    from tarn.llm import secrets
+
+    def seconds(n):
+        text = "token=abcdef12 pwd: aaaaaaaa is " * n + "auth: " + "a" * n + "secret " * n
+        began = time.process_time()
+        assert len(secrets.find(text)) >= n
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(8000) < 16 * seconds(2000) + 1
+
+
 def test_guess_cost_orders_values():
     from tarn.llm.secrets import guess_cost
 
