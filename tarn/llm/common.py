@@ -33,7 +33,20 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path; all of an application's are in one folder."""
+    return f"{scratch_root(spark)}/tarn-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer where a column is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

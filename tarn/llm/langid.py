@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches
+from .common import arrow_batches, unused
 
 WINDOW, DIM, WIDTHS, FILTERS = 256, 8, (2, 3, 4, 5), 12
 #: The sample to learn from: documents at most, windows drawn from each, and their characters.
@@ -234,13 +234,14 @@ def predict_batch(net: Network, texts: list[str | None], block: int = 32) -> tup
     return [net.labels[i] for i in best], p[np.arange(len(best)), best].tolist(), lead.tolist()
 
 
-def classify(docs: DataFrame, net: Network | None = None) -> DataFrame:
-    """All columns of ``docs``, and ``_lang``, ``_score``, ``_foreign``: from ``text`` alone; no rows move."""
+def classify(docs: DataFrame, net: Network | None = None, added: tuple[str, str, str] = ("_lang", "_score", "_foreign")) -> DataFrame:
+    """All columns of ``docs``, and three ``added``: language, score, whether foreign; from ``text`` alone; no rows move."""
     arrow_batches(docs.sparkSession)
     net = net or fit(docs)
-    names = [*docs.columns, "_lang", "_score", "_foreign"]
-    rows = docs.withColumn("_read", F.when(has_letter(F.col("text")), F.col("text").cast("string")))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_foreign", T.BooleanType())])
+    names = [*docs.columns, *added]
+    rows = docs.select("*", F.when(has_letter(F.col("text")), F.col("text").cast("string")).alias(unused(docs, "_read")[0]))
+    kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(added, kinds, strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

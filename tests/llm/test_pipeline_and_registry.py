@@ -74,6 +74,25 @@ def test_near_duplicates_keep_every_clean_row(spark):
     assert got == Counter([(None, 3, 8), (8, 3, 8), (None, 3, None), (None, 3, None), (5, 6, 5), (5, 6, 5), (7, 6, 5), (5, 2, 5), (None, 0, None), (None, 0, None)])
 
 
+def test_stages_take_empty_tables_and_clashing_names(spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    names = ("_row", "_lang", "_score", "_foreign", "_read", "_copies", "_copy", "first", "token", "component_id")
+    clash = lambda rows_: documents(spark, rows_).select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    data = [(i, f"the thing number {i} and what it is with the rest of it {i * 7}", "en", f"s{i % 2}") for i in range(30)] + [(None, None, None, None)]
+    for rows_ in ([], data):
+        docs = clash(rows_)
+        columns = docs.columns
+        for name, step in corpus_pipeline.STAGES:
+            docs = step(spark, docs, "")
+            got = docs.collect()
+            if name != "best_fit_packing":
+                assert docs.columns == columns and all(r[n] == k for r in got for k, n in enumerate(names))
+            assert bool(got) == bool(rows_)
+            docs = spark.createDataFrame(got, docs.schema)
+
+
 def test_source_mix_takes_rows_that_share_an_id_each_for_itself(spark):
     import corpus_pipeline
 

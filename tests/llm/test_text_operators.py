@@ -176,6 +176,17 @@ def test_secrets_match_brute_force(spark):
     assert by[6].startswith("guess:") and by[7] == "" and by[9] == ""
 
 
+def test_secrets_of_an_empty_table_and_clashing_names(spark):
+    from tarn.llm import secrets
+
+    from pyspark.sql import functions as F
+
+    assert rows(secrets.scan(documents(spark, []))) == [] and rows(secrets.redact(documents(spark, []))) == []
+    df = documents(spark, [(1, "token=abcdefgh12", "en", "a"), (1, "token=abcdefgh12", "en", "a")]).withColumns({c: F.lit("x") for c in ("spans", "n_hex", "base_sha256")})
+    assert [r["n_assign"] for r in rows(secrets.scan(df))] == [1, 1]
+    assert [(r["text"], r["spans"]) for r in rows(secrets.redact(df))] == [("[SECRET]", "x")] * 2
+
+
 def test_guess_cost_is_the_least_over_all_segmentations():
     from tarn.llm import secrets
 

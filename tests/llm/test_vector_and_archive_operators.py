@@ -211,3 +211,17 @@ def test_warc_leaves_no_temporary_files_and_replaces_earlier_attempts(spark, tmp
     one = sorted(tuple(r) for r in warc.write(df, root, roll=1500).collect())
     two = sorted(tuple(r) for r in warc.write(df, root, roll=1500).collect())
     assert one == two and sorted(p.name for p in (tmp_path / "archive").iterdir()) == [r[0] for r in one]
+
+
+def test_vectors_and_pages_with_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    from tarn.llm import embed_dedup, topk, warc
+
+    df = spark.createDataFrame(sample(3, 60), VECTORS)
+    wide = df.select("*", *(F.lit(7).alias(c) for c in ("v", "h", "h2", "_row", "t", "b", "i", "j", "n", "c", "id", "least", "asks", "score", "rank", "query_id", "n_links", "component_id", "kept")))
+    for call in (topk.search, embed_dedup.dedup):
+        assert sorted(map(tuple, call(df).collect())) == sorted(map(tuple, call(wide).collect()))
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * 120 + str(i % 3), 1) for i in range(20)], PAGES)
+    wide = pages.select("*", *(F.lit(7).alias(c) for c in ("digest", "first", "kind", "place", "revisit", "n", "record_type", "refers_to", "file")))
+    assert sorted(map(str, warc.round_trip(pages).collect())) == sorted(map(str, warc.round_trip(wide).collect()))
