@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import langid, mixing, ngram_join, packing, secrets
-from tarn.llm.common import keyed, read, stage
+from tarn.llm.common import keyed, read, stage, unused
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject texts without letters, and those that are foreign to every language that was learned."""
-    found = langid.classify(docs)
-    return found.filter(langid.has_letter(F.col("text")) & ~F.col("_foreign")).drop("_lang", "_score", "_foreign")
+    added = tuple(unused(docs, "_lang", "_score", "_foreign"))
+    found = langid.classify(docs, added=added)
+    return found.filter(langid.has_letter(F.col("text")) & ~F.col(added[2])).drop(*added)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +27,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that share a doc_id, or have none, stay if their texts do not link.
     """
-    rows = keyed(docs)
-    first = ngram_join.join_rows(rows).filter("first").select("_row")
-    return rows.join(first, "_row", "left_semi").select(*docs.columns)
+    (row,) = unused(docs, "_row")
+    rows = keyed(docs, row)
+    first = ngram_join.join_rows(rows, key=row).filter("first").select(row)
+    return rows.join(first, row, "left_semi").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +40,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the mix takes, row by row; a document taken twice comes twice."""
-    rows = keyed(docs)
-    taken = mixing.mix(rows, row="_row").filter("taken > 0").select("_row", (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    return rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    row, copies, copy = unused(docs, "_row", "_copies", "_copy")
+    rows = keyed(docs, row)
+    taken = mixing.mix(rows, row=row).filter("taken > 0").select(row, (F.col("taken") / F.col("size")).cast("int").alias(copies))
+    return rows.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
