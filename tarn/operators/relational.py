@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shared import stage
+
 
 class CardinalityError(ValueError):
     """A join's key is not as unique as was stated."""
@@ -57,17 +60,30 @@ def asof(queries: DataFrame, steps: DataFrame, by: Sequence[str], at: str, step_
 
 
 def not_dominated(df: DataFrame, by: Sequence[str], larger: Sequence[str], smaller: Sequence[str], tolerance: float = 1e-12) -> DataFrame:
-    """Rows that no other of their group matches everywhere and beats somewhere (a Pareto frontier)."""
+    """Rows that no other of their group matches everywhere and beats somewhere (a Pareto frontier).
+
+    Two objectives need no pairs: a row is beaten on one if the best other value among rows ahead of it
+    there, a step function, matches its own. More objectives are an anti join on inequalities in a group.
+    """
+    if len(larger) + len(smaller) == 2:
+        return _not_dominated_on_two(df, by, [F.col(c) for c in larger] + [-F.col(c) for c in smaller], tolerance)
     a, b = df.alias("a"), df.alias("b")
     gains = [F.col(f"b.{c}") - F.col(f"a.{c}") for c in larger] + [F.col(f"a.{c}") - F.col(f"b.{c}") for c in smaller]
-    on = None
-    for c in by:
-        on = F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) if on is None else on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    all_match, one_beats = None, None
-    for g in gains:
-        all_match = (g >= -tolerance) if all_match is None else all_match & (g >= -tolerance)
-        one_beats = (g > tolerance) if one_beats is None else one_beats | (g > tolerance)
-    return a.join(b, on & all_match & one_beats, "left_anti")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    matches, beats = [g >= -tolerance for g in gains], [g > tolerance for g in gains]
+    return a.join(b, reduce(Column.__and__, [*same, *matches, reduce(Column.__or__, beats)]), "left_anti")
+
+
+def _not_dominated_on_two(df: DataFrame, by: Sequence[str], goals: Sequence[Column], tolerance: float) -> DataFrame:
+    rows = stage(df.withColumns({f"_goal{i}": g.cast("double") for i, g in enumerate(goals)}), "goals")
+    out = rows
+    for x, y in (("_goal0", "_goal1"), ("_goal1", "_goal0")):
+        ahead = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        steps = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, (-F.col(x)).alias("_at")).agg(F.max(y).alias("_y"))
+        steps = steps.withColumn("_best", F.max("_y").over(ahead)).select(*by, "_at", "_best")
+        out = asof(out.withColumn("_ask", -F.col(x) - tolerance), steps, by, "_ask", "_at", "_best", "_rival", before_first=float("-inf"), left_limit=True)
+        out = out.filter(~F.coalesce(F.col("_rival") >= F.col(y) - tolerance, F.lit(False))).drop("_ask", "_rival")
+    return out.select(*df.columns)
 
 
 def overlaps(members: DataFrame, group: str, item: str) -> DataFrame:

@@ -290,3 +290,16 @@ def test_frozen_tables_must_stay_the_same(spark, tmp_path):
 def test_columns_are_chosen_by_name():
     got = tables.choose_columns(["o_date", "o_update", "x_status_code", "price"], ["date", "status", "price", "absent"], "o_")
     assert got == [("date", "o_date", 3), ("status", "x_status_code", 1), ("price", "price", 3)]
+
+
+def test_frontier_of_two_equals_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    data = [(f"g{i % 3}", i, float(rng.integers(0, 12)) + float(rng.choice([0, 5e-13])), float(rng.integers(0, 12))) for i in range(150)]
+    data += [("g0", 900, None, 1.0), ("g0", 901, 3.0, None), ("g9", 902, 1.0, 1.0), ("g9", 903, 1.0, 1.0), (None, 904, 1.0, 2.0), (None, 905, 2.0, 2.0)]
+    got = {r["id"] for r in rows(relational.not_dominated(spark.createDataFrame(data, "g string, id long, gain double, harm double"), ["g"], ["gain"], ["harm"]))}
+    t, want = 1e-12, set()
+    for g, i, x, y in data:
+        rivals = [(a, b) for h, _, a, b in data if h == g and None not in (a, b, x, y)]
+        if not any(a >= x - t and b <= y + t and (a > x + t or b < y - t) for a, b in rivals):
+            want.add(i)
+    assert got == want
