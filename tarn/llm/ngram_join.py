@@ -8,8 +8,8 @@ is decided by intersecting the sorted shingle arrays.
 
 Rounds keep groups of near copies from being expanded into pairs. First each set is in one tile a shingle,
 and proposes only the partner that its bitmap finds nearest; what the exact test links becomes one
-component. Then one set of each component stands for it in the tiles of shingles that have several, and
-joins these tiles' components. Pairs within a component need no test, and a large component has tiles of
+component. Then one set stands for its component under each shingle, and does the same; it joins what lay
+in different tiles. Pairs within a component need no test, and a large component has tiles of
 its own, which never meet one another; so the last round, which tests every other pair, has few left, and
 a group of near copies costs as many rows as it has, not their square.
 
@@ -234,15 +234,26 @@ def own_tiles(rows: DataFrame, tile: int) -> DataFrame:
 
 
 def all_tiles(rows: DataFrame, tile: int) -> DataFrame:
-    """The same, with every two tiles of a token that has more than one component, but those of one large component."""
-    sizes = rows.groupBy("token", "c").agg(F.count("*").alias("m"))
+    """The same for tokens that have more than one component: every two tiles but those of one large component.
+
+    Tokens with no more than ``tile`` sets are one tile.
+    """
+    tokens = rows.groupBy("token").agg(F.count("*").alias("g"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token", "g")
+    tokens = stage(tokens, "jaccard_tokens")
+    rows = rows.select("token", "id", "n", "index", "c").join(tokens, "token")
+    zero = [F.lit(0).alias(k) for k in ("i", "j", "salt")]
+    one = rows.filter(F.col("g") <= tile).select("token", *zero, "id", "n", "index", "c")
+    if tokens.filter(F.col("g") > tile).isEmpty():
+        return one
+    rows = rows.filter(F.col("g") > tile).drop("g")
+    sizes = stage(rows.groupBy("token", "c").agg(F.count("*").alias("m")), "jaccard_sizes")
     own = F.when(F.col("m") > tile, F.ceil(F.col("m") / tile))
-    large = sizes.filter(F.col("m") > tile).withColumn("own", own.cast("int"))
     before = Window.partitionBy("token").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    large = sizes.filter(F.col("m") > tile).withColumn("own", own.cast("int"))
     large = large.select("token", "c", "own", F.coalesce(F.sum("own").over(before), F.lit(0)).cast("int").alias("start"))
     shared = F.ceil(F.coalesce(F.sum(F.when(F.col("m") <= tile, F.col("m"))), F.lit(0)) / tile).cast("int")
-    open_tokens = sizes.groupBy("token").agg(shared.alias("shared"), F.coalesce(F.sum(own), F.lit(0)).cast("int").alias("more"), F.count("*").alias("parts"))
-    rows = rows.join(open_tokens.filter("parts > 1"), "token").join(large, ["token", "c"], "left")
+    counts = sizes.groupBy("token").agg(shared.alias("shared"), F.coalesce(F.sum(own), F.lit(0)).cast("int").alias("more"))
+    rows = rows.join(counts, "token").join(large, ["token", "c"], "left")
     # Tiles of small components come first, then those of each large one.
     first, last = F.col("shared") + F.col("start"), F.col("shared") + F.col("more") - 1
     rows = rows.withColumn("salt", F.when(F.col("own").isNull(), F.pmod(F.xxhash64("id"), F.col("shared"))).otherwise(first + F.pmod(F.xxhash64("id"), F.col("own"))).cast("int"))
@@ -250,7 +261,7 @@ def all_tiles(rows: DataFrame, tile: int) -> DataFrame:
     span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(none)
     others = F.when(F.col("own").isNull(), span(F.lit(0), last)).otherwise(F.concat(span(F.lit(0), first - 1), span(first + F.col("own"), last)))
     rows = rows.withColumn("other", F.explode(others))
-    return rows.select("token", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "id", "n", "index", "c")
+    return one.unionByName(rows.select("token", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "id", "n", "index", "c"))
 
 
 def meetings(rows: DataFrame, bits: DataFrame, share: tuple[int, int], nearest: bool, buckets: int) -> DataFrame:
@@ -313,7 +324,7 @@ def join_rows(rows: DataFrame, share: tuple[int, int] = SHARE, size: int = SHING
     tiles = stage(groups.join(kinds, "token"), "jaccard_tiles")
     drop(groups)
     buckets = max(4 * shuffle_partitions(docs.sparkSession), tiles.count() // 20_000)
-    signs = stage(signatures(only(docs, tiles.select("id").distinct()), size), "jaccard_signatures")
+    signs = stage(signatures(only(docs, stage(tiles.select("id").distinct(), "jaccard_ids")), size), "jaccard_signatures")
     bits = signs.select("id", "bits")
 
     # First every set is alone.
@@ -324,20 +335,19 @@ def join_rows(rows: DataFrame, share: tuple[int, int] = SHARE, size: int = SHING
     sets = stage(arrays(only(docs, involved), size), "jaccard_arrays")
     old, tiles = tiles, stage(tiles.join(involved, "id"), "jaccard_tiles")
     drop(old)
-    links = stage(verify(pairs, sets, share), "jaccard_links")
-    parts = components(links)
-    # The rounds after: representatives alone, where tiles of one shingle have not met; nearest partners; all pairs.
-    rounds = [(True, False), (False, False)]
-    if not tiles.filter(F.col("g") > tile).isEmpty():
-        rounds.insert(0, (True, True))
-    for nearest, alone in rounds:
-        named = tiles.join(parts, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component", "g")
+    parts = components(stage(verify(pairs, sets, share), "jaccard_links"))
+    # Then one set stands for its component under each shingle, with its nearest partner; last, all pairs of sets.
+    for alone in (True, False):
+        named = tiles.join(parts, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         if alone:
             one = F.min_by(F.struct("id", "n", "index"), F.struct((~F.col("index")).alias("late"), "n", "id"))
             named = named.groupBy("token", "c").agg(one.alias("one")).select("token", "c", "one.*")
-        pairs = stage(meetings(all_tiles(named, tile), bits, share, nearest, buckets), "jaccard_pairs")
-        links = links.unionByName(stage(verify(pairs, sets, share), "jaccard_links"))
-        parts = components(links)
+        named = stage(named.select("token", "id", "n", "index", "c"), "jaccard_named")
+        pairs = stage(meetings(all_tiles(named, tile), bits, share, alone, buckets), "jaccard_pairs")
+        drop(named)
+        if not pairs.isEmpty():
+            links = stage(verify(pairs, sets, share), "jaccard_links")
+            parts = components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
     known = sums.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id")).join(parts, "id", "left")
     known = known.select("n", "k1", "k2", F.coalesce("component", "id").alias("c"))
     found = sums.select("doc_id", "n", "k1", "k2").join(known, ["n", "k1", "k2"], "left")
@@ -348,8 +358,7 @@ def join_rows(rows: DataFrame, share: tuple[int, int] = SHARE, size: int = SHING
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with one of ``ids``; these are broadcast only while few."""
-    ids = stage(ids, "jaccard_ids")
+    """The documents with one of the staged ``ids``; these are broadcast only while few."""
     few = ids.count() <= BROADCAST_IDS
     ids = ids.withColumnRenamed("id", "doc_id")
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
