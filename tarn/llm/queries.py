@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, with production parameters, and the SQL that some have."""
+"""The operators over their whole tables, with production parameters, and the SQL that some have."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff, embed_dedup, langid, licenses, mixing, ngram_join, packing, secrets, topk, warc
+from . import backoff, codebooks, embed_dedup, langid, licenses, mixing, ngram_join, packing, secrets, topk, toxicity, warc
 from .common import read
 
 
@@ -50,6 +50,14 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.codes(read(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 OP2 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
@@ -108,10 +116,45 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WH
        CASE WHEN first <> page_id THEN first END AS refers_to FROM f
 """
 
+_FLOORED = "(({s} - ((({s} % {n}) + {n}) % {n})) // {n})"  # of a quotient, also below zero
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """Rounds unrolled: near<r> has each part's nearest entry, book<r> the entries after r rounds."""
+    sum_of_squares = "CAST(list_sum(list_transform(list_zip(x.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    parts = [
+        f"""near{r} AS MATERIALIZED (
+  SELECT x.k, x.p, min_by(b.e, ({sum_of_squares}, b.e)) AS e, min({sum_of_squares}) AS d FROM x JOIN book{r} b ON x.p = b.p GROUP BY x.k, x.p
+), book{r + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN (
+    SELECT p, e, list(v ORDER BY i) AS c FROM (
+      SELECT p, e, i, {_FLOORED.format(s="sum(v)::HUGEINT", n="count(*)")}::BIGINT AS v
+      FROM (SELECT x.p, n.e, unnest(range(len(x.c))) AS i, unnest(x.c) AS v FROM x JOIN near{r} n ON x.k = n.k AND x.p = n.p) GROUP BY p, e, i) GROUP BY p, e
+  ) m ON b.p = m.p AND b.e = m.e
+)"""
+        for r in range(rounds + 1)
+    ]
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS k, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS MATERIALIZED (
+  SELECT k, p, q[p * (len(q) // 8) + 1 : (p + 1) * (len(q) // 8)] AS c FROM v, range(8) r(p)
+), book0 AS MATERIALIZED (SELECT p, k - 1 AS e, c FROM x WHERE k <= 16),
+{", ".join(parts)},
+codes AS (SELECT k, string_agg(lpad(printf('%x', e), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY k),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+SELECT v.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY v.label) AS BIGINT) AS label_error, codebooks_sha256
+FROM v JOIN codes USING (k), books
+"""
+
+
+OP12 = _codes_sql()
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_topk, op3_licenses, op4_secrets, op5_backoff, op6_pack, op7_ngram_join, op8_embedding_dedup, op9_warc, op10_langid)}
+    return {f.__name__: f for f in (op1_mix, op2_topk, op3_licenses, op4_secrets, op5_backoff, op6_pack, op7_ngram_join, op8_embedding_dedup, op9_warc, op10_langid, op12_codes, op13_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2, "op7_ngram_join": OP7, "op8_embedding_dedup": OP8, "op9_warc": OP9}
+    return {"op2_topk": OP2, "op7_ngram_join": OP7, "op8_embedding_dedup": OP8, "op9_warc": OP9, "op12_codes": OP12}
