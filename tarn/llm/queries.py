@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff, codebooks, embed_dedup, langid, licenses, mixing, ngram_join, packing, secrets, topk, toxicity, warc
+from . import backoff, codebooks, embed_dedup, langid, licenses, mixing, ngram_join, packing, phrases, secrets, topk, toxicity, warc
 from .common import read
 
 
@@ -50,6 +50,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.codes(read(spark, sf_dir, "embeddings"))
 
@@ -116,6 +120,25 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WH
        CASE WHEN first <> page_id THEN first END AS refers_to FROM f
 """
 
+OP11 = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) t(k))),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+longer AS (SELECT lang, phrase, max(f) AS f FROM (
+  SELECT lang, f, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, f, w, m, unnest(range(1, k - m + 2)) AS i FROM f, range(2, 5) t(m) WHERE m < k)) GROUP BY 1, 2),
+kept AS (SELECT f.* FROM f LEFT JOIN longer o ON f.lang = o.lang AND f.phrase = o.phrase WHERE f.k > 1 AND 100 * coalesce(o.f, 0) < 100 * f.f),
+cut AS (SELECT lang, phrase, f AS a, c, array_to_string(w[1:c], ' ') AS x, array_to_string(w[c + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS c FROM kept)),
+s AS (
+  SELECT cut.lang, cut.phrase, a, c, x.f AS l, y.f AS r, n, CAST((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.x JOIN f y ON y.lang = cut.lang AND y.phrase = cut.y JOIN n ON n.lang = cut.lang
+), one AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM one QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
 _FLOORED = "(({s} - ((({s} % {n}) + {n}) % {n})) // {n})"  # of a quotient, also below zero
 
 
@@ -153,8 +176,8 @@ OP12 = _codes_sql()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_topk, op3_licenses, op4_secrets, op5_backoff, op6_pack, op7_ngram_join, op8_embedding_dedup, op9_warc, op10_langid, op12_codes, op13_toxicity)}
+    return {f.__name__: f for f in (op1_mix, op2_topk, op3_licenses, op4_secrets, op5_backoff, op6_pack, op7_ngram_join, op8_embedding_dedup, op9_warc, op10_langid, op11_phrases, op12_codes, op13_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2, "op7_ngram_join": OP7, "op8_embedding_dedup": OP8, "op9_warc": OP9, "op12_codes": OP12}
+    return {"op2_topk": OP2, "op7_ngram_join": OP7, "op8_embedding_dedup": OP8, "op9_warc": OP9, "op11_phrases": OP11, "op12_codes": OP12}
