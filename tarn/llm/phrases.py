@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, drop, stage
+from .common import arrow_batches, drop, shuffle_partitions, stage
 from .words import ODD, mix
 
 LEAST, LONGEST, TOP = 100, 5, 2000
@@ -199,12 +199,25 @@ def sketch(texts: DataFrame, bits: int, known: Broadcast | None = None) -> Bound
 
 
 def candidates(texts: DataFrame, bounds: Broadcast) -> DataFrame:
-    """``lang, phrase`` of all sequences, single words too, that can be frequent."""
+    """``lang, phrase`` of all sequences, single words too, that can be frequent.
+
+    A task hands on what it found in shares by hash, a row each; the shares of all tasks are put together by hash.
+    """
+    shares = 8 * shuffle_partitions(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[int] = set()
+        told: dict[int, tuple[str, str]] = {}
+
+        def hand_on() -> pa.RecordBatch:
+            codes = np.fromiter(told, np.uint64, len(told))
+            found = pa.array(list(told.values()), pa.struct([("lang", pa.string()), ("phrase", pa.string())]))
+            share = codes % np.uint64(shares)
+            order = np.argsort(share, kind="stable")
+            kinds, starts = np.unique(share[order], return_index=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), found.take(pa.array(order)))
+            return pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), lists], ["share", "found"])
+
         for batch in batches:
-            langs, phrases = [], []
             for lang, data, own, words, starts, marks in hashed_blocks(batch):
                 ends = np.append(starts[1:] - 1, len(data) - 1)
                 for k, h, ok in passing(words, marks, bounds.value):
@@ -212,14 +225,21 @@ def candidates(texts: DataFrame, bounds: Broadcast) -> DataFrame:
                     codes, first = np.unique(h[at], return_index=True)
                     for code, place in zip(codes.tolist(), at[first].tolist(), strict=True):
                         if code not in told:
-                            told.add(code)
-                            langs.append(lang)
-                            phrases.append(data[starts[place] : ends[place + k - 1]].decode())
+                            told[code] = (lang, data[starts[place] : ends[place + k - 1]].decode())
             if len(told) > REMEMBERED:
+                yield hand_on()
                 told.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string())], ["lang", "phrase"])
+        if told:
+            yield hand_on()
+
+    packed = texts.mapInArrow(run, "share long, found array<struct<lang string, phrase string>>")
+    return packed.groupBy("share").applyInArrow(_distinct, "lang string, phrase string")
+
 
-    return texts.mapInArrow(run, "lang string, phrase string").distinct()
+def _distinct(rows: pa.Table) -> pa.Table:
+    found = pa.chunked_array([c.flatten() for c in rows.column("found").chunks])
+    table = pa.Table.from_arrays([pa.chunked_array([c.field(i) for c in found.chunks], pa.string()) for i in range(2)], ["lang", "phrase"])
+    return table.group_by(["lang", "phrase"]).aggregate([]).select(["lang", "phrase"])
 
 
 _compiled: dict[tuple[str, str], ahocorasick.Automaton] = {}
