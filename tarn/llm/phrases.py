@@ -292,6 +292,35 @@ def word_totals(texts: DataFrame) -> DataFrame:
     return texts.groupBy("lang").agg(F.sum(F.coalesce(words, F.lit(0)).cast("long")).alias("n"))
 
 
+def dealt(found: DataFrame) -> Iterator[tuple[DataFrame, DataFrame | None]]:
+    """The candidates in groups that an automaton holds, and the languages whose texts a group concerns (None: all).
+
+    Languages are kept whole where they fit, so that few texts are scanned more than once.
+    """
+    sizes = found.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("phrase")).alias("bytes"))
+    key = F.xxhash64("lang", "phrase")
+    if sizes.count() > FEW_LANGUAGES:
+        n, size = sizes.agg(F.sum("n"), F.sum("bytes")).first()
+        groups = max(-(-n // PHRASES), -(-size // BYTES))
+        for g in range(groups):
+            yield found.filter(F.pmod(key, F.lit(groups)) == g), None
+        return
+    units = []
+    for r in sizes.collect():
+        cut = max(-(-r["n"] // PHRASES), -(-r["bytes"] // BYTES))
+        units += [(r["n"] / cut / PHRASES, r["bytes"] / cut / BYTES, r["lang"], cut, i) for i in range(cut)]
+    groups: list[list] = []
+    for unit in sorted(units, key=lambda u: (-max(u[:2]), u[2], u[4])):
+        group = next((g for g in groups if all(sum(u[i] for u in g) + unit[i] <= 1.05 for i in (0, 1))), None)
+        if group is None:
+            groups.append(group := [])
+        group.append(unit)
+    for group in groups:
+        table = found.sparkSession.createDataFrame([u[2:] for u in group], "lang string, _cut int, _part int")
+        mine = found.join(F.broadcast(table), "lang").filter(F.pmod(key, F.col("_cut")) == F.col("_part"))
+        yield mine, table.select("lang").distinct()
+
+
 def frequent(docs: DataFrame) -> DataFrame:
     """Staged ``lang, phrase, f`` of all words and phrases of up to LONGEST words that occur LEAST times or more."""
     spark = docs.sparkSession
@@ -303,17 +332,18 @@ def frequent(docs: DataFrame) -> DataFrame:
     pairs = sketch(texts, bits)
     longer = sketch(texts, bits, send([pairs]))
     found = stage(candidates(texts, send([pairs, longer])), "candidates")
-    n, size = found.agg(F.count("*"), F.sum(F.octet_length("phrase"))).first()
-    groups = max(1, -(-n // PHRASES), -(-(size or 0) // BYTES))
     parts = []
-    for g in range(groups):
-        mine: dict[str, list[str]] = {}
-        for r in found.filter(F.pmod(F.xxhash64("lang", "phrase"), F.lit(groups)) == g).collect():  # about PHRASES rows at most
-            mine.setdefault(r["lang"], []).append(r["phrase"])
-        phrases = send({lang: sorted(p) for lang, p in mine.items()})
-        parts.append(stage(counts(texts, phrases, f"{found._scratch}-{g}").filter(F.col("f") >= LEAST), "phrase_counts"))
+    for g, (mine, langs) in enumerate(dealt(found)):
+        own: dict[str, list[str]] = {}
+        for r in mine.select("lang", "phrase").collect():  # about PHRASES rows at most
+            own.setdefault(r["lang"], []).append(r["phrase"])
+        phrases = send({lang: sorted(p) for lang, p in own.items()})
+        some = texts if langs is None else texts.join(F.broadcast(langs), "lang", "left_semi")
+        parts.append(stage(counts(some, phrases, f"{found._scratch}-{g}").filter(F.col("f") >= LEAST), "phrase_counts"))
         phrases.unpersist()
     drop(found)
+    if not parts:
+        return spark.createDataFrame([], "lang string, phrase string, f long")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
