@@ -40,8 +40,7 @@ def integers(vectors: pa.ListArray, dims: int) -> np.ndarray:
     lengths = vectors.value_lengths().to_numpy()
     inside = np.arange(dims)[None, :] < lengths[:, None]
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    largest = np.abs(flat).max(initial=0.0) * SCALE
-    if largest**2 * 4 * max(dims, 1) < 2.0**62:
+    if np.abs(flat).max(initial=0.0) < (2.0**60 / max(dims, 1)) ** 0.5 / SCALE:
         out = np.zeros((len(vectors), dims), np.int64)
         out[inside] = np.floor(flat * SCALE).astype(np.int64)
     else:

@@ -35,7 +35,7 @@ from .common import arrow_batches
 #: The kernel: symbols of a sequence, symbols it may skip, and what each symbol spanned costs.
 ORDER, GAPS, DECAY = 4, 3, 0.9
 #: A window: all sequences that start at so many places that follow one another.
-PLACES = 18
+PLACES = 10
 #: The sample to learn from: documents of each label at most, and the characters of a stretch of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 2000, 6000
 #: Nyström landmarks of each label, windows of clean documents, and rounds of choosing windows anew.
@@ -45,12 +45,14 @@ TELLING, TELLING_PART = 4.0, 1 / 3
 #: One in so many documents of the sample turns decisions into probabilities and is kept from the fit.
 APART_EVERY = 5
 SYMBOLS = 32
+#: Places that are worked on at once.
+BLOCK = 1 << 15
 STEPS = [d for d in itertools.product(range(1, GAPS + 2), repeat=ORDER - 1) if sum(d) < ORDER + GAPS]
 
 
 def _classes() -> np.ndarray:
     """Letters are symbols of their own whatever their case; blanks, other ASCII and the rest have classes."""
-    out = np.full(256, 28, np.int32)
+    out = np.full(256, 28, np.uint8)
     out[[9, 10, 11, 12, 13, 32]] = 27
     out[97:123] = out[65:91] = np.arange(1, 27)
     out[128:] = 29 + np.arange(128) % 3
@@ -70,9 +72,9 @@ def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     plain = (out == 27) | (out == 28)
     kept = np.ones(len(out), bool)
     kept[1:] = ~(plain[1:] & plain[:-1])
-    sizes = np.fromiter((len(t) + len(pad) + 2 for t in texts), np.int64, len(texts))
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    return out[kept], np.concatenate(([0], np.cumsum(kept)))[starts]
+    begins = np.cumsum([0, *(len(t) + len(pad) + 2 for t in texts)])
+    sizes = np.add.reduceat(kept, begins[:-1], dtype=np.int64) if texts else np.zeros(0, np.int64)
+    return out[kept], np.concatenate(([0], np.cumsum(sizes)))
 
 
 def sequences(row: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -84,30 +86,33 @@ def sequences(row: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield a + b + c + 1, high[a] + pairs[c][a + b : a + b + n]
 
 
-def places(row: np.ndarray, table: np.ndarray, block: int = 1 << 15) -> np.ndarray:
-    """The summed weights of the sequences from each place."""
-    tail = ORDER + GAPS - 1
-    out = np.zeros(len(row), np.float64)
-    for at in range(0, len(row) - tail, block):
-        part = row[at : at + block + tail]
-        by_span: dict[int, np.ndarray] = {}
-        for span, codes in sequences(part):
-            found = table.take(codes)
-            by_span[span] = by_span[span] + found if span in by_span else found
-        out[at : at + len(part) - tail] = sum(DECAY**k * x for k, x in by_span.items())
-    return out
+def places(row: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The summed weights of the sequences from each place; the last places have none."""
+    by_span: dict[int, np.ndarray] = {}
+    for span, codes in sequences(row.astype(np.int32)):
+        found = table.take(codes)
+        by_span[span] = by_span[span] + found if span in by_span else found
+    return sum(DECAY**k * x.astype(np.float64) for k, x in by_span.items())
+
 
+def windows(row: np.ndarray, starts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The highest sum of weights over a window of each text, and the first place where such a window starts.
 
-def windows(row: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The highest sum of ``weights`` over a window of each text, and the place where it starts."""
-    run = np.concatenate(([0.0], np.cumsum(weights)))
-    sums = run[np.minimum(np.arange(len(row)) + PLACES, len(row))] - run[:-1]
-    sums[row == 0] = 0  # a window of padding stands for a text without any sequence
-    best = np.maximum.reduceat(sums, starts[:-1])
-    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    hits = np.flatnonzero(sums == best[owner])
-    at = np.full(len(best), len(row), np.int64)
-    np.minimum.at(at, owner[hits], hits)
+    A window of padding holds nothing; it stands for a text without any sequence. Long texts are read block by block.
+    """
+    best, at = np.zeros(len(starts) - 1), starts[1:] - 1
+    row = np.concatenate((row, np.zeros(PLACES + ORDER + GAPS, row.dtype)))
+    for begin in range(0, int(starts[-1]), BLOCK):
+        end = min(begin + BLOCK, int(starts[-1]))
+        run = np.concatenate(([0.0], np.cumsum(places(row[begin : end + PLACES + ORDER + GAPS - 1], table))))
+        sums = run[PLACES : PLACES + end - begin] - run[: end - begin]
+        sums[row[begin:end] == 0] = 0
+        first, last = np.searchsorted(starts, begin, side="right") - 1, np.searchsorted(starts, end)
+        edges = np.maximum(starts[first:last] - begin, 0)
+        top = np.maximum.reduceat(sums, edges)
+        for t in np.flatnonzero(top > best[first:last]).tolist():
+            stretch = sums[edges[t] : edges[t + 1] if t + 1 < len(edges) else None]
+            best[first + t], at[first + t] = top[t], begin + edges[t] + int(stretch.argmax())
     return best, at
 
 
@@ -123,7 +128,7 @@ class Machine:
 
     def decisions(self, texts: list[bytes]) -> np.ndarray:
         row, starts = symbols(texts)
-        return windows(row, starts, places(row, self.table))[0] + self.offset if texts else np.zeros(0)
+        return windows(row, starts, self.table)[0] + self.offset
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.table is None:
@@ -133,7 +138,7 @@ class Machine:
 
 def of_windows(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes and weights of all sequences of the windows that start at places ``at``."""
-    row = np.concatenate((row, np.zeros(PLACES + ORDER + GAPS, row.dtype)))
+    row = np.concatenate((row.astype(np.int32), np.zeros(PLACES + ORDER + GAPS, np.int32)))
     codes, weights = [], []
     for span, found in sequences(row):
         codes.append(found[at[:, None] + np.arange(PLACES)])
@@ -203,25 +208,24 @@ def separate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 50
 
 
 def probability(f: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
-    """Slope and offset of a logistic curve of decisions, with the toxic ones weighing ``share`` in all."""
-    positive = y > 0
-    weight = np.where(positive, share / max(positive.sum(), 1), (1 - share) / max((~positive).sum(), 1)) * len(y)
-    x = np.stack((f, np.ones(len(f))), 1)
-    v = np.array([1.0, 0.0])
+    """Slope and offset of a logistic curve of decisions, with the toxic ones weighing ``share`` in all.
 
-    def loss(v: np.ndarray) -> float:
-        z = np.where(positive, 1, -1) * (x @ v)
-        return float(weight @ np.logaddexp(0, -z)) + 0.05 * float(v @ v)
-
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ v, -40, 40)))
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
-        move = np.linalg.solve(h, x.T @ (weight * (positive - p)) - 0.1 * v)
-        step = 1.0
-        while step > 1e-6 and loss(v + step * move) > loss(v):
-            step /= 2
-        v = v + step * move
-    return max(float(v[0]), 1e-6), float(v[1])
+    It is one half where the fewest documents are on the wrong side, in the middle of the widest such gap.
+    """
+    positive = y > 0
+    weight = np.where(positive, share / max(positive.sum(), 1), (1 - share) / max((~positive).sum(), 1))
+    order = np.argsort(f, kind="stable")
+    values = f[order]
+    wrong = np.concatenate(([0.0], np.cumsum(np.where(positive[order], weight[order], -weight[order]))))
+    edges = np.concatenate(([values[0] - 2], values, [values[-1] + 2]))
+    gaps = np.where(wrong <= wrong.min() + 1e-12, np.diff(edges), -1.0)
+    middle = edges[gaps.argmax()] + gaps.max() / 2
+    x, slope = f - middle, 1.0
+    for _ in range(50):  # Newton steps for the slope alone, which a small penalty bounds
+        p = 1 / (1 + np.exp(-np.clip(slope * x, -40, 40)))
+        move = (weight @ (x * (positive - p)) - 1e-3 * slope) / (weight @ (x * x * p * (1 - p)) + 1e-3)
+        slope = min(max(slope + move, slope / 2, 1e-3), 2 * slope)
+    return float(slope), float(-slope * middle)
 
 
 def sentences(text: str) -> list[str]:
@@ -284,11 +288,13 @@ def train(toxic: list[str], clean: list[str], share: float, seed: int = 13) -> M
         x = [np.concatenate(part) for part in (good, bad)]
         primal, machine.offset = separate(np.concatenate(x), np.repeat([1.0, -1.0], [len(x[0]), len(x[1])]))
         machine.table = landmarks.table(primal)
-        _, at = windows(*clean_rows, places(clean_rows[0], machine.table))
-        bad.append(landmarks.features(*of_windows(clean_rows[0], at)))
-        top, at = windows(*toxic_rows, places(toxic_rows[0], machine.table))
-        # A toxic document none of whose windows is on the toxic side shows no reason for its label.
+        top_clean, at_clean = windows(*clean_rows, machine.table)
+        top, at = windows(*toxic_rows, machine.table)
+        # A toxic document none of whose windows is on the toxic side shows no reason for its label; a clean one, of the
+        # highest twentieth, that is beyond most toxic ones has a doubtful label.
         shown = top + machine.offset > 0
+        clear = top_clean <= max(np.quantile(top_clean, 0.95), np.median(top[shown]) if shown.any() else 0.0)
+        bad.append(landmarks.features(*of_windows(clean_rows[0], at_clean[clear])))
         good = [good[0], landmarks.features(*of_windows(toxic_rows[0], at[shown]))]
     f = machine.decisions([t.encode() for t in toxic_apart + clean_apart])
     machine.slope, machine.shift = probability(f, np.repeat([1, -1], [len(toxic_apart), len(clean_apart)]), min(max(share, 0.001), 0.999))
