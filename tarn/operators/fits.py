@@ -122,35 +122,3 @@ def newton(
             elif np.abs(b).max(initial=0.0) > cap:
                 fits[g] = (b, False)
     return {g: fits.get(g, (beta[g], False)) for g in groups}
-
-
-def elastic_net(rows: DataFrame, by: str, features: Sequence[str], sizes: dict[Hashable, int], alpha: Callable[[Hashable], float], ratio: Callable[[Hashable], float], rounds: int = 12) -> dict[Hashable, np.ndarray]:
-    """Cox coefficients under a mixed penalty, by group: coordinate descent on each round's quadratic approximation."""
-    beta = {g: np.zeros(len(features)) for g in sizes}
-    going = set(sizes)
-    for _ in range(rounds):
-        if not going:
-            break
-        for g, (_, gradient, hessian) in cox_terms(rows, by, features, {g: beta[g] for g in going}).items():
-            new = lasso_step(beta[g], gradient / sizes[g], hessian / sizes[g], alpha(g), ratio(g))
-            if np.abs(new - beta[g]).max() < 1e-7:
-                going.discard(g)
-            beta[g] = new
-    return beta
-
-
-def lasso_step(beta: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, alpha: float, ratio: float, sweeps: int = 200) -> np.ndarray:
-    """The minimum of a quadratic at ``beta`` plus the penalty, one coordinate after another."""
-    new, slope = beta.copy(), gradient.copy()
-    for _ in range(sweeps):
-        change = 0.0
-        for j in range(len(beta)):
-            if hessian[j, j] <= 0:
-                continue
-            target = hessian[j, j] * new[j] - slope[j]
-            b = np.sign(target) * max(abs(target) - alpha * ratio, 0.0) / (hessian[j, j] + alpha * (1 - ratio))
-            slope += hessian[:, j] * (b - new[j])
-            change, new[j] = max(change, abs(b - new[j])), b
-        if change < 1e-10:
-            break
-    return new

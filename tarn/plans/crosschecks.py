@@ -69,23 +69,6 @@ def bh_adjusted(spark, d):
     return stats.bh_adjust(p, "p", ["segment"]).select("nation", "segment", _r("q", 5).alias("q"))
 
 
-@query("t14b_outcome_permutation")
-def outcome_permutation(spark, d):
-    """Pairs of time and event permuted within a cohort by hash order; the concordance of each draw against the observed one."""
-    x = stage(survival(spark, d).select("cohort", "id", "time", "event", "risk"), "permute")
-    y = x.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(9))))
-    w = Window.partitionBy("cohort", "draw")
-    place = F.row_number().over(w.orderBy("id"))
-    to = F.when(F.col("draw") == 0, place).otherwise(F.row_number().over(w.orderBy(S.draw_key(F.lit("out"), "draw", "id"), "id")))
-    y = y.withColumns({"a": place, "b": to})
-    z = y.select("cohort", "draw", F.col("a").alias("k"), "id", "risk").join(y.select("cohort", "draw", F.col("b").alias("k"), "time", "event"), ["cohort", "draw", "k"])
-    z = stage(z.withColumn("grp", F.concat_ws("#", "cohort", "draw")), "permuted")
-    c = V.uno_fast(z, "grp", _tau(z, "grp")).withColumns({"cohort": F.split("grp", "#")[0], "draw": F.split("grp", "#")[1].cast("int")})
-    obs = F.max(F.when(F.col("draw") == 0, F.col("c"))).over(Window.partitionBy("cohort"))
-    c = c.withColumn("obs", obs).filter("c IS NOT NULL AND obs IS NOT NULL")
-    return c.groupBy("cohort").agg(_r(F.max("obs"), 4).alias("observed"), _r((1 + F.count_if((F.col("draw") > 0) & (F.col("c") >= F.col("obs")))) / (1 + F.count_if(F.col("draw") > 0))).alias("p"))
-
-
 @query(
     "t14c_causal_correlation",
     f"""WITH {EXPRESSION}, e AS (SELECT gene, avg(value) FILTER (cohort = 'A') AS s, avg(value) FILTER (cohort = 'B') AS t FROM expression GROUP BY 1),

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import draw_key
+from ..operators import manyfits
 from ..operators import survival as V
-from ..operators.fits import elastic_net, newton
+from ..operators.fits import newton
 from ..shared import stage
 from .entities import survival, table
 from .registry import query
@@ -43,51 +47,82 @@ def ridge(spark, d):
 ALPHAS, RATIOS = tuple(float(a) for a in 0.2 * 0.01 ** (np.arange(30) / 29)), (0.1, 0.5, 1.0)
 
 
+def _net(alpha: float, ratio: float, folds: frozenset[int] | None = None) -> manyfits.Fit:
+    return manyfits.Fit(l2=alpha * (1 - ratio), l1=alpha * ratio, folds=folds, relative=True)
+
+
 @query("v17_elastic_net_path")
 def elastic_net_path(spark, d):
-    """Non-zero coefficients along a path of 30 penalties, for three mixes; every arm and penalty is a group of one fit."""
-    x = _features(spark, d)
-    n = {r["arm"]: r["count"] for r in x.groupBy("arm").count().collect()}
-    path = F.explode(F.array(*(F.struct(F.lit(r).alias("ratio"), F.lit(i).alias("place")) for r in range(len(RATIOS)) for i in range(len(ALPHAS)))))
-    rows = x.select("*", path.alias("p")).withColumn("grp", F.concat_ws("#", "p.ratio", "p.place", "arm"))
-    groups = {f"{r}#{i}#{arm}": (arm, r, i) for arm in n for r in range(len(RATIOS)) for i in range(len(ALPHAS))}
-    fits = elastic_net(rows, "grp", _FEATURES, {g: n[k[0]] for g, k in groups.items()}, lambda g: ALPHAS[groups[g][2]], lambda g: RATIOS[groups[g][1]])
-    out = [(groups[g][0], RATIOS[groups[g][1]], groups[g][2], round(ALPHAS[groups[g][2]], 6), int((b != 0).sum()), round(float(np.abs(b).sum()), 4)) for g, b in fits.items()]
-    return spark.createDataFrame(out, "arm string, l1_ratio double, path_index int, alpha double, n_nonzero int, l1 double")
+    """Non-zero coefficients along a path of 30 penalties, for three mixes: 90 fits of every arm at once."""
+    blocks = manyfits.pack(_features(spark, d), "arm", _FEATURES)
+    grid = [(r, i) for r in range(len(RATIOS)) for i in range(len(ALPHAS))]
+    fits = manyfits.solve(blocks, [_net(ALPHAS[i], RATIOS[r]) for r, i in grid])
+    out = [(arm, RATIOS[grid[f][0]], grid[f][1], round(ALPHAS[grid[f][1]], 6), int((r.beta != 0).sum()), round(float(np.abs(r.beta).sum()), 4), r.converged) for (arm, f), r in fits.items()]
+    return spark.createDataFrame(out, "arm string, l1_ratio double, path_index int, alpha double, n_nonzero int, l1 double, converged boolean")
 
 
 _PENALTIES, _TOLERANCE, _NEST = (0.1, 1.0, 10.0, 100.0), 0.005, 3
 
 
-def _scores(rows, fits):
-    """Concordance by ``grp`` of the rows under their group's coefficients."""
-    table = rows.sparkSession.createDataFrame([(g, *map(float, b)) for g, (b, _) in fits.items()], "grp string, b1 double, b2 double, b3 double")
-    x = rows.join(F.broadcast(table), "grp")  # a row per fit
-    return V.uno_fast(x.withColumn("risk", F.col("x1") * F.col("b1") + F.col("x2") * F.col("b2") + F.col("x3") * F.col("b3")), "grp")
+def _folded(x, seed: str = "nested"):
+    return x.withColumn("fold", F.pmod(draw_key(F.lit(seed), "id"), F.lit(_NEST)).cast("int"))
+
+
+def cross_validated(blocks: manyfits.Blocks, candidates: list[manyfits.Fit]):
+    """Staged ``grp, outer, candidate, inner_c, outer_c, converged``: for every group, outer fold and candidate the mean concordance on the inner folds,
+    and that of a fit to all inner folds on the outer one.
+
+    A fit without folds i and j serves outer fold i with inner fold j, and the other way round.
+    """
+    spark, every = blocks.df.sparkSession, frozenset(range(_NEST))
+    pairs = [(i, j) for i in range(_NEST) for j in range(i + 1, _NEST)]
+    plan = [(c, out) for c in range(len(candidates)) for out in [*map(frozenset, pairs), *(frozenset([i]) for i in range(_NEST))]]
+    fits = manyfits.solve(blocks, [replace(candidates[c], folds=every - out) for c, out in plan])
+    risks = manyfits.predict(blocks, fits, [out for _, out in plan])
+    scored = stage(risks.withColumn("key", F.concat_ws("#", "grp", "fit", "fold")), "risks")
+    c = V.uno_fast(scored, "key")
+    part = F.split("key", "#")
+    table = [(f, cand, i, j) for f, (cand, out) in enumerate(plan) for i in range(_NEST) for j in range(_NEST) if (out == {i, j} if i != j else out == {i})]
+    named = spark.createDataFrame(table, "fit int, candidate int, outer int, fold int")  # a row per fit and fold
+    back = F.size(part)
+    c = c.select(F.array_join(F.slice(part, 1, back - 2), "#").alias("grp"), F.element_at(part, -2).cast("int").alias("fit"), F.element_at(part, -1).cast("int").alias("fold"), "c")
+    c = c.join(F.broadcast(named), ["fit", "fold"])
+    inner = F.col("outer") != F.col("fold")
+    # A candidate counts only if it has a concordance on every inner fold.
+    complete = F.count(F.when(inner, F.col("c"))) == _NEST - 1
+    sums = c.groupBy("grp", "outer", "candidate").agg(F.when(complete, F.avg(F.when(inner, F.col("c")))).alias("inner_c"), F.max(F.when(~inner, F.col("c"))).alias("outer_c"))
+    fine = [(g, plan[f][0], r.converged) for (g, f), r in fits.items()]
+    flags = spark.createDataFrame(fine, "grp string, candidate int, ok boolean").groupBy("grp", "candidate").agg(F.every("ok").alias("converged"))
+    return stage(sums.join(flags, ["grp", "candidate"]), "cross_validated")
+
+
+def tuned(cv, order: list):
+    """The first candidate, in ``order``, of those within tolerance of the best on the inner folds."""
+    best = F.max("inner_c").over(Window.partitionBy("grp", "outer"))
+    near = cv.filter("inner_c IS NOT NULL").withColumn("best_c", best).filter(F.col("inner_c") >= F.col("best_c") - _TOLERANCE)
+    first = F.min(F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), "candidate", "best_c", "outer_c", "converged")).alias("t")
+    return near.groupBy("grp", "outer").agg(first).select("grp", "outer", "t.candidate", "t.best_c", "t.outer_c", "t.converged")
 
 
 @query("v18_nested_tuning")
 def nested_tuning(spark, d):
     """For each outer fold, inner folds score the penalties; the largest within tolerance of the best is fitted to
     all inner folds and scored on the outer one, which no choice has seen."""
-    x = stage(_features(spark, d).withColumn("fold", (F.col("id") % _NEST).cast("int")), "nested")
-    folds = F.array(*map(F.lit, range(_NEST)))
-    x = x.withColumn("outer", F.explode(folds)).withColumn("a", F.explode(F.array(*map(F.lit, range(len(_PENALTIES))))))
-    penalty = lambda g: _PENALTIES[int(g.split("#")[1])]
-    tasks = x.filter("fold <> outer").withColumn("inner", F.explode(folds)).filter("inner <> outer").withColumn("grp", F.concat_ws("#", "outer", "a", "inner", "arm"))
-    tasks = stage(tasks, "tuning")
-    fits = newton(tasks.filter("fold <> inner"), "grp", _FEATURES, penalty)
-    part = F.split("grp", "#")
-    inner = _scores(tasks.filter("fold = inner"), fits).select(part[3].alias("arm"), part[0].cast("int").alias("outer"), part[1].cast("int").alias("a"), "c")
-    inner = inner.groupBy("arm", "outer", "a").agg(F.avg("c").alias("c"))
-    best = F.max("c").over(Window.partitionBy("arm", "outer"))
-    chosen = inner.withColumn("best", best).filter(F.col("c") >= F.col("best") - _TOLERANCE).groupBy("arm", "outer").agg(F.max("a").alias("a"), F.max("best").alias("best_c"))
-    chosen = stage(chosen, "chosen")
-    refit = x.join(F.broadcast(chosen), ["arm", "outer", "a"]).withColumn("grp", F.concat_ws("#", "outer", "a", "arm"))  # a row per arm and fold
-    fits = newton(refit.filter("fold <> outer"), "grp", _FEATURES, penalty)
-    outer = _scores(refit.filter("fold = outer"), fits).select(part[2].alias("arm"), part[0].cast("int").alias("outer"), F.col("c").alias("outer_c"))
-    alpha = F.element_at(F.array(*map(F.lit, _PENALTIES)), F.col("a") + 1)
-    return chosen.join(outer, ["arm", "outer"], "left").select("arm", "outer", alpha.alias("alpha"), F.round("best_c", 4).alias("best_c"), F.round("outer_c", 4).alias("outer_c"))
+    blocks = manyfits.pack(_folded(_features(spark, d)), "arm", _FEATURES, "fold", "id")
+    chosen = tuned(cross_validated(blocks, [manyfits.Fit(l2=a) for a in _PENALTIES]), [-F.col("candidate")])
+    alpha = F.element_at(F.array(*map(F.lit, _PENALTIES)), F.col("candidate") + 1)
+    return chosen.select(F.col("grp").alias("arm"), "outer", alpha.alias("alpha"), F.round("best_c", 4).alias("best_c"), F.round("outer_c", 4).alias("outer_c"), "converged")
+
+
+@query("v18b_elastic_net_tuning")
+def elastic_net_tuning(spark, d):
+    """The same for mixed penalties: of the candidates within tolerance the first of the path, then the larger part of absolute penalty."""
+    grid = [(i, r) for i in range(0, 30, 7) for r in (0.5, 1.0)]
+    blocks = manyfits.pack(_folded(_features(spark, d)), "arm", _FEATURES, "fold", "id")
+    table = spark.createDataFrame([(c, i, r) for c, (i, r) in enumerate(grid)], "candidate int, path_index int, l1_ratio double")
+    cv = cross_validated(blocks, [_net(ALPHAS[i], r) for i, r in grid]).join(F.broadcast(table), "candidate")
+    chosen = tuned(cv, [F.col("path_index"), -F.col("l1_ratio")]).join(F.broadcast(table), "candidate")
+    return chosen.select(F.col("grp").alias("arm"), "outer", "path_index", "l1_ratio", F.round("best_c", 4).alias("best_c"), F.round("outer_c", 4).alias("outer_c"), "converged")
 
 
 @query("v20b_directional_refit")

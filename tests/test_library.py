@@ -220,14 +220,6 @@ def test_cox_fits_by_sums_equal_one_group_fits(spark):
     for g, (t, e, x) in arrays.items():
         want, _ = plain.ridge_cox(t, e, x, 1.0 if g == "g1" else 5.0, centre)
         assert got[g][1] and got[g][0] == pytest.approx(want, abs=1e-5)
-    alphas = [0.2, 0.05, 0.01]
-    groups = {f"{g}#{k}": (g, k) for g in ("g0", "g1") for k in range(3)}
-    rows = df.filter("g IN ('g0', 'g1')").withColumn("k", F.explode(F.array(*map(F.lit, range(3))))).withColumn("grp", F.concat_ws("#", "g", "k"))
-    net = fits.elastic_net(rows, "grp", ["x1", "x2", "x3"], dict.fromkeys(groups, 90), lambda k: alphas[groups[k][1]], lambda _: 0.5)
-    for g in ("g0", "g1"):
-        want = plain.elastic_net_cox(*arrays[g], np.array(alphas), 0.5)
-        for k in range(3):
-            assert net[f"{g}#{k}"] == pytest.approx(want[k], abs=1e-4)
 
 
 def test_a_fit_without_an_optimum_is_given_up(spark):
