@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+
+import pandas as pd
 from pyspark.sql import functions as F
 
-from ..shared import scratch, stage
-from ..sources import tables
+from ..shared import scratch
+from ..sources import arrays, tables, workbooks
 from .entities import table
 from .registry import query
 from .resampling import _PANELS, key_sql, matched_panels
@@ -32,11 +36,71 @@ def parquet_scan(spark, d):
     return table(spark, d, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n"))
 
 
-@query("s10_array_bundle", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[64] AS DOUBLE) AS last FROM embeddings")
+def _bundle(spark, d) -> str:
+    """Embeddings as shards of named arrays, in the order of their ids."""
+    arrays.register(spark)
+    path = scratch(spark, "bundle")
+    rows = table(spark, d, "embeddings").filter("embedding IS NOT NULL AND label IS NOT NULL").select("vec_id", "label", "embedding")
+    rows.repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id").write.format("arrays").option("rows", 200).mode("append").save(path)
+    return path
+
+
+@query("s10_array_bundle", "SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS n, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[64] AS DOUBLE) AS last FROM embeddings")
 def array_bundle(spark, d):
-    """Named arrays written and read back as array columns."""
-    b = stage(table(spark, d, "embeddings").select("vec_id", "embedding"), "bundle")
-    return b.select("vec_id", F.size("embedding").alias("n"), F.col("embedding")[0].cast("double").alias("first"), F.get("embedding", F.lit(63)).cast("double").alias("last"))
+    """Named arrays written as bundles, a shard at a time, and read back from them."""
+    b = spark.read.format("arrays").option("rows", 64).load(_bundle(spark, d))
+    return b.select("vec_id", "label", F.size("embedding").alias("n"), F.col("embedding")[0].cast("double").alias("first"), F.get("embedding", F.lit(63)).cast("double").alias("last"))
+
+
+BOOK_ROWS = 5000
+
+
+def _books(spark, d) -> str:
+    """Customers and their orders in workbooks of about BOOK_ROWS rows each, two sheets a workbook."""
+    path = scratch(spark, "books")
+    store, root = arrays.open_fs(path)
+    store.create_dir(root, recursive=True)
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    books = F.lit(max(1, -(-(c.count() + o.count()) // BOOK_ROWS)))
+    c = c.select(F.lit(0).alias("kind"), F.col("c_custkey").alias("key"), F.col("c_custkey").alias("customer"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("amount"), F.lit(None).cast("timestamp").alias("at"))
+    # An order of an even key has no amount: a gap in its row.
+    o = o.select(F.lit(1).alias("kind"), F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("name"), F.when(F.col("o_orderkey") % 2 == 1, F.col("o_totalprice")).alias("amount"), F.col("o_orderdate").alias("at"))
+    # Dealt by the key of each row: a customer with very many orders is in many workbooks.
+    rows = c.unionByName(o).withColumn("book", F.pmod(F.xxhash64("kind", "key"), books))
+
+    def book(key, x):
+        x = x.sort_values(["kind", "key"]).astype(object).where(lambda v: v.notna(), None)
+        part = lambda k: x[x["kind"] == k]
+        at = [v and v.to_pydatetime() for v in part(1)["at"]]
+        sheets = {
+            "customers": (["id", "label", "balance"], zip(*(part(0)[n] for n in ("key", "name", "amount")), strict=True)),
+            "orders & more": (["id", "customer", "total", "status", "date"], zip(*(part(1)[n] for n in ("key", "customer", "amount", "name")), at, strict=True)),
+        }
+        data = io.BytesIO()
+        workbooks.write(data, sheets)
+        # An attempt writes under a name of its own; the last one to end gives the same workbook its name.
+        store, root = arrays.open_fs(path)
+        temporary = f"{root}/_{uuid.uuid4().hex}"
+        with store.open_output_stream(temporary) as f:
+            f.write(data.getvalue())
+        store.move(temporary, f"{root}/book-{key[0]}.xlsx")
+        return pd.DataFrame({"n": [len(x)]})
+
+    rows.groupBy("book").applyInPandas(book, "n long").agg(F.sum("n")).collect()
+    return path
+
+
+@query(
+    "s6_workbooks",
+    """SELECT 'customers' AS sheet, count(*) AS n, count(c_acctbal) AS filled, round(sum(c_acctbal), 2) AS total, NULL::VARCHAR AS first_date, NULL::VARCHAR AS last_date FROM customer
+    UNION ALL SELECT 'orders & more', count(*), count(*) FILTER (o_orderkey % 2 = 1), round(sum(o_totalprice) FILTER (o_orderkey % 2 = 1), 2), CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR), CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) FROM orders""",
+)
+def read_workbooks(spark, d):
+    """All sheets of all workbooks of a folder, a partition a sheet; rows with gaps, dates as dates."""
+    path = _books(spark, d)
+    c = workbooks.table(spark, path, "customers", "id long, label string, balance double").select(F.lit("customers").alias("sheet"), F.col("balance").alias("v"), F.lit(None).cast("date").alias("date"))
+    o = workbooks.table(spark, path, "orders & more", "id long, total double, status string, date date").select(F.lit("orders & more").alias("sheet"), F.col("total").alias("v"), "date")
+    return c.unionByName(o).groupBy("sheet").agg(F.count("*").alias("n"), F.count("v").alias("filled"), F.round(F.sum("v"), 2).alias("total"), F.min("date").cast("string").alias("first_date"), F.max("date").cast("string").alias("last_date"))
 
 
 def _series(spark, d) -> str:
@@ -134,11 +198,16 @@ def panel_sink(spark, d):
     return spark.read.parquet(path).groupBy("s", "draw").agg(F.count("*").alias("n"), F.count_distinct("item").alias("items"))
 
 
-@query("s11_array_scan", "SELECT label, count(*) AS n, round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS energy FROM embeddings GROUP BY 1")
+@query(
+    "s11_array_scan",
+    """WITH r AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings)
+    SELECT place // 100 AS part, count(*) AS n, round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 4) AS energy FROM r WHERE place >= 100 GROUP BY 1""",
+)
 def array_scan(spark, d):
-    """Arrays scanned where they lie, a column and a batch at a time, instead of a file mapped into memory."""
+    """All rows but the first hundred of one array of a bundle, by byte ranges: each task seeks to its rows, and no other bytes are read."""
+    x = spark.read.format("arrays").options(rows=50, start=100, columns="embedding", place="place").load(_bundle(spark, d))
     square = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(square), 4).alias("energy"))
+    return x.groupBy(F.floor(F.col("place") / 100).alias("part")).agg(F.count("*").alias("n"), F.round(F.sum(square), 4).alias("energy"))
 
 
 @query("s20_atomic_document", "SELECT r_name AS key, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
