@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as S
+from ..operators import intervals
 from ..operators import relational as R
 from ..shared import stage
 from .entities import DELTAS, EXPRESSION, METRICS, SURVIVAL, deltas, expression, metrics, survival, table
@@ -257,3 +258,23 @@ def lookup_by_index(spark, d):
     c, n = table(spark, d, "customer"), table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     missing = c.join(n, "c_nationkey", "left_anti").count()
     return R.checked_join(c, n, ["c_nationkey"], "inner").select("c_custkey", "n_name", F.lit(missing).cast("long").alias("n_missing"))
+
+
+@query(
+    "j21_interval_overlap",
+    f"""WITH {SURVIVAL}, o AS (SELECT id, arm, epoch(o_orderdate) / 86400 AS a, epoch(o_orderdate) / 86400 + time AS b, x FROM survival JOIN orders ON o_orderkey = id),
+    p AS (SELECT l_suppkey % 25 AS grp, date_trunc('month', l_shipdate) AS m, epoch(min(l_shipdate)) / 86400 AS c, epoch(max(l_shipdate)) / 86400 AS e FROM lineitem GROUP BY 1, 2),
+    s AS (SELECT grp, c, e + CASE WHEN grp = 3 THEN 700 ELSE 1 END AS d FROM p)
+    SELECT grp, arm, count(*) AS pairs, round(sum(x), 0) AS total, round(sum(least(b, d) - greatest(a, c)), 3) AS shared FROM o JOIN s ON a < d AND c < b GROUP BY 1, 2""",
+)
+def interval_overlap(spark, d):
+    """Orders under way against the periods in which groups of suppliers shipped; one group's periods are very long."""
+    day = lambda c: F.unix_timestamp(c) / 86400.0
+    dates = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), day("o_orderdate").alias("a"))
+    o = survival(spark, d).join(dates, "id").select("id", "arm", "a", (F.col("a") + F.col("time")).alias("b"), "x")
+    grp = (F.col("l_suppkey") % 25).alias("grp")
+    li = table(spark, d, "lineitem").groupBy(grp, F.date_trunc("month", "l_shipdate").alias("m")).agg(day(F.min("l_shipdate")).alias("c"), day(F.max("l_shipdate")).alias("e"))
+    s = li.select("grp", "c", (F.col("e") + F.when(F.col("grp") == 3, 700.0).otherwise(1.0)).alias("d"))
+    pairs = intervals.overlap_join(o, s, ("a", "b"), ("c", "d"))
+    shared = F.sum(F.least("b", "d") - F.greatest("a", "c"))
+    return pairs.groupBy("grp", "arm").agg(F.count("*").alias("pairs"), F.round(F.sum("x"), 0).alias("total"), F.round(shared, 3).alias("shared"))
