@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import draw_key
 from ..shared import stage
+from .ranks import group_rank
 
 
 def stratified_folds(df: DataFrame, strata: Sequence[str], key: str, k: int, seed: Column | str, name: str = "fold") -> DataFrame:
@@ -25,17 +26,36 @@ def repeated_folds(df: DataFrame, strata: Sequence[str], key: str, k: int, repea
     return rows.withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("int"))
 
 
+#: Rows of a group whose values are held in one array, and draws that are made from one copy of it.
+GATHERED, DRAWS_AT_ONCE = 1_000_000, 64
+
+
 def bootstrap_means(df: DataFrame, by: Sequence[str], key: str, value: str, draws: int, seed: str) -> DataFrame:
     """``by, draw, m``: means of resamples of each group, drawn with replacement.
 
-    Row i of a group draws the row at hash(seed, draw, i) modulo n, by a join on the place in the group;
-    sums are added up before they move, so no group is gathered.
+    Row i of a group draws the row at hash(seed, draw, i) modulo n. Groups of up to GATHERED rows are an array each,
+    and a draw is one sum over places of that array: no row for each draw and replicate. Larger groups are joined on the
+    place, and their sums added up before they move.
     """
-    w = Window.partitionBy(*by)
-    x = stage(df.select(*by, F.col(value).alias("v"), (F.row_number().over(w.orderBy(key)) - 1).cast("long").alias("i"), F.count("*").over(w).alias("n")), "resample")
-    drawn = x.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    x = group_rank(df.select(*by, key, F.col(value).cast("double").alias("v")), by, [F.col(key)], "i")
+    sizes = x.groupBy(*by).agg(F.count("*").alias("n"))
+    small = x.join(sizes.filter(F.col("n") <= GATHERED), list(by)).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"), F.count("*").alias("n"))
+    small = small.select(*by, "n", F.col("s.v").alias("vs"))
+    parts = F.sequence(F.lit(0), F.lit((draws - 1) // DRAWS_AT_ONCE))
+    small = small.withColumn("part", F.explode(parts)).repartition(*by, "part")
+    first = F.col("part") * DRAWS_AT_ONCE
+    small = small.withColumn("draw", F.explode(F.sequence(first, F.least(first + (DRAWS_AT_ONCE - 1), F.lit(draws - 1)))))
+    places = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
+    at = lambda i: F.pmod(draw_key(F.lit(seed), F.col("draw"), i), F.col("n")).cast("int")
+    total = F.aggregate(places, F.lit(0.0), lambda s, i: s + F.get("vs", at(i)))
+    means = small.select(*by, "draw", (total / F.col("n")).alias("m"))
+    large = sizes.filter(F.col("n") > GATHERED)
+    if large.isEmpty():
+        return means
+    y = stage(x.join(large, list(by)), "resample")
+    drawn = y.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     drawn = drawn.select(*by, "draw", F.pmod(draw_key(F.lit(seed), "draw", "i"), F.col("n")).alias("i"))
-    return drawn.join(x.select(*by, "i", "v"), [*by, "i"]).groupBy(*by, "draw").agg(F.avg("v").alias("m"))
+    return means.unionByName(drawn.join(y.select(*by, "i", "v"), [*by, "i"]).groupBy(*by, "draw").agg(F.avg("v").alias("m")))
 
 
 def interval(draws: DataFrame, by: Sequence[str], value: str) -> DataFrame:

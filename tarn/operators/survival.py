@@ -42,9 +42,24 @@ def breslow(df: DataFrame, by: Sequence[str], risk: str = "risk", clip: float =
 
 
 def with_censoring_weight(df: DataFrame, by: Sequence[str], time: str = "time") -> DataFrame:
-    """Each subject with ``g``, the censoring curve just before its time. ``df`` is read twice: stage what is costly."""
-    g = kaplan_meier(df, by, time=time, flip=True)
-    return asof(df, g, by, time, "t", "s", "g", before_first=1.0, left_limit=True)
+    """Each subject with ``g``, the censoring curve just before its time. ``df`` is read twice: stage what is costly.
+
+    A subject's own time is a row of its group's curve, and the value before it the row before; so the window sees a row
+    per time, and subjects are joined on their time.
+    """
+    before = Window.partitionBy(*by).orderBy("t")
+    g = kaplan_meier(df, by, time=time, flip=True).select(*by, F.col("t").alias(time), F.coalesce(F.lag("s").over(before), F.lit(1.0)).alias("g"))
+    return _at_times(df, g, by, time, "g")
+
+
+def with_curve(df: DataFrame, curve: DataFrame, by: Sequence[str], name: str, time: str = "time", left_limit: bool = True) -> DataFrame:
+    """The same for another group's or sample's ``curve`` (``by, t, s``): looked up once per time, then joined on the time."""
+    times = df.select(*by, time).distinct()
+    return _at_times(df, asof(times, curve, by, time, "t", "s", name, before_first=1.0, left_limit=left_limit), by, time, name)
+
+
+def _at_times(df: DataFrame, values: DataFrame, by: Sequence[str], time: str, name: str) -> DataFrame:
+    return df.join(values, [*by, time], "left").withColumn(name, F.coalesce(name, F.lit(1.0))).select(*df.columns, name)
 
 
 def uno_pairs(df: DataFrame, by: Sequence[str], tau: DataFrame, risk: str = "risk") -> DataFrame:

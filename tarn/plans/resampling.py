@@ -13,6 +13,8 @@ from .entities import DELTAS, DESIGN, EXPRESSION, SCORES, SURVIVAL, deltas, desi
 from .registry import query
 
 _r = lambda c, n=6: F.round(c, n)
+# Quotients of whole numbers can lie just between two rounded values; both sides go up there.
+_t = lambda c: F.round((F.col(c) if isinstance(c, str) else c) + 1e-9, 6)
 
 
 def key_sql(*parts: str) -> str:
@@ -31,8 +33,8 @@ def repeated_folds(spark, d):
 
 #: Resamples of single scenarios, and of all scenarios together.
 DRAWS, FIXED_DRAWS = 400, 4000
-_BOOT = f"""{DELTAS}, x AS (SELECT scenario, row_number() OVER (PARTITION BY scenario ORDER BY replicate) - 1 AS i, count(*) OVER (PARTITION BY scenario) AS n, delta FROM deltas WHERE model = 'click' AND delta IS NOT NULL),
-  b AS (SELECT a.scenario, draw, avg(b.delta) AS m FROM (SELECT scenario, i, n, draw FROM x, (SELECT unnest(range(0, {DRAWS})) AS draw)) a
+_BOOT = f"""{DELTAS}, x AS (SELECT scenario, row_number() OVER (PARTITION BY scenario ORDER BY replicate) - 1 AS i, count(*) OVER (PARTITION BY scenario) AS n, CAST(round(delta * 100) AS BIGINT) AS cents FROM deltas WHERE model = 'click' AND delta IS NOT NULL),
+  b AS (SELECT a.scenario, draw, sum(b.cents) / count(*) / 100 AS m FROM (SELECT scenario, i, n, draw FROM x, (SELECT unnest(range(0, {DRAWS})) AS draw)) a
   JOIN x b ON a.scenario = b.scenario AND b.i = {key_sql("'boot'", 'draw', 'a.i')} % a.n GROUP BY 1, 2)"""
 
 
@@ -40,29 +42,30 @@ _FIXED_BOOT = _BOOT.replace(f"range(0, {DRAWS})", f"range(0, {FIXED_DRAWS})")
 
 
 def _boot(spark, d, draws=DRAWS):
-    x = deltas(spark, d).filter("model = 'click' AND delta IS NOT NULL")
-    return R.bootstrap_means(x, ["scenario"], "replicate", "delta", draws, "boot")
+    """Means of whole hundredths, whose sums are exact."""
+    x = deltas(spark, d).filter("model = 'click' AND delta IS NOT NULL").withColumn("cents", F.round(F.col("delta") * 100))
+    return R.bootstrap_means(x, ["scenario"], "replicate", "cents", draws, "boot").withColumn("m", F.col("m") / 100)
 
 
-@query("r3_bootstrap_interval", f"WITH {_BOOT} SELECT scenario, round(avg(m) + 1e-7, 2) AS mean, round(quantile_cont(m, 0.025) + 1e-7, 2) AS p025, round(quantile_cont(m, 0.975) + 1e-7, 2) AS p975, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) AS p_positive FROM b GROUP BY 1")
+@query("r3_bootstrap_interval", f"WITH {_BOOT} SELECT scenario, round(avg(m) + 1e-9, 6) AS mean, round(quantile_cont(m, 0.025) + 1e-9, 6) AS p025, round(quantile_cont(m, 0.975) + 1e-9, 6) AS p975, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) AS p_positive FROM b GROUP BY 1")
 def bootstrap_interval(spark, d):
-    return R.interval(_boot(spark, d), ["scenario"], "m").select("scenario", *(_r(F.col(c) + 1e-7, 2).alias(c) for c in ("mean", "p025", "p975")), _r("p_positive").alias("p_positive"))
+    return R.interval(_boot(spark, d), ["scenario"], "m").select("scenario", *(_t(c).alias(c) for c in ("mean", "p025", "p975")), _r("p_positive").alias("p_positive"))
 
 
-@query("r4_two_sample_bootstrap", f"WITH {_BOOT}, p AS (SELECT a.scenario AS a, b.scenario AS b, a.draw, a.m - b.m AS m FROM b a JOIN b b ON a.draw = b.draw AND b.scenario = a.scenario + 1) SELECT a, b, round(avg(m), 3) AS mean, round(quantile_cont(m, 0.025), 3) AS p025 FROM p GROUP BY 1, 2")
+@query("r4_two_sample_bootstrap", f"WITH {_BOOT}, p AS (SELECT a.scenario AS a, b.scenario AS b, a.draw, a.m - b.m AS m FROM b a JOIN b b ON a.draw = b.draw AND b.scenario = a.scenario + 1) SELECT a, b, round(avg(m) + 1e-9, 6) AS mean, round(quantile_cont(m, 0.025) + 1e-9, 6) AS p025 FROM p GROUP BY 1, 2")
 def two_sample_bootstrap(spark, d):
     """Each scenario against the next, resampled independently and paired by draw."""
     m = stage(_boot(spark, d), "boot")
     other = m.select(F.col("scenario").alias("b"), "draw", F.col("m").alias("mb"))
     p = m.withColumn("b", F.col("scenario") + 1).join(other, ["b", "draw"]).select(F.col("scenario").alias("a"), "b", (F.col("m") - F.col("mb")).alias("m"))
-    return p.groupBy("a", "b").agg(_r(F.avg("m"), 3).alias("mean"), _r(F.percentile("m", 0.025), 3).alias("p025"))
+    return p.groupBy("a", "b").agg(_t(F.avg("m")).alias("mean"), _t(F.percentile("m", 0.025)).alias("p025"))
 
 
-@query("r5_fixed_scenario_bootstrap", f"WITH {_FIXED_BOOT}, {DESIGN}, t AS (SELECT scenario_class, draw, avg(m) AS m FROM b JOIN design USING (scenario) GROUP BY 1, 2) SELECT scenario_class, count(*) AS draws, round(avg(m), 3) AS mean, round(stddev_samp(m), 3) AS sd, round(quantile_cont(m, 0.975), 3) AS p975 FROM t GROUP BY 1")
+@query("r5_fixed_scenario_bootstrap", f"WITH {_FIXED_BOOT}, {DESIGN}, t AS (SELECT scenario_class, draw, avg(m) AS m FROM b JOIN design USING (scenario) GROUP BY 1, 2) SELECT scenario_class, count(*) AS draws, round(avg(m) + 1e-9, 6) AS mean, round(stddev_samp(m) + 1e-9, 6) AS sd, round(quantile_cont(m, 0.975) + 1e-9, 6) AS p975 FROM t GROUP BY 1")
 def fixed_scenario_bootstrap(spark, d):
     """Scenarios stay, replicates are resampled; every draw sums over scenarios with equal weight."""
     t = _boot(spark, d, FIXED_DRAWS).join(design(spark, d), "scenario").groupBy("scenario_class", "draw").agg(F.avg("m").alias("m"))
-    return t.groupBy("scenario_class").agg(F.count("*").alias("draws"), _r(F.avg("m"), 3).alias("mean"), _r(F.stddev_samp("m"), 3).alias("sd"), _r(F.percentile("m", 0.975), 3).alias("p975"))
+    return t.groupBy("scenario_class").agg(F.count("*").alias("draws"), _t(F.avg("m")).alias("mean"), _t(F.stddev_samp("m")).alias("sd"), _t(F.percentile("m", 0.975)).alias("p975"))
 
 
 _R7_DRAWS, _R7_WANTED = 30, 20

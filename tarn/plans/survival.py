@@ -15,6 +15,7 @@ from ..operators.relational import asof
 from ..shared import stage
 from .entities import SURVIVAL, survival
 from .registry import query
+from .resampling import key_sql
 
 _r = lambda c, n=6: F.round(c, n)
 
@@ -254,7 +255,7 @@ def fold_metrics(spark, d):
     h = V.breslow(train, by).filter("t <= 60").groupBy(*by).agg(F.max_by("h", "t").alias("h"))
     g = stage(V.kaplan_meier(train, by, flip=True), "censoring")
     g60 = g.filter("t <= 60").groupBy(*by).agg(F.max_by("s", "t").alias("g60"))
-    y = asof(x, g, by, "time", "t", "s", "g", before_first=1.0, left_limit=True).join(h, by, "left").join(g60, by, "left")
+    y = V.with_curve(x, g, by, "g").join(h, by, "left").join(g60, by, "left")
     s = F.exp(-F.exp("risk") * F.coalesce("h", F.lit(0.0)))
     late = F.try_divide((1 - s) * (1 - s), F.coalesce("g60", F.lit(1.0)))
     loss = F.when((F.col("time") <= 60) & (F.col("event") == 1), F.try_divide(s * s, F.col("g"))).when(F.col("time") > 60, late).otherwise(0.0)
@@ -278,12 +279,63 @@ def km_null_reference(spark, d):
     km, g = V.kaplan_meier(train, ["cohort"]), stage(V.kaplan_meier(train, ["cohort"], flip=True), "null")
     at = km.filter("t <= 500").groupBy("cohort").agg(F.max_by("s", "t").alias("st"))
     gt = g.filter("t <= 500").groupBy("cohort").agg(F.max_by("s", "t").alias("gt"))
-    y = asof(test, g, ["cohort"], "time", "t", "s", "g", left_limit=True).join(at, "cohort", "left").join(gt, "cohort", "left")
+    y = V.with_curve(test, g, ["cohort"], "g").join(at, "cohort", "left").join(gt, "cohort", "left")
     st, after = F.coalesce("st", F.lit(1.0)), F.coalesce("gt", F.lit(1.0))
     loss = F.when((F.col("time") <= 500) & (F.col("event") == 1), F.try_divide(st * st, F.col("g"))).when(F.col("time") > 500, F.try_divide((1 - st) * (1 - st), after)).otherwise(0.0)
     return y.groupBy("cohort").agg(F.count("*").alias("n_test"), _r(F.avg(loss), 4).alias("bs"))
 
 
+REPEATS, FOLDS, GRID = 3, 5, 11
+
+_REPEATED = f"""{SURVIVAL}, f AS (SELECT arm, r, id, time, event, {key_sql("'null'", 'r', 'id')} % {FOLDS} AS fold FROM survival, (SELECT unnest(range(0, {REPEATS})) AS r)),
+  tr AS (SELECT k.fold, f.arm, f.r, f.time, f.event FROM f, (SELECT unnest(range(0, {FOLDS})) AS fold) k WHERE f.fold <> k.fold),
+  k AS (SELECT arm, r, fold, time AS t, count(*) AS k, count(*) FILTER (event = 1) AS d FROM tr GROUP BY ALL),
+  n AS (SELECT *, sum(k) OVER (PARTITION BY arm, r, fold ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS n FROM k),
+  c AS (SELECT arm, r, fold, t, product(1 - d / n) OVER w AS s, product(1 - (k - d) / n) OVER w AS g FROM n WINDOW w AS (PARTITION BY arm, r, fold ORDER BY t ROWS UNBOUNDED PRECEDING)),
+  x AS (SELECT f.*, coalesce(c.g, 1.0) AS g FROM f ASOF LEFT JOIN c ON c.arm = f.arm AND c.r = f.r AND c.fold = f.fold AND f.time > c.t),
+  lim AS (SELECT arm, quantile_cont(time, 0.1) AS lo, quantile_cont(time, 0.8) AS hi FROM survival GROUP BY 1),
+  p AS (SELECT arm, r, fold, i, lo + (hi - lo) * i / {GRID - 1}.0 AS t FROM lim, (SELECT unnest(range(0, {GRID})) AS i), (SELECT DISTINCT r, fold FROM f)),
+  q AS (SELECT p.*, coalesce(c.s, 1.0) AS s, coalesce(c.g, 1.0) AS g FROM p ASOF LEFT JOIN c ON c.arm = p.arm AND c.r = p.r AND c.fold = p.fold AND p.t >= c.t),
+  b AS (SELECT q.arm, q.r, q.fold, q.i, q.t, count(*) AS n, avg(CASE WHEN x.time <= q.t AND x.event = 1 THEN q.s * q.s / x.g WHEN x.time > q.t THEN (1 - q.s) * (1 - q.s) / q.g ELSE 0 END) AS bs
+    FROM q JOIN x ON x.arm = q.arm AND x.r = q.r AND x.fold = q.fold GROUP BY ALL),
+  l AS (SELECT *, lag(bs) OVER w AS b0, lag(t) OVER w AS t0 FROM b WINDOW w AS (PARTITION BY arm, r, fold ORDER BY i)),
+  s AS (SELECT arm, r, fold, any_value(n) AS n, sum((bs + b0) / 2 * (t - t0)) / (max(t) - min(t)) AS ibs FROM l GROUP BY ALL)"""
+
+
+@query("v21b_repeated_km_null", f"WITH {_REPEATED} SELECT arm, count(*) AS folds, CAST(sum(n) AS BIGINT) AS tested, round(sum(n * ibs) / sum(n), 6) AS weighted_mean, round(median(ibs), 6) AS median FROM s GROUP BY 1")
+def repeated_km_null(spark, d):
+    """The integrated Brier score of the training rows' own curve, over repeated folds: mean by tested rows, and median.
+
+    Everything is a count by arm, repeat, fold and time: training rows are all rows but the fold's, and a fold's loss at a
+    time is two sums over its own counts. No row is copied per fold.
+    """
+    x = survival(spark, d).select("arm", "id", "time", "event").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
+    x = x.withColumn("fold", F.pmod(S.draw_key(F.lit("null"), "r", "id"), F.lit(FOLDS)).cast("int"))
+    own = stage(x.groupBy("arm", "r", "fold", F.col("time").alias("t")).agg(F.count("*").alias("tk"), F.count_if(F.col("event") == 1).alias("td")), "fold_counts")
+    every = own.groupBy("arm", "r", "t").agg(F.sum("tk").alias("k"), F.sum("td").alias("d")).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))))
+    c = every.join(own, ["arm", "r", "fold", "t"], "left").fillna(0, ["tk", "td"]).withColumns({"k": F.col("k") - F.col("tk"), "d": F.col("d") - F.col("td")})
+    by = ["arm", "r", "fold"]
+    up, down = Window.partitionBy(*by).orderBy("t"), Window.partitionBy(*by).orderBy(F.col("t").desc())
+    run = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumn("n", F.sum("k").over(run(down))).withColumns({"s": F.product(F.coalesce(1 - F.try_divide("d", "n"), F.lit(1.0))).over(run(up)), "g": F.product(F.coalesce(1 - F.try_divide(F.col("k") - F.col("d"), F.col("n")), F.lit(1.0))).over(run(up))})
+    c = c.withColumn("before", F.coalesce(F.lag("g").over(up), F.lit(1.0)))
+    c = c.withColumns({"hit": F.sum(F.try_divide("td", "before")).over(run(up)), "gone": F.sum("tk").over(run(up))})
+    lim = own.filter("r = 0").groupBy("arm").agg(F.percentile("t", 0.1, F.col("tk")).alias("lo"), F.percentile("t", 0.8, F.col("tk")).alias("hi"))
+    c = c.join(lim, "arm")  # a row per arm
+    at = [F.col("lo") + (F.col("hi") - F.col("lo")) * i / float(GRID - 1) for i in range(GRID)]
+    last = [F.max_by(F.struct("s", "g", "hit", "gone"), F.when(F.col("t") <= t, F.col("t"))) for t in at]
+    z = c.groupBy(*by, "lo", "hi").agg(F.sum("tk").alias("tested"), *(v.alias(f"p{i}") for i, v in enumerate(last))).filter("tested > 0")
+
+    def loss(i: int):
+        p, one = F.col(f"p{i}"), F.lit(1.0)
+        s, g, hit, gone = F.coalesce(p["s"], one), F.coalesce(p["g"], one), F.coalesce(p["hit"], F.lit(0.0)), F.coalesce(p["gone"], F.lit(0))
+        return (s * s * hit + (1 - s) * (1 - s) * F.coalesce(F.try_divide(F.col("tested") - gone, g), F.lit(0.0))) / F.col("tested")
+
+    ibs = sum((loss(i) + loss(i + 1)) / 2 for i in range(GRID - 1)) / float(GRID - 1)
+    z = z.select("arm", "tested", ibs.alias("ibs"))
+    return z.groupBy("arm").agg(F.count("*").alias("folds"), F.sum("tested").alias("tested"), _r(F.sum(F.col("tested") * F.col("ibs")) / F.sum("tested")).alias("weighted_mean"), _r(F.median("ibs")).alias("median"))
+
+
 @query("v22_follow_up_summary", f"WITH {SURVIVAL}, {km_sql('km', 'arm', 0)}, m AS (SELECT arm, min(t) FILTER (s <= 0.5) AS reverse_median FROM km GROUP BY 1) SELECT arm, count(*) AS n, CAST(sum(event) AS BIGINT) AS events, round(median(time), 4) AS median, round(quantile_cont(time, 0.25), 4) AS q25, any_value(reverse_median) AS reverse_median FROM survival JOIN m USING (arm) GROUP BY 1")
 def follow_up_summary(spark, d):
     x = stage(survival(spark, d), "follow")
