@@ -30,6 +30,14 @@ def forbid_columns(df: DataFrame, words: Sequence[str]) -> None:
         raise ContractError(f"forbidden columns: {found}")
 
 
+def presence(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``column_name, present, n_rows, n_filled``: of each name, whether it is there, and how many rows it has a value in."""
+    there = [n for n in names if n in df.columns]
+    row = df.agg(F.count("*").alias("n"), *(F.count(c).alias(f"c{i}") for i, c in enumerate(there)))
+    entries = [F.struct(F.lit(n).alias("column_name"), F.lit(n in there).alias("present"), F.col("n").alias("n_rows"), (F.col(f"c{there.index(n)}") if n in there else F.lit(None).cast("long")).alias("n_filled")) for n in names]
+    return row.select(F.inline(F.array(*entries)))
+
+
 def contract(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """``check_name, passed``: every check is an aggregate expression, all in one pass over the table."""
     row = df.agg(*(F.coalesce(c, F.lit(False)).alias(f"c{i}") for i, c in enumerate(checks.values())))

@@ -16,10 +16,10 @@ def kaplan_meier(df: DataFrame, by: Sequence[str], time: str = "time", event: st
     """``by, t, n, d, s``: at risk, events and the product-limit estimate at each time of a group.
 
     Rows are first counted per group and time; the windows then see one row per time. With ``flip``,
-    censoring is the event: the censoring curve, whose risk set takes all times from t on.
+    censoring is the event: the censoring curve, whose risk set takes all times from t on. Rows without a time count nowhere.
     """
     e = F.col(event) == (0 if flip else 1)
-    steps = df.groupBy(*by, F.col(time).alias("t")).agg(F.count("*").alias("k"), F.count_if(e).alias("d"))
+    steps = df.filter(F.col(time).isNotNull()).groupBy(*by, F.col(time).alias("t")).agg(F.count("*").alias("k"), F.count_if(e).alias("d"))
     late = Window.partitionBy(*by).orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0)
     early = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     steps = steps.withColumn("n", F.sum("k").over(late))

@@ -90,26 +90,29 @@ def content_signature(spark, d):
 
 @query(
     "i1_required_columns",
-    "SELECT unnest(['o_orderkey', 'o_totalprice', 'o_comment']) AS required, required IN (SELECT column_name FROM (DESCRIBE orders)) AS present",
+    "SELECT unnest(['o_orderkey', 'o_totalprice', 'o_comment']) AS column_name, unnest([true, true, false]) AS present, count(*) AS n_rows, unnest([count(o_orderkey), count(o_totalprice), NULL]) AS n_filled FROM orders",
 )
 def required_columns(spark, d):
-    """Which of the columns that a step needs are there; the step itself refuses to run on a missing one."""
-    o = table(spark, d, "orders")
-    return spark.createDataFrame([(c, not A.missing_columns(o, [c])) for c in ("o_orderkey", "o_totalprice", "o_comment")], "required string, present boolean")
+    """Which of the columns that a step needs are there, and filled; the step itself refuses to run on a missing one."""
+    return A.presence(table(spark, d, "orders"), ["o_orderkey", "o_totalprice", "o_comment"])
 
 
 @query(
     "f10_forbidden_columns",
-    "SELECT t AS table_name, c AS column_name, regexp_matches(lower(c), 'status|price|time') AS forbidden FROM (SELECT 'orders' AS t, column_name AS c FROM (DESCRIBE orders) UNION ALL SELECT 'part', column_name FROM (DESCRIBE part))",
+    """WITH n AS (SELECT 'orders' AS table_name, unnest(['o_orderstatus', 'o_totalprice']) AS column_name, unnest([count(o_orderstatus), count(o_totalprice)]) AS n_filled, unnest([count(DISTINCT o_orderstatus), count(DISTINCT o_totalprice)]) AS n_values FROM orders
+    UNION ALL SELECT 'part', 'p_retailprice', count(p_retailprice), count(DISTINCT p_retailprice) FROM part) SELECT * FROM n""",
 )
 def forbidden_columns(spark, d):
-    """Columns that a blinded step must not see, by words in their names."""
-    rows = []
+    """Columns that a blinded step must not see, by words in their names, and how much they would have told it."""
+    out = None
     for name in ("orders", "part"):
         x = table(spark, d, name)
         found = A.forbidden_columns(x, ["status", "price", "time"])
-        rows += [(name, c, c in found) for c in x.columns]
-    return spark.createDataFrame(rows, "table_name string, column_name string, forbidden boolean")
+        seen = [F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n_filled"), F.col(f"v{i}").alias("n_values")) for i, c in enumerate(found)]
+        row = x.agg(*(F.count(c).alias(f"n{i}") for i, c in enumerate(found)), *(F.count_distinct(c).alias(f"v{i}") for i, c in enumerate(found)))
+        row = row.select(F.inline(F.array(*seen)))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query(

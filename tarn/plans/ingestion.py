@@ -6,6 +6,7 @@ import io
 import uuid
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..shared import scratch
@@ -17,18 +18,22 @@ from .resampling import _PANELS, key_sql, matched_panels
 
 @query(
     "s3_header_probe",
-    """WITH c AS (SELECT row_number() OVER () - 1 AS k, 1 AS t, column_name AS c FROM (DESCRIBE nation) UNION ALL SELECT row_number() OVER () - 1, 2, column_name FROM (DESCRIBE region)),
-    n AS (SELECT row_number() OVER (ORDER BY t, k) - 1 AS place, substr(c, 3) AS name FROM c) SELECT CAST(place AS INTEGER) AS place, name AS column_name, count(*) OVER (PARTITION BY name) > 1 AS duplicated FROM n""",
+    """WITH c(place, column_name) AS (VALUES (0, 'nationkey'), (1, 'name'), (2, 'regionkey'), (3, 'regionkey'), (4, 'name'))
+    SELECT place, column_name, count(*) OVER (PARTITION BY column_name) > 1 AS duplicated, (SELECT count(*) FROM nation) AS n_lines, (SELECT count(*) FROM nation WHERE n_nationkey % 7 = 3) AS n_ragged FROM c""",
 )
 def header_probe(spark, d):
-    """The header as it stands, of two tables side by side without their prefixes; a reader that renames duplicates would hide them."""
+    """The header of a joined table as it stands, which names columns twice; a reader that renames duplicates would hide it. Then the lines that don't fit it."""
     path = scratch(spark, "header")
-    both = table(spark, d, "nation").crossJoin(table(spark, d, "region").limit(0))
-    lines = both.select(F.concat_ws(",", *(F.col(c).cast("string") for c in both.columns)).alias("value"))
-    header = spark.createDataFrame([(",".join(c[2:] for c in both.columns),)], "value string")
-    header.unionByName(lines).coalesce(1).write.text(path)
-    names = tables.header_of(spark, path)
-    return spark.createDataFrame([(i, n, names.count(n) > 1) for i, n in enumerate(names)], "place int, column_name string, duplicated boolean")
+    both = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    names = [c[2:] for c in both.columns]
+    short = F.when(F.col("n_nationkey") % 7 == 3, F.lit("")).otherwise(F.concat(F.lit(","), "r_name"))  # a field is missing
+    line = F.concat(F.concat_ws(",", *(F.col(c).cast("string") for c in both.columns[:-1])), short)
+    both.select(line.alias("value")).write.text(f"{path}/lines")
+    spark.createDataFrame([(",".join(names),)], "value string").write.text(f"{path}/header")
+    found = tables.header_of(spark, f"{path}/header")
+    lines = spark.read.text(f"{path}/lines").agg(F.count("*").alias("n_lines"), F.count_if(F.size(F.split("value", ",")) != len(found)).alias("n_ragged"))
+    entries = [F.struct(F.lit(i).alias("place"), F.lit(n).alias("column_name"), F.lit(found.count(n) > 1).alias("duplicated")) for i, n in enumerate(found)]
+    return lines.select("n_lines", "n_ragged", F.inline(F.array(*entries)))
 
 
 @query("s7_parquet_scan", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
@@ -120,11 +125,16 @@ def series_matrix(spark, d):
 
 @query("s12b_platform_table", "SELECT CAST(p_partkey AS VARCHAR) AS probe, p_brand AS brand, p_type AS kind FROM part")
 def platform_table(spark, d):
-    """An annotation table between its markers, with a header of its own."""
+    """Annotation tables between their markers, with headers of their own; a file a partition."""
     path = scratch(spark, "platform")
-    lines = F.array_join(F.sort_array(F.collect_list(F.concat_ws("\t", F.col("p_partkey").cast("string"), "p_brand", "p_type"))), "\n")
-    text = F.concat(F.lit("^PLATFORM = parts\n!platform_table_begin\nprobe\tbrand\tkind\n"), lines, F.lit("\n!platform_table_end"))
-    table(spark, d, "part").agg(text.alias("value")).write.text(path)
+    lines = table(spark, d, "part").select(F.concat_ws("\t", F.col("p_partkey").cast("string"), "p_brand", "p_type").alias("value")).repartition(3)
+
+    def framed(batches):
+        yield pa.RecordBatch.from_pydict({"value": ["^PLATFORM = parts", "!platform_table_begin", "probe\tbrand\tkind"]})
+        yield from (pa.RecordBatch.from_arrays([b.column(0)], ["value"]) for b in batches)
+        yield pa.RecordBatch.from_pydict({"value": ["!platform_table_end", "after\tthe\ttable"]})
+
+    lines.mapInArrow(framed, "value string").write.text(path)
     return tables.marked_table(spark, path, "!platform_table_begin", "!platform_table_end", ["probe", "brand", "kind"]).filter("probe <> 'probe'")
 
 
@@ -157,14 +167,15 @@ def file_discovery(spark, d):
 @query(
     "j19_column_choice",
     """WITH k AS (SELECT unnest(['price', 'date', 'status', 'key']) AS concept), c AS (SELECT column_name AS c FROM (DESCRIBE orders)),
-    s AS (SELECT concept, c, CASE WHEN substr(c, 3) = concept THEN 3 WHEN ends_with(c, concept) THEN 2 WHEN contains(c, concept) THEN 1 ELSE 0 END AS score FROM k, c)
-    SELECT concept, c AS column_name, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY concept ORDER BY score DESC, length(c), c) = 1""",
+    s AS (SELECT concept, c, CASE WHEN substr(c, 3) = concept THEN 3 WHEN ends_with(c, concept) THEN 2 WHEN contains(c, concept) THEN 1 ELSE 0 END AS score FROM k, c),
+    b AS (SELECT concept, c AS column_name, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY concept ORDER BY score DESC, length(c), c) = 1),
+    f AS (SELECT avg(CASE WHEN o_totalprice IS NULL THEN 0.0 ELSE 1.0 END) AS price, avg(CASE WHEN o_orderdate IS NULL THEN 0.0 ELSE 1.0 END) AS date, 1 - count(DISTINCT o_orderstatus) / count(*) AS status, count(DISTINCT o_custkey) / count(*) AS key FROM orders)
+    SELECT concept, column_name, score, round(CASE concept WHEN 'price' THEN price WHEN 'date' THEN date WHEN 'status' THEN status ELSE key END, 6) AS fit FROM b, f""",
 )
 def column_choice(spark, d):
-    """For each concept, the column whose name says it best: equal, at the end, or within."""
-    names = table(spark, d, "orders").columns
-    chosen = tables.choose_columns(names, ("price", "date", "status", "key"), prefix="o_")
-    return spark.createDataFrame(chosen, "concept string, column_name string, score int")
+    """For each concept, the column whose name says it best, equal, at the end, or within, and how far its values look like it."""
+    o = table(spark, d, "orders")
+    return tables.looks_like(o, tables.choose_columns(o.columns, ("price", "date", "status", "key"), prefix="o_"))
 
 
 @query(
@@ -179,11 +190,17 @@ def freeze_or_verify(spark, d):
     return spark.createDataFrame(runs, "run string, status string, n long")
 
 
-@query("s22_file_inventory")
+@query(
+    "s22_file_inventory",
+    "SELECT 'c_nationkey=' || coalesce(CAST(c_nationkey AS VARCHAR), '__HIVE_DEFAULT_PARTITION__') AS folder, count(*) AS n_files, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT c_nationkey, c_mktsegment, sum(strlen(c_name) + 1) AS bytes FROM customer GROUP BY 1, 2) GROUP BY 1",
+)
 def file_inventory(spark, d):
+    """A tree of files as it stands: paths and sizes by folder."""
     path = scratch(spark, "inventory")
-    table(spark, d, "region").coalesce(1).write.json(path)
-    return tables.inventory(spark, path).filter("bytes > 0").select("bytes")
+    c = table(spark, d, "customer").select("c_nationkey", "c_mktsegment", F.col("c_name").alias("value"))
+    c.repartition("c_nationkey", "c_mktsegment").write.partitionBy("c_nationkey", "c_mktsegment").text(path)
+    files = tables.inventory(spark, path).filter("bytes > 0")
+    return files.groupBy(F.regexp_extract("path", "c_nationkey=[^/]*", 0).alias("folder")).agg(F.count_distinct("path").alias("n_files"), F.sum("bytes").alias("bytes"))
 
 
 @query(

@@ -92,7 +92,13 @@ def _fisher(a: pd.Series, b: pd.Series, c: pd.Series, e: pd.Series) -> pd.Series
     return pd.Series([kernels.fisher_two_sided(int(w), int(x), int(y), int(z)) for w, x, y, z in zip(a, b, c, e, strict=True)])
 
 
-@query("t7_fisher_exact")
+@query(
+    "t7_fisher_exact",
+    f"""WITH {SCORES}, g AS (SELECT lang, count(*) FILTER (y = 1 AND toxic = 1) AS a, count(*) FILTER (y = 1 AND toxic = 0) AS b, count(*) FILTER (y = 0 AND toxic = 1) AS c, count(*) FILTER (y = 0 AND toxic = 0) AS e FROM scores GROUP BY 1),
+    m AS (SELECT *, a + b AS r, a + c AS k, a + b + c + e AS n, greatest(0, a - e) AS low FROM g),
+    p AS (SELECT *, list_transform(range(low, least(r, k) + 1), lambda i: exp(lgamma(k + 1) - lgamma(i + 1) - lgamma(k - i + 1) + lgamma(n - k + 1) - lgamma(r - i + 1) - lgamma(n - k - r + i + 1) - lgamma(n + 1) + lgamma(r + 1) + lgamma(n - r + 1))) AS ps FROM m)
+    SELECT lang, a, b, c, e, round(least(1.0, list_sum(list_filter(ps, lambda x: x <= ps[a - low + 1] + 1e-15))), 8) AS p FROM p""",
+)
 def fisher_exact(spark, d):
     n = lambda s, t: F.count_if((F.col("y") == s) & (F.col("toxic") == t))
     g = scores(spark, d).groupBy("lang").agg(n(1, 1).alias("a"), n(1, 0).alias("b"), n(0, 1).alias("c"), n(0, 0).alias("e"))

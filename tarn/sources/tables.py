@@ -58,11 +58,17 @@ def gene_sets(spark: SparkSession, path: str, library: str) -> DataFrame:
 
 
 def marked_table(spark: SparkSession, path: str, begin: str, end: str, names: Sequence[str]) -> DataFrame:
-    """The tab-separated table between two marker lines of a text file (gzip included)."""
-    lines = spark.read.text(path, wholetext=True).select(F.split("value", "\r?\n").alias("l"))
-    start, stop = F.array_position("l", begin), F.array_position("l", end)
-    body = lines.filter((start > 0) & (stop > start)).select(F.explode(F.slice("l", (start + 1).cast("int"), (stop - start - 1).cast("int"))).alias("line"))
-    cells = F.split("line", "\t")
+    """The tab-separated tables between two marker lines in text files (gzip included), one in each file at most.
+
+    Files are read line by line and in parallel: a line's place is its block's start in the file and its place in
+    the block, and the markers' places, two a file, say which lines are between them. A file without both has no table.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"), place.alias("place"))
+    at = lambda mark: F.min(F.when(F.col("value") == mark, F.col("place")))
+    marks = lines.filter(F.col("value").isin(begin, end)).groupBy("file").agg(at(begin).alias("first"), at(end).alias("last"))
+    body = lines.join(marks, "file").filter((F.col("place") > F.col("first")) & (F.col("place") < F.col("last")))
+    cells = F.split("value", "\t")
     return body.select(*(F.regexp_replace(F.get(cells, F.lit(i)), '^"|"$', "").alias(n) for i, n in enumerate(names)))
 
 
@@ -137,6 +143,22 @@ def choose_columns(names: Sequence[str], concepts: Sequence[str], prefix: str =
     return out
 
 
+#: What the values of a concept's column look like: a share of rows between 0 and 1.
+LOOKS = {
+    "date": lambda c: F.avg(F.coalesce(F.try_to_timestamp(c.cast("string")).isNotNull(), F.lit(False)).cast("double")),
+    "price": lambda c: F.avg(F.coalesce(c.cast("string").rlike(r"^-?\d+\.\d+$"), F.lit(False)).cast("double")),
+    "status": lambda c: 1.0 - F.count_distinct(c) / F.greatest(F.count(F.lit(1)), F.lit(1)),
+    "key": lambda c: F.count_distinct(c) / F.greatest(F.count(F.lit(1)), F.lit(1)),
+}
+
+
+def looks_like(df: DataFrame, chosen: Sequence[tuple[str, str, int]]) -> DataFrame:
+    """``concept, column_name, score, fit``: chosen columns, and how far their values look like the concept."""
+    row = df.agg(*(LOOKS[k](F.col(c)).alias(f"f{i}") for i, (k, c, _) in enumerate(chosen)))
+    entries = [F.struct(F.lit(k).alias("concept"), F.lit(c).alias("column_name"), F.lit(n).alias("score"), F.round(F.col(f"f{i}"), 6).alias("fit")) for i, (k, c, n) in enumerate(chosen)]
+    return row.select(F.inline(F.array(*entries)))
+
+
 def freeze_or_verify(df: DataFrame, path: str) -> str:
     """``frozen`` if nothing is at ``path`` and the table is written there, else ``verified`` or ``changed``.
 

@@ -152,7 +152,7 @@ def test_text_sources(spark, tmp_path):
     assert got == {"S1": (["TP53", "BRCA1"], 3), "S2": (["X"], 1)}
     series = tmp_path / "s.txt"
     series.write_text('!title\t"t"\n!k = v1\n!k = v2\n!begin\n"id"\t"a"\ng1\t1\n!end\n')
-    assert rows(tables.marked_table(spark, str(series), "!begin", "!end", ["id", "a"])) == [{"id": "id", "a": "a"}, {"id": "g1", "a": "1"}]
+    assert sorted(rows(tables.marked_table(spark, str(series), "!begin", "!end", ["id", "a"])), key=str) == [{"id": "g1", "a": "1"}, {"id": "id", "a": "a"}]
     assert [(r["key"], sorted(r["values"])) for r in rows(tables.key_values(spark, str(series)))] == [("k", ["v1", "v2"])]
     csv = tmp_path / "c.csv"
     csv.write_text("a;b;a\n1;2;3\n")
@@ -295,3 +295,66 @@ def test_frontier_of_two_equals_all_pairs(spark):
         if not any(a >= x - t and b <= y + t and (a > x + t or b < y - t) for a, b in rivals):
             want.add(i)
     assert got == want
+
+
+def test_marked_tables_of_files_in_many_blocks(spark, tmp_path):
+    folder = tmp_path / "marked"
+    folder.mkdir()
+    for k, n in enumerate((5, 300, 40)):
+        body = "\n".join(f"{k}-{i}\t\"{'x' * (i % 13)}\"" for i in range(n))
+        (folder / f"{k}.txt").write_text(f"before\tx\n!b\n{body}\n!e\nafter\tx\n!b\n!e\nlast\tx\n")
+    (folder / "none.txt").write_text("no\tmarks\n!b\nopen\tx\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    try:
+        got = tables.marked_table(spark, str(folder), "!b", "!e", ["id", "x"])
+        assert got.rdd.getNumPartitions() > 1
+        got = sorted((r["id"], r["x"]) for r in got.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted((f"{k}-{i}", "x" * (i % 13)) for k, n in enumerate((5, 300, 40)) for i in range(n))
+
+
+def test_fisher_of_any_margins():
+    def by_listing(a, b, c, d):
+        r, k, n = a + b, a + c, a + b + c + d
+        p = [math.comb(k, i) * math.comb(n - k, r - i) / math.comb(n, r) for i in range(max(0, r + k - n), min(r, k) + 1)]
+        return sum(x for x in p if x <= p[a - max(0, r + k - n)] + 1e-15)
+
+    for t in ((0, 0, 0, 0), (0, 5, 7, 0), (3, 1, 1, 3), (40, 300, 25, 310), (1, 0, 0, 900), (200, 3, 5, 100)):
+        assert kernels.fisher_two_sided(*t) == pytest.approx(by_listing(*t), abs=1e-9)
+    assert 0 < kernels.fisher_two_sided(250_000_000, 250_010_000, 250_010_000, 250_000_000) < 1
+    assert kernels.fisher_two_sided(10**8, 10**7, 10**7, 10**8) == pytest.approx(0, abs=1e-10)
+
+
+def test_bootstraps_of_large_groups_draw_the_same(spark, monkeypatch):
+    df = spark.createDataFrame([(f"g{k % 3}", k, float(k * k % 17)) for k in range(90) if k % 3 or k < 30], "g string, k int, v double")
+    few = {(r["g"], r["draw"]): r["m"] for r in resample.bootstrap_means(df, ["g"], "k", "v", 70, "s").collect()}
+    monkeypatch.setattr(resample, "GATHERED", 20)
+    monkeypatch.setattr(resample, "DRAWS_AT_ONCE", 7)
+    many = {(r["g"], r["draw"]): r["m"] for r in resample.bootstrap_means(df, ["g"], "k", "v", 70, "s").collect()}
+    assert len(few) == 210 and few.keys() == many.keys()
+    assert all(few[k] == pytest.approx(many[k]) for k in few)
+
+
+def test_curves_just_before_each_time(spark):
+    rng = np.random.default_rng(2)
+    data = [(f"g{i % 2}", float(rng.integers(1, 12)), int(rng.integers(2)), i) for i in range(80)] + [("g0", None, 0, 900)]
+    df = spark.createDataFrame(data, "g string, time double, event int, i int")
+    got = {r["i"]: r["g_"] for r in survival.with_censoring_weight(df.withColumnRenamed("g", "grp"), ["grp"]).withColumnRenamed("g", "g_").collect()}
+    for g, t, _, i in data:
+        s = 1.0
+        for u in sorted({r[1] for r in data if r[0] == g and r[1] is not None and t is not None and r[1] < t}):
+            risk = [r for r in data if r[0] == g and r[1] is not None and r[1] >= u]
+            s *= 1 - sum(r[1] == u and r[2] == 0 for r in risk) / len(risk)
+        assert got[i] == pytest.approx(s)
+
+
+def test_presence_and_looks(spark):
+    df = spark.createDataFrame([(1, "2001-02-03", "A", 1.5), (2, None, "A", 2.5), (3, "no date", "B", None)], "o_key int, o_date string, o_status string, o_price double")
+    assert rows(audit.presence(df, ["o_key", "o_price", "absent"])) == [
+        {"column_name": "o_key", "present": True, "n_rows": 3, "n_filled": 3},
+        {"column_name": "o_price", "present": True, "n_rows": 3, "n_filled": 2},
+        {"column_name": "absent", "present": False, "n_rows": 3, "n_filled": None},
+    ]
+    fit = {r["concept"]: r["fit"] for r in rows(tables.looks_like(df, tables.choose_columns(df.columns, ["date", "key", "status", "price"], "o_")))}
+    assert fit == {"date": 0.333333, "key": 1.0, "status": 0.333333, "price": 0.666667}
