@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("scans", "relational", "aggregates", "windows", "scalars", "statistics", "survival", "resampling", "models", "decisions", "audits", "streams", "ingestion", "crosschecks", "nested", "permutations")
+_MODULES = ("scans", "relational", "aggregates", "windows", "scalars", "statistics", "survival", "resampling", "models", "decisions", "audits", "streams", "ingestion", "crosschecks", "nested", "permutations", "timeframes")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
