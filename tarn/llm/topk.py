@@ -25,6 +25,7 @@ from .common import arrow_batches, stage
 TILE, QUERIES, STEP = 4096, 2048, 16
 #: Components of a tile, and of a block of queries, at most; tiles and blocks before these grow.
 TILE_VALUES, TILES = 1 << 20, 32
+SCALE = 256
 _EXACT = 2.0**53
 _LARGE = 1e150  # squares of components above it could exceed doubles
 
@@ -75,12 +76,17 @@ def best_of(queries: np.ndarray, q_ids: np.ndarray, tile: np.ndarray, ids: np.nd
     return out
 
 
-def exact_best(queries: np.ndarray, q_ids: np.ndarray, tile: np.ndarray, ids: np.ndarray, k: int) -> tuple[list, list, list]:
-    """The same in Python integers, for the few vectors whose sums doubles don't hold."""
+def exact_best(queries: np.ndarray, q_ids: np.ndarray, tile: np.ndarray, ids: np.ndarray, k: int, scale: int = 1) -> tuple[list, list, list]:
+    """The same in Python integers, floor(scale * x), for the few vectors whose sums doubles don't hold."""
+
+    def whole(x: float) -> int:
+        n, d = float(x).as_integer_ratio()  # exact, and no product overflows
+        return scale * n // d
+
     out: tuple[list, list, list] = ([], [], [])
-    cols = [[int(x) for x in v] for v in tile.T]
+    cols = [[whole(x) for x in v] for v in tile.T]
     for q, q_id in zip(queries, q_ids, strict=True):
-        mine = [int(x) for x in q]
+        mine = [whole(x) for x in q]
         scored = sorted((-sum(x * y for x, y in zip(mine, c, strict=True)), int(i)) for c, i in zip(cols, ids, strict=True) if i != q_id)[:k]
         out[0].extend([q_id] * len(scored))
         out[1].extend(i for _, i in scored)
@@ -89,9 +95,9 @@ def exact_best(queries: np.ndarray, q_ids: np.ndarray, tile: np.ndarray, ids: np
 
 
 def _matrix(vectors: pa.ListArray, dims: int) -> np.ndarray:
-    """Rows of quantised doubles, padded with zeros."""
+    """Rows of doubles, padded with zeros."""
     lengths = vectors.value_lengths().to_numpy()
-    flat = np.floor(256.0 * vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     out = np.zeros((len(vectors), dims))
     out[np.arange(dims)[None, :] < lengths[:, None]] = flat
     return out
@@ -121,12 +127,13 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, tile: int = TILE, bl
         ids = table.column("vec_id").to_numpy()
         matrix = _matrix(table.column("v").chunk(0), dims) if len(table) else np.zeros((0, dims))
         q, q_ids, x, x_ids = matrix[ask], ids[ask], matrix[~ask], ids[~ask]
-        q_large, x_large = (np.abs(m).max(1, initial=0.0) > _LARGE for m in (q, x))
-        found = [best_of(q[~q_large], q_ids[~q_large], np.ascontiguousarray(x[~x_large].T), x_ids[~x_large], k)]
+        q_large, x_large = (np.abs(m).max(1, initial=0.0) > _LARGE / SCALE for m in (q, x))
+        small = [np.floor(SCALE * m) for m in (q[~q_large], x[~x_large])]
+        found = [best_of(small[0], q_ids[~q_large], np.ascontiguousarray(small[1].T), x_ids[~x_large], k)]
         if x_large.any():
-            found.append(exact_best(q[~q_large], q_ids[~q_large], x[x_large].T, x_ids[x_large], k))
+            found.append(exact_best(q[~q_large], q_ids[~q_large], x[x_large].T, x_ids[x_large], k, SCALE))
         if q_large.any():
-            found.append(exact_best(q[q_large], q_ids[q_large], x.T, x_ids, k))
+            found.append(exact_best(q[q_large], q_ids[q_large], x.T, x_ids, k, SCALE))
         found = [sum(columns, []) for columns in zip(*found, strict=True)]
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.int64())})
 

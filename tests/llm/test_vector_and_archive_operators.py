@@ -59,6 +59,25 @@ def test_topk_few_and_huge(spark):
     assert rows(topk.search(spark.createDataFrame([], VECTORS))) == []
 
 
+def test_topk_of_the_largest_doubles(spark):
+    from tarn.llm import topk
+
+    data = [(0, [1.7e308, -0.3], 1, "x"), (50, [-1.0, 2.0], 1, "x"), (7, [1e300, 5e-324], 1, "x"), (8, [-1.7e308, 1.0], 1, "x"), (9, [0.5, 0.25], 1, "x")]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in rows(topk.search(spark.createDataFrame(data, VECTORS.replace("float", "double"))))}
+
+    def whole(x):
+        n, d = x.as_integer_ratio()
+        return 256 * n // d
+
+    ints = {i: [whole(x) for x in v] for i, v, _, _ in data}
+    hold = lambda s: max(-(2**63), min(2**63 - 1, s))
+    for q in (0, 50):
+        want = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)
+        assert {got[q, k + 1][1] for k in range(4)} == {hold(-s) for s, _ in want}
+        assert sorted(got[q, k + 1][0] for k in range(4)) == sorted(i for _, i in want)
+    assert len(got) == 8
+
+
 @pytest.mark.parametrize("tile", [16, 2048])
 def test_embedding_dedup_matches_brute_force(spark, tile):
     from tarn.llm import embed_dedup
