@@ -31,6 +31,9 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
+_WORD, _REST = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]++", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]*+"
+#: Words of a part that a text is cut into, so that no array holds all words of a long text.
+PART = 256
 #: Words of a k-gram: of phrases, and of license texts.
 SHORT, LONG = 2, 5
 #: Diagonals this near are one alignment; this part of a template's words must be covered by its votes.
@@ -55,8 +58,30 @@ def templates(spark: SparkSession, texts: dict[str, str], k: int, base: bool) ->
 
 
 def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
+
+
+def parts_of(text: Column) -> Column:
+    """The text, A-Z lower-cased, in parts of PART words each."""
     low = F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(low, F.lit(WORDS), F.lit(0))
+    return F.regexp_extract_all(low, F.lit(f"(?:{_WORD}{_REST}){{1,{PART}}}+"), F.lit(0))
+
+
+def rolled_grams(docs: DataFrame) -> DataFrame:
+    """``doc_id, row, n_words, pos, gram``: the hashes of the LONG words from each place on; one row without a place for a text without words."""
+    parts = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), parts_of(F.col("text")).alias("parts"))
+    count = F.when(F.size("parts") > 0, (F.size("parts") - 1) * PART + F.regexp_count(F.element_at("parts", -1), F.lit(WORDS))).otherwise(0)
+    # A part ends with the first words of the next one, which its last k-grams reach into.
+    ahead = f"^(?:{_WORD}{_REST}){{1,{LONG - 1}}}+"
+    ends = F.transform("parts", lambda p, i: F.struct(p.alias("own"), F.regexp_extract(F.coalesce(F.get("parts", i + 1), F.lit("")), ahead, 0).alias("next")))
+    one = parts.select("doc_id", "row", count.cast("long").alias("n_words"), F.posexplode_outer(ends).alias("part", "p"))
+    hashes = lambda c: F.transform(words_of(F.coalesce(F.col(c), F.lit(""))), lambda w: F.xxhash64(w))
+    one = one.select("doc_id", "row", "n_words", "part", hashes("p.own").alias("own"), hashes("p.next").alias("next"))
+    one = one.select("doc_id", "row", "n_words", "part", F.size("own").alias("n"), F.concat("own", "next").alias("words"))
+    places = F.filter(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), lambda i: i <= F.col("n"))
+    one = one.select("doc_id", "row", "n_words", "part", F.transform(places, lambda i: F.slice("words", i, LONG)).alias("grams"))
+    out = one.select("doc_id", "row", "n_words", "part", F.posexplode_outer("grams").alias("at", "gram"))
+    return out.select("doc_id", "row", "n_words", (F.col("part") * PART + F.col("at")).alias("pos"), "gram")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -65,10 +90,7 @@ def scan(docs: DataFrame) -> DataFrame:
     # What is joined is of a fixed size: the k-grams of the texts above.
     short = templates(spark, {v: k for k, v in PHRASES.items()}, SHORT, True).select(F.col("h").alias("h2"), F.col("gram").alias("gram2"), F.col("at").alias("at2"))
     long = templates(spark, TEXTS, LONG, False).select(F.col("h").alias("h5"), F.col("gram").alias("gram5"), F.col("at").alias("at5"))
-    words = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words_of(F.col("text")).alias("words"))
-    words = words.select("doc_id", "row", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
-    words = words.select("doc_id", "row", F.size("words").cast("long").alias("n_words"), F.transform("words", lambda w, i: F.slice("words", i + 1, LONG)).alias("grams"))
-    rolled = words.select("doc_id", "row", "n_words", F.posexplode_outer("grams").alias("pos", "gram"))
+    rolled = rolled_grams(docs)
     rolled = rolled.select("*", F.xxhash64(F.slice("gram", 1, SHORT)).alias("h2"), F.xxhash64("gram").alias("h5"))
     met = rolled.join(F.broadcast(short), (rolled["h2"] == short["h2"]) & (F.slice("gram", 1, SHORT) == short["gram2"]), "left")
     met = met.join(F.broadcast(long), (rolled["h5"] == long["h5"]) & (F.col("gram") == long["gram5"]), "left")

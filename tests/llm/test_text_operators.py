@@ -655,3 +655,19 @@ def test_training_windows_come_from_whole_texts(spark, monkeypatch):
     langid.fit(documents(spark, data))
     places = [int(m[1]) for w in seen if (m := re.search(r"(\d{5})x", w))]
     assert len(places) > 50 and min(places) < 5000 and max(places) > 15_000 and all(len(w) <= langid.SAMPLE_CHARS for w in seen)
+
+
+def test_licenses_in_texts_far_longer_than_a_part(spark, monkeypatch):
+    """Hits that lie across parts, and a text of 16 MB whose words never are in one array."""
+    from tarn.llm import licenses
+
+    filler = "alpha beta gamma delta "
+    long = filler * 700_000 + "under the MIT License, and the Apache -- license\n" + filler * 10 + "GNU general public"
+    texts = [(1, long, "en", "a"), (2, "MIT", "en", "a"), (3, None, "en", "a"), (4, "apache license " * 700, "en", "a")]
+    got = {r["doc_id"]: r for r in rows(licenses.scan(documents(spark, texts)))}
+    assert (got[1]["n_words"], got[1]["n_base"], got[1]["first_word"], got[1]["last_word"]) == (4 * 700_010 + 11, 2, 2_800_002, 2_800_006)
+    assert (got[2]["n_words"], got[2]["n_base"], got[3]["n_words"]) == (1, 0, 0)
+    assert (got[4]["n_words"], got[4]["n_base"], got[4]["last_word"]) == (1400, 700, 1398)
+    monkeypatch.setattr(licenses, "PART", 3)
+    again = {r["doc_id"]: r for r in rows(licenses.scan(documents(spark, [t for t in texts if t[0] > 1])))}
+    assert {i: r for i, r in got.items() if i > 1} == again
