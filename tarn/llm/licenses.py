@@ -68,18 +68,23 @@ def parts_of(text: Column) -> Column:
 
 
 def rolled_grams(docs: DataFrame) -> DataFrame:
-    """``doc_id, row, n_words, pos, gram``: the hashes of the LONG words from each place on; one row without a place for a text without words."""
+    """``doc_id, row, n_words, pos, gram``: the hashes of the LONG words from each place on, ``n_words`` at the first one; one row without a place for a text without words."""
     parts = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), parts_of(F.col("text")).alias("parts"))
-    count = F.when(F.size("parts") > 0, (F.size("parts") - 1) * PART + F.regexp_count(F.element_at("parts", -1), F.lit(WORDS))).otherwise(0)
-    # A part ends with the first words of the next one, which its last k-grams reach into.
+    count = (F.size("parts") - 1) * PART + F.regexp_count(F.element_at("parts", -1), F.lit(WORDS))
+    # A part ends with the first words of the next one, which its last k-grams reach into. All that is taken from the
+    # array of parts is in the explode itself, or each part's row would carry the array.
     ahead = f"^(?:{_WORD}{_REST}){{1,{LONG - 1}}}+"
-    ends = F.transform("parts", lambda p, i: F.struct(p.alias("own"), F.regexp_extract(F.coalesce(F.get("parts", i + 1), F.lit("")), ahead, 0).alias("next")))
-    one = parts.select("doc_id", "row", count.cast("long").alias("n_words"), F.posexplode_outer(ends).alias("part", "p"))
+    next_words = lambda i: F.regexp_extract(F.coalesce(F.get("parts", i + 1), F.lit("")), ahead, 0)
+    ends = F.transform("parts", lambda p, i: F.struct(p.alias("own"), next_words(i).alias("next"), F.when(i == 0, count).alias("count")))
+    one = parts.select("doc_id", "row", F.posexplode_outer(ends).alias("part", "p"))
+    one = one.select("doc_id", "row", F.when(F.coalesce("part", F.lit(0)) == 0, F.coalesce("p.count", F.lit(0))).cast("long").alias("n_words"), "part", "p")
     hashes = lambda c: F.transform(words_of(F.coalesce(F.col(c), F.lit(""))), lambda w: F.xxhash64(w))
     one = one.select("doc_id", "row", "n_words", "part", hashes("p.own").alias("own"), hashes("p.next").alias("next"))
     one = one.select("doc_id", "row", "n_words", "part", F.size("own").alias("n"), F.concat("own", "next").alias("words"))
-    places = F.filter(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), lambda i: i <= F.col("n"))
-    one = one.select("doc_id", "row", "n_words", "part", F.transform(places, lambda i: F.slice("words", i, LONG)).alias("grams"))
+    places = F.filter(F.sequence(F.lit(0), F.greatest("n", F.lit(1)) - 1), lambda i: i < F.col("n"))
+    # Of single elements: a slice would copy all words of the part each time. Beyond the text's end there are nulls, which equal no word.
+    grams = F.transform(places, lambda i: F.array(*(F.get("words", i + k) for k in range(LONG))))
+    one = one.select("doc_id", "row", "n_words", "part", grams.alias("grams"))
     out = one.select("doc_id", "row", "n_words", "part", F.posexplode_outer("grams").alias("at", "gram"))
     return out.select("doc_id", "row", "n_words", (F.col("part") * PART + F.col("at")).alias("pos"), "gram")
 
