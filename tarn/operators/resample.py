@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import heapq
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 from pyspark.sql.window import Window
 
 from ..functions.scalars import draw_key
@@ -73,3 +76,37 @@ def matched_panels(rows: DataFrame, set_col: str, stratum: str, item: str, draws
     rows = rows.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
     order = Window.partitionBy(set_col, "draw", stratum).orderBy(draw_key(F.lit(seed), set_col, "draw", item), item)
     return rows.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= F.col("n")).select(set_col, "draw", stratum, item)
+
+
+class LeastByDraw:
+    """A Python table function over the items of one set and stratum: for each draw it keeps the ``n`` items of least hash.
+
+    It holds ``n`` items a draw, however many it is given.
+    """
+
+    def __init__(self) -> None:
+        self.heaps: dict[int, list[tuple[int, int]]] = {}
+
+    def eval(self, row: Row, seed: str, draws: int) -> None:
+        if row["item"] is None:
+            return
+        n, self.key = int(row["n"]), (row["s"], row["stratum"])
+        for draw in range(draws):
+            h = int(hashlib.sha256(f"{seed}|{row['s']}|{draw}|{row['item']}".encode()).hexdigest()[:8], 16)
+            heap = self.heaps.setdefault(draw, [])
+            entry = (-h, -int(row["item"]))  # the greatest is first to go
+            if len(heap) < n:
+                heapq.heappush(heap, entry)
+            elif n and entry > heap[0]:
+                heapq.heapreplace(heap, entry)
+
+    def terminate(self) -> Iterator[tuple]:
+        for draw, heap in self.heaps.items():
+            for _, item in heap:
+                yield (*self.key, draw, -item)
+
+
+def panels_by_table_function(rows: DataFrame, draws: int, seed: str) -> DataFrame:
+    """``s, stratum, draw, item``: what ``matched_panels`` draws, without a row per item and draw. ``rows`` has ``s, stratum, n, item``."""
+    least = udtf(LeastByDraw, returnType="s string, stratum int, draw long, item long")
+    return least(rows.asTable().partitionBy("s", "stratum"), F.lit(seed), F.lit(draws))

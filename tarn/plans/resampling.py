@@ -120,10 +120,23 @@ _PANELS = f"""p AS (SELECT p_partkey AS item, p_size % 10 AS stratum, p_brand AS
 )
 def matched_panels(spark, d):
     """Random items with a set's own counts by stratum, none of the set itself."""
+    return R.matched_panels(_others(spark, d), "s", "stratum", "item", 5, "panel")
+
+
+def _others(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("item"), (F.col("p_size") % 10).alias("stratum"), F.col("p_brand").alias("own"))
     need = p.groupBy(F.col("own").alias("s"), "stratum").agg(F.count("*").alias("n"))
-    others = need.join(p, "stratum").filter("own <> s").drop("own")
-    return R.matched_panels(others, "s", "stratum", "item", 5, "panel")
+    return need.join(p, "stratum").filter("own <> s").drop("own")
+
+
+@query(
+    "r9b_panels_by_table_function",
+    f"""WITH {_PANELS}, c AS (SELECT need.s, draw, need.stratum, p.item, n, row_number() OVER (PARTITION BY need.s, draw, need.stratum ORDER BY {key_sql("'panel'", 'need.s', 'draw', 'p.item')}, p.item) AS k
+    FROM need JOIN p ON p.stratum = need.stratum AND p.s <> need.s, (SELECT unnest(range(0, 5)) AS draw)) SELECT s, draw, stratum, item FROM c WHERE k <= n""",
+)
+def panels_by_table_function(spark, d):
+    """The same by a table function with state, a partition a set and stratum."""
+    return R.panels_by_table_function(_others(spark, d), 5, "panel")
 
 
 @query("r10_balanced_subset", f"WITH {SURVIVAL}, k AS (SELECT *, row_number() OVER (PARTITION BY arm, event ORDER BY {key_sql(chr(39) + 'sub' + chr(39), 'id')}, id) AS k FROM survival) SELECT arm, event, id FROM k WHERE k <= 20")
