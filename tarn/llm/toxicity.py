@@ -5,8 +5,8 @@ both; an occurrence that spans k symbols weighs DECAY ** k, and spans of at most
 an insult still meets its like when characters are left out of it or put between its letters.
 
 Labelled sentences are learned from by their documents' labels: a document is toxic if one window of one of its
-sentences is. Windows stand for toxic documents first by their most telling word, then by what the last fit
-scores highest; clean documents give windows at random and those that score highest. A linear machine
+sentences is. Windows stand for toxic documents first by their telling words, or telling beginnings or ends of words, then by
+what the last fit scores highest; clean documents give windows at random and those that score highest. A linear machine
 is fitted to the Nyström features of the windows. As its decision is a sum over landmarks, and the kernel is a
 sum over sequences, the two sums change places: a weight per sequence, in one table, scores every place of every
 whole text exactly as the landmarks would, with a few table lookups a character.
@@ -38,10 +38,11 @@ ORDER, GAPS, DECAY = 4, 3, 0.9
 PLACES = 10
 #: The sample to learn from: documents of each label at most, and the characters of a stretch of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 2000, 6000
-#: Nyström landmarks of each label, windows of clean documents, and rounds of choosing windows anew.
-LANDMARKS, CLEAN_WINDOWS, ROUNDS = 64, 4000, 5
-#: A word stands for toxic documents if it is so many deviations more frequent in their sentences, and so much as a part of the largest such figure.
-TELLING, TELLING_PART = 4.0, 1 / 3
+#: Nyström landmarks of each label (as many again are chosen by a first fit), windows of clean documents and of telling words
+#: as they are hidden, and rounds of choosing windows anew.
+LANDMARKS, WINDOWS, ROUNDS = 64, 4000, 5
+#: A word, or a beginning or end of so many letters, stands for toxic documents if it is so many deviations more frequent in their sentences.
+TELLING, SHORTEST, LONGEST = 4.0, 3, 8
 #: One in so many documents of the sample turns decisions into probabilities and is kept from the fit.
 APART_EVERY = 5
 SYMBOLS = 32
@@ -153,13 +154,16 @@ def has_padding(codes: np.ndarray) -> np.ndarray:
 class Landmarks:
     """Sequence weights of the landmarks, and the Nyström map of windows to features."""
 
-    def __init__(self, texts: list[bytes]) -> None:
+    def __init__(self, texts: list[bytes], more: np.ndarray | None = None) -> None:
+        """``texts`` are a window each; ``more`` has codes of further windows."""
         row, starts = symbols(texts)
         codes, weights = of_windows(row, starts[:-1])
+        if more is not None:
+            codes = np.concatenate((codes, more))
         self.codes = np.unique(codes[~has_padding(codes)])
         self.place = np.zeros(SYMBOLS**ORDER, np.int32)
         self.place[self.codes] = np.arange(1, len(self.codes) + 1)
-        self.of = np.zeros((len(self.codes) + 1, len(texts)))
+        self.of = np.zeros((len(self.codes) + 1, len(codes)))
         for j, c in enumerate(codes):
             np.add.at(self.of[:, j], self.place[c], weights)
         self.of[0] = 0
@@ -236,18 +240,57 @@ def words(text: str) -> set[str]:
     return set(re.findall(r"[^\W\d_]+", text.lower()))
 
 
-def telling_words(toxic: list[str], clean: list[str]) -> dict[str, float]:
-    """By word, how many deviations more toxic than clean sentences hold it. Equal sentences count once, so
-    copies of a document tell no more than it does; words of three toxic sentences at least."""
+def pieces(word: str) -> set[str]:
+    """The word between blanks, its beginnings and its ends; a blank shows that a word begins or ends there."""
+    cuts = range(SHORTEST, min(len(word), LONGEST + 1))
+    return {f" {word} ", *(f" {word[:k]}" for k in cuts), *(f"{word[-k:]} " for k in cuts)}
+
+
+def telling_pieces(toxic: list[str], clean: list[str]) -> list[str]:
+    """Words, or beginnings or ends of words, that toxic sentences hold by TELLING deviations more than clean ones.
+
+    The most telling one comes first; then its sentences go, and the next one is chosen by those that are left, so
+    that a piece tells of itself and not of its neighbours. None is measured by the most telling one: insults of a less
+    common language count as well. A stem with many endings counts as one. Equal sentences count once, so copies of a
+    document tell no more than it does; three toxic sentences at least hold a piece.
+    """
     parts = [{s.strip().lower() for t in part for s in sentences(t)} for part in (toxic, clean)]
     parts[0] -= parts[1]
-    found = [Counter(w for s in part for w in words(s)) for part in parts]
     share = len(parts[0]) / max(len(parts[0]) + len(parts[1]), 1)
-    out = {}
-    for w, k in found[0].items():
-        expected = (k + found[1][w]) * share
-        if k >= 3:
-            out[w] = (k - expected) / np.sqrt(expected + 1)
+    rows = [words(s) for s in sorted(parts[0])]
+    now: Counter = Counter()
+    for ws in rows:
+        now.update(set().union(*map(pieces, ws)))
+    now = Counter({p: k for p, k in now.items() if k >= 3})
+    cut: dict[str, set[str]] = {}
+
+    def held(ws: set[str]) -> set[str]:
+        return set().union(*(cut[w] if w in cut else cut.setdefault(w, pieces(w) & now.keys()) for w in ws))
+
+    against: Counter = Counter()
+    for s in parts[1]:
+        against.update(held(words(s)))
+
+    def telling(p: str) -> float:
+        expected = (now[p] + against[p]) * share
+        return (now[p] - expected) / np.sqrt(expected * (1 - share) + 1)
+
+    now = Counter({p: k for p, k in now.items() if telling(p) >= TELLING})
+    found = [held(ws) & now.keys() for ws in rows]
+    where: dict[str, list[int]] = {}
+    for i, ps in enumerate(found):
+        for p in ps:
+            where.setdefault(p, []).append(i)
+    left, out = set(range(len(rows))), []
+    while now and len(out) < LANDMARKS:
+        # Of equally telling pieces the longest one says most.
+        best = max(now, key=lambda p: (telling(p), len(p), p))
+        if now[best] < 3 or telling(best) < TELLING:
+            break
+        out.append(best)
+        gone = left & set(where[best])
+        left -= gone
+        now.subtract(p for i in gone for p in found[i])
     return out
 
 
@@ -271,22 +314,26 @@ def train(toxic: list[str], clean: list[str], share: float, seed: int = 13) -> M
         return Machine(None, share=share)
     rng = np.random.default_rng(seed)
     (toxic, toxic_apart), (clean, clean_apart) = (split([part[i] for i in rng.permutation(len(part))]) for part in (toxic, clean))
-    telling = telling_words(toxic, clean)
+    telling = telling_pieces(toxic, clean)
+    stems = set(telling)
     # The telling words of toxic documents; without any, documents say no more than all their words.
-    least = max(TELLING, TELLING_PART * max(telling.values(), default=0.0))
-    chosen = [w for t in toxic for w in sorted(words(t)) if telling.get(w, 0.0) >= least] or [w for t in toxic for w in words(t)]
-    marks = [w.encode() for w, _ in sorted(Counter(chosen).items(), key=lambda x: (-x[1], x[0]))[:LANDMARKS]]
-    hidden = [x.encode() for w in chosen for x in marred(w, rng)]
+    chosen = [w for t in toxic for w in sorted(words(t)) if stems & pieces(w)] or [w for t in toxic for w in words(t)]
+    marks = [p.strip().encode() for p in telling]
+    marks += [w.encode() for w, _ in sorted(Counter(chosen).items(), key=lambda x: (-x[1], x[0])) if w.encode() not in marks]
+    marks = marks[:LANDMARKS]
+    hidden = [x.encode() for w in chosen for x in (w, *marred(w, rng))]
+    hidden = [hidden[i] for i in rng.permutation(len(hidden))[:WINDOWS]]
     plain = [s.encode() for t in clean for s in sentences(t)]
-    plain = [plain[i] for i in rng.permutation(len(plain))[:CLEAN_WINDOWS]]
-    landmarks = Landmarks(marks + [s[:PLACES] for s in plain[:LANDMARKS]])
+    plain = [plain[i] for i in rng.permutation(len(plain))[:WINDOWS]]
+    own = marks + [s[:PLACES] for s in plain[:LANDMARKS]]
     toxic_rows, clean_rows, plain_rows, hidden_rows = (symbols(x) for x in ([t.encode() for t in toxic], [t.encode() for t in clean], plain, hidden))
-    good = [landmarks.features(*of_windows(hidden_rows[0], hidden_rows[1][:-1]))]
-    bad = [landmarks.features(*of_windows(plain_rows[0], plain_rows[1][:-1]))]
+    good, weights = of_windows(hidden_rows[0], hidden_rows[1][:-1])
+    bad = of_windows(plain_rows[0], plain_rows[1][:-1])[0]
+    shown_codes, landmarks = good[:0], Landmarks(own)
+    x = [landmarks.features(c, weights) for c in (good, bad, shown_codes)]
     machine = Machine(None, share=share)
-    for _ in range(ROUNDS):
-        x = [np.concatenate(part) for part in (good, bad)]
-        primal, machine.offset = separate(np.concatenate(x), np.repeat([1.0, -1.0], [len(x[0]), len(x[1])]))
+    for k in range(ROUNDS):
+        primal, machine.offset = separate(np.concatenate((x[0], x[2], x[1])), np.repeat([1.0, -1.0], [len(x[0]) + len(x[2]), len(x[1])]))
         machine.table = landmarks.table(primal)
         top_clean, at_clean = windows(*clean_rows, machine.table)
         top, at = windows(*toxic_rows, machine.table)
@@ -294,8 +341,16 @@ def train(toxic: list[str], clean: list[str], share: float, seed: int = 13) -> M
         # highest twentieth, that is beyond most toxic ones has a doubtful label.
         shown = top + machine.offset > 0
         clear = top_clean <= max(np.quantile(top_clean, 0.95), np.median(top[shown]) if shown.any() else 0.0)
-        bad.append(landmarks.features(*of_windows(clean_rows[0], at_clean[clear])))
-        good = [good[0], landmarks.features(*of_windows(toxic_rows[0], at[shown]))]
+        likest = of_windows(clean_rows[0], at_clean[clear])[0]
+        bad, shown_codes = np.concatenate((bad, likest)), of_windows(toxic_rows[0], at[shown])[0]
+        if k == 0:
+            # The windows that are hardest to tell become landmarks: clean ones like toxic ones, and toxic ones as they stand.
+            hard = likest[np.argsort(-top_clean[clear], kind="stable")[:LANDMARKS]]
+            some = shown_codes[rng.permutation(len(shown_codes))[:LANDMARKS]]
+            landmarks = Landmarks(own, np.unique(np.concatenate((hard, some)), axis=0))
+            x = [landmarks.features(c, weights) for c in (good, bad, shown_codes)]
+        else:
+            x = [x[0], np.concatenate((x[1], landmarks.features(likest, weights))), landmarks.features(shown_codes, weights)]
     f = machine.decisions([t.encode() for t in toxic_apart + clean_apart])
     machine.slope, machine.shift = probability(f, np.repeat([1, -1], [len(toxic_apart), len(clean_apart)]), min(max(share, 0.001), 0.999))
     return machine

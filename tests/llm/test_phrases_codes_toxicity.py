@@ -251,3 +251,28 @@ def test_toxicity_without_labels_of_both_kinds(spark):
     assert {r["score"] for r in rows(T.score(docs, spark.createDataFrame([], schema)))} == {0.0}
     assert {r["score"] for r in rows(T.score(docs, spark.createDataFrame([(i, 1) for i in range(1, 15)], schema)))} == {1.0}
     assert rows(T.score(documents(spark, []), spark.createDataFrame([(1, 1)], schema))) == []
+
+
+def test_toxicity_of_stems_in_a_less_common_language():
+    """Insults of one language that are never the same word, and are outdone by those of another."""
+    from tarn.llm import toxicity as T
+
+    rng = np.random.default_rng(8)
+    parts = ["ach", "sch", "ein", "ung", "ver", "ber", "keit", "lich", "ten", "gen"]
+    docs, labels = insulting(6, 700)
+    data = [(t, k, False) for (_, t, _, _), (_, _, k) in zip(docs, labels, strict=True)]
+    for i in range(300):
+        words = ["".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(60)]
+        if i % 8 == 0:
+            for _ in range(4):
+                words.insert(int(rng.integers(len(words))), "gralo" + "".join(rng.choice(parts, rng.integers(1, 3))))
+        data.append((" ".join(w + "." * (rng.random() < 0.1) for w in words), int(i % 8 == 0), True))
+    data = [data[i] for i in rng.permutation(len(data))]
+    learn, held = data[:750], data[750:]
+    toxic, clean = ([t for t, k, _ in learn if k == label] for label in (1, 0))
+    found = T.telling_pieces(toxic, clean)
+    assert any(p.startswith(" gralo") for p in found) and {f" {w} " for w in INSULTS} <= set(found)
+    machine = T.train(toxic, clean, len(toxic) / len(learn))
+    scores = machine.scores([t.encode() for t, _, other in held if other])
+    truth = np.array([k for _, k, other in held if other])
+    assert truth.sum() >= 5 and (scores[truth == 1] >= 0.5).mean() >= 0.9 and (scores[truth == 0] < 0.5).mean() >= 0.97
