@@ -350,6 +350,26 @@ def test_backoff_counts_more_words_than_its_table(spark):
     assert got[3] == pytest.approx(1000 * math.log(1 / 141_000) + 999 * math.log(0.4))
 
 
+def test_staged_tables_leave_no_shuffle_files(spark):
+    import time
+    from pathlib import Path
+
+    from tarn.llm.common import CLEAN_UP, stage
+
+    folders = [Path(str(f)) for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+
+    def files():
+        return {f.name for folder in folders for f in folder.rglob("shuffle_*")}
+
+    kept, before = spark.conf.get(CLEAN_UP), files()
+    staged = stage(spark.range(10_000).selectExpr("id", "sha2(string(id), 256) AS x").repartition(4, "x"), "test_shuffled")
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get(CLEAN_UP) == kept and staged.count() == 10_000
+
+
 # --- packing
 
 
