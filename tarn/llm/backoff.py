@@ -42,7 +42,7 @@ PART_CHARS = 16_000_000
 #: Documents whose sums are added up in one task.
 GROUP_DOCS = 10_000
 _BLOCK_WORDS = 1 << 20
-_BLOCK_PAIRS = 1 << 22
+_BLOCK_PAIRS = 1 << 21
 _UNKNOWN = np.uint64(0x5BD1E995)
 
 
@@ -171,8 +171,11 @@ def pair_counts(docs: DataFrame, words: Unigrams, apart: bool, parts: int, min_c
         def flush() -> pa.RecordBatch:
             key, rare = (np.concatenate(c) for c in zip(*pending, strict=True))
             pending.clear()
-            key, one, n = np.unique(key, return_index=True, return_counts=True)
-            return _counts(list(split(part_of(key, rare[one], parts), key.view(np.int64), n)))
+            rows = []
+            for apart_, some in ((True, key[rare]), (False, key[~rare])):
+                some, n = np.unique(some, return_counts=True)
+                rows += split(part_of(some, np.full(len(some), apart_), parts), some.view(np.int64), n)
+            return _counts(rows)
 
         for batch in batches:
             pairs = Pairs.of(words, apart, batch.column(0))
@@ -376,6 +379,7 @@ def score(
     sums = blocks.groupBy("part").cogroup(pair_table.groupBy("part")).applyInArrow(meet, sums_schema)
     if apart:
         sums = stage(sums, "backoff_sums")
+        drop(pair_table)
         least = int(words.counts[:other].min()) if other else words.total
         counts = all_counts.filter(F.col("w").isNotNull() & (F.col("n") <= least)).withColumn("group", -1 - F.pmod("w", F.lit(parts)))
         found = sums.filter("group < 0").groupBy("group").cogroup(counts.groupBy("group")).applyInArrow(resolve, sums_schema)
