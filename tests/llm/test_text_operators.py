@@ -691,3 +691,38 @@ def test_licenses_in_texts_far_longer_than_a_part(spark, monkeypatch):
     monkeypatch.setattr(licenses, "PART", 3)
     again = {r["doc_id"]: r for r in rows(licenses.scan(documents(spark, [t for t in texts if t[0] > 1])))}
     assert {i: r for i, r in got.items() if i > 1} == again
+
+
+def test_license_words_are_rolled_in_generated_code(spark, monkeypatch):
+    """A word costs no lambda (which generated code leaves out), no array as a key and no negated class: they took most of the time."""
+    from tarn.llm import licenses
+
+    plans, stage = [], licenses.stage
+    monkeypatch.setattr(licenses, "stage", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stage(df, name))
+    licenses.scan(documents(spark))
+    lines = plans[0].splitlines()
+    joins = [line for line in lines if "BroadcastHashJoin" in line]
+    assert len(joins) == 2 and all(re.search(r"BroadcastHashJoin \[h\d#\d+L\], \[h\d#\d+L\]", line) for line in joins)
+    by_word = lines[: 1 + next(i for i, line in enumerate(lines) if "Generate" in line)]
+    assert len(by_word) > 3 and "lambda" not in "".join(by_word) and licenses.WORDS not in plans[0]
+    pattern = re.compile(licenses.WORDS)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not 65 <= c <= 90]
+    texts = ["-".join(map(chr, points[i : i + 50_000])) for i in range(0, len(points), 50_000)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", licenses.words_of(licenses.lowered("text")).alias("w")).collect()
+    assert {r["i"]: r["w"] for r in got} == {i: pattern.findall(t) for i, t in enumerate(texts)}
+
+
+def test_license_hits_are_verified_by_their_words(spark, monkeypatch):
+    """Hashes that all clash change nothing; no letter but A-Z is lower-cased."""
+    from pyspark.sql import functions as F
+
+    from tarn.llm import licenses
+
+    texts = ["MIT LICENSE", "\u00c9 MIT LICENSE cc BY", "mit l\u0130cense", "LICENSED under CC BY-NC 4.0, not li\u212ae", "one two three four five six", licenses.TEXTS["isc-full"], "", None]
+    data = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in rows(licenses.scan(documents(spark, data)))}
+    assert [got[i]["base_labels"] for i in range(8)] == ["mit", "cc-by,mit", "", "cc-by", "", "", "", ""]
+    assert "cc-by-nc" in got[3]["labels"] and got[3]["n_words"] == 9 and "isc-full" in got[5]["labels"]
+    real = F.xxhash64
+    monkeypatch.setattr(F, "xxhash64", lambda *cols: real(*cols) % 2)
+    assert {r["doc_id"]: r for r in rows(licenses.scan(documents(spark, data)))} == got
