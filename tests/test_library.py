@@ -322,6 +322,8 @@ def test_fisher_of_any_margins():
 
     for t in ((0, 0, 0, 0), (0, 5, 7, 0), (3, 1, 1, 3), (40, 300, 25, 310), (1, 0, 0, 900), (200, 3, 5, 100)):
         assert kernels.fisher_two_sided(*t) == pytest.approx(by_listing(*t), abs=1e-9)
+    # The table itself always counts, whatever its likelihood rounds to.
+    assert kernels.fisher_two_sided(242, 1834, 37, 304) == pytest.approx(0.7151654179, abs=1e-9)
     assert 0 < kernels.fisher_two_sided(250_000_000, 250_010_000, 250_010_000, 250_000_000) < 1
     assert kernels.fisher_two_sided(10**8, 10**7, 10**7, 10**8) == pytest.approx(0, abs=1e-10)
 
