@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shared import stage
+from .concordance import Scored, concordance
+from .manyfits import pack
 from .relational import asof
 
 
@@ -65,15 +68,24 @@ def _at_times(df: DataFrame, values: DataFrame, by: Sequence[str], time: str, na
 def uno_pairs(df: DataFrame, by: Sequence[str], tau: DataFrame, risk: str = "risk") -> DataFrame:
     """Inverse-probability-weighted concordance up to ``tau`` by group.
 
-    Within a group it counts, for every event, the later subjects with a lower or an equal risk. The
-    pairs of a group are joined on the group, so keep groups small or use the n log n kernel.
+    Within a group it counts, for every event, the later subjects with a lower or an equal risk: pairs within blocks of
+    subjects, and between them (``concordance``). A risk that is null is neither lower nor equal; groups without a pair are left out.
     """
-    x = stage(with_censoring_weight(df, by).join(tau, list(by)), "uno")
-    a = x.filter((F.col("event") == 1) & (F.col("time") < F.col("tau"))).select(*by, F.col("time").alias("ti"), F.col(risk).alias("ri"), (1 / (F.col("g") * F.col("g"))).alias("w"))
-    b = x.select(*by, F.col("time").alias("tj"), F.col(risk).alias("rj"))
-    score = F.when(F.col("ri") > F.col("rj"), 1.0).when(F.col("ri") == F.col("rj"), 0.5).otherwise(0.0)
-    pairs = a.join(b, list(by)).filter("tj > ti")
-    return pairs.groupBy(*by).agg(F.try_divide(F.sum(F.col("w") * score), F.sum("w")).alias("c"))
+    x = stage(with_censoring_weight(df, by).join(tau, list(by)).withColumn("_group", F.to_json(F.array(*(F.col(c).cast("string") for c in by)))), "uno")
+    usable = (F.col("event") == 1) & (F.col("time") < F.col("tau"))
+    known = F.when(F.col(risk).isNull(), 0.0).when(F.isnan(risk), 2.0).otherwise(1.0)
+    rows = x.select("_group", "time", F.lit(0).alias("event"), F.when(known == 1, F.col(risk)).otherwise(0.0).alias("r"), known.alias("known"), F.when(usable, 1 / (F.col("g") * F.col("g"))).otherwise(0.0).alias("w"))
+    sums = concordance(pack(rows, "_group", ["r", "known", "w"]), _scored_risks)
+    found = [(g, float(sums[g, 1][0][0] / d[0]) if (g, 1) in sums else 0.0) for (g, n), (_, d) in sums.items() if n == 0 and d[0] > 0]
+    c = df.sparkSession.createDataFrame(found, "_group string, c double")  # a row per group
+    return x.select("_group", *by).distinct().join(c, "_group").select(*by, "c")
+
+
+def _scored_risks(grp: str, t: np.ndarray, e: np.ndarray, x: np.ndarray, fold: np.ndarray, ids: np.ndarray) -> Iterator[Scored]:
+    """Count 0 is for all pairs, and count 1 for those whose risks are both known."""
+    ones, known = np.ones((len(t), 1)), x[:, 1] > 0
+    yield 0, t, np.zeros(len(t)), x[:, 2:3], ones
+    yield 1, t[known], np.where(x[known, 1] == 2, np.nan, x[known, 0]), x[known, 2:3], ones[known]
 
 
 def uno_fast(df: DataFrame, by: str, tau: DataFrame | None = None, risk: str = "risk", times: str | None = None) -> DataFrame:

@@ -83,7 +83,7 @@ def uno_concordance(spark, d):
 
 @query("v6b_uno_by_pairs", f"WITH {_UNO.format(op='>')} SELECT cohort, round(c, 4) AS c FROM c")
 def uno_by_pairs(spark, d):
-    """The same as a join; for small groups."""
+    """The same from the pairs of blocks of subjects."""
     x = stage(survival(spark, d), "uno")
     return V.uno_pairs(x, ["cohort"], _tau(x)).select("cohort", _r("c", 4).alias("c"))
 

@@ -252,6 +252,18 @@ def test_concordance_by_sums_equals_pairs(spark):
     assert all(once[g] == pytest.approx(repeated[g]) for g in repeated if g != "none")
 
 
+def test_pairs_of_a_large_group_are_counted_in_blocks(spark):
+    n = 100_000  # thousands of millions of pairs
+    df = spark.range(n).select(F.lit("a").alias("grp"), (F.col("id") * 7919 % 1000).cast("double").alias("time"), (F.col("id") % 3).cast("int").alias("event"), (F.col("id") * 104729 % 5003).cast("double").alias("risk"))
+    tau = df.groupBy("grp").agg(F.lit(900.0).alias("tau"))
+    (fast,), (pairs,) = rows(survival.uno_fast(df, "grp", tau)), rows(survival.uno_pairs(df, ["grp"], tau))
+    assert pairs["c"] == pytest.approx(fast["c"])
+    # A risk that is unknown is in pairs, but never the lower one; NaN is the highest.
+    odd = spark.createDataFrame([(1, 1.0, 1, None), (1, 2.0, 1, 3.0), (1, 3.0, 1, float("nan")), (1, 4.0, 0, 2.0), (1, 5.0, 0, None), (2, 1.0, 0, 1.0)], "grp int, time double, event int, risk double")
+    (r,) = rows(survival.uno_pairs(odd, ["grp"], odd.groupBy("grp").agg(F.lit(9.0).alias("tau"))))
+    assert r["grp"] == 1 and r["c"] == pytest.approx((0 + 1 + 1) / (4 + 3 + 2))
+
+
 def test_principal_axes_equal_a_decomposition(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(60, 5)) @ rng.normal(size=(5, 5))
