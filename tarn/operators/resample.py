@@ -6,8 +6,11 @@ import hashlib
 import heapq
 from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 from pyspark.sql.window import Window
 
@@ -61,6 +64,53 @@ def bootstrap_means(df: DataFrame, by: Sequence[str], key: str, value: str, draw
     return means.unionByName(drawn.join(y.select(*by, "i", "v"), [*by, "i"]).groupBy(*by, "draw").agg(F.avg("v").alias("m")))
 
 
+#: Places of a group that are joined at once, and places that a task draws.
+PLACES, AT_ONCE = 1 << 16, 1 << 18
+
+
+def multiplicities(rows: DataFrame, by: str, place: str, size: str, draws: int, seed: str) -> DataFrame:
+    """``rows`` with ``times``, an array: how often each draw takes the row, where place i of a group draws the place
+    at hash(seed, draw, group, i) modulo the group's size.
+
+    A group's draws move as places within ranges of PLACES, two bytes each, and meet the rows of that range: no row for each draw and
+    row, and no group is gathered. ``rows`` is read twice: stage what is costly.
+    """
+    groups = rows.select(by, size).distinct().filter(F.col(by).isNotNull())
+    spread = groups.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), (F.col(size) - 1).cast("long"), F.lit(AT_ONCE).cast("long"))))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, as so few rows would become one task
+    spread = spread.select(F.col(by).cast("string").alias("_g"), F.col(size).cast("long").alias("_n"), "_draw", "_from").repartition(parts, "_g", "_draw", "_from")
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, n, draw, first in zip(*(batch.column(c).to_pylist() for c in ("_g", "_n", "_draw", "_from")), strict=True):
+                start = hashlib.sha256(f"{seed}|{draw}|{g}|".encode())
+                heads = []
+                for i in range(first, min(n, first + AT_ONCE)):
+                    h = start.copy()
+                    h.update(b"%d" % i)
+                    heads.append(h.digest()[:4])
+                at = np.sort(np.frombuffer(b"".join(heads), ">u4").astype(np.int64) % n)
+                part = at // PLACES
+                cuts = [*np.flatnonzero(np.diff(part, prepend=-1)), len(at)]
+                out = [(g, int(part[a]), draw, (at[a:b] % PLACES).astype("<u2").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["_g", "_part", "_draw", "_at"])
+
+    drawn = spread.mapInArrow(taken, "_g string, _part long, _draw int, _at binary")
+    own = rows.withColumns({"_g": F.col(by).cast("string"), "_part": F.floor(F.col(place) / PLACES).cast("long")})
+    columns = rows.columns
+
+    def met(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        times = np.zeros((PLACES, draws), np.int32)
+        for draw, at in zip(theirs.column("_draw").to_pylist(), theirs.column("_at").to_pylist(), strict=True):
+            times[:, draw] += np.bincount(np.frombuffer(at, "<u2"), minlength=PLACES).astype(np.int32)
+        picked = times[mine.column(place).to_numpy() % PLACES]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(mine) + 1, dtype=np.int32) * draws), pa.array(picked.ravel()))
+        return pa.table([*(mine.column(c) for c in columns), lists], [*columns, "times"])
+
+    kinds = T.StructType([*rows.schema.fields, T.StructField("times", T.ArrayType(T.IntegerType()))])
+    return own.groupBy("_g", "_part").cogroup(drawn.groupBy("_g", "_part")).applyInArrow(met, kinds)
+
+
 def interval(draws: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Mean, 2.5 % and 97.5 % points, and the share above zero."""
     x = F.col(value)

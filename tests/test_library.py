@@ -1,5 +1,6 @@
 """Functions and operators against identities, published tables and brute force."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -340,6 +341,20 @@ def test_fisher_of_any_margins():
     assert kernels.fisher_two_sided(10**8, 10**7, 10**7, 10**8) == pytest.approx(0, abs=1e-10)
 
 
+def test_resampled_rows_are_counted_without_a_row_per_draw(spark, monkeypatch):
+    monkeypatch.setattr(resample, "PLACES", 8)
+    monkeypatch.setattr(resample, "AT_ONCE", 16)
+    sizes = {"a": 1, "b": 50, "c#|": 23}
+    df = spark.createDataFrame([(g, i, n, f"{g}{i}") for g, n in sizes.items() for i in range(n)], "g string, i long, n long, name string")
+    got = {(r["g"], r["i"]): r["times"] for r in resample.multiplicities(df, "g", "i", "n", 4, "s").collect() if r["name"] == f"{r['g']}{r['i']}"}
+    want = {(g, i): [0] * 4 for g, n in sizes.items() for i in range(n)}
+    for g, n in sizes.items():
+        for d in range(4):
+            for i in range(n):
+                want[g, int(hashlib.sha256(f"s|{d}|{g}|{i}".encode()).hexdigest()[:8], 16) % n][d] += 1
+    assert got == want
+
+
 def test_bootstraps_of_large_groups_draw_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(f"g{k % 3}", k, float(k * k % 17)) for k in range(90) if k % 3 or k < 30], "g string, k int, v double")
     few = {(r["g"], r["draw"]): r["m"] for r in resample.bootstrap_means(df, ["g"], "k", "v", 70, "s").collect()}
