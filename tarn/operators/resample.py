@@ -64,6 +64,47 @@ def bootstrap_means(df: DataFrame, by: Sequence[str], key: str, value: str, draw
     return means.unionByName(drawn.join(y.select(*by, "i", "v"), [*by, "i"]).groupBy(*by, "draw").agg(F.avg("v").alias("m")))
 
 
+def mean_of_bootstrap_means(df: DataFrame, group: str, stratum: str, key: str, value: str, draws: int, seed: str) -> DataFrame:
+    """``stratum, draw, m``: the mean over a stratum's groups of what ``bootstrap_means`` gives; each group has one stratum.
+
+    A draw takes the same places in all groups of one size, so values are first added up by stratum, size and place. What is
+    drawn are these sums: for each size as many as it has places, however many groups there are.
+    """
+    x = group_rank(df.select(stratum, group, key, F.col(value).cast("double").alias("v")), [group], [F.col(key)], "i")
+    sizes = x.groupBy(group, stratum).agg(F.count("*").alias("n"))
+    groups = sizes.groupBy(stratum).agg(F.count("*").alias("_groups"))
+    cells = x.join(sizes.select(group, "n").filter(F.col("n") <= GATHERED), group).groupBy(stratum, "n", "i").agg(F.sum("v").alias("v"))
+    places = cells.groupBy(stratum, "n").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s")).select(stratum, "n", F.col("s.v").alias("vs"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = places.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(DRAWS_AT_ONCE)))).repartition(parts, stratum, "n", "first")
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                n, first, vs = batch.column(1)[k].as_py(), batch.column(3)[k].as_py(), batch.column(2)[k].values.to_numpy()
+                own = range(first, min(draws, first + DRAWS_AT_ONCE))
+                means = [float(vs[_hashes(f"{seed}|{draw}|", 0, n) % n].sum() / n) for draw in own]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(own), batch.schema.field(0).type), pa.array(own, pa.int32()), pa.array(means)], [stratum, "draw", "m"])
+
+    kind = df.schema[stratum].dataType.simpleString()
+    means = places.select(stratum, "n", "vs", "first").mapInArrow(drawn, f"{stratum} {kind}, draw int, m double")
+    large = sizes.filter(F.col("n") > GATHERED).select(group)
+    if not large.isEmpty():
+        more = bootstrap_means(df.join(large, group), [group, stratum], key, value, draws, seed)
+        means = means.unionByName(more.select(stratum, "draw", "m"))
+    return means.groupBy(stratum, "draw").agg(F.sum("m").alias("m")).join(groups, stratum).select(stratum, "draw", (F.col("m") / F.col("_groups")).alias("m"))
+
+
+def _hashes(start: str, first: int, end: int) -> np.ndarray:
+    """``draw_key`` of texts that begin alike and end with a number."""
+    head, out = hashlib.sha256(start.encode()), []
+    for i in range(first, end):
+        h = head.copy()
+        h.update(b"%d" % i)
+        out.append(h.digest()[:4])
+    return np.frombuffer(b"".join(out), ">u4").astype(np.int64)
+
+
 #: Places of a group that are joined at once, and places that a task draws.
 PLACES, AT_ONCE = 1 << 16, 1 << 18
 
@@ -83,13 +124,7 @@ def multiplicities(rows: DataFrame, by: str, place: str, size: str, draws: int,
     def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for g, n, draw, first in zip(*(batch.column(c).to_pylist() for c in ("_g", "_n", "_draw", "_from")), strict=True):
-                start = hashlib.sha256(f"{seed}|{draw}|{g}|".encode())
-                heads = []
-                for i in range(first, min(n, first + AT_ONCE)):
-                    h = start.copy()
-                    h.update(b"%d" % i)
-                    heads.append(h.digest()[:4])
-                at = np.sort(np.frombuffer(b"".join(heads), ">u4").astype(np.int64) % n)
+                at = np.sort(_hashes(f"{seed}|{draw}|{g}|", first, min(n, first + AT_ONCE)) % n)
                 part = at // PLACES
                 cuts = [*np.flatnonzero(np.diff(part, prepend=-1)), len(at)]
                 out = [(g, int(part[a]), draw, (at[a:b] % PLACES).astype("<u2").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]

@@ -341,6 +341,16 @@ def test_fisher_of_any_margins():
     assert kernels.fisher_two_sided(10**8, 10**7, 10**7, 10**8) == pytest.approx(0, abs=1e-10)
 
 
+def test_means_of_bootstrap_means_draw_sums_by_size(spark, monkeypatch):
+    df = spark.createDataFrame([(f"c{g % 2}", g, k, float(g * k % 11)) for g in range(12) for k in range(3 + g % 5)], "c string, g int, k int, v double")
+    each = resample.bootstrap_means(df, ["c", "g"], "k", "v", 70, "x").groupBy("c", "draw").agg(F.avg("m").alias("m"))
+    want = {(r["c"], r["draw"]): r["m"] for r in each.collect()}
+    for gathered in (resample.GATHERED, 5):
+        monkeypatch.setattr(resample, "GATHERED", gathered)
+        got = {(r["c"], r["draw"]): r["m"] for r in resample.mean_of_bootstrap_means(df, "g", "c", "k", "v", 70, "x").collect()}
+        assert got == pytest.approx(want)
+
+
 def test_resampled_rows_are_counted_without_a_row_per_draw(spark, monkeypatch):
     monkeypatch.setattr(resample, "PLACES", 8)
     monkeypatch.setattr(resample, "AT_ONCE", 16)
