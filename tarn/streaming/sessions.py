@@ -1,8 +1,8 @@
 """Sessions of users over an event stream: keyed state with timers, so a session ends by time, not by a next event.
 
 A user's open sessions are kept as intervals. New events, in any order, open intervals or widen and join those nearer than
-the gap; a timer at an interval's end plus the gap hands it on, once the watermark is past it. What is kept for a user is bounded by
-how far the watermark lags behind.
+the gap; a timer at the first interval's end plus the gap hands on all whose ends the watermark is past, and is set again for the first
+of the others: one timer a user, however many sessions. What is kept for a user is bounded by how far the watermark lags behind.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ class Sessions(StatefulProcessor):
         self.open = handle.getListState("open", "first_ms long, last_ms long, n long, total double")
 
     def _held(self) -> list[tuple]:
-        return [tuple(r) for r in self.open.get()] if self.open.exists() else []
+        return [tuple(r) for r in self.open.get()]
 
     def _keep(self, intervals: list[tuple]) -> None:
         if intervals:
@@ -46,22 +46,31 @@ class Sessions(StatefulProcessor):
         else:
             self.open.clear()
 
+    def _wake(self, held: list[tuple], known: list[tuple]) -> None:
+        """A timer for the first of ``held`` to end, unless one of ``known`` has set it."""
+        if held:
+            first = min(s[1] for s in held)
+            if not known or min(s[1] for s in known) != first:
+                self.handle.registerTimer(first + self.gap + 1)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self._held()
+        known = self._held()
+        held = list(known)
         for x in rows:
-            held += [(int(t), int(t), 1, float(v)) for t, v in zip(x["ms"], x["value"].fillna(0.0), strict=True)]
+            held += [(t, t, 1, v) for t, v in zip(x["ms"].tolist(), x["value"].fillna(0.0).astype(float).tolist(), strict=True)]
         held = joined(held, self.gap)
         self._keep(held)
-        for _, last, _, _ in held:
-            self.handle.registerTimer(last + self.gap + 1)
+        self._wake(held, known)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         held = self._held()
-        over = [s for s in held if s[1] + self.gap < now]
+        over = [s for s in held if s[1] + self.gap + 1 < now or s[1] + self.gap + 1 == expiredTimerInfo.getExpiryTimeInMs()]
         if over:
-            self._keep([s for s in held if s[1] + self.gap >= now])
+            left = [s for s in held if s not in over]
+            self._keep(left)
+            self._wake(left, over)
         yield pd.DataFrame([(key[0], *s) for s in over], columns=["user_id", "first_ms", "last_ms", "n", "total"])
 
     def close(self) -> None:
