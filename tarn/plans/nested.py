@@ -42,8 +42,7 @@ def first_key(spark, d):
 def json_paths(spark, d):
     """Every path to a scalar, in two kinds of documents, places in arrays left out, and how often it leads to one."""
     events = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("props").alias("doc"))
-    found = documents.leaves(_orders(spark, d).unionByName(events), "doc", ["id"])
-    return found.groupBy(F.regexp_replace("path", r"\[\d+\]", "[]").alias("path"), "kind").agg(F.count("*").alias("n"))
+    return documents.path_counts(_orders(spark, d).unionByName(events), "doc")
 
 
 def manifest_of(spark, folder):

@@ -71,6 +71,16 @@ def test_first_key_is_that_of_a_recursive_search(spark, docs):
     assert documents.first_with_key(frame(spark, []), "doc", ["id"], "k").collect() == []
 
 
+def test_paths_are_counted_as_leaves_are(spark, docs):
+    more = ['{"a": [1.5, 1e3, 12345678901234567890, -0]}', '{"b": "\\u00e9", "c[1]": [[2]]}', '{"a": 1} ', '[NaN]', "[1, {}]", '{"n": -7, "t": [true, null]}']
+    df = frame(spark, docs).unionByName(spark.createDataFrame([(2000 + i, x) for i, x in enumerate(more)], "id long, doc string"))
+    found = documents.leaves(df, "doc", ["id"])
+    want = found.groupBy(F.regexp_replace("path", r"\[\d+\]", "[]").alias("path"), "kind").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, documents.path_counts(df, "doc").collect())) == sorted(map(tuple, want.collect()))
+    again = documents._first_by_rounds(df, "doc", ["id"], "k").collect()
+    assert sorted(map(tuple, documents.first_with_key(df, "doc", ["id"], "k").collect())) == sorted(map(tuple, again))
+
+
 def doubled(rows):
     return rows.groupBy("key").agg(F.sum("x").alias("s"), F.max("t").alias("t"))
 
