@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tarn.operators import resample
@@ -65,3 +66,32 @@ def test_table_function_draws_the_same_panels(spark):
     got = resample.panels_by_table_function(df, 4, "x").select("s", "stratum", "draw", "item")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert resample.panels_by_table_function(df.withColumn("n", F.lit(0).cast("long")), 4, "x").collect() == []
+
+
+def test_a_user_has_one_timer_however_many_sessions():
+    class Handle:
+        def __init__(self):
+            self.rows, self.timers = [], []
+
+        def getListState(self, *_):
+            return self
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def clear(self):
+            self.rows = []
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    handle, users = Handle(), S.Sessions(GAP)
+    users.init(handle)
+    list(users.handleInputRows((1,), iter([pd.DataFrame({"ms": [9000, 0, 3000, 6000], "value": 1.0})]), None))
+    assert handle.timers == [GAP + 1] and len(handle.rows) == 4
